@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, pieces, quality, sharding
+from . import language, licences, longdup, media, mixing, neardup, pieces, private, quality, sharding
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longdup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.clean_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_pieces(table(spark, sf_dir, "documents"), piece_model())
 
@@ -36,9 +44,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.label_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences_of(table(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language_id, op3_quality_rules, op6_sentencepiece, op7_sharding)}
+    found = (op1_mixing, op2_language_id, op3_quality_rules, op4_suffix_dedup, op5_private_data, op6_sentencepiece, op7_sharding, op8_near_duplicates, op9_licences, op10_media)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licences": licences.oracle()}
