@@ -17,6 +17,11 @@ STALL_SECONDS, CHECKPOINT_SECONDS, STALE_HOURS = 30 * 60, 3600, 26
 TRANSFER_PHASES = ("uploading", "transferring")
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since the epoch, of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def progress_frames(lines: DataFrame) -> DataFrame:
     """Frames of JSON log lines (run_id, seq, ts, line); a line without stats gives no row, an absent counter is null."""
     s = F.col("frame.stats")
@@ -35,7 +40,7 @@ def progress_frames(lines: DataFrame) -> DataFrame:
 def rates(frames: DataFrame, counters: tuple[str, ...] = ("bytes", "transfers"), key: str = "run_id") -> DataFrame:
     """Rate of each counter against the frame before; null where unknown, 0 where nothing moved."""
     w = Window.partitionBy(key).orderBy("seq")
-    dt = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    dt = micros("ts") - micros(F.lag("ts").over(w))
     out = frames
     for c in counters:
         d = F.col(c) - F.lag(c).over(w)
@@ -60,7 +65,7 @@ def stalls(frames: DataFrame, key: str = "run_id", after: int = STALL_SECONDS) -
     """Last measurable progress at each frame, and whether the run may be stalled."""
     w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("measurable"), F.col("ts")), ignorenulls=True).over(w)
-    return frames.withColumn("last_progress", last).withColumn("possible_stall", F.coalesce(F.unix_micros("ts") - F.unix_micros("last_progress") >= after * 1_000_000, F.lit(False)))
+    return frames.withColumn("last_progress", last).withColumn("possible_stall", F.coalesce(micros("ts") - micros("last_progress") >= after * 1_000_000, F.lit(False)))
 
 
 def upload_start(frames: DataFrame, key: str = "run_id") -> DataFrame:
@@ -104,7 +109,7 @@ def retries(runs: DataFrame) -> DataFrame:
     failed = F.col("status") == "failed"
     final = F.when((F.col("classification") == "retryable_limited") & (F.col("limited") > 3), "terminal").otherwise(F.col("classification"))
     delay = F.when(failed & (final == "retryable"), backoff_seconds(F.col("consecutive"))).when(failed & (final == "retryable_limited"), limited_seconds(F.col("limited")))
-    return r.withColumn("final_classification", F.when(failed, final)).withColumn("delay_seconds", delay.cast("long")).withColumn("next_retry_at", F.timestamp_micros(F.unix_micros("completed_at") + F.col("delay_seconds") * 1_000_000)).drop("island")
+    return r.withColumn("final_classification", F.when(failed, final)).withColumn("delay_seconds", delay.cast("long")).withColumn("next_retry_at", F.timestamp_micros(micros("completed_at") + F.col("delay_seconds") * 1_000_000)).drop("island")
 
 
 def error_class(code: Column, exit_code: Column) -> Column:
@@ -129,7 +134,7 @@ def health(fleet: DataFrame, now: Column, warn_free_bytes: int = 0) -> DataFrame
     fleet: tombstoned, deletion_requested_at, enabled, has_runtime, sync_state,
     reconcile_requested, last_reconcile_success, last_error, free_bytes (null: never measured).
     """
-    stale = F.unix_micros(now) - F.unix_micros("last_reconcile_success") > STALE_HOURS * 3600 * 1_000_000
+    stale = micros(now) - micros("last_reconcile_success") > STALE_HOURS * 3600 * 1_000_000
     quota = quota_band(F.col("free_bytes"), warn_free_bytes)
     label = (
         F.when(F.col("tombstoned"), "TOMBSTONED")
@@ -181,7 +186,7 @@ def checkpoints(frames: DataFrame, key: str = "run_id", seconds: int = CHECKPOIN
     w = Window.partitionBy(key).orderBy("seq")
     forced = F.col("phase").isNotNull() & ~F.col("phase").eqNullSafe(F.lag("phase").over(w))
     rows = frames.withColumn("forced", forced | F.lag("seq").over(w).isNull())
-    each = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.unix_micros("ts").alias("t"), "forced"))).alias("f"))
+    each = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", micros("ts").alias("t"), "forced"))).alias("f"))
     start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -118,6 +118,12 @@ class Settle(StatefulProcessor):
         pass
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """The stateful operators keep their state in RocksDB, which spills."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def settled_batches(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Settled batches of classified events (profile_id, ts, path, event_kind, ledger_rows, has_success), by event time."""
-    return events.withWatermark("ts", delay).groupBy("profile_id").transformWithStateInPandas(Settle(), OUT, "Append", "EventTime")
+    keep_state_on_disk(events.sparkSession)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("profile_id").transformWithStateInPandas(Settle(), OUT, "Append", "EventTime")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.telemetry import CHECKPOINT_SECONDS, STALL_SECONDS
+from .events import keep_state_on_disk
 
 OUT = "run_id string, seq bigint, ts timestamp, bytes_rate double, possible_stall boolean, checkpoint boolean"
 _COLUMNS = ["run_id", "seq", "ts", "bytes_rate", "possible_stall", "checkpoint"]
@@ -60,7 +61,8 @@ class Rates(StatefulProcessor):
 
 
 def live_rates(frames: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    return frames.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(Rates(), OUT, "Append", "EventTime")
+    keep_state_on_disk(frames.sparkSession)
+    return frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(Rates(), OUT, "Append", "EventTime")
 
 
 def newest_frames(frames: DataFrame) -> DataFrame:
