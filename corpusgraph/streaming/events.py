@@ -121,9 +121,14 @@ class Settle(StatefulProcessor):
 def keep_state_on_disk(spark: SparkSession) -> None:
     """The stateful operators keep their state in RocksDB, which spills."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # the coordinator of state stores starts with the manager of streams, which a batch run wouldn't touch
+    _ = spark.streams.active
 
 
 def settled_batches(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Settled batches of classified events (profile_id, ts, path, event_kind, ledger_rows, has_success), by event time."""
+    """Settled batches of classified events (profile_id, ts, path, event_kind, ledger_rows, has_success), by event time.
+
+    Over a bounded input what isn't due at its end stays pending.
+    """
     keep_state_on_disk(events.sparkSession)
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("profile_id").transformWithStateInPandas(Settle(), OUT, "Append", "EventTime")
