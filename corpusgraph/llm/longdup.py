@@ -5,8 +5,9 @@ Suffix buckets come from the content: all windows of SPAN bytes whose smallest
 gram is the same are one bucket (``windows``), so equal windows always meet.
 
 1. One pass over the texts gives runs of windows (bucket h, a hash of the run's
-   bytes).  Counting (h, hash) with map-side sums finds runs that occur twice as a
-   whole, and buckets with more than one run text.  Everything else is unique.
+   bytes).  Counting (h, hash), summed up in the tasks before one shuffle by h, finds
+   runs that occur twice as a whole, and buckets with more than one run text.
+   Everything else is unique.
 2. Only one run of each text in such a bucket is sorted: its bytes go to the
    bucket, buckets are dealt over tasks and sorted a block at a time with a
    difference cover (``suffixes``), memory bounded by BLOCK bytes of text.
@@ -28,19 +29,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, utf8
+from .common import cut_lineage, mix64, slices, utf8
 from .suffixes import repeated_windows
 from .windows import SPAN, runs
 
-LARGE, BLOCK, STEP = 4096, 2 << 20, 1 << 20
+LARGE, BLOCK, STEP, FLUSH = 4096, 2 << 20, 1 << 20, 200_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+NO_ID = -(1 << 63)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id (a stand-in where it is null, so that joins keep one partitioning), hash of the text, text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _runs_of(b: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...]:
+    """Row, h, hash of the bytes, first and last window of each run in a batch of (doc_id, th, text)."""
+    data, off = utf8(b.column(2))
+    doc, first, last, _, h = runs(data, off, span)
+    raw = memoryview(np.ascontiguousarray(data))
+    ch = np.array([int.from_bytes(hashlib.blake2b(raw[x : y + span], digest_size=8).digest(), "little", signed=True) for x, y in zip(first.tolist(), last.tolist())], np.int64)
+    return doc, h.view(np.int64), ch, first - off[doc], last - off[doc]
 
 
 def run_rows(docs: DataFrame, span: int) -> DataFrame:
@@ -48,20 +62,43 @@ def run_rows(docs: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            data, off = utf8(b.column(2))
-            doc, first, last, _, h = runs(data, off, span)
-            raw = memoryview(np.ascontiguousarray(data))
-            ch = [int.from_bytes(hashlib.blake2b(raw[x : y + span], digest_size=8).digest(), "little", signed=True) for x, y in zip(first.tolist(), last.tolist())]
+            doc, h, ch, first, last = _runs_of(b, span)
             take = pa.array(doc.astype(np.int32))
-            start = off[doc]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(ch, pa.int64()), pa.array((first - start).astype(np.int32)), pa.array((last - start).astype(np.int32))],
-                ["doc_id", "th", "h", "ch", "first", "last"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(ch), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "th", "h", "ch", "first", "last"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, th long, h long, ch long, first int, last int")
 
 
+def run_counts(docs: DataFrame, span: int) -> DataFrame:
+    """h, ch, n, least (the smallest mark of an occurrence), summed up over FLUSH runs at a time."""
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, ch, mark = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((mark, ch, h))
+        h, ch, mark = h[order], ch[order], mark[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])]) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(h)])
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ch[first]), pa.array(n.astype(np.int64)), pa.array(mark[first])], ["h", "ch", "n", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in slices(batches, "text", STEP):
+            doc, h, ch, first, _ = _runs_of(b, span)
+            own, th = (np.asarray(b.column(k))[doc] for k in (0, 1))
+            held.append((h, ch, own ^ th ^ (first << 32)))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield summed(held)
+                held = []
+        if held:
+            yield summed(held)
+
+    return _keyed(docs).mapInArrow(run, "h long, ch long, n long, least long")
+
+
+def _mark() -> Column:
+    return F.col("doc_id").bitwiseXOR(F.col("th")).bitwiseXOR(F.shiftleft(F.col("first").cast("long"), 32))
+
+
 def _contexts(rows: DataFrame, span: int) -> DataFrame:
     """Bytes of the runs named in ``want``: h, large, doc_id, th, first, bytes."""
 
@@ -161,26 +198,32 @@ def count_windows(rows: DataFrame, span: int) -> DataFrame:
     return each.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + span).alias("b"))
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
-    """doc_id, th, a, b: byte spans covered by repeated windows (they may overlap)."""
-    all_runs = run_rows(docs, span)
-    counted = all_runs.withColumn("mark", F.xxhash64("doc_id", "th", "first")).groupBy("h", "ch").agg(F.count("*").alias("n"), F.min("mark").alias("least"))
+def marks(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
+    """Per document with any: ``spans`` of runs that repeat as a whole, and runs that ``want`` sorting."""
+    # tasks have summed up what repeats, so one partition by h holds few rows of a frequent run
+    counted = run_counts(docs, span).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     buckets = counted.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("n_h")).filter("n_h > 1").select("h", "different")
-    known = counted.join(buckets, "h").select("h", "ch", (F.col("n") > 1).alias("whole"), "least", "different")
-    met = all_runs.join(known, ["h", "ch"])
-    whole = met.filter("whole").select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + span).alias("b"))
-    picked = met.filter((F.col("different") > 1) & (F.xxhash64("doc_id", "th", "first") == F.col("least")))
-    want = picked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", (F.col("different") > large).alias("large"), "first", "last")).alias("want"))
-    asked = texts.join(want.withColumnsRenamed({"doc_id": "w_doc", "th": "w_th"}), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("doc_id", "th", "text", "want")
-    cut = _contexts(asked, span)
-    return whole.unionByName(sort_buckets(cut.filter(~F.col("large")), span)).unionByName(count_windows(cut.filter("large"), span))
+    known = cut_lineage(counted.join(buckets, "h").select("h", "ch", (F.col("n") > 1).alias("whole"), "least", "different"))
+    met = run_rows(docs, span).join(known, ["h", "ch"])
+    pick = (F.col("different") > 1) & (_mark() == F.col("least"))
+    each = met.filter(F.col("whole") | pick).groupBy("doc_id", "th").agg(
+        F.collect_set(F.when(F.col("whole"), F.struct(F.col("first").alias("a"), (F.col("last") + span).alias("b")))).alias("spans"),
+        F.collect_set(F.when(pick, F.struct("h", (F.col("different") > large).alias("large"), "first", "last"))).alias("want"),
+    )
+    return cut_lineage(each)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept: the remaining bytes] of every row."""
-    texts = _keyed(docs).repartition("doc_id", "th")
-    spans = repeated_spans(docs, texts, span, large).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = texts.join(spans.withColumnsRenamed({"doc_id": "s_doc", "th": "s_th"}), F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th")), "left").select("doc_id", "text", "spans")
+    marked, key = marks(docs, span, large), ["doc_id", "th"]
+    texts = _keyed(docs).repartition(*key)
+    cut = _contexts(texts.join(marked.filter(F.size("want") > 0).select(*key, "want"), key).select(*key, "text", "want"), span)
+    sorted_ = sort_buckets(cut.filter(~F.col("large")), span)
+    if marked.filter(F.exists("want", lambda w: w["large"])).limit(1).count():
+        sorted_ = sorted_.unionByName(count_windows(cut.filter("large"), span))
+    more = sorted_.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("more"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    rows = texts.join(marked.select(*key, "spans"), key, "left").join(more, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
