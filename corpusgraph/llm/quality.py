@@ -94,7 +94,7 @@ class Model:
         for f, (bins, doc) in enumerate(hashed_ngrams(data, off)):
             n = np.bincount(doc, minlength=rows)
             z += np.bincount(doc, self.weights[f * BINS + bins], rows) / np.maximum(1, n)
-        return 1 / (1 + np.exp(-(self.slope * z + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -500, 500)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -103,7 +103,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) ->
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        e = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - y)
         g, gb = e @ x + penalty * w, e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 * (1 - t / (steps + 1))
@@ -112,28 +112,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) ->
     return w, float(b)
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, penalty: float = 1e-3) -> Model | None:
-    train = ~held
-    if len(set(y[train])) < 2:
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of Platt's curve: Newton steps, halved until the loss falls.
+
+    Platt's targets, inside 0 and 1, keep the curve finite on separable rows.
+    """
+    pos, neg = int((y == 1).sum()), int((y != 1).sum())
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    unit = float(np.abs(z).mean()) or 1.0
+    z = z / unit
+    loss = lambda a, c: float((np.logaddexp(0, a * z + c) - t * (a * z + c)).sum())
+    a, c = 0.0, float(np.log((pos + 1) / (neg + 1)))
+    now = loss(a, c)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + c, -500, 500)))
+        r, q = p - t, p * (1 - p)
+        g = np.array([(r * z).sum(), r.sum()])
+        if np.abs(g).max() < 1e-6:
+            break
+        hess = np.array([[(q * z * z).sum() + 1e-9, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-9]])
+        da, dc = np.linalg.solve(hess, g)
+        step = 1.0
+        while step > 1e-9 and (new := loss(a - step * da, c - step * dc)) >= now - 1e-4 * step * float(g @ (da, dc)):
+            step /= 2
+        if step <= 1e-9:
+            break
+        a, c, now = a - step * da, c - step * dc, new
+    return a / unit, c
+
+
+def fit(x: np.ndarray, y: np.ndarray, trained: int, penalty: float = 1e-3) -> Model | None:
+    """A model of the first ``trained`` rows, calibrated on the rest; x is scaled in place, as it is the driver's largest array."""
+    if len(set(y[:trained])) < 2:
         return None
-    scale = np.sqrt((x[train] ** 2).mean(0)) + 1e-4
-    x = x / scale
-    w, b = _logistic(x[train], y[train].astype(np.float32), penalty)
-    z = x @ w + b
-    a, c = 1.0, 0.0
-    if len(set(y[held])) == 2:
-        zz, yy = z[held], y[held]
-        # Platt's targets keep the curve finite on separable rows
-        pos, neg = (yy == 1).sum(), (yy == 0).sum()
-        t = np.where(yy == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-(a * zz + c)))
-            r, q = p - t, p * (1 - p) + 1e-6
-            hess = np.array([[(q * zz * zz).sum() + 1e-6, (q * zz).sum()], [(q * zz).sum(), q.sum() + 1e-6]])
-            da, dc = np.linalg.solve(hess, [(r * zz).sum(), r.sum()])
-            a, c = a - da, c - dc
-            if abs(da) + abs(dc) < 1e-8:
-                break
+    scale = np.sqrt(np.einsum("ij,ij->j", x[:trained], x[:trained]) / trained) + 1e-4
+    x /= scale
+    w, b = _logistic(x[:trained], y[:trained].astype(np.float32), penalty)
+    z = x[trained:] @ w + b
+    a, c = calibrate(z, y[trained:]) if len(set(y[trained:])) == 2 else (1.0, 0.0)
     return Model((w / scale).astype(np.float32), b, float(a), float(c))
 
 
@@ -158,13 +174,14 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
                     ["doc_id", "y", "h", "at", "x"],
                 )
 
-    got = sorted(texts.mapInArrow(features, "doc_id long, y int, h long, at binary, x binary").collect(), key=lambda r: (r["h"], r["doc_id"], r["y"], r["at"]))
-    if not got:
-        return None
+    # every fourth row by hash is held out for the calibration and comes last
+    got = sorted(texts.mapInArrow(features, "doc_id long, y int, h long, at binary, x binary").collect(), key=lambda r: (r["h"] % 4 == 0, r["h"], r["doc_id"], r["y"], r["at"]))
     x = np.zeros((len(got), FAMILIES * BINS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["x"], np.float32)
-    return fit(x, np.array([r["y"] for r in got]), np.array([r["h"] % 4 == 0 for r in got]))
+    y, trained = np.array([r["y"] for r in got], np.int64), sum(r["h"] % 4 != 0 for r in got)
+    del got
+    return fit(x, y, trained)
 
 
 def repeated_words(words: list[bytes]) -> int:
