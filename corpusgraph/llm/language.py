@@ -98,8 +98,12 @@ def parsers(samples: dict[str, str]) -> tuple[list[str], np.ndarray, int, np.nda
     tables, roots, base = [], [], 0
     for x in langs:
         t = suffix_automaton(code[np.frombuffer(folded[x].encode("utf-32-le"), np.uint32).clip(max=(1 << 16) - 1)].tolist(), symbols)
-        root = np.where(t[0] < 0, 0, t[0])  # an unknown letter is a piece of its own
-        t = np.where(t < 0, ~((root[None, :] + base) * symbols), (t + base) * symbols)
+        # one more state: a letter that the sample lacks is a piece of its own
+        begin = np.where(t[0] < 0, len(t), t[0])
+        t = np.vstack([t, np.full(symbols, -1, np.int32)])
+        again = ~((begin + base) * symbols)
+        t = np.where(t < 0, again[None, :], (t + base) * symbols)
+        t[0] = (begin + base) * symbols
         tables.append(t.astype(np.int32))
         roots.append(base * symbols)
         base += len(t)
