@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, utf8
+from .common import cut_lineage, mix64, slices, utf8
 
 UNIT, LEAST, MEAN_BITS, MOST, STEP = 64, 1024, 11, 16_384, 4 << 20
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -78,15 +78,23 @@ def cuts(flat: np.ndarray, at: np.ndarray, least: int = LEAST, bits: int = MEAN_
     return out
 
 
+NO_ID = -(1 << 63)
+
+
+def _key() -> list[Column]:
+    """doc_id (a stand-in where it is null, so that joins keep one partitioning) and th, the hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th")]
+
+
 def chunk_rows(docs: DataFrame, with_data: bool) -> DataFrame:
     """One row per chunk: doc_id, th (hash of the text), seq, digest[, data]."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    schema = "doc_id long, th long, seq int, digest binary" + ", n_bytes long, data binary" * with_data
+    rows = docs.select(*_key(), "text")
+    schema = "doc_id long, th long, seq int, digest binary" + ", data binary" * with_data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
+        press = zstandard.ZstdCompressor(level=7, write_content_size=True, write_checksum=False)
         for b in slices(batches, "text", STEP):
             data, off = utf8(b.column(2))
             flat, at = payloads(data, off)
@@ -103,8 +111,8 @@ def chunk_rows(docs: DataFrame, with_data: bool) -> DataFrame:
             take = pa.array(row, pa.int32())
             cols = [b.column(0).take(take), b.column(1).take(take), pa.array(seq, pa.int32()), pa.array(digest, pa.binary())]
             if with_data:
-                cols += [pa.array(np.diff(off)[row], pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "seq", "digest", "n_bytes", "data"][: len(cols)])
+                cols.append(pa.array(packed, pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "seq", "digest", "data"][: len(cols)])
 
     return rows.mapInArrow(run, schema)
 
@@ -136,28 +144,21 @@ def features(samples: np.ndarray) -> str:
 
 def store_and_read(docs: DataFrame) -> DataFrame:
     """doc_id, th and the values of each distinct (doc_id, text), read from the chunk store."""
-    narrow, full = chunk_rows(docs, False), chunk_rows(docs, True).repartition("doc_id", "th")
-    mine = ["doc_id", "th"]
-    owners = (
-        narrow.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "th", "seq")).alias("o"), F.max(F.struct("doc_id", "th", "seq")).alias("z"))
-        .filter(~F.col("o").eqNullSafe(F.col("z")))
-        .select("digest", F.col("o.doc_id").alias("o_doc"), F.col("o.th").alias("o_th"), F.col("o.seq").alias("o_seq"))
-    )
-    shared = narrow.join(owners, "digest")
-    same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("th") == F.col("o_th")) & (F.col("seq") == F.col("o_seq"))
-    refs = shared.filter(~same).select(*mine, "seq", "digest")
-    # of each payload: the places whose bytes another payload owns, and the digests it owns for others
-    no_bytes = refs.groupBy(*mine).agg(F.collect_set("seq").alias("elsewhere"))
-    lends = shared.filter(same).select(*mine, "seq").distinct()
-    left = lambda a, b: a.join(b, a["doc_id"].eqNullSafe(b["b_doc"]) & (a["th"] == b["b_th"]), "left").drop("b_doc", "b_th")
-    key = lambda df: df.withColumnsRenamed({"doc_id": "b_doc", "th": "b_th"})
-    own = left(full, key(no_bytes)).filter(F.col("elsewhere").isNull() | ~F.array_contains("elsewhere", F.col("seq"))).drop("elsewhere")
-    lent = left(full, key(lends.groupBy(*mine).agg(F.collect_set("seq").alias("places")))).filter(F.array_contains("places", F.col("seq"))).select("digest", "data")
-    own = own.groupBy(*mine).agg(F.max("n_bytes").alias("n_bytes"), F.collect_set(F.struct("seq", "digest", "data")).alias("own"))
-    fetched = refs.distinct().join(lent.dropDuplicates(["digest"]), "digest").groupBy(*mine).agg(F.collect_set(F.struct("seq", "digest", "data")).alias("lent"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    whole = left(left(sizes, key(own)), key(fetched)).select("doc_id", "size", "own", "lent")
+    key = ["doc_id", "th"]
+    narrow = chunk_rows(docs, False)
+    # said once here, the conditions that inner joins imply leave both uses of the exchange alike, so it is reused
+    full = chunk_rows(docs, True).filter("doc_id IS NOT NULL AND th IS NOT NULL AND seq IS NOT NULL AND digest IS NOT NULL").repartition(*key)
+    place = F.struct("doc_id", "th", "seq")
+    owners = narrow.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("last")).filter("owner <> last").select("digest", "owner")
+    # occurrences of chunks that occur elsewhere too: narrow rows
+    shared = cut_lineage(narrow.join(owners, "digest").select(*key, "seq", "digest", (place == F.col("owner")).alias("owns")).distinct())
+    mine = shared.groupBy(*key).agg(F.collect_set(F.when(~F.col("owns"), F.col("seq"))).alias("elsewhere"), F.collect_set(F.when(F.col("owns"), F.col("seq"))).alias("lends"))
+    known = full.join(mine, key, "left")
+    own = known.filter(F.col("elsewhere").isNull() | ~F.array_contains("elsewhere", F.col("seq"))).groupBy(*key).agg(F.collect_set(F.struct("seq", "digest", "data")).alias("own"))
+    lent = known.filter(F.array_contains("lends", F.col("seq"))).select("digest", "data").dropDuplicates(["digest"])
+    fetched = shared.filter("NOT owns").join(lent, "digest").groupBy(*key).agg(F.collect_set(F.struct("seq", "digest", "data")).alias("lent"))
+    sizes = docs.select(*_key(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    whole = sizes.join(own, key, "left").join(fetched, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "size", "own", "lent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
