@@ -77,7 +77,7 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
 
     flat = F.col("licence_flat")
     whole = F.when(flat.contains("\n"), F.array(F.regexp_replace(flat, r"[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
-    units = F.filter(F.transform(F.concat(F.split(flat, "\n"), whole), F.trim), lambda u: pairs(u).between(least, most))
+    units = F.filter(F.transform(F.concat(F.split(flat, "\n"), whole), lambda u: F.trim(u)), lambda u: pairs(u).between(least, most))
     out = docs.withColumn("licence_flat", normalised(F.col("text"))).withColumn("licence_units", units)
     found = F.filter(F.transform(F.transform("licence_units", bigrams), best), lambda x: x["name"].isNotNull())
     return out.withColumn("licences", F.coalesce(found, F.array().cast("array<struct<dice:double,name:string>>"))).drop("licence_flat", "licence_units")
