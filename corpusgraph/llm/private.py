@@ -92,7 +92,8 @@ def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     out = F.when(m.contains("@"), F.lit("email"))
     for k in ("secret", "date", "address", "phone", "national"):
-        out = out.when(whole(k), F.lit(k))
+        valid = F.try_to_date(m, "yyyy-MM-dd").isNotNull() if k == "date" else F.lit(True)
+        out = out.when(whole(k), F.when(valid, F.lit(k)))
     return out.otherwise(F.when(luhn(_bare(m)) == 0, F.lit("card")))
 
 
