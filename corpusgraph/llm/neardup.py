@@ -11,7 +11,9 @@ anything is paired.  Inside a band's bucket pairs are not expanded: a few member
 lead, all members are compared with the leaders, links join components, and only
 buckets that still hold several components go on, with more leaders each round and
 comparisons between different components only.  So a bucket of true copies costs one
-comparison a member, and no link between components is lost.
+comparison a member, and no link between components is lost.  One minus similarity
+is a metric: two documents whose distances to a leader of the first round differ by
+more than the threshold allows can't be linked and aren't compared.
 
 Each comparison is the exact similarity of the full sets.  Components come from
 contracting the graph of links: every component takes the smallest label among its
@@ -142,25 +144,23 @@ def set_blobs(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """Pairs (a, b) with the similarity of their sets and whether it reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
+            ok, sim = [], []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
                 z = np.concatenate((x, y))
                 z.sort(kind="stable")
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
                 ok.append(100 * both >= percent * (len(z) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                sim.append(both / (len(z) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "sim", "linked"])
 
     left = blobs.withColumnsRenamed({"id": "a", "blob": "blob_a"})
     right = blobs.withColumnsRenamed({"id": "b", "blob": "blob_b"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long, sim double, linked boolean")
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,6 +171,13 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         to = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("old"), F.least("u", "v").alias("new")).filter("new < old")
         to = cut_lineage(to)
+        while True:  # labels that point down a path jump to its end, twice as far each time
+            onward = to.select(F.col("old").alias("new"), F.col("new").alias("end"))
+            jumped = to.join(onward, "new").select("old", F.col("end").alias("new"))
+            jumped = cut_lineage(jumped)
+            if jumped.isEmpty():
+                break
+            to = cut_lineage(to.join(jumped.withColumnRenamed("new", "end"), "old", "left").select("old", F.coalesce("end", "new").alias("new")))
         labels = cut_lineage(labels.join(to, labels["label"] == to["old"], "left").select("id", F.coalesce("new", "label").alias("label")))
         tu, tv = to.withColumnsRenamed({"old": "u", "new": "nu"}), to.withColumnsRenamed({"old": "v", "new": "nv"})
         moved = edges.join(tu, "u", "left").join(tv, "v", "left").select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y"))
@@ -191,14 +198,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, ba
     labels = cut_lineage(open_.select("id", F.col("id").alias("label")).distinct())
     ids = labels.select(F.col("id").alias("doc_id"))
     blobs = cut_lineage(set_blobs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["id"]))
-    leaders, turn = 1, 0
+    leaders, turn, pivots, tested = 1, 0, None, None
     while not open_.isEmpty():
         # the smallest of each of ``leaders`` parts of a bucket lead it
         lead = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("part")).agg(F.min("id").alias("lead")).select("key", "lead")
-        named = open_.join(labels, "id")
         lead = cut_lineage(lead.join(labels.withColumnsRenamed({"id": "lead", "label": "lead_label"}), "lead"))
-        pairs = named.join(lead, "key").filter("id <> lead AND label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        labels = contract(labels, cut_lineage(verify(pairs, blobs, percent)))
+        named, leading = open_.join(labels, "id"), lead
+        apart = (F.col("n.id") != F.col("l.lead")) & (F.col("n.label") != F.col("l.lead_label"))
+        if pivots is not None:
+            named = named.join(pivots, "id", "left")
+            leading = lead.join(pivots.withColumnsRenamed({"id": "lead", "far": "lead_far"}), "lead", "left")
+            gap = F.exists(F.map_keys("n.far"), lambda k: F.coalesce(F.abs(F.col("n.far")[k] - F.col("l.lead_far")[k]) > 1 - percent / 100 + 1e-9, F.lit(False)))
+            # nor are pairs that the first round has compared
+            before = F.coalesce(F.map_contains_key("n.far", F.col("l.lead")), F.lit(False)) | F.coalesce(F.map_contains_key("l.lead_far", F.col("n.id")), F.lit(False))
+            apart = apart & ~F.coalesce(gap, F.lit(False)) & ~before
+        met_ = named.alias("n").join(leading.alias("l"), (F.col("n.key") == F.col("l.key")) & apart)
+        pairs = met_.select(F.least("n.id", "l.lead").alias("a"), F.greatest("n.id", "l.lead").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        told_pairs = cut_lineage(verify(pairs, blobs, percent))
+        tested = told_pairs.select("a", "b") if tested is None else tested.union(told_pairs.select("a", "b"))
+        labels = contract(labels, told_pairs.filter("linked").select("a", "b"))
+        if pivots is None:  # the first leader of a bucket is its smallest id, so a leads
+            pivots = cut_lineage(told_pairs.groupBy(F.col("b").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("a", 1 - F.col("sim")))).alias("far")))
         # leaders have met everyone in their bucket; a bucket of one component is done
         rest = open_.join(lead.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti").join(labels, "id")
         several = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
