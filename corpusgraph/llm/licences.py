@@ -8,13 +8,25 @@ words is out of all templates' bounds is dropped before bigrams are built, and
 only templates within bounds are compared.  Templates are a short fixed list, so
 rows never move between tasks.
 
+Notices inside longer lines, wrapped over lines or in a text without line feeds are
+windows of words.  A window that reaches Dice t with a template of n word pairs
+(counted as bags) shares n t / (2 - t) of them, so a text without any of certain
+words of the template has none, and a best window begins and ends at shared pairs:
+only those are tried, all of them.  Of windows that overlap the best counts (the
+longer one, then the first name, among equals).  Next to lines and the whole text,
+a window counts where no matching unit that it overlaps is as good or has its name.
+
 Edge cases: null or empty text has no licence; a unit of one word has no bigram
 and matches nothing; of templates that tie the first by name is named; repeated
-lines count each; very long lines are dropped by the bounds, never cut.
+lines count each; very long lines are dropped by the bounds, never cut, and searched
+by windows like all others.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +72,101 @@ def bounds(n: int, t: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
+WINDOW = "array<struct<from:int,to:int,dice:double,name:string>>"
+# words rare in prose, tried first to tell texts that can hold a template; then longer ones are rarer
+RARE = ("licensed", "license", "gnu", "apache", "mozilla", "bsd", "isc", "cc0", "cc")
+
+
+def _bag(text: str) -> list[str]:
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _guard(pairs: list[str], need: int) -> set[str]:
+    """Words of which a text holds at least one if it holds ``need`` of the pairs."""
+    left, out = Counter(pairs), set()
+    for w in sorted({w for p in pairs for w in p.split()}, key=lambda w: (RARE.index(w) if w in RARE else len(RARE), -len(w), w)):
+        if left.total() < need:
+            break
+        if any(w in p.split() for p in left):
+            out.add(w)
+            left = Counter({p: c for p, c in left.items() if w not in p.split()})
+    return out
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _windows(flat: Column, threshold: float, templates: list[tuple[str, str]]) -> Column:
+    """Struct of windows (positions of their first and last word pair, best of overlapping ones) and the line of each word."""
+    known = [(name, _bag(text)) for name, text in templates]
+    spans = [bounds(len(b), threshold) for _, b in known]
+    words = sorted(set().union(*(_guard(b, need) for (_, b), (need, _) in zip(known, spans))))
+    every = sorted({p for _, b in known for p in b})
+    patterns = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(len(b)).alias("n"), F.lit(need).alias("need"), F.lit(most).alias("most"), F.array(*map(F.lit, b)).alias("pairs")) for (k, b), (need, most) in zip(known, spans)))
+
+    def grown(p: Column, hits: Column, x: Column, i: Column) -> Column:
+        """The best window from hit x (the i-th) on."""
+        after = F.filter(F.slice(hits, i + 1, p["most"]), lambda y: y["at"] - x["at"] < p["most"])
+
+        def best(w: Column) -> Column:
+            rows = _let(F.transform(w, lambda y: y["pair"]), lambda b: F.transform(w, lambda y, k: F.struct(y["at"].alias("at"), F.when(k + 1 - F.size(F.array_remove(F.slice(b, F.lit(1), k + 1), y["pair"])) <= y["times"], 1).otherwise(0).alias("new"))))
+
+            def step(s: Column, y: Column) -> Column:
+                n = s["n"] + y["new"]
+                dice = n * F.lit(2.0) / (y["at"] - x["at"] + 1 + p["n"])
+                more = dice > s["dice"]
+                return F.struct(n.alias("n"), F.when(more, dice).otherwise(s["dice"]).alias("dice"), F.when(more, y["at"]).otherwise(s["to"]).alias("to"))
+
+            return F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("dice"), F.lit(0).alias("to")), step)
+
+        return _let(_let(after, best), lambda s: F.struct(x["at"].alias("from"), s["to"].alias("to"), s["dice"].alias("dice"), p["name"].alias("name")))
+
+    def candidates(p: Column, hits: Column) -> Column:
+        own = F.filter(F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["pair"].alias("pair"), (p["n"] - F.size(F.array_remove(p["pairs"], x["pair"]))).alias("times"))), lambda x: x["times"] > 0)
+        dense = lambda h: F.transform(h, lambda x, i: F.when(F.get(h, i + p["need"] - 1)["at"] - x["at"] < p["most"], grown(p, h, x, i)))
+        return F.filter(_let(own, dense), lambda w: w["dice"] >= threshold)
+
+    def found(hits: Column) -> Column:
+        some = lambda p, d: F.size(F.array_intersect(p["pairs"], d)) >= p["need"] - p["n"] + F.size(F.array_distinct(p["pairs"]))
+        able = _let(F.array_distinct(F.transform(hits, lambda x: x["pair"])), lambda d: F.filter(patterns, lambda p: some(p, d)))
+        return F.flatten(F.transform(able, lambda p: candidates(p, hits)))
+
+    none = F.array().cast(WINDOW)
+
+    def chosen(island: Column) -> Column:
+        ranked = F.array_sort(F.transform(island, lambda w: F.struct((-w["dice"]).alias("loss"), (w["from"] - w["to"]).alias("size"), w["name"].alias("name"), w["from"].alias("from"), w["to"].alias("to"))))
+        as_window = lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), (-r["loss"]).alias("dice"), r["name"].alias("name"))
+        free = lambda s, r: ~F.exists(s, lambda y: (y["from"] <= r["to"] + 1) & (r["from"] <= y["to"] + 1))
+        return F.aggregate(ranked, none, lambda s, r: F.when(free(s, r), F.concat(s, F.array(as_window(r)))).otherwise(s))
+
+    def apart(windows: Column) -> Column:
+        """The best of overlapping windows, island by island of the text."""
+        start = F.struct(none.alias("done"), none.alias("open"), F.lit(-2).alias("reach"))
+
+        def step(s: Column, w: Column) -> Column:
+            new = w["from"] > s["reach"] + 1
+            return F.struct(
+                F.when(new, F.concat(s["done"], chosen(s["open"]))).otherwise(s["done"]).alias("done"),
+                F.when(new, F.array(w)).otherwise(F.concat(s["open"], F.array(w))).alias("open"),
+                F.greatest(s["reach"], w["to"]).alias("reach"),
+            )
+
+        return F.aggregate(F.array_sort(windows), start, step, lambda s: F.concat(s["done"], chosen(s["open"])))
+
+    def search(lines: Column) -> Column:
+        pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.concat(a, F.lit(" "), F.get(w, i + 1)))
+        hits = F.filter(F.transform(_let(F.flatten(lines), pairs), lambda b, i: F.when(b.isin(every), F.struct(i.alias("at"), b.alias("pair")))), lambda x: x.isNotNull())
+        return F.struct(apart(_let(hits, found)).alias("windows"), F.flatten(F.transform(lines, lambda w, i: F.transform(w, lambda _: i))).alias("line"))
+
+    split = F.transform(F.split(flat, "\n"), lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
+    return F.when(flat.rlike(rf"(?:^|[ \n])(?:{'|'.join(words)})(?:[ \n]|$)"), _let(split, search))
+
+
 def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``docs`` with licences (array of struct dice, name: one per matching unit, the best template of each)."""
+    """``docs`` with licences (array of struct dice, name: one per matching unit or window, the best template of each)."""
     known = {k: _template_bigrams(v) for k, v in sorted(templates.items())}
     spans = {k: bounds(len(b), threshold) for k, b in known.items()}
     least, most = min(lo for lo, _ in spans.values()), max(hi for _, hi in spans.values())
@@ -77,10 +182,24 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
 
     flat = F.col("licence_flat")
     whole = F.when(flat.contains("\n"), F.array(F.regexp_replace(flat, r"[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
-    units = F.filter(F.transform(F.concat(F.split(flat, "\n"), whole), lambda u: F.trim(u)), lambda u: pairs(u).between(least, most))
-    out = docs.withColumn("licence_flat", normalised(F.col("text"))).withColumn("licence_units", units)
-    found = F.filter(F.transform(F.transform("licence_units", bigrams), best), lambda x: x["name"].isNotNull())
-    return out.withColumn("licences", F.coalesce(found, F.array().cast("array<struct<dice:double,name:string>>"))).drop("licence_flat", "licence_units")
+    # one unit per line, then the whole text; null where the size is out of bounds
+    units = F.transform(F.transform(F.concat(F.split(flat, "\n"), whole), lambda u: F.trim(u)), lambda u: F.when(pairs(u).between(least, most), bigrams(u)))
+    out = docs.withColumn("licence_flat", normalised(F.col("text"))).withColumn("licence_units", F.transform(units, lambda a: F.when(a.isNotNull(), best(a))))
+    out = out.withColumn("licence_windows", _windows(flat, threshold, list(templates.items())))
+
+    def alone(s: Column) -> Column:
+        def met(w: Column, u: Column) -> Column:
+            return u["name"].isNotNull() & ((u["dice"] >= w["dice"]) | (u["name"] == w["name"]))
+
+        lines = lambda w: F.slice("licence_units", F.get(s["line"], w["from"]) + 1, F.get(s["line"], w["to"] + 1) - F.get(s["line"], w["from"]) + 1)
+        text = lambda w: F.when(flat.contains("\n"), F.slice("licence_units", -1, 1)).otherwise(F.slice("licence_units", 1, 1))
+        return F.filter(s["windows"], lambda w: ~F.exists(F.concat(lines(w), text(w)), lambda u: F.coalesce(met(w, u), F.lit(False))))
+
+    plain = lambda a: F.transform(a, lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name")))
+    matching = plain(F.filter("licence_units", lambda x: x["name"].isNotNull()))
+    inside = F.when(F.size("licence_windows.windows") > 0, plain(_let(F.col("licence_windows"), alone)))
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+    return out.withColumn("licences", F.concat(F.coalesce(matching, none), F.coalesce(inside, none))).drop("licence_flat", "licence_units", "licence_windows")
 
 
 def licences_of(docs: DataFrame) -> DataFrame:

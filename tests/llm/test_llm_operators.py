@@ -397,6 +397,60 @@ def test_licences(spark, empty):
     assert licences.licences_of(empty).count() == 0
 
 
+def slow_windows(text, threshold=licences.THRESHOLD, templates=None):
+    """Best Dice of any window of words with each template, by trying all."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    out = {}
+    for name, t in templates or licences.TEMPLATES.items():
+        b = collections.Counter(licences._bag(t))
+        n = b.total()
+        top = max((2 * (collections.Counter(pairs[i:j]) & b).total() / (j - i + n) for i in range(len(pairs)) for j in range(i + 1, min(i + 2 * n, len(pairs)) + 1)), default=0)
+        if top >= threshold:
+            out[name] = max(top, out.get(name, 0))
+    return out
+
+
+def test_licences_inside_texts(spark):
+    filler = "Some words stand before it and the reader may skip them. " * 6
+    texts = [
+        "Copyright 2020 Foo. Released under the MIT License. All rights reserved.",
+        filler + "\nThis work is licensed under the GNU General Public License,\nversion 3.\n" + filler,
+        filler + "Licensed under CC\nBY-NC 4.0. " + filler,
+        filler + "Released under the MIT License. " + filler + "Released under the MIT License; licensed under the Apache License, Version 2.0. " + filler,
+        filler + "Released by the MIT press under the licence of the author. " + filler,
+        filler + "Released under the MIT License today.",
+        "Released under the MIT License today.",
+        "Released under the MIT License. " * 300,
+    ]
+    got = {r["doc_id"]: r for r in licences.licences_of(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i]["licences"] for i in range(7)] == ["MIT", "GPL-2.0,GPL-3.0", "CC-BY-NC-4.0", "Apache-2.0,MIT", "", "MIT", "MIT"]
+    assert [got[i]["n_licences"] for i in range(8)] == [1, 2, 1, 3, 0, 1, 1, 300]
+    assert got[1]["best_licence"] == "GPL-3.0" and got[1]["best_dice"] == 1.0
+    assert round(got[6]["best_dice"], 6) == 0.888889  # a whole line is measured as one unit
+
+
+def test_licence_windows_equal_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = sorted({w for t in licences.TEMPLATES.values() for w in t.split()}) + ["and", "of"]
+    texts = []
+    for _ in range(150):
+        w = rng.choice(list(licences.TEMPLATES.values())).split()
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(3))
+        pad = [rng.choices(vocabulary, k=40), rng.choices(vocabulary, k=40)]
+        texts.append(" ".join([*pad[0], *w, *pad[1]]))
+    got = {r["doc_id"]: r for r in licences.licences_of(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        want = slow_windows(t)
+        hits += bool(want)
+        assert round(got[i]["best_dice"] or 0, 9) == round(max(want.values(), default=0), 9)
+        assert set(filter(None, got[i]["licences"].split(","))) <= want.keys()
+    assert hits > 50
+
+
 # ---- 10 media
 
 def test_media(spark, docs, empty):
