@@ -15,6 +15,7 @@ words of the template has none, and a best window begins and ends at shared pair
 only those are tried, all of them.  Of windows that overlap the best counts (the
 longer one, then the first name, among equals).  Next to lines and the whole text,
 a window counts where no matching unit that it overlaps is as good or has its name.
+Licence texts and standard headers (``TEXTS``) are compared with windows only.
 
 Edge cases: null or empty text has no licence; a unit of one word has no bigram
 and matches nothing; of templates that tie the first by name is named; repeated
@@ -50,6 +51,91 @@ TEMPLATES = {
 }
 
 
+_PERMIT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_APPEAR = ", provided that the above copyright notice and this permission notice appear in all copies. "
+_AUTHOR = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_MIT_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu_header(work: str, licence: str, version: str) -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {licence} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {licence} for more details."
+    )
+
+
+def _gnu_title(licence: str, version: str, foundation: str) -> str:
+    return f"{licence} Version {version} Copyright (C) {foundation} Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+
+def _cc_title(kind: str) -> str:
+    title = f"Creative Commons {kind} 4.0 International Public License"
+    return f'{title} By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this {title} ("Public License").'
+
+
+_FSF = "Free Software Foundation, Inc. <https://fsf.org/>"
+_FSF_OLD = "Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+# Whole texts of short licences, standard headers, and the openings of long licence texts; compared as windows.
+TEXTS = [
+    ("0BSD", f"{_PERMIT}. {_AUTHOR}"),
+    ("AGPL-3.0", _gnu_header("program", "GNU Affero General Public License", "3")),
+    ("AGPL-3.0", _gnu_title("GNU AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", f"2007 {_FSF}")),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_AS_IS),
+    ("CC-BY-4.0", _cc_title("Attribution")),
+    ("CC-BY-NC-4.0", _cc_title("Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", _cc_title("Attribution-ShareAlike")),
+    ("CC0-1.0", "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP."),
+    ("GPL-2.0", _gnu_header("program", "GNU General Public License", "2")),
+    ("GPL-2.0", _gnu_title("GNU GENERAL PUBLIC LICENSE", "2, June 1991", f"1989, 1991 {_FSF_OLD}")),
+    ("GPL-3.0", _gnu_header("program", "GNU General Public License", "3")),
+    ("GPL-3.0", _gnu_title("GNU GENERAL PUBLIC LICENSE", "3, 29 June 2007", f"2007 {_FSF}")),
+    ("ISC", _PERMIT + _APPEAR),
+    ("ISC", _PERMIT + _APPEAR + _AUTHOR),
+    ("LGPL-2.1", _gnu_header("library", "GNU Lesser General Public License", "2.1")),
+    ("LGPL-2.1", _gnu_title("GNU LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999", f"1991, 1999 {_FSF_OLD}")),
+    ("LGPL-3.0", _gnu_header("library", "GNU Lesser General Public License", "3")),
+    ("LGPL-3.0", _gnu_title("GNU LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", f"2007 {_FSF}")),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_AS_IS),
+    ("MPL-2.0", 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+]
+
+
 def normalised(text: Column) -> Column:
     """Lower case; line feeds stay, every other run of non-letters and non-digits is one blank."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
@@ -165,7 +251,7 @@ def _windows(flat: Column, threshold: float, templates: list[tuple[str, str]]) -
     return F.when(flat.rlike(rf"(?:^|[ \n])(?:{'|'.join(words)})(?:[ \n]|$)"), _let(split, search))
 
 
-def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] = TEMPLATES, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
     """``docs`` with licences (array of struct dice, name: one per matching unit or window, the best template of each)."""
     known = {k: _template_bigrams(v) for k, v in sorted(templates.items())}
     spans = {k: bounds(len(b), threshold) for k, b in known.items()}
@@ -185,7 +271,7 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     # one unit per line, then the whole text; null where the size is out of bounds
     units = F.transform(F.transform(F.concat(F.split(flat, "\n"), whole), lambda u: F.trim(u)), lambda u: F.when(pairs(u).between(least, most), bigrams(u)))
     out = docs.withColumn("licence_flat", normalised(F.col("text"))).withColumn("licence_units", F.transform(units, lambda a: F.when(a.isNotNull(), best(a))))
-    out = out.withColumn("licence_windows", _windows(flat, threshold, list(templates.items())))
+    out = out.withColumn("licence_windows", _windows(flat, threshold, [*templates.items(), *texts]))
 
     def alone(s: Column) -> Column:
         def met(w: Column, u: Column) -> Column:

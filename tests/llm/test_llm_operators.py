@@ -451,6 +451,29 @@ def test_licence_windows_equal_brute_force(spark):
     assert hits > 50
 
 
+def test_licence_texts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details."
+    mit = licences._MIT + licences._MIT_AS_IS
+    bsd = licences._BSD + licences._BSD_NAMES.replace("copyright holder", "University") + licences._BSD_AS_IS.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")
+    wrap = lambda t: "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    texts = [
+        f"MIT License\n\nCopyright (c) 2020 Foo\n\n{wrap(mit)}\n",
+        f"Copyright 2020 Foo. {bsd} End of file",
+        f"{wrap(licences._BSD + licences._BSD_AS_IS)}\nint main;",
+        "Copyright Foo\n" + wrap(licences._PERMIT + licences._APPEAR + licences._AUTHOR),
+        "# Copyright Foo\n# " + gpl + "\n",
+        "# " + gpl.replace("version 3", "version 2"),
+        gpl.replace("GNU General", "GNU Affero General"),
+        gpl.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 3", "version 2.1"),
+        "/* " + wrap(dict(t[:2] for t in licences.TEXTS[3:4])["Apache-2.0"]) + " */",
+        "Permission is hereby granted to use the software and redistribute it, as the author says in the letter. " * 9,
+        "\n".join([mit, wrap(bsd), gpl]),
+    ]
+    got = {r["doc_id"]: r for r in licences.licences_of(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i]["licences"] for i in range(len(texts))] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "GPL-3.0", "GPL-2.0", "AGPL-3.0", "LGPL-2.1", "Apache-2.0", "", "BSD-3-Clause,GPL-3.0,MIT"]
+    assert [got[i]["n_licences"] for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 3] and got[0]["best_dice"] == 1.0
+
+
 # ---- 10 media
 
 def test_media(spark, docs, empty):
