@@ -14,12 +14,16 @@ A first look for a digit, ``@``, ``=`` or ``:`` keeps most texts away from the
 large pattern.  No row moves between tasks.
 
 Edge cases: null text stays null with counts of 0; empty and very long texts are
-treated alike; digits that fail their validation stay; every column of the input
+treated alike; digits that fail their validation stay; a card is found between other
+groups of digits where it stands in a usual layout; only dates written YYYY-MM-DD are
+touched; every column of the input
 is kept, ``text`` and (if present) ``n_chars`` change.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,12 @@ PATTERNS = {
     "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+# digit groups one blank or hyphen apart, 13 digits at least, up to where a date, address or national number begins
+PATTERNS["card"] = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{PATTERNS['date']}|{PATTERNS['address']}|{PATTERNS['national']})[0-9]++)*+"
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# digits in the groups of a card, and how many groups these are
+LAYOUTS = {"4-4-4-4-3": 5, "4-4-4-4": 4, "4-6-5": 3, "4-6-4": 3, "1[3-9]": 1}
 ANY = "|".join(PATTERNS.values())
 HINT = "[0-9@=:]|AKIA"
 
@@ -94,7 +102,42 @@ def kind_of(m: Column) -> Column:
     for k in ("secret", "date", "address", "phone", "national"):
         valid = F.try_to_date(m, "yyyy-MM-dd").isNotNull() if k == "date" else F.lit(True)
         out = out.when(whole(k), F.when(valid, F.lit(k)))
-    return out.otherwise(F.when(luhn(_bare(m)) == 0, F.lit("card")))
+    return out.otherwise(F.when(F.length(_bare(m)).between(13, 19), F.when(luhn(_bare(m)) == 0, F.lit("card"))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def parts_of(m: Column) -> Column:
+    """A match as pieces, of which some are values: groups of digits are cut around the cards in them.
+
+    Cards in a usual layout are looked for at every group, the first of overlapping
+    ones counts; what lies between is cut into the longest runs of 13 to 19 digits.
+    """
+
+    def cards(groups: Column) -> Column:
+        def groups_of_card(i: Column) -> Column:
+            digits = lambda n: F.array_join(F.transform(F.slice(groups, i + 1, F.lit(n)), _bare), "")
+            sizes = F.array_join(F.transform(F.slice(groups, i + 1, F.lit(5)), lambda g: F.length(_bare(g)).cast("string")), "-")
+            fits = [F.when(sizes.rlike(f"^{form}(?:-|$)"), F.when(_let(digits(n), luhn) == 0, F.lit(n))) for form, n in LAYOUTS.items()]
+            return F.coalesce(*fits)
+
+        runs = F.filter(F.transform(groups, lambda g, i: F.struct(i.alias("at"), groups_of_card(i).alias("n"))), lambda r: r["n"].isNotNull())
+        none = F.array().cast("array<struct<at:int,n:int>>")
+        first = lambda s, r: F.when(r["at"] >= s["end"], F.struct(F.concat(s["runs"], F.array(r)).alias("runs"), (r["at"] + r["n"]).alias("end"))).otherwise(s)
+        return F.aggregate(runs, F.struct(none.alias("runs"), F.lit(0).alias("end")), first)["runs"]
+
+    def cut(groups: Column, runs: Column) -> Column:
+        text = lambda a, b: F.array_join(F.slice(groups, a + 1, b - a), "")
+        rest = lambda t: F.regexp_extract_all(t, F.lit(rf"{RUN}|[0-9]+[ -]?|[ -]"), F.lit(0))
+        end = lambda r: F.coalesce(r["at"] + r["n"], F.lit(0))
+        around = F.transform(runs, lambda r, j: F.concat(rest(text(end(F.get(runs, j - 1)), r["at"])), F.array(text(r["at"], end(r)))))
+        return F.concat(F.flatten(around), rest(text(end(F.get(runs, F.size(runs) - 1)), F.size(groups))))
+
+    split = _let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), lambda g: _let(cards(g), lambda r: cut(g, r)))
+    return F.when(m.rlike("^[0-9 -]{13,}$"), split).otherwise(F.array(m))
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -131,11 +174,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` cleaned, and pii_kinds (the kind of each replaced match, in text order)."""
     text = F.col("text")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    new = F.transform("pii_found", lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("put")))[0])
+    one = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("put")))[0]
+    new = F.transform("pii_found", lambda m: F.transform(parts_of(m), one))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "pii_new", lambda g, p: F.concat(g, F.coalesce(p["put"], F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, "pii_new", lambda g, p: F.concat(g, F.coalesce(F.array_join(F.transform(p, lambda x: x["put"]), ""), F.lit("")))), "")
     out = docs.withColumn("pii_found", found).withColumn("pii_new", new).withColumn("text", F.when(F.size("pii_found") > 0, joined).otherwise(text))
-    out = out.withColumn("pii_kinds", F.coalesce(F.filter(F.transform("pii_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    out = out.withColumn("pii_kinds", F.coalesce(F.filter(F.transform(F.flatten("pii_new"), lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop("pii_found", "pii_new")

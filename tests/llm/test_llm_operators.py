@@ -279,6 +279,24 @@ def test_dates_and_addresses_permute(spark):
     assert len(set(out)) == len(out) == nets.count() and all(0 <= int(o) < 256 for a in out for o in a.split("."))
 
 
+def test_cards_beside_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"{card} 12/27", "4111111111111111 737", "no 12 4111111111111111", f"1234 {card} 12", f"{card} 152.143.123.131",
+        f"{card} 5500 0000 0000 0004", "12 3782 822463 10005 1234", "12 345 6789 123-45-6789", "1234 5678 9012 1984-02-29",
+        "1234 5678 9012 3456", "1 " * 3000, "41 11 11 11 11 11 11 11", f"{card} 1984-02-29 123-45-6789",
+    ]
+    got = {r["doc_id"]: r for r in private.clean_documents(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    kinds = [{k: got[i][f"n_{k}"] for k in private.PATTERNS if got[i][f"n_{k}"]} for i in range(len(texts))]
+    one = {"card": 1}
+    assert kinds[:10] == [one, one, one, one, {**one, "address": 1}, {"card": 2}, one, {"national": 1}, {"date": 1}, {}]
+    assert kinds[11:] == [one, {**one, "date": 1, "national": 1}]
+    new = re.sub(" ", "", got[0]["text"])[:16]
+    assert new != "4" + "1" * 15 and got[0]["text"].endswith(" 12/27") and got[1]["text"] == f"{new} 737" and got[2]["text"] == f"no 12 {new}"
+    assert got[3]["text"].replace(" ", "") == f"1234{new}12" and got[3]["text"].startswith("1234 ") and got[9]["text"] == texts[9]
+    assert got[8]["text"].startswith("1234 5678 9012 ") and len(got[10]["text"]) == len(texts[10])
+
+
 # ---- 6 pieces
 
 def model_path():
