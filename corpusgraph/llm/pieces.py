@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -169,34 +170,36 @@ class PieceModel:
             offer(i)
         return [t for t in text if t]
 
-    def learn(self, units: list[str]) -> None:
-        """Put the ids of new units among those that are kept."""
-        if len(self.kept) > KEEP:
-            self.kept.clear()
+    def ids_of(self, units: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each unit."""
+        out: dict[str, tuple[int, ...]] = {}
         short = [u for u in units if 0 < len(u) <= LONG]
         for u, symbols in zip(short, self.merge_units(short) if short else []):
             ids: list[int] = []
             for s in symbols:
                 ids.extend(self.ids_of_symbol[s] if isinstance(s, int) and s < len(self.ids_of_symbol) else self._ids(s if isinstance(s, str) else self.text[s]))
-            self.kept[u] = tuple(ids)
+            out[u] = tuple(ids)
         for u in units:
             if len(u) > LONG:
-                self.kept[u] = tuple(i for s in self.merge_long(u) for i in self._ids(s))
+                out[u] = tuple(i for s in self.merge_long(u) for i in self._ids(s))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, begin and end included."""
         cut = [self.cut.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {u for units in cut for u in units} - self.kept.keys()
-        if new:
-            self.learn(sorted(new))
-            new = {u for units in cut for u in units} - self.kept.keys()  # a full store was emptied
-            if new:
-                self.learn(sorted(new))
-        kept, out = self.kept, []
+        units_here = {u for units in cut for u in units}
+        known = {u: self.kept[u] for u in units_here if u in self.kept}
+        if new := self.ids_of(sorted(units_here - known.keys())):
+            known |= new
+            # the store only saves work: no batch reads it after this
+            if len(self.kept) + len(new) > KEEP:
+                self.kept.clear()
+            self.kept.update(islice(new.items(), KEEP))
+        out = []
         for units in cut:
             ids = [self.bos]
             for u in units:
-                ids += kept[u]
+                ids += known[u]
             ids.append(self.eos)
             out.append(np.array(ids, np.uint32))
         return out

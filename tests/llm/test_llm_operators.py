@@ -329,6 +329,18 @@ def test_random_pieces():
         assert model.decode(got).decode("utf-8", "replace") == sp.decode(ids)
 
 
+def test_pieces_beyond_the_kept_store(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    model = pieces.PieceModel(model_path())
+    monkeypatch.setattr(pieces, "KEEP", 20)
+    for first in (0, 30, 20, 200, 0):
+        text = " ".join(f"{k * 7919 % 1000}" for k in range(first, first + 60))
+        assert model.encode([text, "same words", ""])[0].tolist() == sp.encode(text, add_bos=True, add_eos=True)
+    assert len(model.kept) <= 20
+
+
 # ---- 7 shards
 
 def test_shards(spark, docs, empty):
