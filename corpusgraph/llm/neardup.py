@@ -6,23 +6,33 @@ on a circle, the second, shifted k places around it, orders the circle for
 coordinate k.  BANDS bands of ROWS coordinates propose candidates; a pair at
 similarity 0.8 is missed by all bands with a probability of 4e-7.
 
-Documents with equal sets are one class, represented by its smallest doc_id, before
-anything is paired.  Inside a band's bucket pairs are not expanded: a few members
-lead, all members are compared with the leaders, links join components, and only
-buckets that still hold several components go on, with more leaders each round and
-comparisons between different components only.  So a bucket of true copies costs one
-comparison a member, and no link between components is lost.  One minus similarity
-is a metric: two documents whose distances to a leader of the first round differ by
-more than the threshold allows can't be linked and aren't compared.
-
-Each comparison is the exact similarity of the full sets.  Components come from
+Rows with equal sets are one class before anything is paired.  Inside a band's
+bucket pairs are not expanded.  Links are found in three steps, each followed by a
+contraction of the components, and only buckets that still hold several components
+go on:
+
+1. Every member of a bucket is compared with the bucket's first class.
+2. Classes of which too few shingles occur in any other open class can't be linked
+   and leave.  The member of which the largest share does leads the bucket, and all
+   members are compared with it.
+3. What is left are pairs of different components under one leader, of which one at
+   least isn't linked with the leader.  Their common shingles are some that the
+   leader has, at most as many as either shares with it, and common ones outside the
+   leader.  Pairs with common shingles outside it meet in those shingles, rarest
+   first and only as many as a link needs (prefix filter); a pair without any needs a
+   member smaller than the leader, and meets by the sizes that are possible.
+
+So a group of copies costs two comparisons a member, and every step rules pairs out
+by a bound that holds exactly: no link is lost that a bucket proposes.  Each
+comparison is the exact similarity of the full sets.  Components come from
 contracting the graph of links: every component takes the smallest label among its
 neighbours until no link is left between different labels.
 
 Edge cases: null text, or text without words, has an empty set and is linked with
-nothing; with fewer words than a shingle the whole sequence is one; repeated
-rows share their class; ties go to the smallest doc_id; an empty table gives no
-rows.
+nothing; with fewer words than a shingle the whole sequence is one; repeated rows
+share their class; rows that repeat a doc_id with other texts are linked by their own
+texts; rows without a doc_id are linked too, but never name a component (it is null
+where no row has one); ties go to the smallest doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +42,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, mix64, slices, utf8
 
 BANDS, ROWS, STEP = 28, 4, 1 << 20
+#: Stands for a missing doc_id where one is sorted or joined.
+NO_ID = (1 << 63) - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -119,48 +131,76 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set, null if empty), bands."""
+    """doc_id, th (hash of the text), n_shingles, set_id (digest of the set, null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            sets = shingle_sets(*utf8(b.column(1)), words)
+            sets = shingle_sets(*utf8(b.column(2)), words)
             keys = band_keys(signatures(sets, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "bands"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))],
+                ["doc_id", "th", "n_shingles", "set_id", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set_id binary, bands array<long>")
 
 
-def set_blobs(docs: DataFrame, words: int) -> DataFrame:
-    """id, blob (the sorted hashes of its set) of documents."""
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def longs(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of 64-bit words, as signed numbers."""
+    ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def rows_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of 64-bit words."""
+    off = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)
+    return [flat[i:j] for i, j in zip(off[:-1], off[1:])]
+
+
+def shingles_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """id, shingles (sorted) of classes (id, first, set_id), taken from the texts of their first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(*utf8(b.column(1)), words)], pa.binary())], ["id", "blob"])
+            sets = shingle_sets(*utf8(b.column(0)), words)
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), longs(sets)], ["set_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, blob binary")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("first"), "text")
+    asked = classes.select(F.coalesce("first", F.lit(NO_ID)).alias("first")).distinct()
+    texts = rows.join(asked, "first", "left_semi").select("text")
+    found = texts.mapInArrow(run, "set_id binary, shingles array<long>")
+    return found.join(classes.select("set_id", "id"), "set_id").select("id", "shingles").dropDuplicates(["id"])
 
 
-def verify(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the similarity of their sets and whether it reaches the threshold."""
+def compare(pairs: DataFrame, shingles: DataFrame, rest: bool = False) -> DataFrame:
+    """Pairs (a, b) of classes with their sizes, ``both`` (the number of common shingles), and with ``rest`` those of b that a lacks.
+
+    b meets its set first: a may lead very many pairs, and adaptive execution can
+    split the last join without dealing its rows again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok, sim = [], []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for batch in batches:
+            both, others = [], []
+            left, right = rows_of(batch.column(2)), rows_of(batch.column(3))
+            for x, y in zip(left, right):
                 z = np.concatenate((x, y))
                 z.sort(kind="stable")
-                both = int(np.count_nonzero(z[1:] == z[:-1]))
-                ok.append(100 * both >= percent * (len(z) - both))
-                sim.append(both / (len(z) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "sim", "linked"])
+                both.append(int(np.count_nonzero(z[1:] == z[:-1])))
+                if rest:
+                    others.append(np.setdiff1d(y, x, assume_unique=True))
+            found = [batch.column(0), batch.column(1), *(pa.array([len(z) for z in side], pa.int64()) for side in (left, right)), pa.array(both, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*found, longs(others)] if rest else found, ["a", "b", "n_a", "n_b", "both", "rest"][: 5 + rest])
 
-    left = blobs.withColumnsRenamed({"id": "a", "blob": "blob_a"})
-    right = blobs.withColumnsRenamed({"id": "b", "blob": "blob_b"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a long, b long, sim double, linked boolean")
+    of_a, of_b = (shingles.withColumnsRenamed({"id": x, "shingles": f"of_{x}"}) for x in "ab")
+    met = pairs.select("a", "b").join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b")
+    return met.mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", rest array<long>" * rest)
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -185,51 +225,102 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def reaches(both: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m elements with ``both`` common ones are linked."""
+    return (100 + percent) * both >= percent * (n + m)
+
+
+def unsettled(members: DataFrame, labels: DataFrame, settled: Column) -> DataFrame:
+    """Members of buckets that hold several components without those that ``settled`` names: all their pairs are decided."""
+    named = members.join(labels, "id")
+    several = named.filter(~settled).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return named.join(several, "key", "left_semi").drop("label")
+
+
+def central(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, lead: members of which enough shingles occur in other open classes, and whom of them their bucket follows."""
+    tokens = shingles.join(members.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("h"))
+    alone = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    held = members.select("key", "id", "n").join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    held = cut_lineage(held.filter(100 * F.col("common") >= percent * F.col("n")))
+    lead = held.groupBy("key").agg(F.min(F.struct((-F.col("common") / F.col("n")).alias("order"), "id"))["id"].alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    return held.join(lead.select("key", "lead"), "key").select("key", "id", "n", "lead")
+
+
+def beside_leaders(told: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under one leader that may be linked (step 3).
+
+    told: lead, lead_n, id, n, label, both (common with the leader), rest (not the leader's).
+    """
+    tokens = told.select("lead", "id", "label", F.explode("rest").alias("h"))
+    shared = tokens.groupBy("lead", "h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("lead", "h", "df")
+    # one text's shingles, the rarest first
+    ordered = tokens.join(shared, ["lead", "h"]).groupBy("lead", "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    held = told.drop("rest").join(ordered, ["lead", "id"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<df:bigint,h:bigint>>"))).withColumn("r", F.size("t").cast("long"))
+    held = cut_lineage(held.filter(100 * (F.col("both") + F.col("r")) >= percent * F.col("n")))
+    need = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.col("both"))
+    reach = F.greatest(F.lit(0), F.col("r") - need + 1).cast("int")
+    first = held.select("lead", "id", "label", "n", "both", "r", F.explode(F.slice("t", F.lit(1), reach)).alias("t")).withColumn("h", F.col("t.h")).drop("t")
+    x, y = first.alias("x"), first.alias("y")
+    most = F.least("x.both", "y.both") + F.least("x.r", "y.r")
+    outside = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & reaches(most, F.col("x.n"), F.col("y.n"), percent))
+    # none common outside the leader: y isn't linked with it, x is smaller than it
+    far = held.filter(~reaches(F.col("both"), F.col("n"), F.col("lead_n"), percent))
+    low, high = F.ceil(percent * F.col("n") / 100), F.least(F.floor((100 + percent) * F.col("both") / percent) - F.col("n"), F.col("lead_n") - 1)
+    far = far.withColumns({"low": low.cast("long"), "high": high.cast("long")}).filter("low <= high").withColumn("m", F.explode(F.sequence("low", "high")))
+    u, v = held.filter("n < lead_n").alias("x"), far.alias("y")
+    inside = u.join(v, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.n") == F.col("y.m")) & (F.col("x.label") != F.col("y.label")) & reaches(F.least("x.both", "y.both"), F.col("x.n"), F.col("y.n"), percent))
+    ends = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return outside.select(*ends).union(inside.select(*ends)).distinct()
+
+
+def components(docs: DataFrame, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, th, n_shingles, set_id, root (number of the component; null if the set is empty), component_id of every row."""
     percent = round(100 * similarity)
     told = cut_lineage(describe(docs, words, bands, rows))
-    classes = told.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("id"))
-    reps = cut_lineage(classes)
-    members = reps.select("id", F.explode("bands").alias("key"))
+    grouped = told.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    members = classes.select("id", "n", F.coalesce("first", F.lit(NO_ID)).alias("order"), F.explode("bands").alias("key"))
     # in a band's bucket with company
-    met = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    open_ = cut_lineage(members.join(met, "key").select("key", "id"))
+    met = members.groupBy("key").agg(F.min(F.struct("order", "id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    open_ = cut_lineage(members.join(met, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
     labels = cut_lineage(open_.select("id", F.col("id").alias("label")).distinct())
-    ids = labels.select(F.col("id").alias("doc_id"))
-    blobs = cut_lineage(set_blobs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["id"]))
-    leaders, turn, pivots, tested = 1, 0, None, None
-    while not open_.isEmpty():
-        # the smallest of each of ``leaders`` parts of a bucket lead it
-        lead = open_.groupBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(leaders)).alias("part")).agg(F.min("id").alias("lead")).select("key", "lead")
-        lead = cut_lineage(lead.join(labels.withColumnsRenamed({"id": "lead", "label": "lead_label"}), "lead"))
-        named, leading = open_.join(labels, "id"), lead
-        apart = (F.col("n.id") != F.col("l.lead")) & (F.col("n.label") != F.col("l.lead_label"))
-        if pivots is not None:
-            named = named.join(pivots, "id", "left")
-            leading = lead.join(pivots.withColumnsRenamed({"id": "lead", "far": "lead_far"}), "lead", "left")
-            gap = F.exists(F.map_keys("n.far"), lambda k: F.coalesce(F.abs(F.col("n.far")[k] - F.col("l.lead_far")[k]) > 1 - percent / 100 + 1e-9, F.lit(False)))
-            # nor are pairs that the first round has compared
-            before = F.coalesce(F.map_contains_key("n.far", F.col("l.lead")), F.lit(False)) | F.coalesce(F.map_contains_key("l.lead_far", F.col("n.id")), F.lit(False))
-            apart = apart & ~F.coalesce(gap, F.lit(False)) & ~before
-        met_ = named.alias("n").join(leading.alias("l"), (F.col("n.key") == F.col("l.key")) & apart)
-        pairs = met_.select(F.least("n.id", "l.lead").alias("a"), F.greatest("n.id", "l.lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        told_pairs = cut_lineage(verify(pairs, blobs, percent))
-        tested = told_pairs.select("a", "b") if tested is None else tested.union(told_pairs.select("a", "b"))
-        labels = contract(labels, told_pairs.filter("linked").select("a", "b"))
-        if pivots is None:  # the first leader of a bucket is its smallest id, so a leads
-            pivots = cut_lineage(told_pairs.groupBy(F.col("b").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("a", 1 - F.col("sim")))).alias("far")))
-        # leaders have met everyone in their bucket; a bucket of one component is done
-        rest = open_.join(lead.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti").join(labels, "id")
-        several = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        open_ = cut_lineage(rest.join(several, "key", "left_semi").select("key", "id"))
-        leaders, turn = leaders * 4, turn + 1
-    named = reps.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("label"))
-    return told.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    shingles = cut_lineage(shingles_of(docs, classes.select("id", "first", "set_id").join(labels, "id", "left_semi"), words))
+    linked = reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)
+
+    # 1: with the first of the bucket
+    near = open_.filter((F.col("id") != F.col("lead")) & reaches(F.least("n", "lead_n"), F.col("n"), F.col("lead_n"), percent))
+    first = compare(near.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles)
+    labels = contract(labels, first.filter(linked).select("a", "b"))
+    # 2: with the most central of the bucket
+    led = cut_lineage(central(unsettled(open_, labels, F.col("id") == F.col("lead")).drop("lead", "lead_n"), shingles, percent))
+    followers = led.filter("id <> lead")
+    second = cut_lineage(compare(followers.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles, rest=True))
+    labels = contract(labels, second.filter(linked).select("a", "b"))
+    # 3: those beside it
+    beside = unsettled(followers, labels, F.lit(False)).select("lead", "id").distinct()
+    facts = second.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("n_a").alias("lead_n"), F.col("n_b").alias("n"), "both", "rest")
+    third = compare(beside_leaders(cut_lineage(facts.join(beside, ["lead", "id"]).join(labels, "id")), percent), shingles)
+    labels = contract(labels, third.filter(linked).select("a", "b"))
+
+    named = classes.select("set_id", "first", "id").join(labels, "id", "left").withColumn("root", F.coalesce("label", "id"))
+    smallest = named.filter("label IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(smallest, "root", "left").select("set_id", "root", F.coalesce("component_id", "first").alias("component_id"))
+    out = told.select("doc_id", "th", "n_shingles", "set_id").join(named, "set_id", "left")
+    return out.withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return components(docs, words, similarity, bands, rows).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, words: int, similarity: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and th (hash of the text) of one row of each component, that with the smallest doc_id, then th."""
+    found = components(docs, words, similarity, bands, rows).filter("root IS NOT NULL AND doc_id IS NOT NULL")
+    return found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("one.*")
 
 
 def label_documents(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs, 4, 0.8)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

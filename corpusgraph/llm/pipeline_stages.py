@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mixing, neardup, pieces, private, quality
-from .common import cut_lineage, word_count
+from .common import WORD, cut_lineage, free_name, word_count
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -15,14 +15,19 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id stay.
+    Texts without words are near copies of nothing and stay, and so do rows without a
+    doc_id.  Of rows that agree in doc_id and text one stays, whichever.  Different
+    texts of one doc_id are documents of their own.  An empty table gives no rows;
+    other columns pass unread.
     """
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), words, similarity)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    named = docs.withColumn(th := free_name(docs, "th"), F.xxhash64("text"))
+    plain = F.coalesce(~F.col("text").rlike(WORD), F.lit(True)) | F.col("doc_id").isNull()
+    one = neardup.representatives(docs, words, similarity).withColumnsRenamed({"th": th})
+    one = one.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    worded = named.filter(~plain).join(one, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
+    return worded.unionByName(named.filter(plain)).select(*docs.columns)
 
 
 def hide_private(docs: DataFrame) -> DataFrame:

@@ -406,6 +406,40 @@ def test_chains_and_unlike_buckets(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_repeated_ids_and_missing_ids(spark):
+    """Texts that share a doc_id are linked each by its own words; rows without one never name a component."""
+    rng = random.Random(5)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = spark.createDataFrame([(5, a, None, None), (5, b, None, None), (8, b + " more", None, None), (9, a + " more", None, None), (None, a, None, None), (None, "no copy of it here", None, None)], SCHEMA)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.label_documents(rows).collect())
+    assert got == [(0, 0, True), (0, 5, False), (5, 5, True), (5, 5, True), (8, 5, False), (9, 5, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_wide_family(spark, seed):
+    """Copies with few to many edits, shared edits, cut copies and two families in one: all links by brute force."""
+    rng = random.Random(seed)
+    base = prose(rng, 150).split()
+    other = [*base[:75], *prose(rng, 75).split()]
+    edits = [(rng.randrange(150), rng.choice(WORDS)) for _ in range(12)]
+    rows = []
+    for i in range(260):
+        w = list(base if i % 3 else other)
+        for at, word in rng.sample(edits, rng.randrange(0, 4)):
+            w[at] = word
+        for at in rng.sample(range(150), rng.randrange(0, 9)):
+            w[at] = f"{rng.choice(WORDS)}{rng.randrange(90)}"
+        if i % 7 == 0:
+            w = w[: rng.randrange(115, 150)]
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 200
+
+
 # ---- 9 licences
 
 def test_licences(spark, empty):

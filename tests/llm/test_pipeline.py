@@ -44,3 +44,20 @@ def test_stages(spark):
     assert not any(re.search(r"[\w.]+@mail\d|AKIA[0-9A-Z]{16}", r["text"]) for r in kept[3].collect())
     assert set(ids[4]) <= set(ids[3]) and len(ids[4]) > len(ids[3]) and sorted(ids[5]) == sorted(ids[4])
     assert corpus_pipeline.run(spark, SF).count() == len(ids[5])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, th string, q_kept string"
+
+
+def test_near_copies_of_odd_rows(spark):
+    """Repeated ids, missing ids, texts without words, clashing names, an empty table."""
+    from corpusgraph.llm import pipeline_stages as stages
+
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two"))
+    texts = [(5, a), (5, a), (5, b), (8, b + " more"), (9, a.upper()), (None, a), (None, None), (7, ""), (7, ""), (6, None), (4, "x " * 30_000)]
+    docs = spark.createDataFrame([(i, t, None, None, 0, "x", "y") for i, t in texts], SCHEMA)
+    out = stages.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:4]) for r in out.collect())
+    assert got == [(-1, ""), (-1, "one0"), (4, "x x "), (5, "one0"), (5, "two0"), (6, ""), (7, ""), (7, "")]
+    assert stages.drop_near_copies(docs.limit(0)).count() == 0
