@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 DEFINITIONS = {
-    # a corpus: documents as notes with frontmatter, links and a tag; every tenth is an attachment
+    # a corpus: documents as notes with frontmatter (some of odd types, some broken), links, tags, and links inside code
+    # and math that don't count; every tenth is an attachment, two of fifty share a stem
     "corpus": """
-SELECT doc_id, source || '/' || lang || '/note' || doc_id || CASE WHEN doc_id % 10 = 9 THEN '.PNG' ELSE '.md' END AS path,
+SELECT doc_id, source || '/' || lang || CASE WHEN doc_id % 50 IN (1, 26) THEN '/d' || doc_id || '/twin' || CAST(floor(doc_id / 50) AS BIGINT) || '.md' ELSE '/note' || doc_id || CASE WHEN doc_id % 10 = 9 THEN '.PNG' ELSE '.md' END END AS path,
  CASE WHEN doc_id % 10 <> 9 THEN
-  CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'tags: [Alpha, beta]' || chr(10) || 'rank: 3' || chr(10) || 'empty:' || chr(10) || '---' || chr(10) ELSE '' END
-  || translate(coalesce(text, ''), '#$`[]', '') || chr(10) || chr(10) || '[[note' || (doc_id * 7 + 3) % 1000 || '|seen]] [[missing' || doc_id % 5
-  || ']] [x](note' || (doc_id + 20) || '.md#top) [[note' || doc_id || ']] #Tag' || doc_id % 11 || chr(10) END AS content
+  CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'tags: [Alpha, beta]' || chr(10) || 'rank: 3' || chr(10) || 'empty:' || chr(10) || '---' || chr(10)
+   WHEN doc_id % 8 = 2 THEN '---' || chr(10) || 'tags: ' || chr(123) || 'a: 1' || chr(125) || chr(10) || 'aliases: 7' || chr(10) || '---' || chr(10)
+   WHEN doc_id % 8 = 6 THEN '---' || chr(10) || '[open' || chr(10) || '---' || chr(10) ELSE '' END
+  || coalesce(text, '') || chr(10) || chr(10) || '[[note' || (doc_id * 7 + 3) % 1000 || '#Part|seen]] [[missing' || doc_id % 5
+  || ']] [x](note' || (doc_id + 20) || '.md#top) [[note' || doc_id || ']] #Tag' || doc_id % 11
+  || CASE WHEN doc_id % 7 = 0 THEN ' ![[twin' || CAST(floor(doc_id / 50) AS BIGINT) || ']]' ELSE '' END || chr(10)
+  || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(96) || '[[code]]' || chr(96) || ' $[[math]]$ ' || chr(92) || '[[escaped]] it is $5 or $6' || chr(10) || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) || '[[fenced]] #fenced' || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) ELSE '' END
+ END AS content
 FROM {documents}""",
     "scan": """
 SELECT 'p' || (o_custkey % 7) AS profile_id, 'dir' || (o_orderkey % 13) || '/sub' || (o_orderkey % 3) || '/f' || o_orderkey || '.md' AS rel_path,
@@ -74,10 +80,10 @@ FROM {targets} t LEFT JOIN {outcomes} o ON o.profile_id = t.profile_id AND o.rel
 SELECT source || CASE WHEN doc_id % 50 = 7 THEN '/credentials.json' WHEN doc_id % 50 = 8 THEN '/k' || doc_id || '.pem' ELSE '/d' || doc_id || '.md' END || CASE WHEN doc_id % 50 = 7 THEN '' ELSE '' END AS folder_path,
  'd' || doc_id || '/' || CASE WHEN doc_id % 50 = 7 THEN 'credentials.json' WHEN doc_id % 50 = 8 THEN 'k.pem' ELSE 'x.md' END AS path,
  CASE WHEN doc_id % 30 = 5 THEN text || ' someone@gmail.com' ELSE text END AS text FROM {documents}""",
-    "needles": "SELECT substr(text, 1, 24) AS needle FROM {benchmark} UNION ALL SELECT '# ' || item_id FROM {benchmark} UNION ALL SELECT '' FROM {region}",
+    "needles": "SELECT text AS needle FROM {benchmark} UNION ALL SELECT '# ' || item_id FROM {benchmark} UNION ALL SELECT '' FROM {region}",
     "roots": "SELECT 'c' || c_custkey AS profile_id, '/srv/' || c_mktsegment || CASE WHEN c_custkey % 40 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN '/n' || c_nationkey ELSE '/n' || c_nationkey || '/c' || c_custkey END AS root FROM {customer}",
     "odd_paths": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'a//b' WHEN 1 THEN '/abs' WHEN 2 THEN 'a/../b' WHEN 3 THEN 'a\\b' WHEN 4 THEN '' WHEN 5 THEN 'a/' WHEN 6 THEN '.knowledge-derived/x' ELSE source || '/' || lang || '/n.md' END AS path FROM {documents}",
-    "targets_text": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '#frag' WHEN 2 THEN 'My%20Note+' || page_id || '.md#Head' WHEN 3 THEN '//host/x' WHEN 4 THEN 'bad%zz' ELSE '../up/' || page_id || '/./x.md' END AS target, 'a/b' || page_id % 4 AS folder FROM {pages}",
+    "targets_text": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '#frag' WHEN 2 THEN 'My%20Note+' || page_id || '.md#Head' WHEN 3 THEN '//host/x' WHEN 4 THEN CASE WHEN page_id % 12 = 4 THEN '/abs/' || page_id || '.md' ELSE 'bad%zz' END ELSE '../up/' || page_id || '/./x.md' END AS target, 'a/b' || page_id % 4 AS folder FROM {pages}",
 }
 
 

@@ -18,11 +18,24 @@ def needles(lines: DataFrame) -> DataFrame:
 
 
 def denied(docs: DataFrame, lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, needle) of exact hits.  A denylist is a small table; its size is checked before it is broadcast."""
-    few = needles(lines)
+    """(key, needle) of exact hits.
+
+    A text that holds a needle holds each word inside it, between two blanks, as a
+    word of its own; so needles meet texts by their longest inner word, and only those
+    pairs are searched.  Needles without one (single words) are compared with every
+    text; their number is checked before they are broadcast.
+    """
+    inner = F.split("needle", " ")
+    inner = F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    all_ = needles(lines).withColumn("inner", longest)
+    few = all_.filter("inner IS NULL").select("needle")
     if few.limit(MAX_NEEDLES + 1).count() > MAX_NEEDLES:
-        raise ValueError("the denylist is too large to compare with every document")
-    return docs.select(key, "text").join(F.broadcast(few), F.contains("text", "needle")).select(key, "needle")
+        raise ValueError("too many needles of one or two words to compare with every document")
+    words = docs.select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("inner"))
+    met = words.join(all_.filter("inner IS NOT NULL"), "inner").select(key, "needle").distinct()
+    hit = docs.select(key, "text").join(met, key).filter(F.contains("text", "needle")).select(key, "needle")
+    return hit.unionByName(docs.select(key, "text").join(F.broadcast(few), F.contains("text", "needle")).select(key, "needle"))
 
 
 def audit(docs: DataFrame, lines: DataFrame | None = None, exempt: tuple[str, ...] = ()) -> DataFrame:

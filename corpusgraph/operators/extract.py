@@ -33,6 +33,7 @@ _LINK = re.compile(
     r"|(?<![\w/#&])#(?P<tag>[\w/-]*[^\W\d][\w/-]*)"
 )
 _CONTAINER = re.compile(r"^((?: {0,3}>[ ]?)|(?: {0,3}(?:[-*+]|\d{1,9}[.)])(?: {1,4}|$)))")
+_MARK = re.compile(r"[\\`$]")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 
 
@@ -136,8 +137,11 @@ def blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 def mask_inline(par: str) -> str:
     """A paragraph with its code spans and inline math blanked."""
-    out, i, n = list(par), 0, len(par)
-    while i < n:
+    if "`" not in par and "$" not in par:
+        return par
+    out, i = list(par), 0
+    while m := _MARK.search(par, i):
+        i = m.start()
         c = par[i]
         if c == "\\":
             i += 2
@@ -157,8 +161,6 @@ def mask_inline(par: str) -> str:
                 i = end
             else:
                 i += 2 if two else 1
-        else:
-            i += 1
     return "".join(out)
 
 
@@ -202,8 +204,10 @@ def facts_of(body: str) -> list[dict]:
 
     def scan(a: int, b: int) -> None:
         for m in _LINK.finditer(masked, a, b):
-            back = len(masked[: m.start()]) - len(masked[: m.start()].rstrip("\\"))
-            if back % 2:
+            back = m.start()
+            while back and masked[back - 1] == "\\":
+                back -= 1
+            if (m.start() - back) % 2:
                 continue
             if m["wiki"] is not None:
                 target, bar, label = m["wiki"].replace("\\|", "|").partition("|")

@@ -20,13 +20,15 @@ def as_files(entries: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Add resolution_status, resolved_target_path, target_kind, candidate_paths to local links.
+    """Add resolution_status, resolved_target_path, target_kind, candidate_paths to local links; other than wikilinks get the fragment of their target.
 
     links: source_path, link_kind, raw_target, ...; external targets of wikilinks
     and markdown links are left out.
     """
     local = links.filter(~L.is_external("raw_target")).withColumn("folder", P.dirname("source_path"))
     wiki = F.col("link_kind") == "wikilink"
+    if "fragment" in links.columns:
+        local = local.withColumn("fragment", F.when(wiki, F.col("fragment")).otherwise(L.fragment("raw_target")))
     asked = local.select("folder", "link_kind", "raw_target").distinct()
     target = L.percent_decoded(F.when(wiki, F.col("raw_target")).otherwise(L.without_fragment("raw_target")))
     asked = asked.withColumn("target", target)

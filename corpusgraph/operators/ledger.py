@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import links as L
 from ..functions import paths as P
 
 KEY = ["profile_id", "rel_path"]
@@ -17,6 +18,7 @@ LEDGER = ["profile_id", "rel_path", "size", "mod_time", "hash", "state", "suppre
 BATCH = 512
 # States of a prune request that still wait for something.
 OPEN_REQUESTS = ("preview", "authorized", "running")
+UNEXECUTED = ("preview", "approval_required")
 DESTRUCTIVE = ("delete", "rename", "other")
 
 
@@ -157,8 +159,29 @@ def pending_summary(pending: DataFrame) -> DataFrame:
 
 
 def upsert_pending(pending: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per path: first_seen of the first, kind of the newest, largest generation."""
-    return pending.unionByName(events).groupBy("profile_id", "path").agg(F.max_by("event_kind", F.struct("source_generation", "last_seen")).alias("event_kind"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("source_generation").alias("source_generation"))
+    """One row per path: first_seen of the first, largest generation, kind and policy context of the newest.
+
+    Frames without a policy context get one that isn't known.
+    """
+    unknown = {"observed_policy_hash": F.lit(None).cast("string"), "observed_policy_generation": F.lit(None).cast("long"), "policy_context_known": F.lit(False)}
+    both = [d.withColumns({c: v for c, v in unknown.items() if c not in d.columns}) for d in (pending, events)]
+    newest = F.max_by(F.struct("event_kind", *unknown), F.struct("source_generation", "last_seen")).alias("newest")
+    rows = both[0].unionByName(both[1]).groupBy("profile_id", "path").agg(newest, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("source_generation").alias("source_generation"))
+    return rows.select("profile_id", "path", "newest.event_kind", "first_seen", "last_seen", "source_generation", *(f"newest.{c}" for c in unknown))
+
+
+def by_first_seen(pending: DataFrame) -> DataFrame:
+    """Pending rows in the order in which their paths were first seen, numbered per profile."""
+    w = Window.partitionBy("profile_id").orderBy("first_seen", "path")
+    return pending.withColumn("place", F.row_number().over(w)).orderBy("profile_id", "place")
+
+
+def first_skipped(scan: DataFrame, limit: int = 10) -> DataFrame:
+    """The first skipped symlinks of each profile (profile_id, path, is_symlink), each with the number of further ones."""
+    links = scan.filter("is_symlink").select("profile_id", "path")
+    w = Window.partitionBy("profile_id").orderBy("path")
+    total = links.groupBy("profile_id").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
+    return links.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).join(total, "profile_id")
 
 
 def clear_pending(pending: DataFrame, batch: DataFrame) -> DataFrame:
@@ -181,6 +204,33 @@ def budgeted(diff: DataFrame, max_delete: int) -> DataFrame:
     return diff.join(over.select("profile_id"), "profile_id", "left_anti")
 
 
+def prune_requests(ledger: DataFrame, policy: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Requests after a new preview of each ready profile (profile_id, hash, ..., max_delete).
+
+    The preview carries the number of its targets and a digest of their paths; older
+    previews of the profile that nobody has executed are superseded.
+    requests: profile_id, request_id, policy_hash, state, created_at.
+    """
+    rows = freeze_prune(ledger, policy).groupBy("profile_id").agg(F.count("*").alias("candidate_count"))
+    ready = policy.filter((F.col("refresh_state") == "ready") & (F.col("refreshed_hash") == F.col("hash"))).select("profile_id", F.col("hash").alias("policy_hash"), "max_delete")
+    digests = path_digests(freeze_prune(ledger, policy))
+    preview = ready.join(rows, "profile_id", "left").join(digests, "profile_id", "left").select(
+        "profile_id", F.concat(F.lit("prune-"), "profile_id", F.lit("-"), F.date_format(at, "yyyyMMddHHmmss")).alias("request_id"), "policy_hash", F.lit("preview").alias("state"), at.alias("created_at"),
+        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.coalesce("candidate_digest", F.sha2(F.lit("").cast("binary"), 256)).alias("candidate_digest"), F.col("max_delete").alias("default_max_delete"),
+    )
+    fresh = preview.select("profile_id").withColumn("fresh", F.lit(True))
+    old = requests.join(fresh, "profile_id", "left").withColumn("state", F.when(F.col("fresh") & F.col("state").isin(*UNEXECUTED), "superseded").otherwise(F.col("state"))).drop("fresh")
+    return old.unionByName(preview, allowMissingColumns=True)
+
+
+def path_digests(targets: DataFrame) -> DataFrame:
+    """Per profile, a digest of its target paths in order, over digests of blocks of BATCH paths (profile_id, candidate_digest)."""
+    blocks = batched(targets.select(*KEY)).groupBy("profile_id", "batch").agg(F.array_sort(F.collect_list("rel_path")).alias("p"))
+    each = blocks.select("profile_id", "batch", L.framed_digest(F.array_join("p", "\x00"), F.lit("")).alias("d"))
+    every = F.array_sort(F.collect_list(F.struct("batch", "d")))
+    return each.groupBy("profile_id").agg(L.framed_digest(F.array_join(F.transform(every, lambda b: b["d"]), "\x00"), F.lit("")).alias("candidate_digest"))
+
+
 def freeze_prune(ledger: DataFrame, policy: DataFrame) -> DataFrame:
     """Targets of a prune set: rows suppressed by the policy hash that is ready.
 

@@ -112,10 +112,16 @@ def retries(runs: DataFrame) -> DataFrame:
     return r.withColumn("final_classification", F.when(failed, final)).withColumn("delay_seconds", delay.cast("long")).withColumn("next_retry_at", F.timestamp_micros(micros("completed_at") + F.col("delay_seconds") * 1_000_000)).drop("island")
 
 
-def error_class(code: Column, exit_code: Column) -> Column:
-    """retryable, retryable_limited or terminal, of an error code or exit status."""
+def error_class(code: Column, exit_code: Column, temporary: Column | None = None) -> Column:
+    """retryable, retryable_limited or terminal, of an error code or exit status.
+
+    ``temporary`` tells ownership errors: true for those that pass, false for those
+    that don't, null for errors of another kind.
+    """
     return (
-        F.when(code.isin("context_canceled", "source_unstable", "worker_interrupted"), "retryable")
+        F.when(temporary if temporary is not None else F.lit(False), "retryable")
+        .when(temporary.isNotNull() if temporary is not None else F.lit(False), "terminal")
+        .when(code.isin("context_canceled", "source_unstable", "worker_interrupted"), "retryable")
         .when(code == "delete_budget_exceeded", "terminal")
         .when(exit_code == 5, "retryable")
         .when(exit_code.isin(2, 6, 7), "terminal")
@@ -181,12 +187,17 @@ def log_summary(lines: DataFrame) -> DataFrame:
 def checkpoints(frames: DataFrame, key: str = "run_id", seconds: int = CHECKPOINT_SECONDS) -> DataFrame:
     """Sparse frames worth keeping: the first, phase changes, and the first of each further hour since the last kept one.
 
-    ``frames`` hold the greedy hour as a running fold over one run's frames.
+    The greedy hour is a fold, but only over one stretch between frames that are kept
+    in any case: the first, a phase change, or one an hour or more after the frame
+    before it (so an hour after the last kept one as well).
     """
     w = Window.partitionBy(key).orderBy("seq")
     forced = F.col("phase").isNotNull() & ~F.col("phase").eqNullSafe(F.lag("phase").over(w))
-    rows = frames.withColumn("forced", forced | F.lag("seq").over(w).isNull())
-    each = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", micros("ts").alias("t"), "forced"))).alias("f"))
+    ahead = F.max(micros("ts")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    alone = ahead.isNull() | (micros("ts") - ahead >= seconds * 1_000_000)
+    rows = frames.withColumn("forced", forced | F.lag("seq").over(w).isNull() | alone)
+    rows = rows.withColumn("stretch", F.sum(F.col("forced").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = rows.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("seq", micros("ts").alias("t"), "forced"))).alias("f"))
     start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:

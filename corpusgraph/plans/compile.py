@@ -43,20 +43,25 @@ class Compiled:
             df.unpersist()
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    if df.sparkSession.conf.get("spark.checkpoint.dir", ""):
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def compile_corpus(entries: DataFrame, keep: bool = False, neighbor_mode: str = "documented") -> Compiled:
     """Compile eligible (path, content) rows.
 
-    Several artifacts share facts and links; ``keep=True`` persists the two (with the
-    disk as overflow) until ``release``.  Bodies are gone after extraction.
+    Several artifacts share facts and links; ``keep=True`` keeps the two: as checkpoints
+    where the session names a folder for them, else persisted (with the disk as
+    overflow) until ``release``.  Bodies are gone after extraction.
     """
     files = graph.as_files(entries.select("path"))
     notes = graph.as_files(entries).filter("kind = 'note'").select("path", "content")
-    parsed = extract.extract_facts(notes)
-    if keep:
-        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = _kept(extract.extract_facts(notes)) if keep else extract.extract_facts(notes)
     links = graph.resolve_links(extract.link_facts(parsed), files)
     if keep:
-        links = links.persist(StorageLevel.MEMORY_AND_DISK)
+        links = _kept(links)
     degree = graph.degrees(links, files.filter("kind = 'note'"), neighbor_mode)
     return Compiled(files, parsed, links, degree, graph.orphans(degree), graph.broken_links(links), extract.tag_facts(parsed), extract.warning_rows(parsed))
 

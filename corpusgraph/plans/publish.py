@@ -9,14 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_canonical, is_reserved
 
+PART_RECORDS = 500_000
 SAFE = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 
 
@@ -27,17 +26,16 @@ def _safe(name: str) -> str:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole, then rename it into place."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(path + ".new")
-    out = fs.create(aside, True)
+    """Write a small file whole, then rename it over the old one in one step."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new"))
+    out = target.getFileSystem(conf).create(aside, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"can't replace {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, over)
 
 
 def _get(spark: SparkSession, path: str) -> str | None:
@@ -49,16 +47,16 @@ def _get(spark: SparkSession, path: str) -> str | None:
 
 
 def inventory(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """artifact, bytes, records, digest: part files are hashed where they are read, digests of parts combined."""
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"artifact": pdf["artifact"], "part": pdf["part"], "bytes": pdf["content"].map(len), "records": pdf["content"].map(lambda c: bytes(c).count(b"\n")), "sha256": pdf["content"].map(lambda c: hashlib.sha256(bytes(c)).hexdigest())})
+    """artifact, bytes, records, digest: part files are hashed where they are read, digests of parts combined.
 
+    A part is one value in memory; ``publish`` bounds the records of a part.
+    """
+    raw = F.col("content")
+    text = F.decode(raw, "ISO-8859-1")  # one character a byte
     out = None
     for n in names:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{_safe(n)}").select(F.lit(n).alias("artifact"), F.element_at(F.split("path", "/"), -1).alias("part"), "content")
-        one = files.mapInPandas(parts, "artifact string, part string, bytes long, records long, sha256 string")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{_safe(n)}")
+        one = files.select(F.lit(n).alias("artifact"), F.element_at(F.split("path", "/"), -1).alias("part"), F.length(raw).cast("long").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("records"), F.sha2(raw, 256).alias("sha256"))
         out = one if out is None else out.unionByName(one)
     every = F.array_sort(F.collect_list(F.struct("part", "sha256")))
     return out.groupBy("artifact").agg(F.sum("bytes").alias("bytes"), F.sum("records").alias("records"), F.sha2(F.array_join(F.transform(every, lambda p: p["sha256"]), "").cast("binary"), 256).alias("digest"))
@@ -69,7 +67,7 @@ def publish(frames: dict[str, DataFrame], root: str, generation: str, summaries:
     spark = next(iter(frames.values())).sparkSession
     folder = f"{root}/generations/{_safe(generation)}"
     for name, df in frames.items():
-        df.write.mode("error").json(f"{folder}/{_safe(name)}", ignoreNullFields=False)
+        df.write.mode("error").option("maxRecordsPerFile", PART_RECORDS).json(f"{folder}/{_safe(name)}", ignoreNullFields=False)
     for name, df in (summaries or {}).items():
         df.write.mode("error").text(f"{folder}/{_safe(name)}")
     rows = inventory(spark, folder, [*frames, *(summaries or {})]).collect()
@@ -119,6 +117,24 @@ def health_summary(counts: DataFrame, generation: str) -> DataFrame:
     return counts.select(F.format_string(line, F.lit(generation), *cols).alias("value"))
 
 
+def readme_summary(counts: DataFrame, generation: str) -> DataFrame:
+    """The entry page of a generation (one row of text)."""
+    page = ("# Corpus index", "", "Written by the compiler; edits are lost.", "", f"- Generation: `{generation}`", "- Digests of everything: `MANIFEST.json`", "- Structure: `HEALTH.md`", "- Orphans: `ORPHANS.md`", "- Broken links: `BROKEN.md`", "- Indexes: `FILE_INDEX`, `LINKS`, `TAG_INDEX`", "- Fields and warnings: `FRONTMATTER_STATS`, `WARNINGS`")
+    return counts.limit(1).select(F.lit("\n".join(page)).alias("value"))
+
+
+def orphan_summary(folders: DataFrame, generation: str) -> DataFrame:
+    """The page of orphans: totals, then each class by top folder in order (folder counts are few)."""
+    kinds = {"hard": "hard orphans", "no_backlink": "notes without backlinks", "outbound_only": "outbound-only notes"}
+    rows = F.array_sort(F.collect_list(F.struct("folder", *kinds)))
+    total = folders.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds), rows.alias("rows"))
+    parts = [F.lit(f"# Orphans\n\nGeneration: `{generation}`\n\nSummary: "), F.concat_ws(", ", *(F.concat(F.col(k).cast("string"), F.lit(f" {what}")) for k, what in kinds.items())), F.lit(".\n")]
+    for k, what in kinds.items():
+        own = F.transform(F.filter("rows", lambda r, k=k: r[k] > 0), lambda r, k=k: F.concat(F.lit('- "'), r["folder"], F.lit('": '), r[k].cast("string"), F.lit("\n")))
+        parts += [F.lit(f"\n## {what.capitalize()} by top folder\n\n"), F.array_join(own, "")]
+    return total.select(F.concat(*parts).alias("value"))
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """Markdown lines of broken-link groups or folder counts."""
     return groups.select(F.concat(F.lit("- "), F.array_join(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in groups.columns)), " ")).alias("value"))

@@ -15,6 +15,7 @@ from .operators import audit, extract, fingerprint, graph, ledger, policy, telem
 from .plans import compile as plan
 from .plans import publish
 from .streaming import events as stream
+from .streaming import rates as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,14 +28,18 @@ class Entry(NamedTuple):
 ENTRIES: dict[str, Entry] = {}
 
 
-def entry(name: str, inputs: tuple[str, ...], sql: str | None):
-    """Register a function of input frames under ``name`` with the SELECT over the same inputs."""
+def entry(name: str, inputs: tuple[str, ...], sql: str | None, recursive: bool = False):
+    """Register a function of input frames under ``name`` with the SELECT over the same inputs.
+
+    An SQL text that starts with a comma goes on with the inputs' WITH clause.
+    """
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(*(frame(spark, sf_dir, i) for i in inputs))
 
-        ENTRIES[name] = Entry(run, sql and ctes(*inputs) + "\n" + sql)
+        with_ = ctes(*inputs)
+        ENTRIES[name] = Entry(run, sql and (with_.replace("WITH", "WITH RECURSIVE", 1) if recursive else with_) + "\n" + sql)
         return f
 
     return add
@@ -57,22 +62,24 @@ def oracle_sql() -> dict[str, str]:
 # ---- corpus graph -----------------------------------------------------------------
 
 FILES = """files AS (SELECT *, regexp_extract(path, '(\\.[^./]*)$', 1) AS extension, CASE WHEN doc_id % 10 = 9 THEN 'attachment' ELSE 'note' END AS kind,
- 'note' || doc_id AS stem FROM corpus),
+ regexp_extract(path, '([^/]*)\\.[^./]*$', 1) AS stem FROM corpus),
 asked AS (
- SELECT doc_id, path AS source_path, 0 AS ordinal, 'wikilink' AS link_kind, 'note' || (doc_id * 7 + 3) % 1000 AS raw_target, 'seen' AS display FROM files WHERE kind = 'note'
- UNION ALL SELECT doc_id, path, 1, 'wikilink', 'missing' || doc_id % 5, 'missing' || doc_id % 5 FROM files WHERE kind = 'note'
- UNION ALL SELECT doc_id, path, 2, 'markdown', 'note' || (doc_id + 20) || '.md#top', 'x' FROM files WHERE kind = 'note'
- UNION ALL SELECT doc_id, path, 3, 'wikilink', 'note' || doc_id, 'note' || doc_id FROM files WHERE kind = 'note'),
+ SELECT doc_id, path AS source_path, 0 AS ordinal, 'wikilink' AS link_kind, 'note' || (doc_id * 7 + 3) % 1000 AS raw_target, 'seen' AS display, 'Part' AS fragment, false AS embed FROM files WHERE kind = 'note'
+ UNION ALL SELECT doc_id, path, 1, 'wikilink', 'missing' || doc_id % 5, 'missing' || doc_id % 5, '', false FROM files WHERE kind = 'note'
+ UNION ALL SELECT doc_id, path, 2, 'markdown', 'note' || (doc_id + 20) || '.md#top', 'x', 'top', false FROM files WHERE kind = 'note'
+ UNION ALL SELECT doc_id, path, 3, 'wikilink', 'note' || doc_id, 'note' || doc_id, '', false FROM files WHERE kind = 'note'
+ UNION ALL SELECT doc_id, path, 5, 'wikilink', 'twin' || doc_id // 50, 'twin' || doc_id // 50, '', true FROM files WHERE kind = 'note' AND doc_id % 7 = 0),
 edges AS (
- SELECT a.*, CASE WHEN t.path IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution_status, t.path AS resolved_target_path, t.kind AS target_kind
+ SELECT a.source_path, a.ordinal, a.link_kind, a.raw_target, a.display, a.fragment, a.embed, CASE count(t.path) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution_status,
+  CASE WHEN count(t.path) = 1 THEN min(t.path) END AS resolved_target_path, CASE WHEN count(t.path) = 1 THEN min(t.kind) END AS target_kind, CASE WHEN count(t.path) > 1 THEN string_agg(t.path, ',' ORDER BY t.path) ELSE '' END AS candidates
  FROM asked a LEFT JOIN files t ON t.kind = 'note' AND CASE WHEN a.link_kind = 'wikilink' THEN t.stem = a.raw_target
-  ELSE t.path = regexp_replace(a.source_path, '[^/]*$', '') || split_part(a.raw_target, '#', 1) END),
+  ELSE t.path = regexp_replace(a.source_path, '[^/]*$', '') || split_part(a.raw_target, '#', 1) END GROUP BY ALL),
 pairs AS (SELECT source_path, resolved_target_path AS t, count(*) AS n FROM edges WHERE resolution_status = 'resolved' GROUP BY ALL),
 degree AS (
  SELECT f.path, coalesce(i.e, 0) AS incoming_edge_count, coalesce(o.e, 0) AS outgoing_edge_count, coalesce(i.nb, 0) AS incoming_neighbor_count, coalesce(g.nb, 0) AS outgoing_neighbor_count,
-  coalesce(o.s, 0) AS self_link_count, coalesce(o.u, 0) AS unresolved_link_count, CAST(0 AS BIGINT) AS ambiguous_link_count
+  coalesce(o.s, 0) AS self_link_count, coalesce(o.u, 0) AS unresolved_link_count, coalesce(o.a, 0) AS ambiguous_link_count
  FROM files f
- LEFT JOIN (SELECT source_path, count(*) AS e, count(*) FILTER (resolved_target_path = source_path) AS s, count(*) FILTER (resolution_status = 'unresolved') AS u FROM edges GROUP BY 1) o ON o.source_path = f.path
+ LEFT JOIN (SELECT source_path, count(*) AS e, count(*) FILTER (resolved_target_path = source_path) AS s, count(*) FILTER (resolution_status = 'unresolved') AS u, count(*) FILTER (resolution_status = 'ambiguous') AS a FROM edges GROUP BY 1) o ON o.source_path = f.path
  LEFT JOIN (SELECT source_path, count(*) FILTER (source_path <> t) AS nb FROM pairs GROUP BY 1) g ON g.source_path = f.path
  LEFT JOIN (SELECT t, CAST(sum(n) AS BIGINT) AS e, count(*) FILTER (source_path <> t) AS nb FROM pairs GROUP BY 1) i ON i.t = f.path
  WHERE f.kind = 'note'),
@@ -84,22 +91,29 @@ tags AS (
  UNION ALL SELECT path, 'beta', 'beta' FROM files WHERE kind = 'note' AND doc_id % 4 = 0)"""
 
 
-def on_corpus(name: str, sql: str | None):
+WARNINGS = """warned AS (SELECT 'frontmatter_tag_type_unsupported' AS code, path, 'tags must be a scalar or sequence of scalars' AS message FROM files WHERE kind = 'note' AND doc_id % 8 = 2
+ UNION ALL SELECT 'frontmatter_alias_type_unsupported', path, 'aliases must be a scalar or sequence' FROM files WHERE kind = 'note' AND doc_id % 8 = 2
+ UNION ALL SELECT 'frontmatter_malformed', path, 'frontmatter could not be decoded' FROM files WHERE kind = 'note' AND doc_id % 8 = 6)"""
+
+
+def on_corpus(name: str, sql: str | None, keep: bool = True):
+    """Register a function of the compiled corpus; ``keep`` where it uses facts or links more than once."""
+
     def add(f: Callable[[plan.Compiled], DataFrame]) -> Callable:
-        ENTRIES[name] = Entry(lambda spark, sf_dir: f(plan.compile_corpus(frame(spark, sf_dir, "corpus"))), sql and ctes("corpus") + ",\n" + FILES + "\n" + sql)
+        ENTRIES[name] = Entry(lambda spark, sf_dir: f(plan.compile_corpus(frame(spark, sf_dir, "corpus"), keep)), sql and ctes("corpus") + ",\n" + FILES + ",\n" + WARNINGS + "\n" + sql)
         return f
 
     return add
 
 
-@on_corpus("corpus_files", "SELECT path, kind, extension, CASE WHEN kind = 'note' THEN stem ELSE stem END AS stem, sha256(path) AS path_id, split_part(path, '/', 1) AS top, CAST(2 AS INTEGER) AS depth, regexp_replace(path, '/[^/]*$', '') AS folder FROM files")
+@on_corpus("corpus_files", "SELECT path, kind, extension, stem, sha256(path) AS path_id, split_part(path, '/', 1) AS top, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, regexp_replace(path, '/[^/]*$', '') AS folder FROM files", keep=False)
 def _(c):
     return c.files.select("path", "kind", "extension", "stem", "path_id", P.top_folder("path").alias("top"), P.depth("path").alias("depth"), P.dirname("path").alias("folder"))
 
 
-@on_corpus("corpus_links", "SELECT source_path, CAST(ordinal AS INTEGER) AS ordinal, link_kind, raw_target, display, resolution_status, resolved_target_path, target_kind FROM edges")
+@on_corpus("corpus_links", "SELECT source_path, CAST(ordinal AS INTEGER) AS ordinal, link_kind, raw_target, display, fragment, embed, resolution_status, resolved_target_path, target_kind, candidates FROM edges", keep=False)
 def _(c):
-    return c.links.select("source_path", "ordinal", "link_kind", "raw_target", "display", "resolution_status", "resolved_target_path", "target_kind")
+    return c.links.select("source_path", "ordinal", "link_kind", "raw_target", "display", "fragment", "embed", "resolution_status", "resolved_target_path", "target_kind", F.array_join("candidate_paths", ",").alias("candidates"))
 
 
 @on_corpus("corpus_degrees", "SELECT * FROM degree")
@@ -112,12 +126,12 @@ def _(c):
     return c.orphans
 
 
-@on_corpus("corpus_broken", "SELECT source_path, raw_target, resolution_status FROM edges WHERE resolution_status <> 'resolved'")
+@on_corpus("corpus_broken", "SELECT source_path, raw_target, resolution_status FROM edges WHERE resolution_status <> 'resolved'", keep=False)
 def _(c):
     return c.broken.select("source_path", "raw_target", "resolution_status")
 
 
-@on_corpus("corpus_broken_groups", "SELECT resolution_status AS status, raw_target AS target, split_part(source_path, '/', 1) AS folder, count(*) AS n FROM edges WHERE resolution_status <> 'resolved' GROUP BY ALL")
+@on_corpus("corpus_broken_groups", "SELECT resolution_status AS status, raw_target AS target, split_part(source_path, '/', 1) AS folder, count(*) AS n FROM edges WHERE resolution_status <> 'resolved' GROUP BY ALL", keep=False)
 def _(c):
     return graph.broken_groups(c.broken)
 
@@ -127,30 +141,31 @@ def _(c):
     return graph.orphan_folders(c.orphans)
 
 
-@on_corpus("corpus_tag_index", "SELECT tag, count(DISTINCT path) AS note_count, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(list(variant))), ',') AS variants, array_to_string(list_sort(list_distinct(list(path))), ',') AS note_paths FROM tags GROUP BY 1")
+@on_corpus("corpus_tag_index", "SELECT tag, count(DISTINCT path) AS note_count, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(list(variant))), ',') AS variants, array_to_string(list_sort(list_distinct(list(path))), ',') AS note_paths FROM tags GROUP BY 1", keep=False)
 def _(c):
     return graph.tag_index(c.tags).withColumns({x: F.array_join(x, ",") for x in ("variants", "note_paths")})
 
 
-@on_corpus("corpus_tag_notes", "SELECT tag, path, count(*) AS occurrences FROM tags GROUP BY ALL")
+@on_corpus("corpus_tag_notes", "SELECT tag, path, count(*) AS occurrences FROM tags GROUP BY ALL", keep=False)
 def _(c):
     return graph.tag_notes(c.tags)
 
 
-@on_corpus("corpus_frontmatter", """SELECT field, count(*) AS present_count, CAST(sum(CASE WHEN kind2 = 'null' THEN 1 ELSE 0 END) AS BIGINT) AS null_count, kind2 || '=' || count(*) AS type_counts
- FROM (SELECT unnest(['tags', 'rank', 'empty']) AS field, unnest(['sequence', 'number', 'null']) AS kind2 FROM files WHERE kind = 'note' AND doc_id % 4 = 0) GROUP BY field, kind2""")
+@on_corpus("corpus_frontmatter", """SELECT field, CAST(sum(n) AS BIGINT) AS present_count, CAST(sum(CASE WHEN kind2 = 'null' THEN n ELSE 0 END) AS BIGINT) AS null_count, string_agg(kind2 || '=' || n, ',' ORDER BY kind2) AS type_counts
+ FROM (SELECT field, kind2, count(*) AS n FROM (SELECT unnest(['tags', 'rank', 'empty']) AS field, unnest(['sequence', 'number', 'null']) AS kind2 FROM files WHERE kind = 'note' AND doc_id % 4 = 0
+  UNION ALL SELECT unnest(['tags', 'aliases']), unnest(['mapping', 'number']) FROM files WHERE kind = 'note' AND doc_id % 8 = 2) GROUP BY ALL) GROUP BY field""", keep=False)
 def _(c):
     return graph.frontmatter_stats(c.parsed).withColumn("type_counts", F.array_join(F.transform(F.map_entries("type_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
-@on_corpus("corpus_with_frontmatter", "SELECT count(*) FILTER (doc_id % 4 = 0) AS notes_with_frontmatter FROM files WHERE kind = 'note'")
+@on_corpus("corpus_with_frontmatter", "SELECT count(*) FILTER (doc_id % 2 = 0) AS notes_with_frontmatter FROM files WHERE kind = 'note'", keep=False)
 def _(c):
     return graph.notes_with_frontmatter(c.parsed)
 
 
 @on_corpus("corpus_counts", """SELECT (SELECT count(*) FROM files) AS eligible_files, (SELECT count(*) FROM degree) AS notes, (SELECT count(*) FROM files WHERE kind <> 'note') AS attachments,
  (SELECT count(*) FROM edges) AS link_occurrences, (SELECT count(*) FROM edges WHERE resolution_status <> 'resolved') AS broken_links, (SELECT count(*) FROM orphan WHERE hard_orphan) AS hard_orphans,
- (SELECT count(*) FROM orphan) AS no_backlink_notes, (SELECT count(*) FROM orphan WHERE outbound_only) AS outbound_only_notes, (SELECT count(DISTINCT tag) FROM tags) AS tags, CAST(0 AS BIGINT) AS warnings""")
+ (SELECT count(*) FROM orphan) AS no_backlink_notes, (SELECT count(*) FROM orphan WHERE outbound_only) AS outbound_only_notes, (SELECT count(DISTINCT tag) FROM tags) AS tags, (SELECT count(*) FROM warned) AS warnings""")
 def _(c):
     return c.counts()
 
@@ -161,7 +176,7 @@ def _(c):
     return graph.file_records(c.files, c.degrees, c.tags).select("path", "kind", "incoming_edge_count", "outgoing_neighbor_count", F.array_join("tags", ",").alias("tags"))
 
 
-@on_corpus("corpus_warnings", "SELECT 'x' AS code, path, 'x' AS message FROM files WHERE false")
+@on_corpus("corpus_warnings", "SELECT * FROM warned", keep=False)
 def _(c):
     return c.warnings
 
@@ -179,9 +194,9 @@ def _(d):
     return d.select("page_id", "target", L.is_external("target").alias("external"), L.without_fragment("target").alias("bare"), L.fragment("target").alias("fragment"), L.percent_decoded("target").alias("decoded"))
 
 
-@entry("joined_targets", ("targets_text",), "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'a/up/' || page_id || '/x.md' ELSE folder || '/' || target END AS joined FROM targets_text WHERE page_id % 6 IN (2, 4, 5)")
+@entry("joined_targets", ("targets_text",), "SELECT page_id, CASE WHEN starts_with(target, '/') THEN NULL WHEN page_id % 6 = 5 THEN 'a/up/' || page_id || '/x.md' ELSE rtrim(regexp_replace(folder || '/' || target, '/+', '/', 'g'), '/') END AS joined FROM targets_text")
 def _(d):
-    return d.filter("page_id % 6 IN (2, 4, 5)").select("page_id", P.join_clean("folder", "target").alias("joined"))
+    return d.select("page_id", P.join_clean("folder", "target").alias("joined"))
 
 
 @entry("relative_paths", ("roots",), "SELECT profile_id, CASE WHEN root = '/srv/BUILDING' THEN '' WHEN starts_with(root, '/srv/BUILDING/') THEN substr(root, 15) END AS rel FROM roots")
@@ -189,10 +204,10 @@ def _(d):
     return d.select("profile_id", P.relative_to("root", "/srv/BUILDING").alias("rel"))
 
 
-@entry("contract_digests", ("orders",), "SELECT o_orderkey, sha256(o_orderstatus || chr(0) || o_orderkey) AS framed, CASE WHEN o_orderkey % 3 = 0 THEN 'empty' ELSE sha256(CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE o_orderstatus END) END AS policy FROM orders".replace("chr(0)", "chr(1)"))
+@entry("contract_digests", ("orders",), "SELECT o_orderkey, sha256(encode(o_orderstatus) || '\\x00'::BLOB || encode(CAST(o_orderkey AS VARCHAR))) AS framed, CASE WHEN o_orderkey % 3 = 0 THEN 'empty' ELSE sha256(CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE o_orderstatus END) END AS policy FROM orders")
 def _(d):
     content = F.when(F.col("o_orderkey") % 3 == 1, "").when(F.col("o_orderkey") % 3 == 2, F.col("o_orderstatus"))
-    return d.select("o_orderkey", F.sha2(F.concat_ws("\x01", "o_orderstatus", F.col("o_orderkey").cast("string")).cast("binary"), 256).alias("framed"), L.policy_hash(content).alias("policy"))
+    return d.select("o_orderkey", L.framed_digest("o_orderstatus", F.col("o_orderkey").cast("string")).alias("framed"), L.policy_hash(content).alias("policy"))
 
 
 @entry("parsed_times", ("events",), "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events")
@@ -365,14 +380,15 @@ def _(p):
     return ledger.pending_summary(p)
 
 
-EVENTS_SQL = "SELECT profile_id, path, CASE WHEN event_id % 3 = 0 THEN 'modify' ELSE 'delete' END AS event_kind, ts AS first_seen, ts AS last_seen, event_id AS source_generation FROM raw_events"
+EVENTS_SQL = "SELECT profile_id, path, CASE WHEN event_id % 3 = 0 THEN 'modify' ELSE 'delete' END AS event_kind, ts AS first_seen, ts AS last_seen, event_id AS source_generation, 'hash' || event_id % 3 AS observed_policy_hash, event_id % 4 AS observed_policy_generation, event_id % 5 <> 0 AS policy_context_known FROM raw_events"
 
 
 def _events(d: DataFrame) -> DataFrame:
-    return d.select("profile_id", "path", F.when(F.col("event_id") % 3 == 0, "modify").otherwise("delete").alias("event_kind"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.col("event_id").alias("source_generation"))
+    return d.select("profile_id", "path", F.when(F.col("event_id") % 3 == 0, "modify").otherwise("delete").alias("event_kind"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), F.col("event_id").alias("source_generation"),
+                    F.concat(F.lit("hash"), (F.col("event_id") % 3).cast("string")).alias("observed_policy_hash"), (F.col("event_id") % 4).alias("observed_policy_generation"), (F.col("event_id") % 5 != 0).alias("policy_context_known"))
 
 
-UPSERT = f"SELECT profile_id, path, max_by(event_kind, source_generation) AS event_kind, min(first_seen) AS first_seen, max(last_seen) AS last_seen, max(source_generation) AS source_generation FROM ({EVENTS_SQL}) GROUP BY 1, 2"
+UPSERT = f"SELECT profile_id, path, max_by(event_kind, source_generation) AS event_kind, min(first_seen) AS first_seen, max(last_seen) AS last_seen, max(source_generation) AS source_generation, max_by(observed_policy_hash, source_generation) AS observed_policy_hash, max_by(observed_policy_generation, source_generation) AS observed_policy_generation, max_by(policy_context_known, source_generation) AS policy_context_known FROM ({EVENTS_SQL}) GROUP BY 1, 2"
 
 
 @entry("pending_upsert", ("raw_events",), UPSERT)
@@ -466,7 +482,14 @@ def _(r):
     return publish.expired_generations(g)
 
 
-@entry("scan_fingerprint", ("scan",), None)
+CELL = lambda c: f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length(CAST({c} AS VARCHAR)) || ':' || {c} END"
+PRINT = f""", h AS (SELECT sha256({" || '|' || ".join(map(CELL, ("profile_id", "rel_path", "size", "mod_time")))}) AS h FROM scan),
+p AS (SELECT CAST('0x' || substr(h, 1, 12) AS BIGINT) AS p1, CAST('0x' || substr(h, 13, 12) AS BIGINT) AS p13, CAST('0x' || substr(h, 25, 12) AS BIGINT) AS p25, CAST('0x' || substr(h, 37, 12) AS BIGINT) AS p37 FROM h),
+b AS (SELECT p1 % 4096 AS bucket, count(*) AS n, sum(p1) AS s1, sum(p13) AS s13, sum(p25) AS s25, sum(p37) AS s37, bit_xor(p1) AS x1, bit_xor(p13) AS x13, bit_xor(p25) AS x25, bit_xor(p37) AS x37 FROM p GROUP BY 1)
+SELECT sha256(string_agg(sha256(concat_ws('|', bucket, n, s1, s13, s25, s37, x1, x13, x25, x37)), '' ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_rows FROM b"""
+
+
+@entry("scan_fingerprint", ("scan",), PRINT)
 def _(s):
     return fingerprint.fingerprint(s, ["profile_id", "rel_path", "size", "mod_time"])
 
@@ -570,11 +593,23 @@ def _(e):
     return telemetry.log_summary(e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run_id"), n.alias("line_no"), line.alias("line")))
 
 
-@entry("run_checkpoints", ("frames",), None)
+FOLD = """, f AS (SELECT run_id, seq, epoch_us(ts) AS t, phase, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM frames),
+kept AS (SELECT run_id, seq, k, phase, t AS at, true AS keep FROM f WHERE k = 1
+ UNION ALL SELECT n.run_id, n.seq, n.k, n.phase, CASE WHEN due THEN n.t ELSE n.at END, due FROM (SELECT f.*, p.at, f.phase IS DISTINCT FROM p.phase OR f.t - p.at >= 3600000000 AS due FROM kept p JOIN f ON f.run_id = p.run_id AND f.k = p.k + 1) n)
+"""
+
+
+@entry("run_checkpoints", ("frames",), FOLD + "SELECT run_id, seq FROM kept WHERE keep", recursive=True)
 def _(f):
     return telemetry.checkpoints(f).select("run_id", "seq")
 
 
+@entry("live_rates", ("frames",), FOLD + """SELECT k.run_id, k.seq, k.keep AS checkpoint, round(CASE WHEN f.bytes >= f.b AND f.t > f.p THEN (f.bytes - f.b) * 1e6 / (f.t - f.p) END, 6) AS bytes_rate
+ FROM kept k JOIN (SELECT *, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS p, lag(bytes) OVER w AS b FROM frames WINDOW w AS (PARTITION BY run_id ORDER BY seq)) f ON f.run_id = k.run_id AND f.seq = k.seq""", recursive=True)
+def _(f):
+    return live.live_rates(f).select("run_id", "seq", "checkpoint", F.round("bytes_rate", 6).alias("bytes_rate"))
+
+
 KIND = "CASE event_id % 12 WHEN 1 THEN 'modify' WHEN 2 THEN 'modify' WHEN 3 THEN 'rename' WHEN 4 THEN 'modify' WHEN 9 THEN 'rename' WHEN 11 THEN 'rename' ELSE 'other' END"
 
 
@@ -588,10 +623,29 @@ def _(e):
     return stream.has_destructive(stream.classified(e))
 
 
-@entry("settled_batches", ("raw_events",), None)
+# times run 400 times as fast, so that batches and passes overlap
+SETTLED = f""", e AS (SELECT profile_id, path, {KIND} AS event_kind, us // 1000 AS ms, row_number() OVER (PARTITION BY profile_id ORDER BY us, path) AS seq
+ FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 400 AS us FROM raw_events) WHERE event_id % 12 <> 5),
+steps AS (
+ SELECT profile_id, seq, ms, CASE WHEN safe THEN ms END AS f1, CASE WHEN safe THEN ms END AS f2, CAST(0 AS BIGINT) AS batch, CASE WHEN NOT safe THEN ms + 10000 END AS soon, CASE WHEN NOT safe THEN ms + 60000 END AS late,
+  CAST(NULL AS BIGINT) AS batch_done, CAST(NULL AS BIGINT) AS batch_at, CAST(NULL AS BIGINT) AS full_at FROM (SELECT *, event_kind IN ('create', 'modify') AS safe FROM e) WHERE seq = 1
+ UNION ALL
+ SELECT profile_id, seq, ms, CASE WHEN safe THEN CASE WHEN f1 IS NULL OR b THEN ms ELSE f1 END END, CASE WHEN safe THEN ms END, batch + CASE WHEN f1 IS NULL OR b THEN 1 ELSE 0 END,
+  CASE WHEN NOT safe THEN ms + 10000 WHEN NOT u THEN soon END, CASE WHEN NOT safe THEN coalesce(CASE WHEN NOT u THEN late END, ms + 60000) WHEN NOT u THEN late END,
+  CASE WHEN b THEN batch END, CASE WHEN b THEN least(f2 + 3000, f1 + 30000) END, CASE WHEN u THEN least(soon, late) END
+ FROM (SELECT n.profile_id, n.seq, n.ms, p.f1, p.f2, p.batch, p.soon, p.late, n.event_kind IN ('create', 'modify') AS safe, coalesce(n.ms >= least(p.f2 + 3000, p.f1 + 30000), false) AS b, coalesce(n.ms >= least(p.soon, p.late), false) AS u
+  FROM steps p JOIN e n ON n.profile_id = p.profile_id AND n.seq = p.seq + 1))
+SELECT profile_id, 'full' AS action, NULL AS path, NULL AS event_kind, NULL AS first_ms, NULL AS last_ms, seq - 1 AS source_generation, full_at AS at_ms FROM steps WHERE full_at IS NOT NULL
+UNION ALL SELECT e.profile_id, 'upsert', e.path, max_by(e.event_kind, e.seq), min(e.ms), max(e.ms), max(e.seq), d.batch_at FROM steps s JOIN e ON e.profile_id = s.profile_id AND e.seq = s.seq AND s.f1 IS NOT NULL
+ JOIN steps d ON d.profile_id = s.profile_id AND d.batch_done = s.batch GROUP BY e.profile_id, e.path, d.batch_done, d.batch_at"""
+
+
+@entry("settled_batches", ("raw_events",), SETTLED, recursive=True)
 def _(e):
-    rows = stream.classified(e).select("profile_id", "ts", "path", "event_kind", F.lit(100_000).cast("long").alias("ledger_rows"), F.lit(True).alias("has_success"))
-    return stream.settled_batches(rows)
+    since = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp"))
+    rows = stream.classified(e).select("profile_id", F.timestamp_micros(F.floor(since / 400).cast("long")).alias("ts"), "path", "event_kind", F.lit(100_000).cast("long").alias("ledger_rows"), F.lit(True).alias("has_success"))
+    ms = lambda c: F.unix_millis(c)
+    return stream.settled_batches(rows).select("profile_id", "action", "path", "event_kind", ms("first_seen").alias("first_ms"), ms("last_seen").alias("last_ms"), "source_generation", ms("at").alias("at_ms"))
 
 
 # ---- audit ------------------------------------------------------------------------

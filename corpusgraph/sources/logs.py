@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -26,7 +26,11 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 def progress_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of progress logs with their file and place in it."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("run_id"), F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("line"))
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_name"].alias("run_id"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("k"), m["file_modification_time"].alias("ts"), F.col("value").alias("line"))
+    # a block is read in order by one task
+    place = Window.partitionBy("run_id").orderBy("block", "k")
+    return lines.withColumn("seq", F.row_number().over(place).cast("long") - 1).select("run_id", "seq", "ts", "line")
 
 
 def with_flags(events: DataFrame) -> DataFrame:
@@ -34,6 +38,11 @@ def with_flags(events: DataFrame) -> DataFrame:
     return events.withColumn("flags", F.coalesce(F.expr("try_cast(flags AS bigint)"), F.lit(0)).cast("long"))
 
 
+def static_events(spark: SparkSession, path: str) -> DataFrame:
+    """The change events that a folder of JSON files holds now."""
+    return with_flags(spark.read.schema(EVENTS).json(path))
+
+
 def change_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of JSON change events below a folder."""
     return with_flags(spark.readStream.schema(EVENTS).json(path))

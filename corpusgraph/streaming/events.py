@@ -1,17 +1,21 @@
 """Change events as a stream: classification, coalescing, settled batches, promotion.
 
 One stateful operator per profile keeps pending paths (map state) with a monotonic
-generation.  A batch is due after a quiet SETTLE or MAX_DELAY after its first event;
-destructive or unknown events, a first event without history, or a backlog promote
-the profile to a full pass, debounced with a deadline.
+generation, in two lanes.  Safe events stay in the fast lane: their batch is due
+after a quiet SETTLE, or MAX_DELAY after its first event, whether or not a full pass
+is on its way.  A destructive or unknown event, or a profile's very first event
+without an earlier success, drops what is pending and asks for a full pass: due
+DEBOUNCE after the last such event, DEADLINE after the first at the latest.  A batch
+that is a backlog when it falls due asks for a full pass instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,72 +50,107 @@ def has_destructive(pending: DataFrame) -> DataFrame:
 
 OUT = "profile_id string, action string, path string, event_kind string, first_seen timestamp, last_seen timestamp, source_generation bigint, at timestamp"
 _COLUMNS = ["profile_id", "action", "path", "event_kind", "first_seen", "last_seen", "source_generation", "at"]
+NEVER = 1 << 62
 
 
 def _ts(ms: int) -> pd.Timestamp:
     return pd.Timestamp(ms, unit="ms")
 
 
+@dataclass
+class Lanes:
+    """What the operator knows of a profile beside its pending paths; times in milliseconds, 0 for none."""
+
+    gen: int = 0
+    first: int = 0  # first and last event of the open batch, and how many paths it has
+    last: int = 0
+    paths: int = 0
+    not_before: int = 0  # of the full pass that is asked for
+    deadline: int = 0
+    ledger_rows: int = 0
+
+    def batch_due(self) -> int:
+        return min(self.last + SETTLE, self.first + MAX_DELAY) if self.first else NEVER
+
+    def full_due(self) -> int:
+        return min(self.not_before, self.deadline) if self.deadline else NEVER
+
+    def drop_batch(self) -> None:
+        self.first = self.last = self.paths = 0
+
+    def promote(self, ms: int) -> None:
+        self.drop_batch()
+        self.not_before, self.deadline = max(self.not_before, ms + DEBOUNCE), self.deadline or ms + DEADLINE
+
+    def backlog(self) -> bool:
+        return self.paths > BACKLOG or (self.ledger_rows > 0 and self.paths > BACKLOG_SHARE * self.ledger_rows)
+
+
 class Settle(StatefulProcessor):
     """Emits ``upsert`` rows of a settled batch, or one ``full`` row.
 
-    Input rows: profile_id, ts, path, event_kind, ledger_rows, has_success.
+    Input rows: profile_id, session, ts, path, event_kind, ledger_rows, has_success, seq
+    (the event's number in its profile, or null: the operator counts itself).
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getMapState("pending", "path string", "kind string, first bigint, last bigint, gen bigint")
-        # generation; first and last event of the open batch; deadline of a promotion (0: none)
-        self.meta = handle.getValueState("meta", "gen bigint, first bigint, last bigint, deadline bigint, due bigint")
+        self.meta = handle.getValueState("meta", ", ".join(f"{f.name} bigint" for f in fields(Lanes)))
 
-    def _meta(self) -> list[int]:
-        return list(self.meta.get()) if self.meta.exists() else [0, 0, 0, 0, 0]
+    def _lanes(self) -> Lanes:
+        return Lanes(*self.meta.get()) if self.meta.exists() else Lanes()
 
-    def _due_at(self, due: int) -> None:
+    def _keep(self, lanes: Lanes) -> None:
+        self.meta.update(astuple(lanes))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if due:
+        if (due := min(lanes.batch_due(), lanes.full_due())) < NEVER:
             self.handle.registerTimer(due)
 
+    def _advance(self, profile: str, lanes: Lanes, to: int) -> list[tuple]:
+        """What falls due up to ``to``, in order of time; the batch first where both lanes are due."""
+        out: list[tuple] = []
+        while (at := min(lanes.batch_due(), lanes.full_due())) <= to:
+            if at < lanes.batch_due():
+                out.append((profile, "full", None, None, None, None, lanes.gen, _ts(at)))
+                lanes.not_before = lanes.deadline = 0
+                continue
+            if lanes.backlog():
+                lanes.promote(at)
+            else:
+                rows = [(profile, "upsert", k[0], v[0], _ts(v[1]), _ts(v[2]), v[3], _ts(at)) for k, v in self.pending.iterator()]
+                out += sorted(rows, key=lambda r: r[2])
+                lanes.drop_batch()
+            # state is read and cleared in one step, so no newer version of a path is lost
+            self.pending.clear()
+        return out
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        gen, first, last, deadline, due = self._meta()
+        lanes = self._lanes()
         data = pd.concat(list(rows)).sort_values(["ts", "path"], kind="stable")
         out: list[tuple] = []
         for r in data.itertuples():
             ms = int(r.ts.value // 1_000_000)
-            gen += 1
-            if due and ms >= due:  # what was due before this event goes first
-                out += self._flush(key[0], due, gen - 1, deadline)
-                first = last = deadline = due = 0
-            if deadline or r.event_kind not in SAFE_KINDS or not r.has_success:
-                deadline = deadline or ms + DEADLINE
-                due = min(ms + DEBOUNCE, deadline)
-                self.pending.clear()
+            out += self._advance(key[0], lanes, ms)  # what was due before this event goes first
+            if pd.isna(r.event_kind):  # a time only
                 continue
-            old = self.pending.getValue((r.path,)) if self.pending.exists() and self.pending.containsKey((r.path,)) else None
-            self.pending.updateValue((r.path,), (r.event_kind, old[1] if old else ms, ms, gen))
-            first, last = first or ms, ms
-            due = min(last + SETTLE, first + MAX_DELAY)
-            n = sum(1 for _ in self.pending.keys())
-            if n > BACKLOG or (r.ledger_rows and n > BACKLOG_SHARE * r.ledger_rows):
-                deadline, due = ms + DEADLINE, ms + DEBOUNCE
+            lanes.gen = lanes.gen + 1 if pd.isna(r.seq) else int(r.seq)
+            lanes.ledger_rows = 0 if pd.isna(r.ledger_rows) else int(r.ledger_rows)
+            if r.event_kind not in SAFE_KINDS or (lanes.gen == 1 and not r.has_success):
+                lanes.promote(ms)
                 self.pending.clear()
-        self.meta.update((gen, first, last, deadline, due))
-        self._due_at(due)
+                continue
+            old = self.pending.getValue((r.path,)) if lanes.paths and self.pending.containsKey((r.path,)) else None
+            self.pending.updateValue((r.path,), (r.event_kind, old[1] if old else ms, ms, lanes.gen))
+            lanes.first, lanes.last, lanes.paths = lanes.first or ms, ms, lanes.paths + (old is None)
+        self._keep(lanes)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
-    def _flush(self, profile: str, at: int, gen: int, deadline: int) -> list[tuple]:
-        if deadline:
-            return [(profile, "full", None, None, None, None, gen, _ts(at))]
-        rows = [(profile, "upsert", k[0], v[0], _ts(v[1]), _ts(v[2]), v[3], _ts(at)) for k, v in self.pending.iterator()] if self.pending.exists() else []
-        # only versions that the batch carries are cleared: all, as state is read and cleared in one step
-        self.pending.clear()
-        return sorted(rows, key=lambda r: r[2])
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        gen, _, _, deadline, due = self._meta()
-        out = self._flush(key[0], due, gen, deadline) if due else []
-        self.meta.update((gen, 0, 0, 0, 0))
+        lanes = self._lanes()
+        out = self._advance(key[0], lanes, expiredTimerInfo.getExpiryTimeInMs())
+        self._keep(lanes)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
@@ -125,10 +164,31 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     _ = spark.streams.active
 
 
+def in_sessions(events: DataFrame) -> DataFrame:
+    """Bounded events with their number in the profile and the session they belong to.
+
+    Over a gap as long as a debounce both lanes run empty, so that sessions can be
+    settled apart from one another; a session ends with the first event behind it,
+    which makes due what is left in it.
+    """
+    order = Window.partitionBy("profile_id").orderBy("ts", "path")
+    gap = (F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order)) >= DEBOUNCE + SETTLE + DEBOUNCE).cast("int")
+    return events.withColumns({"seq": F.row_number().over(order).cast("long"), "begins": F.coalesce(gap, F.lit(0))}).withColumn("session", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+
+
 def settled_batches(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Settled batches of classified events (profile_id, ts, path, event_kind, ledger_rows, has_success), by event time.
 
     Over a bounded input what isn't due at its end stays pending.
     """
     keep_state_on_disk(events.sparkSession)
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("profile_id").transformWithStateInPandas(Settle(), OUT, "Append", "EventTime")
+    rows = events.select("profile_id", F.col("ts").cast("timestamp").alias("ts"), "path", "event_kind", F.col("ledger_rows").cast("long").alias("ledger_rows"), "has_success")
+    if events.isStreaming:
+        rows = rows.withColumns({"seq": F.lit(None).cast("long"), "session": F.lit(0).cast("long")})
+    else:
+        told = in_sessions(rows)
+        # each session sees the next one's first event as a time only
+        ends = told.groupBy("profile_id", "session").agg(F.min("ts").alias("ts")).filter("session > 0")
+        none = {c: F.lit(None).cast(told.schema[c].dataType) for c in ("path", "event_kind", "ledger_rows", "has_success", "seq")}
+        rows = told.unionByName(ends.withColumns(none | {"session": F.col("session") - 1}))
+    return rows.withWatermark("ts", delay).groupBy("profile_id", "session").transformWithStateInPandas(Settle(), OUT, "Append", "EventTime")

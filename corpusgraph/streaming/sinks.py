@@ -20,7 +20,8 @@ def pending_snapshots(events: DataFrame, root: str, checkpoint: str) -> Streamin
         publish_snapshot(upsert_pending(before, batch), root, f"b{batch_id}")
 
     cols = ("profile_id", "path", "event_kind", "first_seen", "last_seen", "source_generation")
-    return events.select(*cols).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    context = [c for c in ("observed_policy_hash", "observed_policy_generation", "policy_context_known") if c in events.columns]
+    return events.select(*cols, *context).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rebuild_on_change(scan: DataFrame, known: str | None, rebuild: Callable[[DataFrame], object]) -> str:

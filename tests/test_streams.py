@@ -1,6 +1,7 @@
 """Stateful streams against their batch twins and hand-made timings."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -42,6 +43,43 @@ def test_promotions(spark):
     assert [r[1] for r in batches(spark, backlog)] == ["full"]
 
 
+def test_safe_events_beside_a_full_pass(spark):
+    """Safe events keep their own lane and don't move the full pass; destructive ones do and drop what is pending."""
+    got = batches(spark, [("p", at(0), "a.md", "rename", 1000, True), ("p", at(5), "b.md", "modify", 1000, True), ("p", at(9), "c.md", "modify", 1000, True)])
+    assert got == [("p", "full", None, at(10), 3), ("p", "upsert", "b.md", at(8), 2), ("p", "upsert", "c.md", at(12), 3)]
+    got = batches(spark, [("p", at(0), "a.md", "modify", 1000, True), ("p", at(1), "b.md", "rename", 1000, True), ("p", at(2), "c.md", "create", 1000, True), ("p", at(40), "d.md", "other", 1000, True)])
+    assert got == [("p", "full", None, at(11), 3), ("p", "full", None, at(50), 4), ("p", "upsert", "c.md", at(5), 3)]
+
+
+def test_only_the_first_event_bootstraps(spark):
+    rows = [("p", at(s), f"{s}.md", "modify", 1000, False) for s in (0, 30, 60)]
+    assert [(r[1], r[3]) for r in batches(spark, rows)] == [("full", at(10)), ("upsert", at(33)), ("upsert", at(63))]
+
+
+def test_backlog_is_judged_when_due(spark):
+    """Three paths of 40 are a backlog at the batch's end, not before; the same path again is none."""
+    rows = [("p", at(0), "a.md", "modify", 40, True), ("p", at(1), "a.md", "modify", 40, True), ("p", at(2), "b.md", "modify", 40, True)]
+    assert [r[1] for r in batches(spark, rows)] == ["upsert", "upsert"]
+    got = batches(spark, [*rows, ("p", at(4), "c.md", "modify", 40, True)])
+    assert [(r[1], r[3]) for r in got] == [("full", at(17))]
+
+
+def test_sessions_are_as_one_fold(spark, tmp_path):
+    """The stream, one state a profile, gives what the bounded run gives session by session."""
+    rng = random.Random(4)
+    t, rows = 0, []
+    for k in range(160):
+        t += rng.choice((0, 1, 2, 4, 9, 12, 25, 70))
+        rows.append((f"p{k % 2}", at(t), f"f{rng.randrange(6)}_{k}.md", rng.choice(("modify", "create", "modify", "rename")), 1000, True))
+    rows += [(p, at(t + 5000), "late.md", "modify", 10**6, True) for p in ("p0", "p1")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = events.settled_batches(spark.readStream.schema(df.schema).json(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    key = lambda d: sorted(map(str, d.select("profile_id", "action", "path", "event_kind", "source_generation", "at").collect()))
+    assert key(spark.table("settled").filter("path IS NULL OR path <> 'late.md'")) == key(events.settled_batches(df)) and len(key(events.settled_batches(df))) > 60
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("r1", k, at(60 * k), 100 * k if k % 3 else None, "uploading") for k in range(12)]
     df = spark.createDataFrame(rows, "run_id string, seq long, ts timestamp, bytes long, phase string")
