@@ -9,8 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_canonical, is_reserved
@@ -123,6 +124,14 @@ def readme_summary(counts: DataFrame, generation: str) -> DataFrame:
     return counts.limit(1).select(F.lit("\n".join(page)).alias("value"))
 
 
+def _counts(field: str) -> Callable[[Column], Column]:
+    return lambda r: r[field] > 0
+
+
+def _folder_line(field: str) -> Callable[[Column], Column]:
+    return lambda r: F.concat(F.lit('- "'), r["folder"], F.lit('": '), r[field].cast("string"), F.lit("\n"))
+
+
 def orphan_summary(folders: DataFrame, generation: str) -> DataFrame:
     """The page of orphans: totals, then each class by top folder in order (folder counts are few)."""
     kinds = {"hard": "hard orphans", "no_backlink": "notes without backlinks", "outbound_only": "outbound-only notes"}
@@ -130,8 +139,8 @@ def orphan_summary(folders: DataFrame, generation: str) -> DataFrame:
     total = folders.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds), rows.alias("rows"))
     parts = [F.lit(f"# Orphans\n\nGeneration: `{generation}`\n\nSummary: "), F.concat_ws(", ", *(F.concat(F.col(k).cast("string"), F.lit(f" {what}")) for k, what in kinds.items())), F.lit(".\n")]
     for k, what in kinds.items():
-        own = F.transform(F.filter("rows", lambda r, k=k: r[k] > 0), lambda r, k=k: F.concat(F.lit('- "'), r["folder"], F.lit('": '), r[k].cast("string"), F.lit("\n")))
-        parts += [F.lit(f"\n## {what.capitalize()} by top folder\n\n"), F.array_join(own, "")]
+        lines = F.transform(F.filter("rows", _counts(k)), _folder_line(k))
+        parts += [F.lit(f"\n## {what.capitalize()} by top folder\n\n"), F.array_join(lines, "")]
     return total.select(F.concat(*parts).alias("value"))
 
 

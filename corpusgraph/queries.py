@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import links as L
@@ -14,6 +16,8 @@ from .inputs import ctes, frame
 from .operators import audit, extract, fingerprint, graph, ledger, policy, telemetry
 from .plans import compile as plan
 from .plans import publish
+from .sources import corpus as corpus_source
+from .sources import logs
 from .streaming import events as stream
 from .streaming import rates as live
 
@@ -648,6 +652,148 @@ def _(e):
     return stream.settled_batches(rows).select("profile_id", "action", "path", "event_kind", ms("first_seen").alias("first_ms"), ms("last_seen").alias("last_ms"), "source_generation", ms("at").alias("at_ms"))
 
 
+# ---- sources and publication ------------------------------------------------------
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own below what driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}"
+
+
+@entry("remote_inventory", ("remote",), "SELECT rel_path AS path, CAST(size AS BIGINT) AS size, false AS is_dir FROM remote")
+def _(r):
+    """Listings as JSON lines, some with Name only, read back through the source."""
+    folder = scratch(r.sparkSession)
+    odd = F.col("size") % 2 == 1
+    r.select(F.when(~odd, F.col("rel_path")).alias("Path"), F.when(odd, F.col("rel_path")).otherwise("n").alias("Name"), F.col("size").alias("Size"), F.when(odd, False).alias("IsDir")).write.json(folder)
+    return logs.remote_inventory(r.sparkSession, folder)
+
+
+@entry("path_list", ("odd_paths",), "SELECT trim(replace(path, chr(92), '/'), ' ') AS path FROM odd_paths WHERE doc_id % 9 NOT IN (0, 1, 2, 4, 5) UNION ALL SELECT CASE doc_id % 9 WHEN 0 THEN 'a/b' WHEN 2 THEN 'b' ELSE 'a' END FROM odd_paths WHERE doc_id % 9 IN (0, 2, 5)")
+def _(p):
+    folder = scratch(p.sparkSession)
+    p.select(F.concat(F.lit("  "), "path", F.lit("\r")).alias("value")).write.text(folder)
+    return logs.path_list(p.sparkSession, folder)
+
+
+@entry("progress_log", ("events",), "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_id * 10 AS bytes FROM events")
+def _(e):
+    """One log file of all frames: places in the file are the order in which they were written."""
+    folder = scratch(e.sparkSession)
+    line = F.format_string('{"msg":"%d","stats":{"bytes":%d}}', "event_id", F.col("event_id") * 10)
+    e.orderBy("event_id").select(line.alias("value")).coalesce(1).write.text(folder)
+    log = logs.progress_log(e.sparkSession, folder)
+    return telemetry.progress_frames(log).join(log.select("run_id", "seq", F.get_json_object("line", "$.msg").cast("long").alias("event_id")), ["run_id", "seq"]).select("event_id", "seq", "bytes")
+
+
+@entry("change_feed", ("raw_events",), f"SELECT profile_id, path, CASE WHEN event_id % 12 = 3 THEN 'other' ELSE {KIND} END AS event_kind FROM raw_events WHERE event_id % 12 <> 5")
+def _(e):
+    """Events as JSON files whose flags are text, some no number."""
+    folder = scratch(e.sparkSession)
+    flags = F.when(F.col("event_id") % 12 == 3, "none").otherwise(F.col("flags").cast("string"))
+    e.select("ts", "profile_id", "path", flags.alias("flags")).write.json(folder)
+    return stream.classified(logs.static_events(e.sparkSession, folder)).select("profile_id", "path", "event_kind")
+
+
+@entry("coarse_scan", ("scan",), "SELECT rel_path AS path, size, CAST(mod_time AS BIGINT) AS mtime_s FROM scan")
+def _(s):
+    return corpus_source.coarse(s.select(F.col("rel_path").alias("path"), "size", (F.col("mod_time") * 1_000_000_000 + F.col("size") % 1_000_000_000).alias("mtime_ns")))
+
+
+@entry("scan_counts", ("corpus",), f"SELECT count(*) AS visited, count(*) FILTER (NOT {IGNORED} AND doc_id % 21 <> 0) AS eligible FROM corpus")
+def _(d):
+    """What an observation counts while the scan passes by."""
+    e = d.select("path", F.lit(1).alias("size"), (F.col("doc_id") % 21 == 0).alias("is_symlink"), F.lit(True).alias("is_regular"))
+    v = policy.ignored(e.select("path", F.lit(False).alias("is_dir")), _rules(d))
+    seen = Observation("scan_counts")
+    corpus_source.observed(policy.eligibility(e, v), seen).write.format("noop").mode("overwrite").save()
+    return d.sparkSession.createDataFrame([(seen.get["visited"], seen.get["eligible"])], "visited long, eligible long")
+
+
+@entry("policy_files", ("corpus",), "SELECT 'src' || k || '/' || l || '/.gitignore' AS path, CAST(row_number() OVER (ORDER BY k, l) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT regexp_extract(path, '^src([0-9]+)', 1) AS k, split_part(path, '/', 2) AS l FROM corpus) WHERE k <> '1'")
+def _(d):
+    """Ignore files of every folder, those below an ignored folder left out, parents first."""
+    below = d.select(P.dirname("path").alias("folder")).filter(F.col("folder").rlike("^[^/]*/[^/]*$")).distinct().select(F.concat("folder", F.lit("/.gitignore")).alias("path"), F.lit("*.tmp\n").alias("content"))
+    top = d.sparkSession.createDataFrame([(".gitignore", "/src1/\n")], "path string, content string")
+    taken = [p for p, scope, _ in policy.collect_policy(below.unionByName(top)) if scope]
+    return d.sparkSession.createDataFrame([(p, k) for k, p in enumerate(taken)], "path string, place int")
+
+
+@entry("policy_rules", ("part",), "SELECT 'f' || p_partkey % 5 AS source, p_partkey, CASE p_partkey % 4 WHEN 1 THEN true ELSE false END AS negated, p_partkey % 4 = 2 AS dir_only, p_partkey % 4 = 3 AS bad FROM part")
+def _(p):
+    """Rules and warnings of ignore lines: a quarter each plain, negated, folders only, broken."""
+    k = F.col("p_partkey") % 4
+    line = F.concat(F.when(k == 1, "!").otherwise(""), F.when(k == 3, "[").otherwise(""), F.lit("n"), F.col("p_partkey").cast("string"), F.when(k == 2, "/").otherwise(""))
+    files = p.groupBy((F.col("p_partkey") % 5).alias("f")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content")).collect()
+    rules, warnings = policy.compile_policy([(f"f{r['f']}", "", r["content"]) for r in files])
+    rows = [(r.source, int(re.sub(r"\D", "", r.pattern)), r.negated, r.dir_only, False) for r in rules] + [(w[0], int(re.sub(r"\D", "", w[2])), False, False, True) for w in warnings]
+    return p.sparkSession.createDataFrame(rows, "source string, p_partkey long, negated boolean, dir_only boolean, bad boolean")
+
+
+@on_corpus("published_links", "SELECT source_path, CAST(ordinal AS BIGINT) AS ordinal, raw_target, resolution_status FROM edges")
+def _(c):
+    """LINKS of a generation that was written, verified and read back."""
+    spark = c.links.sparkSession
+    root = scratch(spark)
+    publish.publish(c.artifacts(), root, "g1")
+    if not publish.verify_generation(spark, root).isEmpty():
+        raise RuntimeError("what was published can't be verified")
+    return publish.read_generation(spark, root, "LINKS").select("source_path", "ordinal", "raw_target", "resolution_status")
+
+
+@on_corpus("published_inventory", """SELECT 'FILE_INDEX' AS artifact, count(*) AS records FROM files UNION ALL SELECT 'LINKS', count(*) FROM edges UNION ALL SELECT 'ORPHANS', count(*) FROM orphan UNION ALL SELECT 'BROKEN_LINKS', count(*) FROM edges WHERE resolution_status <> 'resolved'
+ UNION ALL SELECT 'TAG_INDEX', count(DISTINCT tag) FROM tags UNION ALL SELECT 'WARNINGS', count(*) FROM warned UNION ALL SELECT 'FRONTMATTER_STATS', 4 UNION ALL SELECT 'README.md', 11 UNION ALL SELECT 'HEALTH.md', 8""")
+def _(c):
+    """Records of each artifact as the manifest has them, all equal to what a second inventory finds."""
+    spark = c.links.sparkSession
+    root, counts = scratch(spark), c.counts()
+    said = publish.publish(c.artifacts(), root, "g1", {"README.md": publish.readme_summary(counts, "g1"), "HEALTH.md": publish.health_summary(counts, "g1")})["artifacts"]
+    found = publish.inventory(spark, f"{root}/generations/g1", sorted(said))
+    want = spark.createDataFrame([(n, a["bytes"], a["digest"]) for n, a in said.items()], "artifact string, bytes long, digest string")
+    return found.join(want, ["artifact", "bytes", "digest"]).select("artifact", "records")
+
+
+@on_corpus("orphan_page", """SELECT '# Orphans' || chr(10) || chr(10) || 'Generation: `g1`' || chr(10) || chr(10) || 'Summary: ' || sum(h) || ' hard orphans, ' || sum(b) || ' notes without backlinks, ' || sum(o) || ' outbound-only notes.' || chr(10)
+ || chr(10) || '## Hard orphans by top folder' || chr(10) || chr(10) || coalesce(string_agg(CASE WHEN h > 0 THEN '- "' || f || '": ' || h || chr(10) END, '' ORDER BY f), '')
+ || chr(10) || '## Notes without backlinks by top folder' || chr(10) || chr(10) || coalesce(string_agg(CASE WHEN b > 0 THEN '- "' || f || '": ' || b || chr(10) END, '' ORDER BY f), '')
+ || chr(10) || '## Outbound-only notes by top folder' || chr(10) || chr(10) || coalesce(string_agg(CASE WHEN o > 0 THEN '- "' || f || '": ' || o || chr(10) END, '' ORDER BY f), '') AS value
+ FROM (SELECT split_part(path, '/', 1) AS f, count(*) FILTER (hard_orphan) AS h, count(*) FILTER (no_backlink) AS b, count(*) FILTER (outbound_only) AS o FROM orphan GROUP BY 1)""")
+def _(c):
+    return publish.orphan_summary(graph.orphan_folders(c.orphans), "g1")
+
+
+@entry("stable_scan", ("scan",), "SELECT profile_id, rel_path AS path FROM scan")
+def _(s):
+    """Paths of a scan that reads the same before and after its use."""
+    scan = s.select("profile_id", F.col("rel_path").alias("path"), "size", F.col("mod_time").alias("mtime_ns"))
+    return fingerprint.stable_scan(lambda: scan, lambda d: d.select("profile_id", "path"))
+
+
+@entry("first_symlinks", ("scan",), "SELECT profile_id, rel_path AS path, CAST(k AS INTEGER) AS place, greatest(n - 10, 0) AS more FROM (SELECT profile_id, rel_path, row_number() OVER (PARTITION BY profile_id ORDER BY rel_path) AS k, count(*) OVER (PARTITION BY profile_id) AS n FROM scan WHERE size % 3 = 0) WHERE k <= 10")
+def _(s):
+    return ledger.first_skipped(s.select("profile_id", F.col("rel_path").alias("path"), (F.col("size") % 3 == 0).alias("is_symlink")))
+
+
+@entry("pending_in_order", ("pending",), "SELECT profile_id, rel_path AS path, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY first_seen, rel_path) AS INTEGER) AS place FROM pending")
+def _(p):
+    return ledger.by_first_seen(p.withColumnRenamed("rel_path", "path")).select("profile_id", "path", "place")
+
+
+REQUESTS = """SELECT profile_id, request_id, policy_hash, CASE WHEN state = 'preview' AND profile_id IN (SELECT profile_id FROM policies WHERE refresh_state = 'ready') THEN 'superseded' ELSE state END AS state, NULL AS candidate_count, NULL AS candidate_digest FROM requests
+UNION ALL SELECT p.profile_id, 'prune-' || p.profile_id || '-20240110000000', p.hash, 'preview', coalesce(c.n, 0), coalesce(c.d, sha256('')) FROM policies p LEFT JOIN (
+ SELECT profile_id, CAST(sum(n) AS BIGINT) AS n, sha256(unhex(string_agg(hex(encode(d)) || '00', '' ORDER BY batch))) AS d FROM (
+  SELECT profile_id, batch, count(*) AS n, sha256(unhex(string_agg(hex(encode(rel_path)) || '00', '' ORDER BY rel_path))) AS d FROM (
+   SELECT l.profile_id, l.rel_path, (row_number() OVER (PARTITION BY l.profile_id ORDER BY l.rel_path) - 1) // 512 AS batch FROM ledger l JOIN policies p ON p.profile_id = l.profile_id AND p.refresh_state = 'ready' WHERE l.state = 'suppressed' AND l.suppressed_policy_hash = p.hash)
+  GROUP BY 1, 2) GROUP BY 1) c ON c.profile_id = p.profile_id WHERE p.refresh_state = 'ready'"""
+
+
+@entry("prune_requests", ("ledger", "policies", "requests"), REQUESTS)
+def _(l, p, r):
+    at = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    out = ledger.prune_requests(l, p.withColumn("max_delete", F.lit(100)), r.withColumn("created_at", F.timestamp_seconds("created_at")), at)
+    return out.select("profile_id", "request_id", "policy_hash", "state", "candidate_count", "candidate_digest")
+
+
 # ---- audit ------------------------------------------------------------------------
 
 FLAGS = f"""SELECT path, regexp_matches(text, '{audit.SECRET}') AS secret, regexp_matches(text, '{audit.PRIVATE}') AS private, regexp_matches(path, '{audit.CREDENTIAL_FILE}') AS credential_file,

@@ -2,8 +2,8 @@
 
 Spark's own file listing hides names that start with a dot or underscore and rounds
 times, so listing is a Python data source.  The tree must be on storage that every
-executor mounts at the same path.  The driver lists one level of folders for
-partitions; executors walk the rest.
+executor mounts at the same path.  The driver lists folders from the top
+until there are enough for partitions; executors walk the rest.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, size bigint, mtime_ns bigint, is_symlink boolean, is_regular boolean"
 
 
+FOLDERS = 512
+
+
 class Folder(InputPartition):
     def __init__(self, path: str, deep: bool):
         self.path, self.deep = path, deep
@@ -31,8 +34,13 @@ class CorpusReader(DataSourceReader):
         self.skip = {d for d in options.get("skipFolders", ".git").split(",") if d}
 
     def partitions(self) -> list[InputPartition]:
-        own = [e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in self.skip]
-        return [Folder("", False), *(Folder(n, True) for n in sorted(own))]
+        """Folders, a level deeper until there are FOLDERS of them; those above give their own files only."""
+        done: list[InputPartition] = []
+        level = [""]
+        while level and len(done) + len(level) < FOLDERS:
+            done += [Folder(f, False) for f in level]
+            level = [f"{f}/{e.name}" if f else e.name for f in level for e in os.scandir(os.path.join(self.root, f)) if e.is_dir(follow_symlinks=False) and e.name not in self.skip]
+        return [*done, *(Folder(f, True) for f in sorted(level))]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         todo = [partition.path]
@@ -79,6 +87,6 @@ def coarse(scan: DataFrame) -> DataFrame:
     return scan.select("path", "size", F.floor(F.col("mtime_ns") / F.lit(1_000_000_000)).cast("long").alias("mtime_s"))
 
 
-def observed(scan: DataFrame, name: str = "scan") -> DataFrame:
+def observed(scan: DataFrame, name: str | Observation = "scan") -> DataFrame:
     """The scan, counting what passes by (visited, eligible) as an observation."""
     return scan.observe(name, F.count(F.lit(1)).alias("visited"), F.count_if(F.col("status") == "eligible").alias("eligible"))

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import extract, graph, policy
+from corpusgraph.operators import audit, extract, graph, policy
 from corpusgraph.operators.fingerprint import UnstableScan, fingerprint, stable_scan
 from corpusgraph.plans import compile as plan
 from corpusgraph.plans import publish
@@ -115,6 +115,35 @@ def test_scan(spark, tmp_path):
     assert {r["mtime_ns"] % 1_000_000_000 > 0 for r in scan.collect()} >= {True}
 
 
+def test_deep_folders_are_partitions(spark, tmp_path, monkeypatch):
+    for k in range(4):
+        for j in range(3):
+            (tmp_path / f"a/b{k}/c{j}").mkdir(parents=True)
+            (tmp_path / f"a/b{k}/c{j}/x.md").write_text("x")
+    (tmp_path / "a/y.md").write_text("y")
+    monkeypatch.setattr(corpus, "FOLDERS", 6)
+    reader = corpus.CorpusReader({"path": str(tmp_path)}, corpus.CorpusSource({}).schema() and spark.createDataFrame([], corpus.SCHEMA).schema)
+    parts = reader.partitions()
+    found = sorted(r[0] for p in parts for r in reader.read(p))
+    assert len(parts) > 4 and found == sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.md"))
+
+
+def test_pointer_is_replaced_in_one_step(spark, compiled, tmp_path):
+    root = f"file://{tmp_path}/out"
+    for g in ("g1", "g2"):
+        publish.publish({"LINKS": compiled.links}, root, g)
+        assert publish.current(spark, root)["generation"] == g
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["CURRENT.json", "generations"]
+
+
+def test_long_denylist(spark):
+    """Needles meet texts by an inner word; single words and edges of words count as well."""
+    docs = spark.createDataFrame([("a", "some secret project name here"), ("b", "xsecret projects name"), ("c", None), ("d", "project")], "path string, text string")
+    lines = spark.createDataFrame([("secret project name",), ("cret project n",), ("project",), ("# project",), ("",), ("secret  project",)], "needle string")
+    got = sorted((r["path"], r["needle"]) for r in audit.denied(docs, lines).collect())
+    assert got == [("a", "cret project n"), ("a", "project"), ("a", "secret project name"), ("b", "project"), ("d", "project")]
+
+
 def test_fingerprint(spark):
     rows = [("a", 1, 10), ("b", 2, 20), (None, 3, 30)]
     frame = lambda r: spark.createDataFrame(r, "path string, size long, mtime_ns long")
