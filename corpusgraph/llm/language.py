@@ -2,8 +2,10 @@
 
 A bounded sample of labelled text per language is turned into a suffix automaton.
 A document is cut greedily into the longest pieces that occur in a language's
-sample; the language that needs the fewest pieces wins.  The score is one minus
-the winner's pieces over the runner-up's.
+sample.  Longer samples hold longer pieces, so pieces are normalised: their number
+times the logarithm of the sample's length estimates the bits a language's model
+needs (cross-parsing entropy), and the language that needs the fewest wins.  The
+score is one minus the winner's normalised pieces over the runner-up's.
 
 The automata are dense transition tables in which a failed step already leads to
 where the next piece goes on, with its sign telling that a piece ended.  Texts
@@ -13,7 +15,10 @@ together.
 
 Learning reads text and lang only, of documents outside the held-out fold:
 SAMPLE_DOCS documents a language at most, chosen by a hash, SAMPLE_CHARS
-characters in all.  Scoring reads text alone, and all of it.
+characters in all, an equal share of each (what short ones leave over goes to the
+others), taken at a place that a hash chooses.  Scoring reads text alone, and all of
+it.  The LETTERS most frequent letters of the samples have symbols of their own,
+rarer ones share RARE symbols, so that a table is bounded by the sample.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; null
 lang is never learned; with no labelled row everything is ``und``; ties go to
@@ -22,6 +27,7 @@ the language that sorts first; with one language its score is 1.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, LANE, STEP = 60, 40_000, 512, 4 << 20
+LETTERS, RARE, POINTS = 256, 64, 0x110000
 _READY: dict = {}
 
 
@@ -74,30 +81,31 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
     return table
 
 
-def parsers(samples: dict[str, str]) -> tuple[list[str], np.ndarray, int, np.ndarray, np.ndarray]:
-    """Languages, symbol of each code point below 2**16, alphabet size, one table for all languages, their roots.
+def parsers(samples: dict[str, str]) -> tuple[list[str], np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, symbol of each code point, alphabet size, one table for all languages, their roots, logarithms of sample lengths.
 
     Entries are row offsets (state * symbols); an entry e < 0 stands for "a piece
     ended, go on at ~e".
     """
     langs = sorted(samples)
     folded = {x: fold(samples[x]) for x in langs}
-    alphabet = sorted(set("".join(folded.values())) | {" "})
-    code = np.zeros(1 << 16, np.int32)
-    for c in range(1 << 16):
-        # a letter that no sample has is symbol 1, what is no letter is the blank's symbol 0
-        code[c] = 1 if chr(c).isalpha() else 0
-    letters = [c for c in alphabet if c != " " and ord(c) < 1 << 16]
-    for i, c in enumerate(letters):
+    counted = Counter("".join(folded.values()).replace(" ", ""))
+    letters = [c for c, _ in sorted(counted.items(), key=lambda kv: (-kv[1], kv[0]))]
+    own, rare = letters[:LETTERS], letters[LETTERS:]
+    # what is no letter is the blank's symbol 0, a letter that no sample has is symbol 1
+    code = np.fromiter((chr(c).isalpha() for c in range(POINTS)), np.int32, POINTS)
+    for i, c in enumerate(own):
         code[ord(c)] = i + 2
-    for c in range(1 << 16):
+    for c in rare:
+        code[ord(c)] = len(own) + 2 + ord(c) % RARE
+    symbols = len(own) + 2 + (RARE if rare else 0)
+    for c in np.flatnonzero(code).tolist():
         low = chr(c).lower()
         if len(low) == 1 and low != chr(c):
             code[c] = code[ord(low)]
-    symbols = len(letters) + 2
     tables, roots, base = [], [], 0
     for x in langs:
-        t = suffix_automaton(code[np.frombuffer(folded[x].encode("utf-32-le"), np.uint32).clip(max=(1 << 16) - 1)].tolist(), symbols)
+        t = suffix_automaton(code[np.frombuffer(folded[x].encode("utf-32-le"), np.uint32)].tolist(), symbols)
         # one more state: a letter that the sample lacks is a piece of its own
         begin = np.where(t[0] < 0, len(t), t[0])
         t = np.vstack([t, np.full(symbols, -1, np.int32)])
@@ -107,14 +115,14 @@ def parsers(samples: dict[str, str]) -> tuple[list[str], np.ndarray, int, np.nda
         tables.append(t.astype(np.int32))
         roots.append(base * symbols)
         base += len(t)
-    return langs, code, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32)
+    return langs, code, symbols, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array([np.log(2 + len(folded[x])) for x in langs])
 
 
 def pieces(texts: list[str], code: np.ndarray, table: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of each text (rows) in each language (columns), and symbols of each text."""
     sym = []
     for t in texts:
-        s = code[np.minimum(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), (1 << 16) - 1)]
+        s = code[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)]
         if len(s):
             s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]  # runs of blanks are one
         sym.append(s.astype(np.int32))
@@ -142,23 +150,37 @@ def pieces(texts: list[str], code: np.ndarray, table: np.ndarray, roots: np.ndar
     return count, n
 
 
+def shares(lengths: list[int], chars: int) -> list[int]:
+    """Characters to take of texts of these lengths: equal shares, what short ones leave over shared by the others."""
+    out, left = [0] * len(lengths), chars
+    for done, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[i] = min(lengths[i], left // (len(lengths) - done))
+        left -= out[i]
+    return out
+
+
 def learn_samples(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """A bounded sample of text per language of the documents outside the held-out fold."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(), F.lit(False)))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
-    texts = docs.select("doc_id", F.substring("text", 1, chars).alias("text"), F.col("lang").alias("of"))
-    # per_lang rows a language at most
-    got = few.join(texts, (few["doc_id"] == texts["doc_id"]) & (few["lang"] == texts["of"])).select("lang", "k", "text").collect()
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "th")
+    few = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"), F.length("text").alias("n")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
+    by_lang: dict[str, list] = {}
+    for r in few.collect():  # per_lang rows a language at most
+        by_lang.setdefault(r["lang"], []).append(r)
+    asked = []
+    for lang, found in by_lang.items():
+        for r, take in zip(found, shares([r["n"] for r in found], chars)):
+            if take:
+                asked.append((lang, r["th"], r["k"], 1 + r["h"] % (r["n"] - take + 1), take))
+    if not asked:
+        return {}
+    want = docs.sparkSession.createDataFrame(asked, "lang string, th long, k int, start int, take int")
+    texts = docs.withColumn("th", F.xxhash64("text")).join(want, ["lang", "th"])  # a small local table: no exchange of texts
+    got = texts.groupBy("lang", "k").agg(F.min(F.substring(F.col("text"), F.col("start"), F.col("take"))).alias("text")).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["k"], r["text"] or "")):
-        out.setdefault(r["lang"], []).append(r["text"] or "")
-    each = {x: max(1, chars // len(t)) for x, t in out.items()}
-    picked = {}
-    for x, t in out.items():
-        # an equal share of each document first, so that no long one fills the sample
-        picked[x] = "\n".join(s[: 4 * each[x]] for s in t)[:chars]
-    return picked
+    for r in sorted(got, key=lambda r: (r["lang"], r["k"])):
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {lang: "\n".join(t) for lang, t in out.items()}
 
 
 def held_out():
@@ -166,7 +188,7 @@ def held_out():
 
 
 def predict_language(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score, pieces_per_char of every row; reads no column but doc_id (carried) and text."""
+    """doc_id, lang_pred, score, nats_per_char of every row; reads no column but doc_id (carried) and text."""
     rows = docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
     key = hash(tuple(sorted(samples.items())))
 
@@ -174,7 +196,7 @@ def predict_language(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         if key not in _READY:
             _READY.clear()
             _READY[key] = parsers(samples)
-        langs, code, _, table, roots = _READY[key]
+        langs, code, _, table, roots, bits = _READY[key]
         for b in slices(batches, "text", STEP):
             texts = b.column(1).to_pylist()
             pred, score, rate = [], [], []
@@ -183,17 +205,18 @@ def predict_language(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 if t is None or not langs:
                     pred.append("und"), score.append(0.0), rate.append(None)
                     continue
+                c = c * bits
                 best = int(np.argmin(c))
                 rest = np.delete(c, best)
                 pred.append(langs[best])
                 score.append(float(1 - c[best] / rest.min()) if len(rest) else 1.0)
                 rate.append(float(c[best] / max(1, k)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "pieces_per_char"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "nats_per_char"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, pieces_per_char double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, nats_per_char double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     out = predict_language(docs, learn_samples(docs))
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "pieces_per_char")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "nats_per_char")

@@ -4,10 +4,11 @@ Blanks become the model's blank mark and a text is cut before each run of marks,
 and around each character that no piece of the model holds together with others:
 no merge crosses these cuts (checked against the model's pieces when it is read).
 The distinct units of a batch are laid out as one flat array of symbols.  In every
-round each unit finds the rank of its best pair (segmented minimum), merges the
-leftmost one that has it, and the array is compacted, until no pair is left.
-A unit longer than LONG symbols would need that many rounds; such units take a
-heap instead, with the same order of merges.
+round each unit finds the rank of its best pair (segmented minimum) and merges all
+pairs that have it, leftmost first, at once; the array is compacted, until no pair is
+left.  Where one of these merges forms a pair that ranks before the others, the
+library would take that one next; such a unit merges its leftmost pair alone in that
+round.  Long units need more rounds, in which the others take no part any more.
 
 The ids of a unit are kept for the other batches of a task, within a bound.
 
@@ -20,7 +21,6 @@ rows.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import ranges, slices
 
-MARK, LONG, KEEP, STEP = "▁", 96, 200_000, 2 << 20
+MARK, KEEP, STEP = "▁", 200_000, 2 << 20
+NONE = np.iinfo(np.int64).max
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -76,7 +77,14 @@ class PieceModel:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair = np.array(keys, np.int64)[order]
         self.into = np.array(into, np.int32)[order]
-        self.ids_of_symbol = [self._ids(p) for p in self.text]
+        ids = [self._ids(p) for p in self.text]
+        self.size_of_symbol = np.array([len(i) for i in ids], np.int64)
+        self.flat_ids = np.array([i for own in ids for i in own], np.int64)
+        # the symbol of each code point that is one
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, k in self.symbol.items():
+            if len(p) == 1:
+                self.single[ord(p)] = k
         # begin and end of each piece's bytes, for decoding
         self.blob = np.frombuffer(b"".join(self.piece_bytes), np.uint8)
         self.blob_len = np.array([len(b) for b in self.piece_bytes], np.int64)
@@ -103,86 +111,95 @@ class PieceModel:
         at[at == len(self.pair)] = 0
         return np.where(self.pair[at] == key, self.into[at], -1)
 
-    def merge_units(self, units: list[str]) -> list[list[int]]:
-        """Final symbols of each unit, by rounds over one flat array."""
-        known = len(self.symbol)
-        flat_list = [self.symbol.get(c, -1) for u in units for c in u]
-        if -1 in flat_list:  # characters the model doesn't know: each is a symbol of this call
-            extra: dict[str, int] = {}
-            flat_list = [self.symbol[c] if c in self.symbol else extra.setdefault(c, known + len(extra)) for u in units for c in u]
-            names = [*self.text, *extra]
-        else:
-            names = self.text
-        sym = np.array(flat_list, np.int64)
+    def merge_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Final symbols of all units joined, how many each has, and the characters behind symbols the model lacks."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        sym = self.single[codes].astype(np.int64)
+        lacking = sym < 0  # characters the model doesn't know: each is a symbol of this call
+        extra, which = np.unique(codes[lacking], return_inverse=True)
+        sym[lacking] = len(self.text) + which
         length = np.array([len(u) for u in units], np.int64)
         done = np.empty(len(sym), np.int64)
         done_len = np.zeros(len(units), np.int64)
         done_at = np.cumsum(length) - length
         live = np.arange(len(units))
-        none = np.iinfo(np.int64).max
+        seg = np.repeat(live, length)
+        # what each symbol and the next of its unit merge into, and that pair's rank
+        to, rank = np.full(len(sym), -1, np.int64), np.full(len(sym), NONE)
+        at = np.flatnonzero(seg[1:] == seg[:-1])
+        to[at] = self.lookup(sym[at], sym[at + 1])
+        rank[at] = self.ranks(to[at])
         while len(live):
-            start = np.cumsum(length) - length
+            best = np.minimum.reduceat(rank, np.cumsum(length) - length)
+            if (end := best == NONE).any():
+                out = np.repeat(end, length)
+                done_len[live[end]] = length[end]
+                done[ranges(done_at[live[end]], length[end])] = sym[out]
+                sym, to, rank = sym[~out], to[~out], rank[~out]
+                live, length, best = live[~end], length[~end], best[~end]
+                if not len(live):
+                    break
             seg = np.repeat(np.arange(len(live)), length)
-            to = np.full(len(sym), -1, np.int64)
-            inner = seg[1:] == seg[:-1] if len(sym) else np.zeros(0, bool)
-            at = np.flatnonzero(inner)
-            to[at] = self.lookup(sym[at], sym[at + 1])
-            rank = np.where(to >= 0, self.rank[to], none)
-            best = np.minimum.reduceat(rank, start)
-            hit = np.flatnonzero((rank == best[seg]) & (rank != none))
-            first = np.r_[True, seg[hit][1:] != seg[hit][:-1]] if len(hit) else np.zeros(0, bool)
-            hit = hit[first]  # the leftmost of each unit
-            keep = np.ones(len(sym), bool)
+            hit = self.sites(sym, to, rank, seg, np.flatnonzero(rank == best[seg]))
             sym[hit] = to[hit]
+            keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            still = best != none
-            over = ~still[seg]
-            if over.any():
-                end = np.flatnonzero(~still)
-                done_len[live[end]] = length[end]
-                done[ranges(done_at[live[end]], length[end])] = sym[over]
-                keep &= ~over
-            length = (length - np.bincount(seg[hit], minlength=len(live)))[still]
-            live, sym = live[still], sym[keep]
-        return [[names[s] if s >= known else s for s in done[a : a + n].tolist()] for a, n in zip(done_at, done_len)]
-
-    def merge_long(self, unit: str) -> list[str]:
-        """The same merges with a heap, for a unit of very many symbols."""
-        text, n = list(unit), len(unit)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and nxt[i] >= 0 and (s := self.score.get(p := text[i] + text[nxt[i]])) is not None:
-                heapq.heappush(heap, (-s, i, p))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, p = heapq.heappop(heap)
-            if not text[i] or nxt[i] < 0 or text[i] + text[nxt[i]] != p:
-                continue
-            j = nxt[i]
-            text[i], text[j], nxt[i] = p, "", nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            offer(prev[i])
-            offer(i)
-        return [t for t in text if t]
+            length -= np.bincount(seg[hit], minlength=len(live))
+            hit -= np.arange(len(hit))  # places after compaction
+            sym, to, rank, seg = sym[keep], to[keep], rank[keep], seg[keep]
+            # only pairs of a merged symbol have changed
+            moved = np.zeros(len(sym), bool)
+            moved[hit] = moved[np.maximum(hit - 1, 0)] = True
+            at = np.flatnonzero(moved)
+            to[at], rank[at] = -1, NONE
+            at = at[at + 1 < len(sym)]
+            at = at[seg[at] == seg[at + 1]]
+            to[at] = self.lookup(sym[at], sym[at + 1])
+            rank[at] = self.ranks(to[at])
+        return done[ranges(done_at, done_len)], done_len, [chr(c) for c in extra]
+
+    def ranks(self, to: np.ndarray) -> np.ndarray:
+        return np.where(to >= 0, self.rank[to], NONE)
+
+    def sites(self, sym: np.ndarray, to: np.ndarray, rank: np.ndarray, seg: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which of the pairs at ``hit``, the best of their units, merge in this round.
+
+        Of overlapping pairs the leftmost, and so on along the unit.  One merge after
+        the other would do the same, unless a merge forms a pair that ranks before the
+        others; in a unit where one does, only the leftmost pair merges now.
+        """
+        begins = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1] + 1])
+        place = np.arange(len(hit)) - np.repeat(begins, np.diff(np.r_[begins, len(hit)]))
+        hit = hit[place % 2 == 0]
+        own = seg[hit]
+        first = np.r_[True, own[1:] != own[:-1]]
+        if first.all():
+            return hit
+        into = to[hit]
+        before = np.full(len(hit), NONE)
+        left = hit - 1
+        in_unit = (left >= 0) & (seg[left] == own)
+        beside = np.r_[False, hit[1:] == hit[:-1] + 2] & ~first
+        with_left = np.where(beside, np.r_[into[:1], into[:-1]], sym[left])
+        before[in_unit] = self.ranks(self.lookup(with_left[in_unit], into[in_unit]))
+        right = np.minimum(hit + 2, len(sym) - 1)
+        in_unit = (hit + 2 < len(sym)) & (seg[right] == own)
+        after = np.full(len(hit), NONE)
+        after[in_unit] = self.ranks(self.lookup(into[in_unit], sym[right][in_unit]))
+        one = np.zeros(int(own[-1]) + 1, bool)
+        one[own[np.minimum(before, after) < rank[hit]]] = True
+        return hit[first | ~one[own]]
 
     def ids_of(self, units: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each unit."""
-        out: dict[str, tuple[int, ...]] = {}
-        short = [u for u in units if 0 < len(u) <= LONG]
-        for u, symbols in zip(short, self.merge_units(short) if short else []):
-            ids: list[int] = []
-            for s in symbols:
-                ids.extend(self.ids_of_symbol[s] if isinstance(s, int) and s < len(self.ids_of_symbol) else self._ids(s if isinstance(s, str) else self.text[s]))
-            out[u] = tuple(ids)
-        for u in units:
-            if len(u) > LONG:
-                out[u] = tuple(i for s in self.merge_long(u) for i in self._ids(s))
-        return out
+        """The ids of each unit; none is empty."""
+        symbols, count, extra = self.merge_units(units)
+        more = [self._ids(c) for c in extra]
+        size = np.r_[self.size_of_symbol, np.array([len(i) for i in more], np.int64)]
+        flat = np.r_[self.flat_ids, np.array([i for ids in more for i in ids], np.int64)]
+        at = np.cumsum(size) - size
+        ids = flat[ranges(at[symbols], size[symbols])].tolist()
+        ends = np.r_[0, np.cumsum(size[symbols])][np.cumsum(count)].tolist()
+        return {u: tuple(ids[i:j]) for u, i, j in zip(units, [0, *ends], ends)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, begin and end included."""

@@ -121,7 +121,7 @@ def test_language(spark, docs, empty):
 
 def test_pieces_equal_slow_parse():
     sample = {"a": "banana bandana", "b": "cabana cab"}
-    langs, code, _, table, roots = language.parsers(sample)
+    langs, code, _, table, roots, _ = language.parsers(sample)
     texts = ["Banana, cab!", "zzz ban", "x" * 1300, ""]
     count, _ = language.pieces(texts, code, table, roots)
     for t, row in zip(texts, count):
@@ -329,6 +329,16 @@ def test_random_pieces():
         assert model.decode(got).decode("utf-8", "replace") == sp.decode(ids)
 
 
+def test_merges_at_once():
+    """Few letters make equal pairs stand side by side, and long units without blanks: ids as the library's."""
+    import sentencepiece
+
+    sp, model, rng = sentencepiece.SentencePieceProcessor(model_file=model_path()), pieces.model_at(model_path()), random.Random(7)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aeiou", "etaoin", "01", "=-_*", "のか") for n in (3, 9, 40, 97, 300, 2500) for _ in range(5)]
+    for t, got in zip(texts, model.encode(texts)):
+        assert got.tolist() == sp.encode(t, add_bos=True, add_eos=True)
+
+
 def test_pieces_beyond_the_kept_store(monkeypatch):
     import sentencepiece
 
