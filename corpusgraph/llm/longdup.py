@@ -5,7 +5,7 @@ Suffix buckets come from the content: all windows of SPAN bytes whose smallest
 gram is the same are one bucket (``windows``), so equal windows always meet.
 
 1. One pass over the texts gives runs of windows (bucket h, a hash of the run's
-   bytes).  Counting (h, hash), summed up in the tasks before one shuffle by h, finds
+   bytes), kept as arrays.  Counting (h, hash), summed up in the tasks before one shuffle by h, finds
    runs that occur twice as a whole, and buckets with more than one run text.
    Everything else is unique.
 2. Only one run of each text in such a bucket is sorted: its bytes go to the
@@ -57,19 +57,27 @@ def _runs_of(b: pa.RecordBatch, span: int) -> tuple[np.ndarray, ...]:
     return doc, h.view(np.int64), ch, first - off[doc], last - off[doc]
 
 
-def run_rows(docs: DataFrame, span: int) -> DataFrame:
-    """doc_id, th, h, ch, first, last of every run of windows."""
+def packed_runs(docs: DataFrame, span: int) -> DataFrame:
+    """doc_id, th and the runs of windows of each text that has any, as arrays h, ch, first, last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
             doc, h, ch, first, last = _runs_of(b, span)
-            take = pa.array(doc.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(ch), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "th", "h", "ch", "first", "last"])
+            count = np.bincount(doc, minlength=b.num_rows)
+            ends = pa.array(np.r_[0, np.cumsum(count[count > 0])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, ch, first.astype(np.int32), last.astype(np.int32))]
+            some = pa.array(np.flatnonzero(count).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), *lists], ["doc_id", "th", "h", "ch", "first", "last"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h array<long>, ch array<long>, first array<int>, last array<int>")
+
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h long, ch long, first int, last int")
+def run_rows(packed: DataFrame) -> DataFrame:
+    """doc_id, th, h, ch, first, last of every run of windows."""
+    return packed.select("doc_id", "th", F.explode(F.arrays_zip("h", "ch", "first", "last")).alias("r")).select("doc_id", "th", "r.*")
 
 
-def run_counts(docs: DataFrame, span: int) -> DataFrame:
+def run_counts(packed: DataFrame) -> DataFrame:
     """h, ch, n, least (the smallest mark of an occurrence), summed up over FLUSH runs at a time."""
 
     def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -82,17 +90,18 @@ def run_counts(docs: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        for b in slices(batches, "text", STEP):
-            doc, h, ch, first, _ = _runs_of(b, span)
-            own, th = (np.asarray(b.column(k))[doc] for k in (0, 1))
-            held.append((h, ch, own ^ th ^ (first << 32)))
+        for b in batches:
+            h, ch, first = (b.column(k).flatten().to_numpy() for k in (2, 3, 4))
+            count = np.diff(b.column(2).offsets.to_numpy())
+            own, th = (np.repeat(b.column(k).to_numpy(), count) for k in (0, 1))
+            held.append((h, ch, own ^ th ^ (first.astype(np.int64) << 32)))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield summed(held)
                 held = []
         if held:
             yield summed(held)
 
-    return _keyed(docs).mapInArrow(run, "h long, ch long, n long, least long")
+    return packed.select("doc_id", "th", "h", "ch", "first").mapInArrow(run, "h long, ch long, n long, least long")
 
 
 def _mark() -> Column:
@@ -201,10 +210,11 @@ def count_windows(rows: DataFrame, span: int) -> DataFrame:
 def marks(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
     """Per document with any: ``spans`` of runs that repeat as a whole, and runs that ``want`` sorting."""
     # tasks have summed up what repeats, so one partition by h holds few rows of a frequent run
-    counted = run_counts(docs, span).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    packed = cut_lineage(packed_runs(docs, span))
+    counted = run_counts(packed).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     buckets = counted.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("n_h")).filter("n_h > 1").select("h", "different")
     known = cut_lineage(counted.join(buckets, "h").select("h", "ch", (F.col("n") > 1).alias("whole"), "least", "different"))
-    met = run_rows(docs, span).join(known, ["h", "ch"])
+    met = run_rows(packed).join(known, ["h", "ch"])
     pick = (F.col("different") > 1) & (_mark() == F.col("least"))
     each = met.filter(F.col("whole") | pick).groupBy("doc_id", "th").agg(
         F.collect_set(F.when(F.col("whole"), F.struct(F.col("first").alias("a"), (F.col("last") + span).alias("b")))).alias("spans"),

@@ -13,6 +13,7 @@ import numpy as np
 from .common import mix64
 
 SPAN, GRAM = 400, 32
+_FACTORS = {8: 0x9E3779B97F4A7C15, 16: 0xC2B2AE3D27D4EB4F}
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -21,12 +22,9 @@ def grams(data: np.ndarray) -> np.ndarray:
         g = data.astype(np.uint64)
         reach = 1
         while reach < GRAM:  # twice as many bytes from two halves: packed up to 8, hashed beyond
-            if reach < 8:
-                g = (g[:-reach] << np.uint64(8 * reach)) | g[reach:]
-            else:
-                g = mix64(g[:-reach] * np.uint64(0x9E3779B97F4A7C15) + g[reach:])
+            g = (g[:-reach] << np.uint64(8 * reach)) | g[reach:] if reach < 8 else g[:-reach] * np.uint64(_FACTORS[reach]) + g[reach:]
             reach *= 2
-    return g
+        return mix64(g)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -50,14 +48,12 @@ def runs(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> tuple[np.ndarra
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
     h = grams(data)
     pick = sliding_argmin(h, span - GRAM + 1)[: n - span + 1]
-    size = np.diff(off)
-    doc_of = np.repeat(np.arange(len(size)), size)
-    starts = np.arange(len(pick))
-    ok = doc_of[: len(pick)] == doc_of[starts + span - 1]
-    starts, pick, doc = starts[ok], pick[ok], doc_of[: len(pick)][ok]
-    if not len(starts):
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    new = np.r_[True, (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:] - 1, len(starts) - 1]
-    return doc[first], starts[first], starts[last], pick[first], h[pick[first]]
+    # a run ends where the gram changes or the document does
+    change = np.r_[True, pick[1:] != pick[:-1]]
+    change[off[:-1][np.diff(off) >= span]] = True
+    first = np.flatnonzero(change)
+    doc = np.searchsorted(off, first, "right") - 1
+    last = np.minimum(np.r_[first[1:], len(pick)] - 1, off[doc + 1] - span)
+    inside = last >= first  # the others begin where no window fits into the document any more
+    doc, first, last = doc[inside], first[inside], last[inside]
+    return doc, first, last, pick[first], h[pick[first]]
