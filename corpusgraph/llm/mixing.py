@@ -11,7 +11,8 @@ sample, r - floor(r), moves through the null space of two constraints, words and
 documents, three documents at a time, until each is 0 or 1.  Blocks of BLOCK
 documents do so in parallel and leave two undecided documents each at most; the
 rest meet again in fewer blocks, round after round, so a source's last block is
-small whatever its size.  The last two are landed on the nearest total.
+small whatever its size.  Its last LANDED documents don't fly; with the two left over
+they are landed on the nearest totals, by trying all ways.
 
 Edge cases: null text has size 0 and is never taken for words; null source is a
 source of its own and comes last; repeated rows are units of their own; an
@@ -21,7 +22,6 @@ empty table or one without words gives targets of 0; other columns stay out.
 from __future__ import annotations
 
 import zlib
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, word_count
 
-BLOCK, EPS = 4096, 1e-9
+BLOCK, LANDED, EPS = 4096, 10, 1e-9
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -57,12 +57,13 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select("src", "source", "n_docs", "source_size", target.alias("target"))
 
 
-def flight(size: list[float], p: list[float], seed: int) -> list[int]:
-    """Move p in place until no step keeps both totals; return what is still undecided."""
+def flight(size: list[float], p: list[float], seed: int, held: int = 0) -> list[int]:
+    """Move p in place until no step keeps both totals; return what is still undecided, the last ``held`` documents with it."""
     draw = np.random.RandomState(seed).random_sample
     left: list[int] = []
     todo = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
-    todo.reverse()
+    kept = todo[len(todo) - held :] if held else []
+    todo = todo[: len(todo) - len(kept)][::-1]
     rolls, at = draw(len(todo) + 1), 0
     while True:
         while len(left) < 3 and todo:
@@ -75,7 +76,7 @@ def flight(size: list[float], p: list[float], seed: int) -> list[int]:
         elif len(left) == 2 and size[left[0]] == size[left[1]]:
             u = (1.0, -1.0)
         else:
-            return left
+            return left + kept
         up = min((((1 - p[i]) if d > 0 else p[i]) / abs(d)) for i, d in zip(left, u) if d)
         down = min(((p[i] if d > 0 else (1 - p[i])) / abs(d)) for i, d in zip(left, u) if d)
         if at == len(rolls):
@@ -92,17 +93,21 @@ def flight(size: list[float], p: list[float], seed: int) -> list[int]:
 
 
 def land(size: list[float], p: list[float], left: list[int]) -> None:
-    """Decide the last documents so that words, then documents, come nearest."""
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda z: (abs(sum((v - p[i]) * size[i] for v, i in zip(z, left))), abs(sum(v - p[i] for v, i in zip(z, left))), z))
-    for v, i in zip(best, left):
-        p[i] = v
+    """Decide the last documents so that words (whole ones), then documents, come nearest; all ways are tried."""
+    k, w = np.array([p[i] for i in left]), np.array([size[i] for i in left])
+    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    words, docs = np.abs(ways @ w - k @ w), np.abs((ways - k).sum(axis=1))
+    best = np.lexsort((words, docs, np.floor(words)))[0]
+    for v, i in zip(ways[best].tolist(), left):
+        p[i] = float(v)
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "size", "p"], kind="stable", na_position="last").reset_index(drop=True)
     size, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
-    left = flight(size, p, zlib.crc32(f"{pdf['src'][0]}/{pdf['block'][0]}/{pdf['turn'][0]}".encode()))
-    if pdf["blocks"][0] == 1:
+    last = pdf["blocks"][0] == 1
+    left = flight(size, p, zlib.crc32(f"{pdf['src'][0]}/{pdf['block'][0]}/{pdf['turn'][0]}".encode()), LANDED if last else 0)
+    if last:
         land(size, p, left)
     pdf["p"] = p
     return pdf

@@ -49,16 +49,21 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def _nodes(rows: DataFrame, nodes: list[tuple], schema: str) -> DataFrame:
-    """Join a small table of open nodes (one row for each, fewer than there are shards)."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(nodes, schema)), "node")
+def _case(values: dict[int, int]) -> Column:
+    """The value of each open node, of which there are fewer than shards."""
+    (first, v), *more = values.items()
+    out = F.when(F.col("node") == first, F.lit(v))
+    for n, v in more:
+        out = out.when(F.col("node") == n, F.lit(v))
+    return out
 
 
 def _cuts(rows: DataFrame, nodes: dict[int, int], scale: list[int]) -> dict[int, tuple[int, int]]:
     """For each node (first shard -> number of shards) its dimension and the last coordinate of the left child."""
     dims = range(len(DIMS))
     high = lambda d: F.shiftright(F.col("at")[d], 32)
-    extents = _nodes(rows, [(n,) for n in nodes], "node int").groupBy("node").agg(F.sum("size").alias("w"), *(F.min(high(d)).alias(f"lo{d}") for d in dims), *(F.max(high(d)).alias(f"hi{d}") for d in dims)).collect()
+    rows = rows.filter(F.col("node").isin(*nodes))
+    extents = rows.groupBy("node").agg(F.sum("size").alias("w"), *(F.min(high(d)).alias(f"lo{d}") for d in dims), *(F.max(high(d)).alias(f"hi{d}") for d in dims)).collect()
     dim, goal, prefix, before = {}, {}, {}, {}
     for r in extents:
         k = nodes[r["node"]]
@@ -68,9 +73,8 @@ def _cuts(rows: DataFrame, nodes: dict[int, int], scale: list[int]) -> dict[int,
     for step in range(ROUNDS if dim else 0):
         shift = BITS * (ROUNDS - 1 - step)
         bins = (
-            _nodes(rows, [(n, d, prefix[n]) for n, d in dim.items()], "node int, dim int, prefix long")
-            .select("node", "size", "prefix", F.shiftright(F.col("at")[F.col("dim")], shift).alias("bin"))
-            .filter(F.shiftright("bin", BITS) == F.col("prefix"))
+            rows.select("node", "size", F.shiftright(F.col("at")[_case(dim)], shift).alias("bin"))
+            .filter(F.shiftright("bin", BITS) == _case(prefix))
             .groupBy("node", "bin")
             .agg(F.sum("size").alias("w"))
             .collect()
@@ -93,17 +97,25 @@ def kd_shards(measured: DataFrame, shards: int) -> DataFrame:
     """Add the column ``shard`` to rows that have ``size`` and the coordinates."""
     span = measured.agg(*(f(F.shiftright(d, 32)).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max)))).first()
     scale = [max(1, (span[f"hi_{d}"] or 0) - (span[f"lo_{d}"] or 0)) for d in DIMS]
-    rows = measured.withColumn("at", F.array(*DIMS)).drop(*DIMS).withColumn("node", F.lit(0))
-    nodes = {0: shards}
+    rows = measured.withColumn("at", F.array(*DIMS)).drop(*DIMS)
+    splits: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def node(level: int, n: int) -> Column:
+        """Where a row stands below node n of a level: one expression of the splits found so far."""
+        if (level, n) not in splits:
+            return F.lit(n)
+        d, cut, half = splits[level, n]
+        return F.when(F.col("at")[d] > cut, node(level + 1, n + half)).otherwise(node(level + 1, n))
+
+    nodes, level = {0: shards}, 0
     while any(k > 1 for k in nodes.values()):
-        cuts = _cuts(rows, {n: k for n, k in nodes.items() if k > 1}, scale)
+        cuts = _cuts(rows.withColumn("node", node(0, 0)), {n: k for n, k in nodes.items() if k > 1}, scale)
         if not cuts:
             break  # no rows
-        table = [(n, *cuts.get(n, (0, 1 << 62)), k // 2) for n, k in nodes.items()]
-        go = F.when(F.col("at")[F.col("dim")] > F.col("cut"), F.col("more")).otherwise(F.lit(0))
-        rows = _nodes(rows, table, "node int, dim int, cut long, more int").withColumn("node", F.col("node") + go).drop("dim", "cut", "more")
+        splits |= {(level, n): (*cuts.get(n, (0, 1 << 62)), k // 2) for n, k in nodes.items() if k > 1}
         nodes = {n: k for n, k in nodes.items() if k == 1} | {m: c for n, k in nodes.items() if k > 1 for m, c in ((n, k // 2), (n + k // 2, k - k // 2))}
-    return rows.withColumnRenamed("node", "shard").drop("at")
+        level += 1
+    return rows.withColumn("shard", node(0, 0)).drop("at")
 
 
 def with_slots(rows: DataFrame, keys: list[str], parts: int = 256) -> DataFrame:

@@ -95,6 +95,16 @@ def test_flight_keeps_both_totals():
     assert sum(p) == pytest.approx(0.37 * 3000, abs=1e-6) and sum(a * b for a, b in zip(size, p)) == pytest.approx(0.37 * sum(size), rel=1e-9)
 
 
+def test_landing_is_near(spark):
+    """Fifty documents a source: taken words come within a hundredth of the target."""
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randrange(20, 400)), None, f"s{i % 3}") for i in range(150)] + [(None, "one two", None, "s0"), (3, None, None, "s1")]
+    out = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA))
+    source = out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(source) == 3 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in source)
+    assert out.count() == len(rows) and out.filter("doc_id IS NULL").count() == 1
+
+
 def test_many_blocks(spark):
     df = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 50 + 1).cast("long").alias("size"))
     t = spark.createDataFrame([(0, "s", 9000, 229500, 229500 * 0.4)], "src int, source string, n_docs long, source_size long, target double")
@@ -372,6 +382,40 @@ def test_shards(spark, docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def slow_shards(at, size, rows, shards, first, span, dims):
+    """The k-d tree one split after the other: groups of equal coordinates stay whole, the cut nearest the median weight."""
+    if shards == 1 or not rows:
+        return {r: first for r in rows}
+    wide = lambda d: (max(at[r][d] >> 32 for r in rows) - min(at[r][d] >> 32 for r in rows)) / span[d]
+    d = max(range(dims), key=wide)
+    goal, weight = sum(size[r] for r in rows) * (shards // 2) / shards, collections.Counter()
+    for r in rows:
+        weight[at[r][d]] += size[r]
+    before, cut = 0, None
+    for k, (c, w) in enumerate(sorted(weight.items())):
+        if before + w >= goal or k == len(weight) - 1:
+            cut = c - 1 if w - (goal - before) > goal - before else c
+            break
+        before += w
+    left, right = [r for r in rows if at[r][d] <= cut], [r for r in rows if at[r][d] > cut]
+    half = shards // 2
+    return slow_shards(at, size, left, half, first, span, dims) | slow_shards(at, size, right, shards - half, first + half, span, dims)
+
+
+def test_shards_equal_slow_tree(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(0, 80)) + rng.choice(["", "\n\n", " é🦊" * rng.randrange(9)]), None, None) for i in range(500)] + [(None, None, None, None), (7, "", None, None), (7, "x" * 30_000, None, None)]
+    rows += [(900 + i, rows[0][1], None, None) for i in range(60)]
+    measured = sharding.measure(spark.createDataFrame(rows, SCHEMA)).withColumn("n", F.monotonically_increasing_id())
+    measured = measured.checkpoint()
+    told = measured.collect()
+    at, size = {r["n"]: [r[d] for d in sharding.DIMS] for r in told}, {r["n"]: r["size"] for r in told}
+    span = [max(1, max(a[d] >> 32 for a in at.values()) - min(a[d] >> 32 for a in at.values())) for d in range(3)]
+    for shards in (1, 5, 24):
+        got = {r["n"]: r["shard"] for r in sharding.kd_shards(measured, shards).collect()}
+        assert got == slow_shards(at, size, list(at), shards, 0, span, 3)
+
+
 # ---- 8 near duplicates
 
 def brute_components(rows, k, percent):
