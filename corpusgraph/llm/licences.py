@@ -2,7 +2,8 @@
 
 A text is normalised (lower case, every run of other than letters and digits one
 blank).  Its lines, and the whole text as one unit, are compared with licence
-templates: Dice = 2 |A & B| / (|A| + |B|) over sets of word bigrams.  Dice >= t
+templates: Dice = 2 |A & B| / (|A| + |B|) over bags of word bigrams (no template of
+one line repeats a bigram, so |A & B| counts different ones).  Dice >= t
 forces |A| between |B| t / (2 - t) and |B| (2 - t) / t, so a unit whose number of
 words is out of all templates' bounds is dropped before bigrams are built, and
 only templates within bounds are compared.  Templates are a short fixed list, so

@@ -6,8 +6,10 @@ pseudonyms of the same format.  Numbers and dates go through an alternating
 Feistel network over their own domain: digits over 10**n, addresses over 2**32,
 dates over the 146,097 days of the Gregorian cycle 1700 to 2099.  That is a
 permutation, so equal values stay equal in every document and different ones
-stay apart.  The round function is SHA-256 keyed with ``key``.  Card numbers keep
-a valid check digit, phone numbers their country code, all keep their separators.
+stay apart.  The round function is SHA-256 keyed with ``key``, which the caller
+gives: who has it can undo the pseudonyms.  Card numbers keep a valid check digit,
+phone numbers their country code (so one number is linked however it is written), all
+keep their separators.
 Mail addresses and credentials, which are no numbers, become keyed digests.
 
 A first look for a digit, ``@``, ``=`` or ``:`` keeps most texts away from the
@@ -27,7 +29,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "corpus-pseudonyms-1", 8
+from .common import free_name
+
+ROUNDS = 8
+# Country codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -144,7 +150,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """What stands for a match; a match without a kind stays."""
     hash_ = lambda tag, n: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), m).cast("binary"), 256), 1, n)
     d = _bare(m)
-    country = F.length(_bare(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)))
+    country = F.length(_bare(F.regexp_extract(F.concat(F.regexp_extract(m, r"^\+", 0), d), COUNTRY, 0)))
     local = F.substring(d, country + 1, F.length(d))
     body = F.substring(d, F.lit(1), F.length(d) - 1)
     card = F.transform(F.array(_digits(body, "card", key)), lambda x: F.concat(x, F.pmod(F.lit(10) - luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))[0]
@@ -170,22 +176,23 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and pii_kinds (the kind of each replaced match, in text order)."""
+def pseudonymise(docs: DataFrame, key: str, kinds: str = "pii_kinds") -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the column ``kinds`` (the kind of each replaced match, in text order)."""
+    found_, new_ = free_name(docs, "pii_found"), free_name(docs, "pii_new")
     text = F.col("text")
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     one = lambda m: F.transform(F.array(kind_of(m)), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("put")))[0]
-    new = F.transform("pii_found", lambda m: F.transform(parts_of(m), one))
+    new = F.transform(found_, lambda m: F.transform(parts_of(m), one))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "pii_new", lambda g, p: F.concat(g, F.coalesce(F.array_join(F.transform(p, lambda x: x["put"]), ""), F.lit("")))), "")
-    out = docs.withColumn("pii_found", found).withColumn("pii_new", new).withColumn("text", F.when(F.size("pii_found") > 0, joined).otherwise(text))
-    out = out.withColumn("pii_kinds", F.coalesce(F.filter(F.transform(F.flatten("pii_new"), lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    joined = F.array_join(F.zip_with(gaps, new_, lambda g, p: F.concat(g, F.coalesce(F.array_join(F.transform(p, lambda x: x["put"]), ""), F.lit("")))), "")
+    out = docs.withColumn(found_, found).withColumn(new_, new).withColumn("text", F.when(F.size(found_) > 0, joined).otherwise(text))
+    out = out.withColumn(kinds, F.coalesce(F.filter(F.transform(F.flatten(new_), lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_kinds") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("pii_found", "pii_new")
+        out = out.withColumn("n_chars", F.when(F.size(kinds) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(found_, new_)
 
 
-def clean_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def clean_documents(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the cleaned text, and how many values of each kind were replaced."""
     out = pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
     n = lambda k: F.size(F.filter("pii_kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")

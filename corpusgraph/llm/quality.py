@@ -160,8 +160,8 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
         .orderBy("h", "label_id", "y")
         .limit(sample)
     )
-    # the sample has a fixed number of rows
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "h", "text")
+    # the sample has a fixed number of rows; of texts that share a doc_id the first by order counts
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
@@ -212,11 +212,11 @@ def base_facts(text: str) -> tuple[int, int, int, int, int]:
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge_documents(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """All columns of ``docs`` and q_<fact>, q_base_failed, q_prob, q_kept."""
+def judge_documents(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50, prefix: str = "q_") -> DataFrame:
+    """All columns of ``docs`` and, with ``prefix`` before their names, the facts, base_failed, prob, kept."""
     from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, *(StructField(f"q_{n}", LongType()) for n in FACTS), StructField("q_base_failed", BooleanType()), StructField("q_prob", DoubleType()), StructField("q_kept", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(prefix + n, LongType()) for n in FACTS), StructField(f"{prefix}base_failed", BooleanType()), StructField(f"{prefix}prob", DoubleType()), StructField(f"{prefix}kept", BooleanType())])
     k = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

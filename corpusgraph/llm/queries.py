@@ -16,6 +16,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret that the session names; a public one, for tests only, where it names none."""
+    return spark.conf.get("spark.corpusgraph.pseudonymKey", "public-test-key")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.clean_documents(table(spark, sf_dir, "documents"))
+    return private.clean_documents(table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
