@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusgraph.llm import pipeline_stages as stages
 from corpusgraph.llm.common import cut_lineage, table
-from corpusgraph.llm.queries import piece_model
+from corpusgraph.llm.queries import piece_model, pseudonym_key
 
 STAGES = [
     ("quality_rules", lambda spark, docs, sf_dir: stages.keep_good(docs, table(spark, sf_dir, "labels"))),
     ("near_duplicates", lambda spark, docs, sf_dir: stages.drop_near_copies(docs)),
-    ("private_data", lambda spark, docs, sf_dir: stages.hide_private(docs)),
+    ("private_data", lambda spark, docs, sf_dir: stages.hide_private(docs, pseudonym_key(spark))),
     ("mixing", lambda spark, docs, sf_dir: stages.mix_sources(docs)),
     ("pieces", lambda spark, docs, sf_dir: stages.encode(docs, piece_model())),
 ]
