@@ -692,6 +692,38 @@ def test_media(spark, docs, empty):
     assert media.store_and_read(empty).count() == 0
 
 
+def slow_chunks(raw):
+    """Chunks of one payload, byte by byte."""
+    out, start, h = [], 0, 0
+    for p, b in enumerate(raw):
+        h = (h * 2 + int(media.GEAR[b])) % 2**32
+        size = p + 1 - start
+        if size == media.MOST or (size >= media.LEAST and h >> (32 - media.MEAN_BITS) == 0):
+            out.append(raw[start : p + 1])
+            start = p + 1
+    return [*out, raw[start:]] if start < len(raw) else out
+
+
+def test_store_equals_slow_chunks(spark):
+    """Chunk lists, stored forms and features of payloads that share chunks, by plain Python."""
+    import zstandard
+
+    rng = random.Random(17)
+    a = prose(rng, 5000)
+    texts = [(1, a), (2, "new start " + a), (3, a[:20_000] + "é" * 50 + a[20_000:]), (3, a), (None, a), (4, "z" * 50_000), (5, None), (6, "x" * 64)]
+    press = zstandard.ZstdCompressor(level=7, write_content_size=True, write_checksum=False)
+    want, digests = [], collections.Counter()
+    for i, t in texts:
+        raw = (t or "").encode()
+        raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        chunks = [(hashlib.sha256(c).digest(), press.compress(c)) for c in slow_chunks(raw)]
+        stored = media.manifest([(d, len(c)) for d, c in chunks]) + b"".join(c for _, c in chunks)
+        digests.update(d for d, _ in chunks)
+        want.append((i or 0, len((t or "").encode()), len(stored), hashlib.sha256(stored).hexdigest(), f"chunks={len(chunks)};" + media.features(np.frombuffer(raw, np.uint8))))
+    got = [(r["doc_id"] or 0, r["n_bytes"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in media.store_and_read(spark.createDataFrame([(i, t, None, None) for i, t in texts], SCHEMA)).collect()]
+    assert sorted(got) == sorted(want) and sum(n > 2 for n in digests.values()) > 5
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(5)
     tail = rng.integers(0, 256, 60_000).astype(np.uint8)
