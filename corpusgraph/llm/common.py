@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` into the folder the cluster shares.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary one is made.
+    The folder is ``spark.checkpoint.dir``.  Where that is unset a session in one
+    process (tests) gets a temporary one; on a cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", ""):
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
