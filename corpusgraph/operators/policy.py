@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
-MAX_RULES = 20_000
+MAX_RULES, LITERAL = 20_000, 200
 
 
 @dataclass(frozen=True)
@@ -113,19 +113,35 @@ def prefixes(path: Column, is_dir: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("prefix"), (is_dir | (n < F.size(parts))).alias("dir"), n.alias("depth")))
 
 
+def _last_rule(rules: list) -> Column:
+    """Whether the last rule that matches a prefix is negated; null where none does."""
+    out = [F.lit(None).cast("boolean")]
+    for r in sorted(rules, key=lambda r: r["ord"]):
+        scope, prefix = r["scope"], F.col("prefix")
+        hit = (F.substring(prefix, len(scope) + 2, 1 << 30) if scope else prefix).rlike(r["regex"])
+        hit = prefix.startswith(scope + "/") & hit if scope else hit
+        out.append(F.when(F.col("dir") & hit if r["dir_only"] else hit, F.lit(r["negated"])))
+    return F.coalesce(*out[::-1])
+
+
 def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (path, is_dir) with ``ignored``.
 
-    Each distinct prefix is decided once against the broadcast rules; a prefix that
-    no rule touches takes no part afterwards.
+    Each distinct prefix is decided once: by one expression of up to LITERAL rules
+    (their patterns are compiled once a task), by a join with the broadcast rules of a
+    larger policy.  A prefix that no rule touches takes no part afterwards.
     """
     own = paths.select("path", "is_dir").distinct()
     each = own.select("path", "is_dir", F.explode(prefixes(F.col("path"), F.col("is_dir"))).alias("p")).select("path", "is_dir", "p.*")
     unique = each.select("prefix", "dir").distinct()
-    inside = (F.col("scope") == "") | F.startswith("prefix", F.concat("scope", F.lit("/")))
-    rel = F.when(F.col("scope") == "", F.col("prefix")).otherwise(F.substring(F.col("prefix"), F.length("scope") + 2, F.length("prefix")))
-    hits = unique.join(F.broadcast(rules), inside & (~F.col("dir_only") | F.col("dir")) & F.regexp_like(rel, F.col("regex")))
-    verdict = hits.groupBy("prefix", "dir").agg(F.max_by("negated", "ord").alias("keep")).filter("NOT keep").select("prefix", "dir")
+    few = rules.limit(LITERAL + 1).collect()
+    if len(few) <= LITERAL:
+        verdict = unique.filter(~_last_rule(few))
+    else:
+        inside = (F.col("scope") == "") | F.startswith("prefix", F.concat("scope", F.lit("/")))
+        rel = F.when(F.col("scope") == "", F.col("prefix")).otherwise(F.substring(F.col("prefix"), F.length("scope") + 2, F.length("prefix")))
+        hits = unique.join(F.broadcast(rules), inside & (~F.col("dir_only") | F.col("dir")) & F.regexp_like(rel, F.col("regex")))
+        verdict = hits.groupBy("prefix", "dir").agg(F.max_by("negated", "ord").alias("keep")).filter("NOT keep").select("prefix", "dir")
     hidden = each.join(verdict, ["prefix", "dir"]).select("path", "is_dir").distinct().withColumn("ignored", F.lit(True))
     return own.join(hidden, ["path", "is_dir"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
 

@@ -172,6 +172,15 @@ def test_ignore(spark, lines, path, is_dir, want):
     assert got["ignored"] is want
 
 
+def test_long_policies_decide_alike(spark, monkeypatch):
+    lines = [("", "", "*.log\n!keep.log\nbuild/\n/top.md\n"), ("a/.gitignore", "a", "*.md\n!b/x.md\nc/\n")]
+    rules = policy.rule_frame(spark, policy.compile_policy(lines)[0])
+    paths = spark.createDataFrame([(p, d) for p in ("x.log", "keep.log", "build", "build/y", "top.md", "a/top.md", "a/b/x.md", "a/c/z", "a/c", "z.md", "a/build/keep.log") for d in (False, True)], "path string, is_dir boolean")
+    one = {tuple(r) for r in policy.ignored(paths, rules).collect()}
+    monkeypatch.setattr(policy, "LITERAL", 0)
+    assert one == {tuple(r) for r in policy.ignored(paths, rules).collect()} and 5 < sum(r[2] for r in one) < 20
+
+
 def test_scoped_and_bad_patterns(spark):
     rules, warnings = policy.compile_policy([("notes/.gitignore", "notes", "*.tmp\n[bad\n")])
     paths = spark.createDataFrame([("notes/a.tmp", False), ("a.tmp", False)], "path string, is_dir boolean")
