@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SAMPLE_DOCS, SAMPLE_CHARS, LANE, STEP = 60, 40_000, 512, 4 << 20
-LETTERS, RARE, POINTS = 256, 64, 0x110000
+LETTERS, RARE, POINTS, FEW = 256, 64, 0x110000, 20_000
 _READY: dict = {}
 
 
@@ -175,7 +175,9 @@ def learn_samples(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAM
     if not asked:
         return {}
     want = docs.sparkSession.createDataFrame(asked, "lang string, th long, k int, start int, take int")
-    texts = docs.withColumn("th", F.xxhash64("text")).join(want, ["lang", "th"])  # a small local table: no exchange of texts
+    if len(asked) <= FEW:  # known to be small: no exchange of texts
+        want = F.broadcast(want)
+    texts = docs.select("lang", "text", F.xxhash64("text").alias("th")).join(want, ["lang", "th"])
     got = texts.groupBy("lang", "k").agg(F.min(F.substring(F.col("text"), F.col("start"), F.col("take"))).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["k"])):
