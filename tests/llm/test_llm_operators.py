@@ -131,6 +131,16 @@ def test_language(spark, docs, empty):
     assert none["lang_pred"] == "und"
 
 
+def test_language_ties_and_far_letters(spark):
+    """Letters that no sample has tie (the first language wins), also beyond U+FFFF; equal shares of long and short texts."""
+    rows = [(1, "kala mila " * 40, "xx", None), (3, "schung eitber " * 40, "yy", None), (None, "kala", None, None), (5, "𐌰𐌱𐌲 𐌳𐌴", None, None), (5, "あいう", "zz2", None), (6, "kala mila " * 3000, None, None)]
+    got = sorted(((r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in language.predict_language(spark.createDataFrame(rows, SCHEMA), {"yy": "schung eitber " * 30, "xx": "kala mila " * 42}).collect()), key=str)
+    assert [g[:2] for g in got] == [(0, "xx"), (1, "xx"), (3, "yy"), (5, "xx"), (5, "xx"), (6, "xx")] and [g[2] for g in got if g[0] == 5] == [0, 0]
+    assert language.shares([10, 1000, 5, 400], 300) == [10, 143, 5, 142] and language.shares([], 9) == [] and language.shares([3, 3], 100) == [3, 3]
+    sample = language.learn_samples(spark.createDataFrame([(i, f"{'ab' if i else 'longest '} " * (1 if i else 9000), "xx", None) for i in range(40)], SCHEMA), chars=2000)
+    assert len(sample["xx"]) <= 2100 and sample["xx"].count("ab") >= 20
+
+
 def test_pieces_equal_slow_parse():
     sample = {"a": "banana bandana", "b": "cabana cab"}
     langs, code, _, table, roots, _ = language.parsers(sample)
@@ -424,6 +434,15 @@ def test_random_pieces():
         assert model.decode(got).decode("utf-8", "replace") == sp.decode(ids)
 
 
+def test_rows_without_ids(spark):
+    """Null ids and repeated rows keep their rows in pieces and shards."""
+    rows = spark.createDataFrame([(None, "a b", None, None), (None, None, None, None), (4, "a b", None, None), (4, "a b", None, None)], SCHEMA)
+    out = pieces.digest_pieces(rows, model_path()).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 2) for r in out) == [(0, False), (0, True), (4, True), (4, True)] and len({r["ids_sha256"] for r in out}) == 2
+    shards = sharding.shard_documents(rows).collect()
+    assert len(shards) == 4 and len({r["shard"] for r in shards if r["size"] == 11}) == 1
+
+
 def test_merges_at_once():
     """Few letters make equal pairs stand side by side, and long units without blanks: ids as the library's."""
     import sentencepiece
