@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.tables import read_table, spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 DEFINITIONS = {
@@ -98,7 +100,8 @@ def _needs(name: str, seen: list[str]) -> list[str]:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = read_table(spark, sf_dir, name)
+        return spread(rows) if name == "documents" else rows
     used = {d: frame(spark, sf_dir, d) for d in set(re.findall(r"{(\w+)}", DEFINITIONS[name]))}
     return spark.sql(DEFINITIONS[name].replace("\\b'", "\\\\b'"), **used)
 

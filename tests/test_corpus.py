@@ -9,7 +9,7 @@ from corpusgraph.operators import audit, extract, graph, policy
 from corpusgraph.operators.fingerprint import UnstableScan, fingerprint, stable_scan
 from corpusgraph.plans import compile as plan
 from corpusgraph.plans import publish
-from corpusgraph.sources import corpus
+from corpusgraph.sources import corpus, tables
 
 FILES = {
     "a.md": "[[b]] [[b]] ![[asset.png]] [[missing]] [[dup]] #Topic",
@@ -206,3 +206,12 @@ def test_legacy_equals_patterns(spark):
 def test_empty_corpus(spark):
     c = plan.compile_corpus(spark.createDataFrame([], "path string, content string"))
     assert c.counts().first()["eligible_files"] == 0 and c.links.count() == 0 and c.degrees.select(F.count("*")).first()[0] == 0
+
+
+def test_few_splits_are_dealt_over_the_cores(spark, tmp_path):
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = tables.read_table(spark, str(tmp_path), "t")
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(rows).rdd.getNumPartitions() == cores and tables.spread(rows).count() == 5000
+    many = rows.repartition(cores + 1)
+    assert tables.spread(many) is many
