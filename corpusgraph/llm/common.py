@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table, spread
+
 #: A word is a maximal run of anything but blank, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = read_table(spark, sf_dir, name)
+    return spread(rows) if name == "documents" else rows
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
