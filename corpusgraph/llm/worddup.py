@@ -7,18 +7,21 @@ Consecutive windows that share a minimiser (the smallest hash of GRAM words in
 them, the rightmost of equals) form a super-k-mer.  Equal windows have the same
 minimiser at the same place, so they meet in its bucket.
 
-1. One pass over the texts finds super-k-mers; what is kept is the minimiser and
-   two places each.  A minimiser that occurs once has no repeated window: two
-   windows of one super-k-mer differ in where the minimiser stands.
-2. The others are cut out as one packed string of words and sent to the bucket.
-   Strings that a batch holds twice are sent once, by their first owner.
+1. A pass over the texts looks for hot minimisers, the same words in many different
+   surroundings.  Each task counts different super-k-mers of a minimiser, over FLUSH of
+   them at a time, and tells those that have two or more; sums over LARGE (and over a
+   millionth of all, so that the list has a bound) are hot.  A bucket that isn't hot
+   has at most that many different super-k-mers and one more for each flush.
+2. Each super-k-mer travels to the bucket of its minimiser as one packed string of its
+   words; those of hot minimisers are cut down to single windows, whose bucket is the
+   hash of all their words.  Strings that a batch holds twice are sent once, by their
+   first owner, the others are known to repeat.
 3. Buckets are sorted a block of BLOCK bytes at a time: equal strings fall together,
    windows of different strings are ranked by doubling (1, 2, 4, ... words), on
-   ids of the words' bytes, so hashes never decide what is equal.
-4. A minimiser with more than LARGE different super-k-mers would make a hot bucket:
-   the same words in many surroundings.  Its super-k-mers are cut down to single
-   windows, whose bucket is the hash of all their words, and go the same way.
-5. Spans go back to their documents, whose texts are shuffled once for steps 2 and 5.
+   ids of the words' bytes, so hashes never decide what is equal.  A bucket with one
+   string needs no ranks: two windows of one super-k-mer differ in where the minimiser
+   stands.
+4. Late spans go back to their documents.
 
 Edge cases: null and empty texts, and texts of fewer than WIDTH words, stay whole;
 rows that share doc_id and text are one document twice (equal places, neither is
@@ -43,9 +46,9 @@ from .common import WORD, cut_lineage, mix64, ranges, slices, utf8
 from .tokens import bounds, hashes, joined
 from .windows import sliding_argmin
 
-WIDTH, GRAM = 20, 5
-LARGE = 8192
-STEP, BLOCK, FLUSH = 2 << 20, 2 << 20, 400_000
+WIDTH, GRAM = 20, 3
+LARGE, MOST_HOT = 8192, 1_000_000
+STEP, BLOCK, FLUSH = 2 << 20, 2 << 20, 2_000_000
 NO_ID = -(1 << 63)
 _KEY = ["doc_id", "th"]
 _SENT = "h long, doc_id long, th long, first int, last int, words binary"
@@ -85,86 +88,79 @@ def span_hashes(word: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64((total[end] - total[first]) * back[first])
 
 
-def _places(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """doc_id, th and the super-k-mers of each text that has any, as arrays h, ch, first, last (word places)."""
+def _found(b: pa.RecordBatch, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Bytes, start, end, hash and text of each word, then the super-k-mers of a batch of (doc_id, th, text)."""
+    data, off = utf8(b.column(2))
+    start, end, doc = bounds(data, off)
+    word = hashes(data, start, end)
+    h, ch, first, last = super_kmers(word, doc, width, gram)
+    return data, start, end, word, doc, h, ch, first, last
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", STEP):
-            data, off = utf8(b.column(2))
-            start, end, doc = bounds(data, off)
-            h, ch, first, last = super_kmers(hashes(data, start, end), doc, width, gram)
-            own = doc[first]
-            base = np.searchsorted(doc, own)
-            count = np.bincount(own, minlength=b.num_rows)
-            ends = pa.array(np.r_[0, np.cumsum(count[count > 0])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), ch.view(np.int64), (first - base).astype(np.int32), (last - base).astype(np.int32))]
-            some = pa.array(np.flatnonzero(count).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), *lists], ["doc_id", "th", "h", "ch", "first", "last"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h array<long>, ch array<long>, first array<int>, last array<int>")
 
+def hot_minimisers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> np.ndarray:
+    """Sorted minimisers of more than ``large`` different super-k-mers, MOST_HOT at most."""
 
-def _met(places: DataFrame) -> DataFrame:
-    """h, n, different (strings) of every minimiser, summed up over FLUSH of them at a time before the shuffle."""
-
-    def summed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        h, ch = (np.concatenate([b.column(k).flatten().to_numpy() for b in held]) for k in (0, 1))
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, ch = np.concatenate(held, axis=1)
         order = np.lexsort((ch, h))
         h, ch = h[order], ch[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ch[first]), pa.array(np.diff(np.r_[first, len(h)]))], ["h", "ch", "n"])
+        h = h[np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])]]
+        key, n = np.unique(h, return_counts=True)
+        several = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[key[several].view(np.int64), 0]), pa.array(np.r_[n[several], 0]), pa.array(np.r_[np.zeros(several.sum(), np.int64), len(h)])], ["h", "n", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += len(b.column(0).flatten())
+        for b in slices(batches, "text", STEP):
+            _, _, _, _, _, h, ch, _, _ = _found(b, width, gram)
+            held.append(np.stack([h, ch]))
+            size += len(h)
             if size >= FLUSH:
                 yield summed(held)
                 held, size = [], 0
         if size:
             yield summed(held)
 
-    # tasks have summed up what repeats, so one partition by h holds few rows of a frequent string
-    each = places.select("h", "ch").mapInArrow(run, "h long, ch long, n long").repartition("h")
-    return each.groupBy("h", "ch").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
+    each = cut_lineage(_keyed(docs).mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    most = max(large, (each.agg(F.sum("total")).first()[0] or 0) // MOST_HOT)
+    return np.sort(np.array([r["h"] for r in each.filter(F.col("n") > most).select("h").collect()], np.int64).view(np.uint64))
 
 
-def _cut(rows: DataFrame, width: int) -> DataFrame:
-    """Packed strings of the super-k-mers named in ``want``; words is null for spans that are known to repeat."""
+def _cut(docs: DataFrame, width: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Packed strings of all super-k-mers; words is null for spans that are known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            data, off = utf8(b.column(2))
-            start, end, doc = bounds(data, off)
-            flat, at = joined(data, start, end)
-            base = np.searchsorted(doc, np.arange(b.num_rows))
-            want = b.column(3)
-            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(want).to_numpy(zero_copy_only=False))
-            h, hot, first, last = (want.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if hot.any():  # single windows, dealt by all their words
-                number = last[hot] - first[hot] + 1
-                single, own = ranges(first[hot], number), np.repeat(row[hot], number)
-                key = span_hashes(hashes(data, start, end), base[own] + single, base[own] + single + width)
-                h, row = np.r_[h[~hot], key.view(np.int64)], np.r_[row[~hot], own]
-                first, last = np.r_[first[~hot], single], np.r_[last[~hot], single]
+            data, start, end, word, doc, h, _, first, last = _found(b, width, gram)
             if not len(h):
                 continue
-            a, z = at[base[row] + first], at[base[row] + last + width] - 1
+            if len(hot) and (many := hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h).any():
+                single = ranges(first[many], last[many] - first[many] + 1)
+                h = np.r_[h[~many], span_hashes(word, single, single + width)]
+                first, last = np.r_[first[~many], single], np.r_[last[~many], single]
+            flat, at = joined(data, start, end)
+            row = doc[first]
+            base = np.searchsorted(doc, row)
+            a, z = at[first], at[last + width] - 1
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(np.r_[0, np.cumsum(z - a)]), pa.py_buffer(flat[ranges(a, z - a)])])
             code = packed.dictionary_encode().indices.to_numpy()
             ids, th = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
-            order = np.lexsort((first, ids, code))
-            new = np.r_[True, code[order][1:] != code[order][:-1]]
-            lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first owner of each string
-            later = (ids[order] != ids[lead]) | (first[order] != first[lead])
-            send, known = order[new], order[later]
+            first, last = first - base, last - base
+            send, known = first_owners(code, ids, first)
             take = np.r_[send, known]
             words = pa.concat_arrays([packed.take(pa.array(send)).cast(pa.binary()), pa.nulls(len(known), pa.binary())])
-            keys = np.r_[h[send], mix64(ids[known].view(np.uint64)).view(np.int64)]
+            keys = np.r_[h[send], mix64(ids[known].view(np.uint64))].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[take]), pa.array(th[take]), pa.array(first[take].astype(np.int32)), pa.array(last[take].astype(np.int32)), words], ["h", "doc_id", "th", "first", "last", "words"])
 
-    return rows.mapInArrow(run, _SENT)
+    return _keyed(docs).mapInArrow(run, _SENT)
+
+
+def first_owners(code: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each code by (ids, place), and the rows that come after theirs."""
+    order = np.lexsort((place, ids, code))
+    new = np.r_[True, code[order][1:] != code[order][:-1]] if len(order) else np.zeros(0, bool)
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return order[new], order[(ids[order] != ids[lead]) | (place[order] != place[lead])]
 
 
 def window_ranks(word: np.ndarray, width: int) -> np.ndarray:
@@ -188,16 +184,12 @@ def _block(t: pa.Table, width: int) -> pa.RecordBatch:
     t = t.filter(pc.is_valid(t.column("words")))
     ids, th, first, last, h = (np.asarray(t.column(c)) for c in ("doc_id", "th", "first", "last", "h"))
     packed = t.column("words").combine_chunks().cast(pa.large_binary())
-    code = packed.dictionary_encode().indices.to_numpy()
-    order = np.lexsort((first, ids, code))
-    new = np.r_[True, code[order][1:] != code[order][:-1]]
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = order[(ids[order] != ids[lead]) | (first[order] != first[lead])]
+    one, later = first_owners(packed.dictionary_encode().indices.to_numpy(), ids, first)
     out.append((ids[later], th[later], first[later], last[later] + width))
     # windows of different strings of one bucket, each string by its first owner
-    one = np.sort(order[new])
-    several = np.bincount(np.unique(h, return_inverse=True)[1][one])
-    one = one[several[np.unique(h, return_inverse=True)[1][one]] > 1]
+    one = np.sort(one)
+    bucket = np.unique(h, return_inverse=True)[1]
+    one = one[np.bincount(bucket[one])[bucket[one]] > 1] if len(one) else one
     if len(one):
         text, off = utf8(packed.take(pa.array(one)))
         start, end, row = bounds(text, off)
@@ -206,13 +198,8 @@ def _block(t: pa.Table, width: int) -> pa.RecordBatch:
         rank = window_ranks(words.dictionary_encode().indices.to_numpy(), width)
         at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
         own, place = one[row[at]], first[one[row[at]]] + at - np.searchsorted(row, row[at])
-        order = np.lexsort((place, ids[own], rank[at]))
-        rank, own, place = rank[at][order], own[order], place[order]
-        new = np.r_[True, rank[1:] != rank[:-1]]
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = np.zeros(len(at), bool)
-        late[order] = (ids[own] != ids[own[lead]]) | (place != place[lead])
-        own, place = one[row[at]], first[one[row[at]]] + at - np.searchsorted(row, row[at])
+        late[first_owners(rank[at], ids[own], place)[1]] = True
         k = np.flatnonzero(late)
         if len(k):  # one span for late windows that follow one another
             new = np.r_[True, (k[1:] != k[:-1] + 1) | (own[k[1:]] != own[k[:-1]])]
@@ -247,13 +234,9 @@ def _sorted(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, th long, a int, b int")
 
 
-def late_spans(docs: DataFrame, texts: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
+def late_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """doc_id, th, spans: the word spans of each document whose windows start earlier."""
-    places = cut_lineage(_places(docs, width, gram))
-    known = _met(places).filter("n > 1").select("h", (F.col("different") > large).alias("hot"))
-    each = places.select(*_KEY, F.explode(F.arrays_zip("h", "first", "last")).alias("r")).select(*_KEY, "r.*")
-    want = each.join(known, "h").groupBy(*_KEY).agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("want"))
-    cut = _cut(texts.join(want, _KEY).select(*_KEY, "text", "want"), width)
+    cut = _cut(docs, width, gram, hot_minimisers(docs, width, gram, large))
     return _sorted(cut, width).groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
@@ -261,8 +244,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRA
     """doc_id, n_words, n_removed, kept_sha256 [, kept: the other words joined by blanks] of every row."""
     if not 0 < gram <= width:
         raise ValueError("a minimiser has at least one word and no more than a window")
-    texts = _keyed(docs).repartition(*_KEY)
-    rows = texts.join(late_spans(docs, texts, width, gram, large), _KEY, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
+    rows = _keyed(docs).join(late_spans(docs, width, gram, large), _KEY, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
