@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, licences, longdup, media, mixing, neardup, pieces, private, quality, sharding, worddup
+from . import language, licences, longdup, media, mixing, neardup, negatives, phrases, pieces, private, quality, sharding, worddup
 from .common import table
 
 
@@ -61,14 +62,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabel(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worddup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_language_id, op3_quality_rules, op4_suffix_dedup, op5_private_data, op6_sentencepiece, op7_sharding, op8_near_duplicates, op9_licences, op10_media, op13_substring_dedup)
+    found = (op1_mixing, op2_language_id, op3_quality_rules, op4_suffix_dedup, op5_private_data, op6_sentencepiece, op7_sharding, op8_near_duplicates, op9_licences, op10_media, op11_hard_negatives, op12_collocations, op13_substring_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licences": licences.oracle(), "op13_substring_dedup": worddup.oracle()}
+    return {"op9_licences": licences.oracle(), "op11_hard_negatives": negatives.oracle(), "op12_collocations": phrases.oracle(), "op13_substring_dedup": worddup.oracle()}
