@@ -7,21 +7,20 @@ Consecutive windows that share a minimiser (the smallest hash of GRAM words in
 them, the rightmost of equals) form a super-k-mer.  Equal windows have the same
 minimiser at the same place, so they meet in its bucket.
 
-1. A pass over the texts looks for hot minimisers, the same words in many different
-   surroundings.  Each task counts different super-k-mers of a minimiser, over FLUSH of
-   them at a time, and tells those that have two or more; sums over LARGE (and over a
-   millionth of all, so that the list has a bound) are hot.  A bucket that isn't hot
-   has at most that many different super-k-mers and one more for each flush.
-2. Each super-k-mer travels to the bucket of its minimiser as one packed string of its
-   words; those of hot minimisers are cut down to single windows, whose bucket is the
-   hash of all their words.  Strings that a batch holds twice are sent once, by their
-   first owner, the others are known to repeat.
+1. Minimisers are counted.  One that occurs once has no repeated window: two windows
+   of one super-k-mer differ in where the minimiser stands.  Others are told to the
+   documents that hold them.
+2. Their super-k-mers travel to the bucket of the minimiser, each as one packed string
+   of its words.  Strings that a batch holds twice are sent once, by their first owner,
+   the others are known to repeat.
 3. Buckets are sorted a block of BLOCK bytes at a time: equal strings fall together,
    windows of different strings are ranked by doubling (1, 2, 4, ... words), on
-   ids of the words' bytes, so hashes never decide what is equal.  A bucket with one
-   string needs no ranks: two windows of one super-k-mer differ in where the minimiser
-   stands.
-4. Late spans go back to their documents.
+   ids of the words' bytes, so hashes never decide what is equal.
+4. A hot minimiser has the same words in many different surroundings: over LARGE super-
+   k-mers (and over a millionth of all, so that the list of them has a bound) that
+   differ within FLUSH of a task.  Its super-k-mers are cut down to single windows,
+   whose bucket is the hash of all their words, and go the same way.
+5. Late spans go back to their documents, whose texts are shuffled once for 2 and 5.
 
 Edge cases: null and empty texts, and texts of fewer than WIDTH words, stay whole;
 rows that share doc_id and text are one document twice (equal places, neither is
@@ -50,12 +49,12 @@ WIDTH, GRAM = 20, 3
 LARGE, MOST_HOT = 8192, 1_000_000
 STEP, BLOCK, FLUSH = 2 << 20, 2 << 20, 2_000_000
 NO_ID = -(1 << 63)
-_KEY = ["doc_id", "th"]
-_SENT = "h long, doc_id long, th long, first int, last int, words binary"
+_SENT = "h long, doc_id long, key long, first int, last int, words binary"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id (a stand-in where it is null), a hash of id and text by which parts of a document meet again, text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def super_kmers(word: np.ndarray, doc: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -89,30 +88,39 @@ def span_hashes(word: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _found(b: pa.RecordBatch, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Bytes, start, end, hash and text of each word, then the super-k-mers of a batch of (doc_id, th, text)."""
+    """Bytes, start, end, hash and text of each word, then the super-k-mers of a batch of (doc_id, key, text)."""
     data, off = utf8(b.column(2))
     start, end, doc = bounds(data, off)
     word = hashes(data, start, end)
-    h, ch, first, last = super_kmers(word, doc, width, gram)
-    return data, start, end, word, doc, h, ch, first, last
+    return data, start, end, word, doc, *super_kmers(word, doc, width, gram)
 
 
-def hot_minimisers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> np.ndarray:
-    """Sorted minimisers of more than ``large`` different super-k-mers, MOST_HOT at most."""
+def _minimisers(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """key, h of every super-k-mer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", STEP):
+            *_, doc, h, _, first, _ = _found(b, width, gram)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(doc[first])), pa.array(h.view(np.int64))], ["key", "h"])
+
+    return _keyed(docs).mapInArrow(run, "key long, h long")
+
+
+def _met(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """h, n (occurrences), different (strings, told apart within FLUSH of a task) of every minimiser."""
 
     def summed(held: list[np.ndarray]) -> pa.RecordBatch:
         h, ch = np.concatenate(held, axis=1)
         order = np.lexsort((ch, h))
         h, ch = h[order], ch[order]
-        h = h[np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])]]
-        key, n = np.unique(h, return_counts=True)
-        several = n > 1
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[key[several].view(np.int64), 0]), pa.array(np.r_[n[several], 0]), pa.array(np.r_[np.zeros(several.sum(), np.int64), len(h)])], ["h", "n", "total"])
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        new = np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)])), pa.array(np.add.reduceat(new.astype(np.int64), first))], ["h", "n", "different"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in slices(batches, "text", STEP):
-            _, _, _, _, _, h, ch, _, _ = _found(b, width, gram)
+            *_, h, ch, _, _ = _found(b, width, gram)
             held.append(np.stack([h, ch]))
             size += len(h)
             if size >= FLUSH:
@@ -121,17 +129,19 @@ def hot_minimisers(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large:
         if size:
             yield summed(held)
 
-    each = cut_lineage(_keyed(docs).mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    most = max(large, (each.agg(F.sum("total")).first()[0] or 0) // MOST_HOT)
-    return np.sort(np.array([r["h"] for r in each.filter(F.col("n") > most).select("h").collect()], np.int64).view(np.uint64))
+    return _keyed(docs).mapInArrow(run, "h long, n long, different long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("different").alias("different"))
 
 
-def _cut(docs: DataFrame, width: int, gram: int, hot: np.ndarray) -> DataFrame:
-    """Packed strings of all super-k-mers; words is null for spans that are known to repeat."""
+def _cut(rows: DataFrame, width: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Packed strings of the super-k-mers of the minimisers in ``want``; words is null for spans that are known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
             data, start, end, word, doc, h, _, first, last = _found(b, width, gram)
+            want, row = b.column(3), np.arange(b.num_rows, dtype=np.uint64)
+            listed = np.repeat(row, pc.list_value_length(want).to_numpy(zero_copy_only=False))
+            wanted = np.isin(mix64(h ^ mix64(row)[doc[first]]), mix64(want.flatten().to_numpy().view(np.uint64) ^ mix64(listed)))  # never one too few
+            h, first, last = h[wanted], first[wanted], last[wanted]
             if not len(h):
                 continue
             if len(hot) and (many := hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h).any():
@@ -144,15 +154,15 @@ def _cut(docs: DataFrame, width: int, gram: int, hot: np.ndarray) -> DataFrame:
             a, z = at[first], at[last + width] - 1
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(np.r_[0, np.cumsum(z - a)]), pa.py_buffer(flat[ranges(a, z - a)])])
             code = packed.dictionary_encode().indices.to_numpy()
-            ids, th = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+            ids, key = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
             first, last = first - base, last - base
             send, known = first_owners(code, ids, first)
             take = np.r_[send, known]
             words = pa.concat_arrays([packed.take(pa.array(send)).cast(pa.binary()), pa.nulls(len(known), pa.binary())])
-            keys = np.r_[h[send], mix64(ids[known].view(np.uint64))].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[take]), pa.array(th[take]), pa.array(first[take].astype(np.int32)), pa.array(last[take].astype(np.int32)), words], ["h", "doc_id", "th", "first", "last", "words"])
+            route = np.r_[h[send], mix64(ids[known].view(np.uint64))].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids[take]), pa.array(key[take]), pa.array(first[take].astype(np.int32)), pa.array(last[take].astype(np.int32)), words], ["h", "doc_id", "key", "first", "last", "words"])
 
-    return _keyed(docs).mapInArrow(run, _SENT)
+    return rows.select("doc_id", "key", "text", "want").mapInArrow(run, _SENT)
 
 
 def first_owners(code: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +190,12 @@ def window_ranks(word: np.ndarray, width: int) -> np.ndarray:
 def _block(t: pa.Table, width: int) -> pa.RecordBatch:
     """Spans of a block of whole buckets whose windows start earlier elsewhere."""
     known = t.filter(pc.is_null(t.column("words")))
-    out = [tuple(np.asarray(known.column(c)) + more for c, more in (("doc_id", 0), ("th", 0), ("first", 0), ("last", width)))]
+    out = [tuple(np.asarray(known.column(c)) + more for c, more in (("doc_id", 0), ("key", 0), ("first", 0), ("last", width)))]
     t = t.filter(pc.is_valid(t.column("words")))
-    ids, th, first, last, h = (np.asarray(t.column(c)) for c in ("doc_id", "th", "first", "last", "h"))
+    ids, key, first, last, h = (np.asarray(t.column(c)) for c in ("doc_id", "key", "first", "last", "h"))
     packed = t.column("words").combine_chunks().cast(pa.large_binary())
     one, later = first_owners(packed.dictionary_encode().indices.to_numpy(), ids, first)
-    out.append((ids[later], th[later], first[later], last[later] + width))
+    out.append((ids[later], key[later], first[later], last[later] + width))
     # windows of different strings of one bucket, each string by its first owner
     one = np.sort(one)
     bucket = np.unique(h, return_inverse=True)[1]
@@ -204,9 +214,9 @@ def _block(t: pa.Table, width: int) -> pa.RecordBatch:
         if len(k):  # one span for late windows that follow one another
             new = np.r_[True, (k[1:] != k[:-1] + 1) | (own[k[1:]] != own[k[:-1]])]
             a, z = k[new], k[np.r_[new[1:], True]]
-            out.append((ids[own[a]], th[own[a]], place[a], place[z] + width))
+            out.append((ids[own[a]], key[own[a]], place[a], place[z] + width))
     cols = [np.concatenate(x) for x in zip(*out)]
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(cols, (np.int64, np.int64, np.int32, np.int32))], ["doc_id", "th", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(cols, (np.int64, np.int64, np.int32, np.int32))], ["doc_id", "key", "a", "b"])
 
 
 def _sorted(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -231,20 +241,27 @@ def _sorted(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
         if held:
             yield _block(pa.Table.from_batches(held), width)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, th long, a int, b int")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, key long, a int, b int")
 
 
-def late_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
-    """doc_id, th, spans: the word spans of each document whose windows start earlier."""
-    cut = _cut(docs, width, gram, hot_minimisers(docs, width, gram, large))
-    return _sorted(cut, width).groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+def late_spans(docs: DataFrame, texts: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
+    """key, spans (doc_id, a, b): the word spans of each document whose windows start earlier."""
+    met = cut_lineage(_met(docs, width, gram).filter("n > 1"))
+    most = max(large, (met.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = np.sort(np.array([r["h"] for r in met.filter(F.col("different") > most).select("h").collect()], np.int64).view(np.uint64))
+    want = _minimisers(docs, width, gram).join(met.select("h"), "h").groupBy("key").agg(F.collect_set("h").alias("want"))
+    late = _sorted(_cut(texts.join(want, "key"), width, gram, hot), width)
+    return late.groupBy("key").agg(F.collect_set(F.struct("doc_id", "a", "b")).alias("spans"))
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, large: int = LARGE, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 [, kept: the other words joined by blanks] of every row."""
     if not 0 < gram <= width:
         raise ValueError("a minimiser has at least one word and no more than a window")
-    rows = _keyed(docs).join(late_spans(docs, width, gram, large), _KEY, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
+    texts = _keyed(docs).repartition("key")
+    own = F.filter("spans", lambda s: s["doc_id"] == F.col("doc_id"))
+    none = F.array().cast("array<struct<doc_id:long,a:int,b:int>>")
+    rows = texts.join(late_spans(docs, texts, width, gram, large), "key", "left").select("doc_id", "text", F.coalesce(own, none).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
@@ -253,7 +270,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRA
             base = np.searchsorted(doc, np.arange(b.num_rows + 1))
             spans = b.column(2)
             own = base[np.repeat(np.arange(b.num_rows), pc.list_value_length(spans).to_numpy(zero_copy_only=False))]
-            a, z = (spans.flatten().field(k).to_numpy() + own for k in (0, 1))
+            a, z = (spans.flatten().field(k).to_numpy() + own for k in (1, 2))
             depth = np.zeros(len(start) + 1, np.int64)
             np.add.at(depth, a, 1)
             np.add.at(depth, z, -1)
