@@ -1,10 +1,11 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
 Matches of one combined pattern are taken out of a text, validated (Luhn for card
-numbers, octets for addresses, the calendar for dates) and put back as keyed
+numbers, octets for addresses, the calendar for dates, country codes for phones, areas,
+groups and serials that are issued for national numbers) and put back as keyed
 pseudonyms of the same format.  Numbers and dates go through an alternating
 Feistel network over their own domain: digits over 10**n, addresses over 2**32,
-dates over the 146,097 days of the Gregorian cycle 1700 to 2099.  That is a
+national numbers over those that may be issued, dates over the 146,097 days of the Gregorian cycle 1700 to 2099.  That is a
 permutation, so equal values stay equal in every document and different ones
 stay apart.  The round function is SHA-256 keyed with ``key``, which the caller
 gives: who has it can undo the pseudonyms.  Card numbers keep a valid check digit,
@@ -16,7 +17,8 @@ A first look for a digit, ``@``, ``=`` or ``:`` keeps most texts away from the
 large pattern.  No row moves between tasks.
 
 Edge cases: null text stays null with counts of 0; empty and very long texts are
-treated alike; digits that fail their validation stay; a card is found between other
+treated alike (groups that repeat without bound are possessive, which the matcher
+runs as a loop, not by recursion); digits that fail their validation stay; a card is found between other
 groups of digits where it stands in a usual layout; only dates written YYYY-MM-DD are
 touched; every column of the input
 is kept, ``text`` and (if present) ``n_chars`` change.
@@ -32,11 +34,16 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 ROUNDS = 8
-# Country codes of one and of two digits; all others have three.
-COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+# Assigned country codes of one, two and three digits.
+CODES = (
+    "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    "|21[12368]|2[2346][0-9]|25[0-8]|29[01789]|35[0-9]|37[0-9]|38[0-35-79]|42[013]|50[0-9]|59[0-9]"
+    "|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[08]|88[0-3689]|96[0-8]|97[0-79]|99[2-68]"
+)
+COUNTRY = rf"^\+(?:{CODES})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|token|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9_-]{12,}+[\"']?",
     "date": r"(?<![0-9.-])(?:1[789]|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "address": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -98,16 +105,29 @@ def _refill(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put)["out"]
 
 
+def _national(d: Column, key: str) -> Column:
+    """Permute nine digits among the numbers that may be issued: 898 areas, 99 groups, 9,999 serials."""
+    part = lambda at, n: F.substring(d, at, n).cast("long")
+    area = part(1, 3) - 1 - (part(1, 3) > 666).cast("long")
+    f = feistel(area, (part(4, 2) - 1) * 9999 + part(6, 4) - 1, F.lit(898), F.lit(99 * 9999), F.lit("national"), key)
+    fill = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+    return F.transform(F.array(f), lambda s: F.concat(fill(s["a"] + 1 + (s["a"] >= 665).cast("long"), 3), fill(F.floor(s["b"] / 9999) + 1, 2), fill(s["b"] % 9999 + 1, 4)))[0]
+
+
 def _bare(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
 def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
+    valid = {
+        "date": F.try_to_date(m, "yyyy-MM-dd").isNotNull(),
+        "phone": ~m.startswith("+") | F.concat(F.lit("+"), _bare(m)).rlike(COUNTRY),
+        "national": ~m.rlike("^(?:000|666|9)|-00-|-0000$"),  # never issued
+    }
     out = F.when(m.contains("@"), F.lit("email"))
     for k in ("secret", "date", "address", "phone", "national"):
-        valid = F.try_to_date(m, "yyyy-MM-dd").isNotNull() if k == "date" else F.lit(True)
-        out = out.when(whole(k), F.when(valid, F.lit(k)))
+        out = out.when(whole(k), F.when(valid.get(k, F.lit(True)), F.lit(k)))
     return out.otherwise(F.when(F.length(_bare(m)).between(13, 19), F.when(luhn(_bare(m)) == 0, F.lit("card"))))
 
 
@@ -170,7 +190,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "date", date)
         .when(kind == "address", net)
         .when(kind == "phone", _refill(m, F.concat(F.substring(d, F.lit(1), country), _digits(local, "phone", key))))
-        .when(kind == "national", _refill(m, _digits(d, "national", key)))
+        .when(kind == "national", _refill(m, _national(d, key)))
         .when(kind == "card", _refill(m, card)),
         m,
     )
