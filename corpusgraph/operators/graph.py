@@ -1,59 +1,93 @@
 """The note graph: link resolution, degrees, orphans, broken links, tag and field indexes.
 
-Resolution is three equi-joins of distinct (folder, kind, target) with the file
-table, so a hot target is resolved once; occurrences join the result back.  Degrees
+Paths are resolved by equi-joins of distinct wanted paths with the file table, bare
+names by one row a stem that holds its count and first candidates; occurrences join
+the result back, so work grows with links and notes, not with their product.  Degrees
 are partial aggregates by source and by target.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions import paths as P
 
+CANDIDATES = 256
+
 
 def as_files(entries: DataFrame) -> DataFrame:
     """path, kind, extension, stem, path_id of eligible entries."""
     return entries.withColumns({"kind": P.node_kind("path"), "extension": P.extension("path"), "stem": P.stem("path"), "path_id": P.path_id("path")})
 
 
-def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Add resolution_status, resolved_target_path, target_kind, candidate_paths to local links; other than wikilinks get the fragment of their target.
+def wanted(links: DataFrame) -> DataFrame:
+    """Local links with what they ask for: ``want``, a path, or ``want_stem``, a note's stem.
 
-    links: source_path, link_kind, raw_target, ...; external targets of wikilinks
-    and markdown links are left out.
+    A bare name asks for a stem, wherever it stands; anything else for an exact path.
     """
-    local = links.filter(~L.is_external("raw_target")).withColumn("folder", P.dirname("source_path"))
+    local = links.filter(~L.is_external("raw_target"))
     wiki = F.col("link_kind") == "wikilink"
     if "fragment" in links.columns:
         local = local.withColumn("fragment", F.when(wiki, F.col("fragment")).otherwise(L.fragment("raw_target")))
-    asked = local.select("folder", "link_kind", "raw_target").distinct()
     target = L.percent_decoded(F.when(wiki, F.col("raw_target")).otherwise(L.without_fragment("raw_target")))
-    asked = asked.withColumn("target", target)
-    name = F.regexp_replace("target", r"^\./", "")
+    name = F.regexp_replace(target, r"^\./", "")
     bare = wiki & ~name.contains("/") & (P.extension(name) == "")
-    # a bare name asks for a stem; anything else for an exact path
-    some = F.col("target") != ""
-    asked = asked.withColumn("want", F.when(some & wiki & ~bare, name).when(some & ~wiki, P.join_clean("folder", "target"))).withColumn("stem", F.when(some & bare, name))
-    key = ["folder", "link_kind", "raw_target"]
-    notes = files.filter("kind = 'note'")
-    f_path = files.select(F.col("path").alias("candidate"), F.col("kind").alias("candidate_kind"))
-    f_note = notes.select(F.col("path").alias("candidate"), F.col("kind").alias("candidate_kind"))
-    f_stem = notes.select(F.col("path").alias("candidate"), F.col("kind").alias("candidate_kind"), F.col("stem").alias("note_stem"))
-    exact = asked.join(f_path, F.col("want") == F.col("candidate")).select(*key, "candidate", "candidate_kind")
-    with_md = asked.filter(P.extension("want") == "").join(f_note, F.concat("want", F.lit(".md")) == F.col("candidate")).select(*key, "candidate", "candidate_kind")
-    by_stem = asked.join(f_stem, F.col("stem") == F.col("note_stem")).select(*key, "candidate", "candidate_kind")
-    found = exact.unionByName(with_md).unionByName(by_stem).distinct().groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("candidate", "candidate_kind"))).alias("found"))
-    n = F.coalesce(F.size("found"), F.lit(0))
-    out = local.join(found, key, "left")
+    some = target != ""
+    want = F.when(some & wiki & ~bare, name).when(some & ~wiki, P.join_clean(P.dirname("source_path"), target))
+    return local.withColumns({"want": want, "want_stem": F.when(some & bare, name)})
+
+
+def stem_candidates(files: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Per stem of notes: how many have it, and the first ``most`` of them in order, once for all links."""
+    notes = files.filter("kind = 'note'").select("stem", F.struct(F.col("path").alias("candidate"), F.col("kind").alias("candidate_kind")).alias("c"))
+    n = notes.groupBy("stem").agg(F.count("*").alias("n"))
+    first = notes.withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("c"))).filter(F.col("k") <= most)
+    return first.groupBy("stem").agg(F.array_sort(F.collect_list("c")).alias("found")).join(n, "stem").select(F.col("stem").alias("want_stem"), "n", "found")
+
+
+def resolve_links(links: DataFrame, files: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Add resolution_status, resolved_target_path, target_kind, candidate_count, candidate_paths to local links; other than wikilinks get the fragment of their target.
+
+    links: source_path, link_kind, raw_target, ...; external targets of wikilinks
+    and markdown links are left out.  ``candidate_paths`` of an ambiguous link has the
+    first ``most`` paths in order; ``link_candidates`` has all, as rows.
+    """
+    local = wanted(links)
+    file = lambda rows: rows.select(F.col("path").alias("candidate"), F.col("kind").alias("candidate_kind"))
+    asked = local.filter("want IS NOT NULL").select("want").distinct()
+    exact = asked.join(file(files), F.col("want") == F.col("candidate"))
+    with_md = asked.filter(P.extension("want") == "").join(file(files.filter("kind = 'note'")), F.concat("want", F.lit(".md")) == F.col("candidate"))
+    # a path asks for two files at most
+    by_path = exact.unionByName(with_md).groupBy("want").agg(F.array_sort(F.collect_set(F.struct("candidate", "candidate_kind"))).alias("found"))
+    by_path = by_path.select("want", F.size("found").cast("long").alias("n"), "found")
+    of_paths = local.filter("want_stem IS NULL").join(by_path, "want", "left")
+    of_stems = local.filter("want_stem IS NOT NULL").join(stem_candidates(files, most), "want_stem", "left")
+    out = of_paths.unionByName(of_stems)
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    one = F.get("found", F.lit(0))
     return out.withColumns({
-        "resolution_status": F.when(F.col("found").isNull(), F.lit("unresolved")).when(n == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")),
-        "resolved_target_path": F.when(n == 1, F.get("found", F.lit(0))["candidate"]),
-        "target_kind": F.when(n == 1, F.get("found", F.lit(0))["candidate_kind"]),
+        "resolution_status": F.when(n == 0, F.lit("unresolved")).when(n == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")),
+        "resolved_target_path": F.when(n == 1, one["candidate"]),
+        "target_kind": F.when(n == 1, one["candidate_kind"]),
+        "candidate_count": n,
         "candidate_paths": F.when(n > 1, F.transform("found", lambda x: x["candidate"])).otherwise(F.array().cast("array<string>")),
-    }).drop("found", "folder")
+    }).drop("found", "n", "want", "want_stem")
+
+
+def link_candidates(links: DataFrame, files: DataFrame) -> DataFrame:
+    """The long form: one row for each link and each file it may mean."""
+    local = wanted(links)
+    key = [c for c in ("source_path", "ordinal", "link_kind", "raw_target") if c in links.columns]
+    candidate = files.select(F.col("path").alias("candidate_path"), "kind", "stem")
+    notes = candidate.filter("kind = 'note'")
+    bare = local.filter("want_stem IS NOT NULL").join(notes, F.col("want_stem") == F.col("stem"))
+    paths = local.filter("want IS NOT NULL")
+    exact = paths.join(candidate, F.col("want") == F.col("candidate_path"))
+    with_md = paths.filter(P.extension("want") == "").join(notes, F.concat("want", F.lit(".md")) == F.col("candidate_path"))
+    rows = [r.select(*key, "candidate_path") for r in (bare, exact, with_md)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def degrees(edges: DataFrame, notes: DataFrame, neighbor_mode: str = "documented") -> DataFrame:

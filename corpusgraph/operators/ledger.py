@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions import paths as P
+from .blocks import Blocks, numbered
 
 KEY = ["profile_id", "rel_path"]
 LEDGER = ["profile_id", "rel_path", "size", "mod_time", "hash", "state", "suppressed_policy_hash", "suppressed_generation"]
@@ -172,8 +173,7 @@ def upsert_pending(pending: DataFrame, events: DataFrame) -> DataFrame:
 
 def by_first_seen(pending: DataFrame) -> DataFrame:
     """Pending rows in the order in which their paths were first seen, numbered per profile."""
-    w = Window.partitionBy("profile_id").orderBy("first_seen", "path")
-    return pending.withColumn("place", F.row_number().over(w)).orderBy("profile_id", "place")
+    return numbered(pending, "profile_id", ("first_seen", "path"), "place").withColumn("place", F.col("place").cast("int")).orderBy("profile_id", "place")
 
 
 def first_skipped(scan: DataFrame, limit: int = 10) -> DataFrame:
@@ -276,16 +276,16 @@ def newest_open(requests: DataFrame, order: str = "created_at") -> DataFrame:
 
 
 def batched(targets: DataFrame, key: str = "profile_id", size: int = BATCH) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("rel_path")
-    return targets.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return numbered(targets, key, "rel_path", "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
 
 
 def running_progress(results: DataFrame) -> DataFrame:
     """Completed and remaining targets after each result, in result order."""
-    w = Window.partitionBy("profile_id").orderBy("seq")
-    all_ = Window.partitionBy("profile_id")
-    done = F.sum(F.when(F.col("target_state").isin("deleted", "missing"), 1).otherwise(0)).over(w)
-    return results.withColumn("completed", done).withColumn("remaining", F.count("*").over(all_) - F.col("completed"))
+    done = F.when(F.col("target_state").isin("deleted", "missing"), 1).otherwise(0)
+    all_ = results.groupBy(F.col("profile_id").alias("__profile")).agg(F.count("*").alias("__all"))
+    rows = Blocks(results, "profile_id", "seq").scan(sums={"completed": done}).done()
+    rows = rows.join(all_, F.col("profile_id").eqNullSafe(F.col("__profile")))
+    return rows.withColumn("remaining", F.col("__all") - F.col("completed")).drop("__profile", "__all")
 
 
 def target_folders(targets: DataFrame) -> DataFrame:

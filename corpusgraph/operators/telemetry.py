@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import parsed_time
+from .blocks import Blocks
 
 FRAME = (
     "level string, msg string, time string, stats struct<bytes:bigint,totalBytes:bigint,checks:bigint,totalChecks:bigint,transfers:bigint,totalTransfers:bigint,listed:bigint,deletes:bigint,"
@@ -39,33 +40,29 @@ def progress_frames(lines: DataFrame) -> DataFrame:
 
 def rates(frames: DataFrame, counters: tuple[str, ...] = ("bytes", "transfers"), key: str = "run_id") -> DataFrame:
     """Rate of each counter against the frame before; null where unknown, 0 where nothing moved."""
-    w = Window.partitionBy(key).orderBy("seq")
-    dt = micros("ts") - micros(F.lag("ts").over(w))
-    out = frames
-    for c in counters:
-        d = F.col(c) - F.lag(c).over(w)
-        out = out.withColumn(f"{c}_rate", F.when((dt > 0) & (d >= 0), d * F.lit(1e6) / dt))
-    return out
+    rows = Blocks(frames, key, "seq").scan(before={f"__p_{c}": c for c in ("ts", *counters)}).done()
+    dt = micros("ts") - micros("__p_ts")
+    rate = lambda d: F.when((dt > 0) & (d >= 0), d * F.lit(1e6) / dt)
+    return rows.select(*frames.columns, *(rate(F.col(c) - F.col(f"__p_{c}")).alias(f"{c}_rate") for c in counters))
 
 
 def measurable(frames: DataFrame, key: str = "run_id") -> DataFrame:
     """Whether work advanced since the frame before."""
-    w = Window.partitionBy(key).orderBy("seq")
-    first = F.lag("seq").over(w).isNull()
-    up = lambda c: F.coalesce(F.col(c) > F.lag(c).over(w), F.lit(False))
+    rows = Blocks(frames, key, "seq").scan(before={f"__p_{c}": c for c in ("seq", "item", "item_bytes", *COUNTERS)}).done()
+    first = F.col("__p_seq").isNull()
+    up = lambda c: F.coalesce(F.col(c) > F.col(f"__p_{c}"), F.lit(False))
     some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
-    item = F.col("item").isNotNull() & ~F.col("item").eqNullSafe(F.lag("item").over(w))
+    item = F.col("item").isNotNull() & ~F.col("item").eqNullSafe(F.col("__p_item"))
     start, later = F.coalesce(F.col("item") != "", F.lit(False)), item | up("item_bytes")
     for c in COUNTERS:
         start, later = start | some(c), later | up(c)
-    return frames.withColumn("measurable", F.when(first, start).otherwise(later))
+    return rows.select(*frames.columns, F.when(first, start).otherwise(later).alias("measurable"))
 
 
 def stalls(frames: DataFrame, key: str = "run_id", after: int = STALL_SECONDS) -> DataFrame:
     """Last measurable progress at each frame, and whether the run may be stalled."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("measurable"), F.col("ts")), ignorenulls=True).over(w)
-    return frames.withColumn("last_progress", last).withColumn("possible_stall", F.coalesce(micros("ts") - micros("last_progress") >= after * 1_000_000, F.lit(False)))
+    rows = Blocks(frames, key, "seq").scan(last={"last_progress": F.when(F.col("measurable"), F.col("ts"))}).done()
+    return rows.withColumn("possible_stall", F.coalesce(micros("ts") - micros("last_progress") >= after * 1_000_000, F.lit(False)))
 
 
 def upload_start(frames: DataFrame, key: str = "run_id") -> DataFrame:
@@ -101,15 +98,16 @@ def retries(runs: DataFrame) -> DataFrame:
 
     runs: profile_id, seq, status, classification, completed_at.
     """
-    w = Window.partitionBy("profile_id").orderBy("seq")
-    island = F.sum(F.when(F.col("status") == "succeeded", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inside = Window.partitionBy("profile_id", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda c: F.sum(F.when((F.col("status") == "failed") & (F.col("classification") == c), 1).otherwise(0)).over(inside)
-    r = runs.withColumn("island", island).withColumns({"consecutive": count("retryable"), "limited": count("retryable_limited")})
+    kinds = {"consecutive": "retryable", "limited": "retryable_limited"}
+    one = lambda c: F.when((F.col("status") == "failed") & (F.col("classification") == c), 1).otherwise(0)
+    # failures since a success: all so far less all up to the last success
+    rows = Blocks(runs, "profile_id", "seq").scan(sums={f"__{n}": one(c) for n, c in kinds.items()})
+    rows = rows.scan(last={f"__s_{n}": F.when(F.col("status") == "succeeded", F.col(f"__{n}")) for n in kinds}).done()
+    r = rows.select(*runs.columns, *((F.col(f"__{n}") - F.coalesce(F.col(f"__s_{n}"), F.lit(0))).alias(n) for n in kinds))
     failed = F.col("status") == "failed"
     final = F.when((F.col("classification") == "retryable_limited") & (F.col("limited") > 3), "terminal").otherwise(F.col("classification"))
     delay = F.when(failed & (final == "retryable"), backoff_seconds(F.col("consecutive"))).when(failed & (final == "retryable_limited"), limited_seconds(F.col("limited")))
-    return r.withColumn("final_classification", F.when(failed, final)).withColumn("delay_seconds", delay.cast("long")).withColumn("next_retry_at", F.timestamp_micros(micros("completed_at") + F.col("delay_seconds") * 1_000_000)).drop("island")
+    return r.withColumn("final_classification", F.when(failed, final)).withColumn("delay_seconds", delay.cast("long")).withColumn("next_retry_at", F.timestamp_micros(micros("completed_at") + F.col("delay_seconds") * 1_000_000))
 
 
 def error_class(code: Column, exit_code: Column, temporary: Column | None = None) -> Column:
@@ -191,12 +189,11 @@ def checkpoints(frames: DataFrame, key: str = "run_id", seconds: int = CHECKPOIN
     in any case: the first, a phase change, or one an hour or more after the frame
     before it (so an hour after the last kept one as well).
     """
-    w = Window.partitionBy(key).orderBy("seq")
-    forced = F.col("phase").isNotNull() & ~F.col("phase").eqNullSafe(F.lag("phase").over(w))
-    ahead = F.max(micros("ts")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    alone = ahead.isNull() | (micros("ts") - ahead >= seconds * 1_000_000)
-    rows = frames.withColumn("forced", forced | F.lag("seq").over(w).isNull() | alone)
-    rows = rows.withColumn("stretch", F.sum(F.col("forced").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = Blocks(frames.select(key, "seq", "ts", "phase"), key, "seq").scan(before={"p_phase": "phase", "p_seq": "seq"}, highest_before={"ahead": micros("ts")})
+    turned = F.col("phase").isNotNull() & ~F.col("phase").eqNullSafe(F.col("p_phase"))
+    alone = F.col("ahead").isNull() | (micros("ts") - F.col("ahead") >= seconds * 1_000_000)
+    rows = rows.scan(sums={"stretch": (turned | F.col("p_seq").isNull() | alone).cast("long")}).done()
+    rows = rows.withColumn("forced", turned | F.col("p_seq").isNull() | alone)
     each = rows.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("seq", micros("ts").alias("t"), "forced"))).alias("f"))
     start = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("kept"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract, graph, policy
+from ..operators.blocks import kept
 
 
 @dataclass
@@ -43,12 +43,6 @@ class Compiled:
             df.unpersist()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    if df.sparkSession.conf.get("spark.checkpoint.dir", ""):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def compile_corpus(entries: DataFrame, keep: bool = False, neighbor_mode: str = "documented") -> Compiled:
     """Compile eligible (path, content) rows.
 
@@ -58,10 +52,10 @@ def compile_corpus(entries: DataFrame, keep: bool = False, neighbor_mode: str =
     """
     files = graph.as_files(entries.select("path"))
     notes = graph.as_files(entries).filter("kind = 'note'").select("path", "content")
-    parsed = _kept(extract.extract_facts(notes)) if keep else extract.extract_facts(notes)
+    parsed = kept(extract.extract_facts(notes)) if keep else extract.extract_facts(notes)
     links = graph.resolve_links(extract.link_facts(parsed), files)
     if keep:
-        links = _kept(links)
+        links = kept(links)
     degree = graph.degrees(links, files.filter("kind = 'note'"), neighbor_mode)
     return Compiled(files, parsed, links, degree, graph.orphans(degree), graph.broken_links(links), extract.tag_facts(parsed), extract.warning_rows(parsed))
 

@@ -154,10 +154,3 @@ def target_list(targets: DataFrame, column: str = "rel_path") -> DataFrame:
     p = F.col(column)
     ok = is_canonical(p) & ~is_reserved(p)
     return targets.select(F.when(ok, p).otherwise(F.raise_error(F.concat(F.lit("unsafe path: "), F.coalesce(p, F.lit("null"))))).alias("value")).orderBy("value")
-
-
-def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """A table snapshot under its version; the same version written again replaces itself (idempotent batches)."""
-    path = f"{root}/v={_safe(version)}"
-    df.write.mode("overwrite").parquet(path)
-    return path

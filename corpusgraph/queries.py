@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -15,10 +16,11 @@ from .functions import paths as P
 from .inputs import ctes, frame
 from .operators import audit, extract, fingerprint, graph, ledger, policy, telemetry
 from .plans import compile as plan
-from .plans import publish
+from .plans import incremental, publish
 from .sources import corpus as corpus_source
-from .sources import logs
+from .sources import feed, logs
 from .streaming import events as stream
+from .streaming import pending_log as pending
 from .streaming import rates as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,10 +118,16 @@ def _(c):
 
 
 @on_corpus("corpus_links", "SELECT source_path, CAST(ordinal AS INTEGER) AS ordinal, link_kind, raw_target, display, fragment, embed, resolution_status, resolved_target_path, target_kind, candidates FROM edges", keep=False)
-def _(c):
+def _linked(c):
     return c.links.select("source_path", "ordinal", "link_kind", "raw_target", "display", "fragment", "embed", "resolution_status", "resolved_target_path", "target_kind", F.array_join("candidate_paths", ",").alias("candidates"))
 
 
+@on_corpus("link_candidates", "SELECT source_path, CAST(ordinal AS INTEGER) AS ordinal, unnest(string_split(coalesce(resolved_target_path, candidates), ',')) AS candidate_path FROM edges WHERE resolution_status <> 'unresolved'", keep=True)
+def _(c):
+    """Every file that a link may mean, as rows."""
+    return graph.link_candidates(c.links.select("source_path", "ordinal", "link_kind", "raw_target"), c.files).select("source_path", "ordinal", "candidate_path")
+
+
 @on_corpus("corpus_degrees", "SELECT * FROM degree")
 def _(c):
     return c.degrees
@@ -655,8 +663,11 @@ def _(e):
 # ---- sources and publication ------------------------------------------------------
 
 def scratch(spark: SparkSession) -> str:
-    """A folder of its own below what driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder of its own below what driver and executors share: the checkpoint folder, or one of this machine in a session of one process."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster") and not base:
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+    base = base or tempfile.mkdtemp(prefix="corpusgraph-")
     return f"{base.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}"
 
 
@@ -695,6 +706,52 @@ def _(e):
     return stream.classified(logs.static_events(e.sparkSession, folder)).select("profile_id", "path", "event_kind")
 
 
+PAIRS = "SELECT profile_id || '/' || path AS path, CASE WHEN event_id % 12 = 3 THEN 0 ELSE flags END AS flags FROM raw_events"
+
+
+def _pair_files(e: DataFrame) -> str:
+    """Events as watchers write them: path and flags, a NUL after each; some flags are no number."""
+    folder = scratch(e.sparkSession)
+    flags = F.when(F.col("event_id") % 12 == 3, "none").otherwise(F.col("flags").cast("string"))
+    e.select(F.concat("profile_id", F.lit("/"), "path", F.lit("\x00"), flags).alias("value")).write.option("lineSep", "\x00").text(folder)
+    return folder
+
+
+@entry("change_pairs", ("raw_events",), PAIRS)
+def _(e):
+    return feed.pair_events(e.sparkSession, _pair_files(e)).select("path", "flags")
+
+
+@entry("change_stream", ("raw_events",), PAIRS)
+def _(e):
+    """The same as a stream that stops after half of the feed, and goes on from its offset when the rest has come."""
+    spark, out, marks = e.sparkSession, scratch(e.sparkSession), scratch(e.sparkSession)
+    half = F.col("event_id") % 2 == 0
+    folder = _pair_files(e.filter(half))
+    for more in (None, e.filter(~half)):
+        if more is not None:
+            flags = F.when(F.col("event_id") % 12 == 3, "none").otherwise(F.col("flags").cast("string"))
+            more.select(F.concat("profile_id", F.lit("/"), "path", F.lit("\x00"), flags).alias("value")).write.mode("append").option("lineSep", "\x00").text(folder)
+        feed.pair_events(spark, folder, streaming=True).select("path", "flags").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, flags long").parquet(out)
+
+
+@entry("pending_log", ("pending",), """SELECT profile_id, rel_path AS path, CASE WHEN g % 2 = 0 THEN 'modify' ELSE event_kind END AS event_kind, first_seen, CASE WHEN g % 2 = 0 THEN last_seen + INTERVAL 1 DAY ELSE last_seen END AS last_seen,
+ CASE WHEN g % 2 = 0 THEN g + 1000 ELSE g END AS source_generation FROM (SELECT *, source_generation AS g FROM pending) WHERE g % 2 = 0 OR g % 3 <> 0""")
+def _(p):
+    """Three batches: all events, newer ones of every second path, and what a worker of the first batch clears; one batch comes twice."""
+    log = pending.PendingLog(p.sparkSession, scratch(p.sparkSession))
+    rows = p.select("profile_id", F.col("rel_path").alias("path"), "event_kind", F.col("first_seen").cast("timestamp"), F.col("last_seen").cast("timestamp"), F.col("source_generation").cast("long"))
+    g = F.col("source_generation")
+    day = F.expr("INTERVAL 1 DAY")
+    newer = rows.filter(g % 2 == 0).withColumns({"event_kind": F.lit("modify"), "first_seen": F.col("last_seen") + day, "last_seen": F.col("last_seen") + day, "source_generation": g + 1000})
+    log.append(0, rows)
+    log.append(1, newer)
+    log.append(1, newer)
+    log.append(2, cleared=rows.filter(g % 3 == 0))
+    return log.read().select("profile_id", "path", "event_kind", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "source_generation")
+
+
 @entry("coarse_scan", ("scan",), "SELECT rel_path AS path, size, CAST(mod_time AS BIGINT) AS mtime_s FROM scan")
 def _(s):
     return corpus_source.coarse(s.select(F.col("rel_path").alias("path"), "size", (F.col("mod_time") * 1_000_000_000 + F.col("size") % 1_000_000_000).alias("mtime_ns")))
@@ -762,6 +819,28 @@ def _(c):
     return publish.orphan_summary(graph.orphan_folders(c.orphans), "g1")
 
 
+def _edited(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A scan of the corpus as it was and as it is: notes added, edited, renamed, and some gone that others ask for."""
+    now = c.select("doc_id", "path", "content", F.coalesce(F.length("content"), F.lit(-1)).cast("long").alias("size"), F.lit(2).cast("long").alias("mtime_ns"))
+    edited, renamed = F.col("doc_id") % 13 == 0, F.col("doc_id") % 29 == 0
+    then = now.filter(F.col("doc_id") % 17 != 0).withColumns({
+        "content": F.when(edited, F.concat("content", F.lit(" [[note1]] [[twin2]] #Old"))).otherwise(F.col("content")),
+        "path": F.when(renamed, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")),
+        "mtime_ns": F.when(edited, 1).otherwise(F.col("mtime_ns")),
+    })
+    gone = now.filter("doc_id < 5").withColumns({"path": F.concat(F.lit("gone/missing"), F.col("doc_id").cast("string"), F.lit(".md")), "content": F.lit("[[note3]]")})
+    return then.unionByName(gone).drop("doc_id"), now.drop("doc_id")
+
+
+def _rebuilt(c: DataFrame) -> plan.Compiled:
+    then, now = _edited(c)
+    return incremental.rebuild(plan.compile_corpus(then.select("path", "content"), keep=True), then, now)
+
+
+ENTRIES["incremental_links"] = Entry(lambda spark, sf_dir: _linked(_rebuilt(frame(spark, sf_dir, "corpus"))), ENTRIES["corpus_links"].sql)
+ENTRIES["incremental_degrees"] = Entry(lambda spark, sf_dir: _rebuilt(frame(spark, sf_dir, "corpus")).degrees, ENTRIES["corpus_degrees"].sql)
+
+
 @entry("stable_scan", ("scan",), "SELECT profile_id, rel_path AS path FROM scan")
 def _(s):
     """Paths of a scan that reads the same before and after its use."""

@@ -1,27 +1,15 @@
-"""Streaming sinks: idempotent snapshots per micro-batch, recompile only on change."""
+"""Streaming sinks: a log of pending rows (``pending_log``), recompile only on change."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame
 
 from ..operators.fingerprint import scan_fingerprint
-from ..operators.ledger import upsert_pending
-from ..plans.publish import publish_snapshot
+from .pending_log import PendingLog, pending_log
 
-
-def pending_snapshots(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep the pending set as snapshots ``root/v=<batch>``; a replayed batch rewrites its own version."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{root}/v=b{batch_id - 1}") if batch_id else batch.limit(0)
-        publish_snapshot(upsert_pending(before, batch), root, f"b{batch_id}")
-
-    cols = ("profile_id", "path", "event_kind", "first_seen", "last_seen", "source_generation")
-    context = [c for c in ("observed_policy_hash", "observed_policy_generation", "policy_context_known") if c in events.columns]
-    return events.select(*cols, *context).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+__all__ = ["PendingLog", "pending_log", "rebuild_on_change"]
 
 
 def rebuild_on_change(scan: DataFrame, known: str | None, rebuild: Callable[[DataFrame], object]) -> str:
@@ -30,7 +18,3 @@ def rebuild_on_change(scan: DataFrame, known: str | None, rebuild: Callable[[Dat
     if now != known:
         rebuild(scan)
     return now
-
-
-def latest(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v=b{batch_id}")

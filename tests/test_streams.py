@@ -107,8 +107,8 @@ def test_pending_sink_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame(rows, "profile_id string, path string, event_kind string, first_seen timestamp, last_seen timestamp, source_generation long")
     df.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
-    sinks.pending_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    got = {r["path"]: (r["event_kind"], r["first_seen"], r["source_generation"]) for r in sinks.latest(spark, str(tmp_path / "out"), 0).collect()}
+    sinks.pending_log(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    got = {r["path"]: (r["event_kind"], r["first_seen"], r["source_generation"]) for r in sinks.PendingLog(spark, str(tmp_path / "out")).read().collect()}
     assert got == {"a.md": ("delete", at(0), 2), "b.md": ("modify", at(6), 3)}
 
 
