@@ -43,6 +43,22 @@ def policy_hash(content: Column | str) -> Column:
     return F.when(c.isNull(), F.lit("empty")).otherwise(F.sha2(c.cast("binary"), 256))
 
 
+# Names and versions that the digests of a contract are framed with.
+CONTRACT = ("eligibility-contract-v1", "regular-file-v1", "no-follow-symlink-v1", "system-reservation-v1")
+BINDING = "derived-binding-v1"
+
+
+def contract_hash(policy: Column | str, max_size: Column | str) -> Column:
+    """Digest of all that decides on eligibility: the policy's hash, the size limit and the versions of the fixed rules."""
+    name, *rules = map(F.lit, CONTRACT)
+    return framed_digest(name, policy, col(max_size).cast("string"), *rules, F.lit(""))
+
+
+def binding_digest(remote: Column | str, folder: Column | str) -> Column:
+    """Identity of a remote root: its name, with or without the colon, and its folder."""
+    return framed_digest(F.lit(BINDING), F.regexp_replace(col(remote), ":$", ""), folder)
+
+
 def parsed_time(text: Column | str) -> Column:
     """A UTC timestamp in the extended ISO form with optional fraction; null otherwise."""
     return F.try_to_timestamp(F.regexp_replace(col(text), "Z$", "+00:00"))

@@ -83,6 +83,11 @@ SELECT source || CASE WHEN doc_id % 50 = 7 THEN '/credentials.json' WHEN doc_id
  'd' || doc_id || '/' || CASE WHEN doc_id % 50 = 7 THEN 'credentials.json' WHEN doc_id % 50 = 8 THEN 'k.pem' ELSE 'x.md' END AS path,
  CASE WHEN doc_id % 30 = 5 THEN text || ' someone@gmail.com' ELSE text END AS text FROM {documents}""",
     "needles": "SELECT text AS needle FROM {benchmark} UNION ALL SELECT '# ' || item_id FROM {benchmark} UNION ALL SELECT '' FROM {region}",
+    "short_needles": "SELECT split_part(text, ' ', 1) AS needle FROM {benchmark} UNION ALL SELECT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) FROM {benchmark} UNION ALL SELECT substr(c_name, 10, 1) || '.' FROM {customer} UNION ALL SELECT substr(p_name, 1, 2) FROM {part}",
+    # bursts of at most two seconds, a minute apart: every burst is a batch of its own
+    "bursts": """
+SELECT 'p' || (o_custkey % 211) AS profile_id, o_custkey % 211 AS p, (o_orderkey % 37) * 60000 + (o_orderkey % 7) * 300 AS ms, 'f' || o_orderkey % 11 || '.md' AS path,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'create' ELSE 'modify' END AS event_kind, o_orderkey AS k FROM {orders}""",
     "roots": "SELECT 'c' || c_custkey AS profile_id, '/srv/' || c_mktsegment || CASE WHEN c_custkey % 40 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN '/n' || c_nationkey ELSE '/n' || c_nationkey || '/c' || c_custkey END AS root FROM {customer}",
     "odd_paths": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'a//b' WHEN 1 THEN '/abs' WHEN 2 THEN 'a/../b' WHEN 3 THEN 'a\\b' WHEN 4 THEN '' WHEN 5 THEN 'a/' WHEN 6 THEN '.knowledge-derived/x' ELSE source || '/' || lang || '/n.md' END AS path FROM {documents}",
     "targets_text": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '#frag' WHEN 2 THEN 'My%20Note+' || page_id || '.md#Head' WHEN 3 THEN '//host/x' WHEN 4 THEN CASE WHEN page_id % 12 = 4 THEN '/abs/' || page_id || '.md' ELSE 'bad%zz' END ELSE '../up/' || page_id || '/./x.md' END AS target, 'a/b' || page_id % 4 AS folder FROM {pages}",

@@ -1,7 +1,6 @@
 """Ignore policies: patterns with scopes, negation and nesting, structured rules, overlaps.
 
-Patterns are compiled once on the driver (a policy is a small set of rules, counted
-before it is broadcast) into anchored regular expressions.  A path is decided from
+Patterns become anchored regular expressions, compiled once where their files are.  A path is decided from
 the root down: at every ancestor the last rule that matches wins, and an ignored
 folder hides all below it, so a negation cannot reach into it.
 """
@@ -9,14 +8,17 @@ folder hides all below it, so a negation cannot reach into it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .blocks import kept
 
-MAX_RULES, LITERAL = 20_000, 200
+LITERAL = 200
 
 
 @dataclass(frozen=True)
@@ -101,10 +103,78 @@ def compile_policy(files: list[tuple[str, str, str]]) -> tuple[list[Rule], list[
     return rules, warnings
 
 
+RULES = "scope string, ord long, regex string, negated boolean, dir_only boolean, kind string, key string, source string, line int, pattern string"
+
+
+def index_key(glob: str) -> tuple[str, str]:
+    """How a pattern (without its slashes at the ends) can be looked up, and under what.
+
+    name: the last segment is equal; path: the whole path below the scope is; ext: the
+    end of the last segment from its last dot on is; under: the first segment is; scan:
+    nothing is known, every path below the scope has to be tried.
+    """
+    wild = lambda t: any(c in t for c in "*?[\\")
+    glob, anchored = glob.removeprefix("/"), "/" in glob
+    bare = glob.removeprefix("**/")
+    if "/" not in bare and (not anchored or bare != glob):
+        if not wild(bare):
+            return "name", bare
+        if bare.startswith("*.") and not wild(bare[2:]) and "." not in bare[2:]:
+            return "ext", bare[1:]
+        return "scan", ""
+    if not anchored:
+        return "scan", ""
+    if not wild(glob):
+        return "path", glob
+    first = glob.split("/", 1)[0]
+    return ("under", first) if not wild(first) and "/" in glob else ("scan", "")
+
+
+def _row(r: Rule, ord_: int) -> tuple:
+    return r.scope, ord_, r.regex, r.negated, r.dir_only, *index_key(r.pattern.removeprefix("!").rstrip("/")), r.source, r.line, r.pattern
+
+
 def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"a policy of {len(rules)} rules is too large to broadcast")
-    return spark.createDataFrame([(r.scope, r.ord, r.regex, r.negated, r.dir_only) for r in rules], "scope string, ord int, regex string, negated boolean, dir_only boolean")
+    """Rules that were compiled on the driver, as rows."""
+    return spark.createDataFrame([_row(r, r.ord) for r in rules], RULES)
+
+
+def compiled(files: DataFrame) -> DataFrame:
+    """Rules and warnings of ignore files (path, scope, content), compiled where the files are.
+
+    ``ord`` orders the rules that can meet one path: by depth of their scope, then line.
+    A pattern that can't be compiled is a row with a ``warning`` and no regex.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in RULES.split(", ")]
+        for pdf in batches:
+            rows: list[tuple] = []
+            for path, scope, content in zip(pdf["path"], pdf["scope"], pdf["content"]):
+                rules, warnings = compile_policy([(path, scope, content or "")])
+                depth = len(scope.split("/")) if scope else 0
+                rows += [(*_row(r, depth << 32 | r.line), None) for r in rules]
+                rows += [(scope, depth << 32 | line, None, None, None, None, None, source, line, pattern, text) for source, line, pattern, text in warnings]
+            yield pd.DataFrame(rows, columns=[*names, "warning"]).astype({"negated": object, "dir_only": object})
+
+    return files.select("path", "scope", "content").mapInPandas(run, RULES + ", warning string")
+
+
+def taken_policy(files: DataFrame) -> DataFrame:
+    """Ignore files (path, content) with their scope, without those an outer file ignores and those under ``.git``.
+
+    Goes down one level of folders that hold any at a time; what is left of a level
+    decides on the next.
+    """
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    found = kept(files.filter((P.basename("path") == ".gitignore") & ~F.array_contains(folders, ".git")).select("path", P.dirname("path").alias("scope"), "content", F.size(folders).alias("depth")))
+    taken = found.filter("depth = 0").drop("depth")
+    for r in found.filter("depth > 0").select("depth").distinct().orderBy("depth").collect():  # as many as the tree is deep
+        level = found.filter(F.col("depth") == r["depth"]).drop("depth")
+        rules = compiled(taken).filter("warning IS NULL")
+        hidden = ignored(level.select(F.col("scope").alias("path"), F.lit(True).alias("is_dir")), rules).filter("ignored").select(F.col("path").alias("scope"))
+        taken = kept(taken.unionByName(level.join(hidden, "scope", "left_anti").select("path", "scope", "content")))
+    return taken
 
 
 def prefixes(path: Column, is_dir: Column) -> Column:
@@ -128,8 +198,10 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (path, is_dir) with ``ignored``.
 
     Each distinct prefix is decided once: by one expression of up to LITERAL rules
-    (their patterns are compiled once a task), by a join with the broadcast rules of a
-    larger policy.  A prefix that no rule touches takes no part afterwards.
+    (their patterns are compiled once a task), by equi-joins with an index of the rules
+    of a larger policy (scope, and a name, path, extension or first segment); only
+    patterns that have none of these are tried on every path below their scope.  A
+    prefix that no rule touches takes no part afterwards.
     """
     own = paths.select("path", "is_dir").distinct()
     each = own.select("path", "is_dir", F.explode(prefixes(F.col("path"), F.col("is_dir"))).alias("p")).select("path", "is_dir", "p.*")
@@ -138,9 +210,14 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     if len(few) <= LITERAL:
         verdict = unique.filter(~_last_rule(few))
     else:
-        inside = (F.col("scope") == "") | F.startswith("prefix", F.concat("scope", F.lit("/")))
-        rel = F.when(F.col("scope") == "", F.col("prefix")).otherwise(F.substring(F.col("prefix"), F.length("scope") + 2, F.length("prefix")))
-        hits = unique.join(F.broadcast(rules), inside & (~F.col("dir_only") | F.col("dir")) & F.regexp_like(rel, F.col("regex")))
+        # each prefix asks at every scope above it, by each kind of key
+        parts = F.split("prefix", "/")
+        above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        asked = unique.withColumn("scope", F.explode(above))
+        asked = asked.withColumn("rel", F.when(F.col("scope") == "", F.col("prefix")).otherwise(F.substring(F.col("prefix"), F.length("scope") + 2, F.length("prefix"))))
+        keys = {"name": P.basename("prefix"), "path": F.col("rel"), "ext": F.regexp_extract("prefix", r"(\.[^./]*)$", 1), "under": F.substring_index("rel", "/", 1), "scan": F.lit("")}
+        asked = asked.withColumn("k", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items())))).select("prefix", "dir", "scope", "rel", "k.kind", "k.key")
+        hits = asked.join(rules.select("scope", "kind", "key", "ord", "regex", "negated", "dir_only"), ["scope", "kind", "key"]).filter((~F.col("dir_only") | F.col("dir")) & F.regexp_like("rel", F.col("regex")))
         verdict = hits.groupBy("prefix", "dir").agg(F.max_by("negated", "ord").alias("keep")).filter("NOT keep").select("prefix", "dir")
     hidden = each.join(verdict, ["prefix", "dir"]).select("path", "is_dir").distinct().withColumn("ignored", F.lit(True))
     return own.join(hidden, ["path", "is_dir"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
@@ -210,34 +287,9 @@ def legacy_to_patterns(rules: DataFrame) -> DataFrame:
 
 
 def collect_policy(files: DataFrame) -> list[tuple[str, str, str]]:
-    """Ignore files (path, content) in scope order, without those an outer file ignores and those under ``.git``.
-
-    Goes down one level of folders at a time; ignore files are few (counted).
-    """
-    found = files.filter((P.basename("path") == ".gitignore") & ~F.array_contains(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), ".git"))
-    rows = [(r["d"], r["path"], r["content"]) for r in found.select(P.depth("path").alias("d"), "path", "content").orderBy("d", "path").limit(MAX_RULES + 1).collect()]
-    if len(rows) > MAX_RULES:
-        raise ValueError("too many ignore files for one policy")
-    taken: list[tuple[str, str, str]] = []
-    for _, path, content in rows:
-        scope = path.rpartition("/")[0]
-        rules = compile_policy(taken)[0]
-        if not scope or not _hidden(scope, rules):
-            taken.append((path, scope, content or ""))
-    return taken
-
-
-def _hidden(folder: str, rules: list[Rule]) -> bool:
-    parts = folder.split("/")
-    for n in range(1, len(parts) + 1):
-        p, last = "/".join(parts[:n]), None
-        for r in rules:
-            rel = p if not r.scope else p[len(r.scope) + 1 :] if p.startswith(r.scope + "/") else None
-            if rel is not None and re.match(r.regex, rel):
-                last = r
-        if last is not None and not last.negated:
-            return True
-    return False
+    """``taken_policy`` of a tree with few ignore files, as a list, parents first."""
+    rows = [(r["path"], r["scope"], r["content"] or "") for r in taken_policy(files).collect()]
+    return sorted(rows, key=lambda r: (r[0].count("/"), r[0]))
 
 
 def overlapping_roots(profiles: DataFrame) -> DataFrame:

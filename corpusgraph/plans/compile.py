@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, graph, policy
 from ..operators.blocks import kept
+from . import publish
 
 
 @dataclass
@@ -35,6 +36,16 @@ class Compiled:
             "FRONTMATTER_STATS": graph.frontmatter_stats(self.parsed).orderBy("field"),
         }
 
+    def pages(self, generation: str, compiled_at: str = "", contract: str = "") -> dict[str, DataFrame]:
+        """The markdown pages of a generation."""
+        counts = self.counts()
+        return {
+            "README.md": publish.readme_summary(counts, generation),
+            "HEALTH.md": publish.health_summary(counts, generation, compiled_at, contract, graph.notes_with_frontmatter(self.parsed)),
+            "ORPHANS.md": publish.orphan_summary(graph.orphan_folders(self.orphans), generation),
+            "BROKEN.md": publish.broken_page(graph.broken_groups(self.broken), generation),
+        }
+
     def counts(self) -> DataFrame:
         return graph.corpus_counts(self.files, self.links, self.orphans, self.tags, self.warnings)
 
@@ -62,7 +73,6 @@ def compile_corpus(entries: DataFrame, keep: bool = False, neighbor_mode: str =
 
 def eligible(scan: DataFrame, cap: int = 0) -> DataFrame:
     """Scan rows (with content) with their status under the ignore files in the scan."""
-    spark = scan.sparkSession
-    rules, _ = policy.compile_policy(policy.collect_policy(scan))
-    verdicts = policy.ignored(scan.select("path", F.lit(False).alias("is_dir")), policy.rule_frame(spark, rules))
+    rules = policy.compiled(policy.taken_policy(scan)).filter("warning IS NULL")
+    verdicts = policy.ignored(scan.select("path", F.lit(False).alias("is_dir")), rules)
     return policy.eligibility(scan, verdicts, cap)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_canonical, is_reserved
+from ..operators.blocks import numbered
+from ..operators.fingerprint import fingerprints
 
 PART_RECORDS = 500_000
 SAFE = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
@@ -48,19 +50,28 @@ def _get(spark: SparkSession, path: str) -> str | None:
 
 
 def inventory(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """artifact, bytes, records, digest: part files are hashed where they are read, digests of parts combined.
+    """artifact, bytes, records, digest of the artifacts that are there.
 
-    A part is one value in memory; ``publish`` bounds the records of a part.
+    Parts are read line by line in splits of the session's size, so a part may be of any
+    size.  The digest covers each line with the part it is in and how often it occurs,
+    through sums in buckets (``fingerprint``), not the order inside a part.
     """
-    raw = F.col("content")
-    text = F.decode(raw, "ISO-8859-1")  # one character a byte
-    out = None
-    for n in names:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{_safe(n)}")
-        one = files.select(F.lit(n).alias("artifact"), F.element_at(F.split("path", "/"), -1).alias("part"), F.length(raw).cast("long").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("records"), F.sha2(raw, 256).alias("sha256"))
-        out = one if out is None else out.unionByName(one)
-    every = F.array_sort(F.collect_list(F.struct("part", "sha256")))
-    return out.groupBy("artifact").agg(F.sum("bytes").alias("bytes"), F.sum("records").alias("records"), F.sha2(F.array_join(F.transform(every, lambda p: p["sha256"]), "").cast("binary"), 256).alias("digest"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = lambda n: (p := jvm.org.apache.hadoop.fs.Path(f"{folder}/{_safe(n)}")).getFileSystem(conf).exists(p)
+    found = [n for n in names if there(n)]
+    m = F.col("_metadata")
+    out = spark.createDataFrame([(n,) for n in found], "artifact string")
+    rows = None
+    for n in found:
+        one = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(f"{folder}/{n}")
+        one = one.select(F.lit(n).alias("artifact"), m["file_name"].alias("part"), m["file_size"].alias("size"), F.col("value").cast("binary").alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        return out.selectExpr("artifact", "0L AS bytes", "0L AS records", "'' AS digest")
+    digest = fingerprints(rows, ["artifact"], F.sha2(F.concat(F.col("part").cast("binary"), F.lit("\x00").cast("binary"), "value"), 256))
+    size = rows.groupBy("artifact", "part").agg(F.max("size").alias("size")).groupBy("artifact").agg(F.sum("size").alias("bytes"))
+    told = out.join(digest, "artifact", "left").join(size, "artifact", "left")
+    return told.select("artifact", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("records"), F.coalesce("fingerprint", F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
 
 
 def publish(frames: dict[str, DataFrame], root: str, generation: str, summaries: dict[str, DataFrame] | None = None) -> dict:
@@ -70,6 +81,7 @@ def publish(frames: dict[str, DataFrame], root: str, generation: str, summaries:
     for name, df in frames.items():
         df.write.mode("error").option("maxRecordsPerFile", PART_RECORDS).json(f"{folder}/{_safe(name)}", ignoreNullFields=False)
     for name, df in (summaries or {}).items():
+        df = df.orderBy("place").select("value") if "place" in df.columns else df
         df.write.mode("error").text(f"{folder}/{_safe(name)}")
     rows = inventory(spark, folder, [*frames, *(summaries or {})]).collect()
     manifest = {"generation": generation, "artifacts": {r["artifact"]: {"bytes": r["bytes"], "records": r["records"], "digest": r["digest"]} for r in sorted(rows, key=lambda r: r["artifact"])}}
@@ -100,7 +112,7 @@ def verify_generation(spark: SparkSession, root: str, generation: str | None = N
         return spark.createDataFrame([("MANIFEST.json", "digest_differs")], "artifact string, problem string")
     said = json.loads(text)["artifacts"]
     want = spark.createDataFrame([(n, a["bytes"], a["records"], a["digest"]) for n, a in said.items()], "artifact string, w_bytes long, w_records long, w_digest string")
-    j = want.join(inventory(spark, f"{root}/generations/{g}", sorted(said)), "artifact", "full_outer")
+    j = want.join(inventory(spark, f"{root}/generations/{_safe(g)}", sorted(said)), "artifact", "full_outer")
     problem = F.when(F.col("w_digest").isNull(), "unexpected").when(F.col("digest").isNull(), "missing").when((F.col("bytes") != F.col("w_bytes")) | (F.col("records") != F.col("w_records")), "size_differs").when(F.col("digest") != F.col("w_digest"), "digest_differs")
     return j.select("artifact", problem.alias("problem")).filter("problem IS NOT NULL")
 
@@ -111,11 +123,17 @@ def expired_generations(generations: DataFrame, keep: int = 1) -> DataFrame:
     return generations.filter("NOT current AND NOT in_flight").withColumn("k", F.row_number().over(w)).filter(F.col("k") > keep).drop("k")
 
 
-def health_summary(counts: DataFrame, generation: str) -> DataFrame:
-    """A short markdown page of the corpus counts (one row of text)."""
-    line = "# Corpus health\n\n- Generation: `%s`\n- Files: %d (%d notes, %d attachments)\n- Links: %d (%d broken or ambiguous)\n- Orphans: %d hard, %d without backlinks, %d outbound only\n- Tags: %d\n- Warnings: %d"
-    cols = ("eligible_files", "notes", "attachments", "link_occurrences", "broken_links", "hard_orphans", "no_backlink_notes", "outbound_only_notes", "tags", "warnings")
-    return counts.select(F.format_string(line, F.lit(generation), *cols).alias("value"))
+def health_summary(counts: DataFrame, generation: str, compiled_at: str = "", contract: str = "", with_frontmatter: DataFrame | None = None) -> DataFrame:
+    """A short markdown page of the corpus counts (one row of text), with when and under which contract it was compiled where these are given."""
+    if with_frontmatter is not None:
+        counts = counts.join(with_frontmatter)  # one row each
+    head = [f"- Generation: `{generation}`"] + [f"- {what}: `{value}`" for what, value in (("Compiled at", compiled_at), ("Eligibility contract", contract)) if value]
+    lines = {
+        "Files: %d (%d notes, %d attachments)": ("eligible_files", "notes", "attachments"), "Links: %d (%d broken or ambiguous)": ("link_occurrences", "broken_links"),
+        "Orphans: %d hard, %d without backlinks, %d outbound only": ("hard_orphans", "no_backlink_notes", "outbound_only_notes"), "Tags: %d": ("tags",),
+    } | ({"Notes with frontmatter: %d": ("notes_with_frontmatter",)} if with_frontmatter is not None else {}) | {"Warnings: %d": ("warnings",)}
+    text = "\n".join(["# Corpus health", "", *(h.replace("%", "%%") for h in head), *(f"- {x}" for x in lines)])
+    return counts.select(F.format_string(text, *(c for x in lines.values() for c in x)).alias("value"))
 
 
 def readme_summary(counts: DataFrame, generation: str) -> DataFrame:
@@ -144,9 +162,20 @@ def orphan_summary(folders: DataFrame, generation: str) -> DataFrame:
     return total.select(F.concat(*parts).alias("value"))
 
 
-def group_summary(groups: DataFrame) -> DataFrame:
-    """Markdown lines of broken-link groups or folder counts."""
-    return groups.select(F.concat(F.lit("- "), F.array_join(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in groups.columns)), " ")).alias("value"))
+def quoted(c: Column | str) -> Column:
+    """A value between quotes, with escapes as in JSON."""
+    return F.regexp_extract(F.to_json(F.struct((F.col(c) if isinstance(c, str) else c).alias("v"))), r'^\{"v":(.*)\}$', 1)
+
+
+def broken_page(groups: DataFrame, generation: str) -> DataFrame:
+    """The page of broken links as numbered lines (place, value): a heading, then one line a group (status, target, folder, n) in order.
+
+    Groups may be many, so lines are numbered in blocks and written in order of place.
+    """
+    head = ["# Broken links", "", f"Generation: `{generation}`", ""]
+    line = F.concat(F.lit("- status="), quoted("status"), F.lit(" source_folder="), quoted("folder"), F.lit(" target="), quoted("target"), F.lit(" count="), F.col("n").cast("string"))
+    rows = numbered(groups, (), ("status", "target", "folder"), "place").select((F.col("place") + len(head)).alias("place"), line.alias("value"))
+    return groups.sparkSession.createDataFrame(list(enumerate(head, 1)), "place long, value string").unionByName(rows)
 
 
 def target_list(targets: DataFrame, column: str = "rel_path") -> DataFrame:

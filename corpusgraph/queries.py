@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from .functions import links as L
 from .functions import paths as P
 from .inputs import ctes, frame
 from .operators import audit, extract, fingerprint, graph, ledger, policy, telemetry
+from .operators.blocks import numbered
 from .plans import compile as plan
 from .plans import incremental, publish
 from .sources import corpus as corpus_source
@@ -660,6 +662,22 @@ def _(e):
     return stream.settled_batches(rows).select("profile_id", "action", "path", "event_kind", ms("first_seen").alias("first_ms"), ms("last_seen").alias("last_ms"), "source_generation", ms("at").alias("at_ms"))
 
 
+PROMOTED = """, e AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY ms, path, k) AS seq, ms // 60000 AS slot FROM bursts),
+last AS (SELECT profile_id, max(slot) AS slot FROM e GROUP BY 1),
+b AS (SELECT e.profile_id, e.slot, any_value(p) AS p, min(ms) AS f, max(seq) AS gen, bool_or(seq = 1 AND p % 3 = 0) AS boot, max(ms) FILTER (NOT (seq = 1 AND p % 3 = 0)) AS l, count(DISTINCT path) FILTER (NOT (seq = 1 AND p % 3 = 0)) AS n
+ FROM e JOIN last ON last.profile_id = e.profile_id AND e.slot < last.slot GROUP BY ALL),
+d AS (SELECT *, coalesce(n > 500 OR n > 0.05 * CASE WHEN p % 2 = 0 THEN 30 ELSE 1000 END, false) AS backlog FROM b)
+SELECT profile_id, 'full' AS action, NULL AS path, NULL AS event_kind, gen AS source_generation, CASE WHEN backlog THEN l + 13000 ELSE f + 10000 END AS at_ms FROM d WHERE boot OR backlog
+UNION ALL SELECT e.profile_id, 'upsert', e.path, max_by(e.event_kind, e.seq), max(e.seq), any_value(d.l) + 3000 FROM d JOIN e ON e.profile_id = d.profile_id AND e.slot = d.slot AND NOT (e.seq = 1 AND e.p % 3 = 0) WHERE NOT d.backlog GROUP BY e.profile_id, e.slot, e.path"""
+
+
+@entry("promoted_batches", ("bursts",), PROMOTED)
+def _(e):
+    """Profiles whose first event comes before any success, and batches that are a backlog against a small ledger."""
+    rows = e.select("profile_id", F.timestamp_millis(F.col("ms").cast("long")).alias("ts"), "path", "event_kind", F.when(F.col("p") % 2 == 0, 30).otherwise(1000).cast("long").alias("ledger_rows"), (F.col("p") % 3 != 0).alias("has_success"), F.col("k").cast("long").alias("k"))
+    return stream.settled_batches(rows, tie="k").select("profile_id", "action", "path", "event_kind", "source_generation", F.unix_millis("at").alias("at_ms"))
+
+
 # ---- sources and publication ------------------------------------------------------
 
 def scratch(spark: SparkSession) -> str:
@@ -689,12 +707,13 @@ def _(p):
 
 @entry("progress_log", ("events",), "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_id * 10 AS bytes FROM events")
 def _(e):
-    """One log file of all frames: places in the file are the order in which they were written."""
+    """Log files that follow one another: the place of a frame is that of its file, then that in the file."""
     folder = scratch(e.sparkSession)
     line = F.format_string('{"msg":"%d","stats":{"bytes":%d}}', "event_id", F.col("event_id") * 10)
-    e.orderBy("event_id").select(line.alias("value")).coalesce(1).write.text(folder)
-    log = logs.progress_log(e.sparkSession, folder)
-    return telemetry.progress_frames(log).join(log.select("run_id", "seq", F.get_json_object("line", "$.msg").cast("long").alias("event_id")), ["run_id", "seq"]).select("event_id", "seq", "bytes")
+    e.orderBy("event_id").select(line.alias("value")).write.text(folder)
+    log = numbered(logs.progress_log(e.sparkSession, folder), (), ("run_id", "seq"), "place")
+    frames = telemetry.progress_frames(log.withColumn("seq", (F.col("place") - 1).cast("long")))
+    return frames.join(log.select((F.col("place") - 1).cast("long").alias("seq"), F.get_json_object("line", "$.msg").cast("long").alias("event_id")), "seq").select("event_id", "seq", "bytes")
 
 
 @entry("change_feed", ("raw_events",), f"SELECT profile_id, path, CASE WHEN event_id % 12 = 3 THEN 'other' ELSE {KIND} END AS event_kind FROM raw_events WHERE event_id % 12 <> 5")
@@ -772,8 +791,8 @@ def _(d):
     """Ignore files of every folder, those below an ignored folder left out, parents first."""
     below = d.select(P.dirname("path").alias("folder")).filter(F.col("folder").rlike("^[^/]*/[^/]*$")).distinct().select(F.concat("folder", F.lit("/.gitignore")).alias("path"), F.lit("*.tmp\n").alias("content"))
     top = d.sparkSession.createDataFrame([(".gitignore", "/src1/\n")], "path string, content string")
-    taken = [p for p, scope, _ in policy.collect_policy(below.unionByName(top)) if scope]
-    return d.sparkSession.createDataFrame([(p, k) for k, p in enumerate(taken)], "path string, place int")
+    taken = policy.taken_policy(below.unionByName(top)).filter("scope <> ''").withColumn("depth", P.depth("path"))
+    return numbered(taken, (), ("depth", "path"), "n").select("path", (F.col("n") - 1).cast("int").alias("place"))
 
 
 @entry("policy_rules", ("part",), "SELECT 'f' || p_partkey % 5 AS source, p_partkey, CASE p_partkey % 4 WHEN 1 THEN true ELSE false END AS negated, p_partkey % 4 = 2 AS dir_only, p_partkey % 4 = 3 AS bad FROM part")
@@ -781,10 +800,11 @@ def _(p):
     """Rules and warnings of ignore lines: a quarter each plain, negated, folders only, broken."""
     k = F.col("p_partkey") % 4
     line = F.concat(F.when(k == 1, "!").otherwise(""), F.when(k == 3, "[").otherwise(""), F.lit("n"), F.col("p_partkey").cast("string"), F.when(k == 2, "/").otherwise(""))
-    files = p.groupBy((F.col("p_partkey") % 5).alias("f")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content")).collect()
-    rules, warnings = policy.compile_policy([(f"f{r['f']}", "", r["content"]) for r in files])
-    rows = [(r.source, int(re.sub(r"\D", "", r.pattern)), r.negated, r.dir_only, False) for r in rules] + [(w[0], int(re.sub(r"\D", "", w[2])), False, False, True) for w in warnings]
-    return p.sparkSession.createDataFrame(rows, "source string, p_partkey long, negated boolean, dir_only boolean, bad boolean")
+    # ignore files of up to a hundred lines, of five sources
+    files = p.groupBy((F.col("p_partkey") % 5).alias("f"), F.floor(F.col("p_partkey") / 500).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    rules = policy.compiled(files.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), F.lit("").alias("scope"), "content"))
+    known = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rules.select("source", F.regexp_replace("pattern", r"\D", "").cast("long").alias("p_partkey"), known("negated"), known("dir_only"), F.col("warning").isNotNull().alias("bad"))
 
 
 @on_corpus("published_links", "SELECT source_path, CAST(ordinal AS BIGINT) AS ordinal, raw_target, resolution_status FROM edges")
@@ -841,11 +861,73 @@ ENTRIES["incremental_links"] = Entry(lambda spark, sf_dir: _linked(_rebuilt(fram
 ENTRIES["incremental_degrees"] = Entry(lambda spark, sf_dir: _rebuilt(frame(spark, sf_dir, "corpus")).degrees, ENTRIES["corpus_degrees"].sql)
 
 
-@entry("stable_scan", ("scan",), "SELECT profile_id, rel_path AS path FROM scan")
+@entry("stable_scan", ("scan",), "SELECT profile_id, rel_path AS path, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS size FROM scan")
 def _(s):
-    """Paths of a scan that reads the same before and after its use."""
+    """A scan of a table that changes while it is read first, and stays as it is the second time."""
     scan = s.select("profile_id", F.col("rel_path").alias("path"), "size", F.col("mod_time").alias("mtime_ns"))
-    return fingerprint.stable_scan(lambda: scan, lambda d: d.select("profile_id", "path"))
+    folders = [scratch(s.sparkSession), scratch(s.sparkSession)]
+    scan.write.parquet(folders[0])
+    scan.withColumn("size", F.when(F.col("size") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))).write.parquet(folders[1])
+    seen = iter([folders[0], folders[1], folders[1], folders[1]])
+    return fingerprint.stable_scan(lambda: s.sparkSession.read.schema(scan.schema).parquet(next(seen)), lambda d: d.select("profile_id", "path", "size"))
+
+
+@entry("snapshot_digest", ("scan",), """, one AS (SELECT rel_path AS path, min(size) AS size, min(mod_time) AS t, min(hash) AS h FROM scan GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS n FROM one),
+b AS (SELECT n // 512 AS b, sha256(string_agg(path || chr(0) || size || chr(0) || t || chr(0) || h || chr(0), '' ORDER BY n)) AS d FROM n GROUP BY 1),
+c AS (SELECT b // 512 AS c, sha256(string_agg(d, '' ORDER BY b)) AS d FROM b GROUP BY 1)
+SELECT sha256('source-snapshot-v1' || chr(0) || sha256('x') || chr(0) || sha256('y') || chr(0) || CASE WHEN (SELECT count(*) FROM b) > 1 THEN (SELECT min(d) FROM c) ELSE (SELECT min(d) FROM b) END || chr(0)) AS digest""")
+def _(s):
+    rows = s.groupBy(F.col("rel_path").alias("path")).agg(F.min("size").alias("size"), F.min("mod_time").alias("mtime_ns"), F.min("hash").alias("hash"))
+    of = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return s.sparkSession.createDataFrame([(fingerprint.snapshot_digest(rows, of("x"), of("y")),)], "digest string")
+
+
+@on_corpus("broken_page", """, page AS (SELECT row_number() OVER (ORDER BY status, target, folder) + 4 AS place, '- status="' || status || '" source_folder="' || folder || '" target=' || to_json(target) || ' count=' || n AS value
+  FROM (SELECT resolution_status AS status, raw_target AS target, split_part(source_path, '/', 1) AS folder, count(*) AS n FROM edges WHERE resolution_status <> 'resolved' GROUP BY ALL))
+SELECT place, CAST(value AS VARCHAR) AS value FROM page UNION ALL SELECT * FROM (VALUES (1, '# Broken links'), (2, ''), (3, 'Generation: `g1`'), (4, ''))""")
+def _(c):
+    return publish.broken_page(graph.broken_groups(c.broken), "g1")
+
+
+@on_corpus("health_page", """SELECT '# Corpus health' || chr(10) || chr(10) || '- Generation: `g1`' || chr(10) || '- Compiled at: `2024-01-01T00:00:00Z`' || chr(10) || '- Eligibility contract: `c`' || chr(10)
+ || '- Files: ' || (SELECT count(*) FROM files) || ' (' || (SELECT count(*) FROM files WHERE kind = 'note') || ' notes, ' || (SELECT count(*) FROM files WHERE kind <> 'note') || ' attachments)' || chr(10)
+ || '- Links: ' || (SELECT count(*) FROM edges) || ' (' || (SELECT count(*) FROM edges WHERE resolution_status <> 'resolved') || ' broken or ambiguous)' || chr(10)
+ || '- Orphans: ' || (SELECT count(*) FROM orphan WHERE hard_orphan) || ' hard, ' || (SELECT count(*) FROM orphan WHERE no_backlink) || ' without backlinks, ' || (SELECT count(*) FROM orphan WHERE outbound_only) || ' outbound only' || chr(10)
+ || '- Tags: ' || (SELECT count(DISTINCT tag) FROM tags) || chr(10) || '- Notes with frontmatter: ' || (SELECT count(*) FROM files WHERE kind = 'note' AND (doc_id % 4 = 0 OR doc_id % 8 IN (2, 6))) || chr(10) || '- Warnings: ' || (SELECT count(*) FROM warned) AS value""")
+def _(c):
+    return c.pages("g1", "2024-01-01T00:00:00Z", "c")["HEALTH.md"]
+
+
+@on_corpus("published_order", "SELECT CAST(row_number() OVER (ORDER BY source_path, ordinal) AS BIGINT) AS place, source_path, CAST(ordinal AS BIGINT) AS ordinal FROM edges")
+def _(c):
+    """LINKS as its parts hold them, by file and place in it."""
+    spark, root = c.links.sparkSession, scratch(c.links.sparkSession)
+    publish.publish({"LINKS": c.artifacts()["LINKS"]}, root, "g1")
+    lines = numbered(logs.progress_log(spark, f"{root}/generations/g1/LINKS"), (), ("run_id", "seq"), "place")
+    return lines.select(F.col("place").cast("long").alias("place"), F.get_json_object("line", "$.source_path").alias("source_path"), F.get_json_object("line", "$.ordinal").cast("long").alias("ordinal"))
+
+
+@entry("scanned_tree", ("documents",), "SELECT 'd' || doc_id % 7 || '/' || CASE WHEN doc_id % 5 = 0 THEN '.hidden' ELSE 'n' END || doc_id || '.md' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, true AS is_regular, sha256(coalesce(text, '')) AS digest FROM documents")
+def _(d):
+    """A tree of files that the query writes, scanned with its content; its folders are wide enough to be split."""
+    root = scratch(d.sparkSession)
+    tree = d.select(F.format_string("d%d/%s%d.md", F.col("doc_id") % 7, F.when(F.col("doc_id") % 5 == 0, ".hidden").otherwise("n"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    corpus_source.write_tree(tree, root)
+    got = corpus_source.scan_corpus(d.sparkSession, root, content=True, wide=50)
+    return got.select("path", "size", "is_regular", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+@entry("large_policy", ("scan", "orders"), """SELECT DISTINCT s.path, CASE WHEN o.o_orderkey IS NULL THEN false WHEN o.o_orderkey % 4 = 0 THEN o.o_orderkey % 8 <> 0 WHEN o.o_orderkey % 4 = 1 THEN s.path = 'dir' || o.o_orderkey % 13 || '/sub' || o.o_orderkey % 3 || '/f' || o.o_orderkey || '.md' ELSE false END AS ignored
+ FROM (SELECT rel_path AS path, CAST(regexp_extract(rel_path, 'f([0-9]+)[.]md$', 1) AS BIGINT) AS k FROM scan) s LEFT JOIN orders o ON o.o_orderkey = s.k""")
+def _(s, o):
+    """A policy of as many rules as there are orders: names (some taken back), paths, extensions."""
+    k = F.col("o_orderkey")
+    name = F.format_string("f%d.md", k)
+    line = F.when(k % 8 == 0, F.concat(name, F.lit("\n!"), name)).when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.format_string("/dir%d/sub%d/", k % 13, k % 3), name)).when(k % 4 == 2, F.format_string("*.x%d", k)).otherwise(F.format_string("/only%d/*/[ab]?", k))
+    files = o.groupBy(F.floor(k / 500).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    rules = policy.compiled(files.select(F.col("part").cast("string").alias("path"), F.lit("").alias("scope"), "content"))
+    return policy.ignored(s.select(F.col("rel_path").alias("path"), F.lit(False).alias("is_dir")), rules).select("path", "ignored")
 
 
 @entry("first_symlinks", ("scan",), "SELECT profile_id, rel_path AS path, CAST(k AS INTEGER) AS place, greatest(n - 10, 0) AS more FROM (SELECT profile_id, rel_path, row_number() OVER (PARTITION BY profile_id ORDER BY rel_path) AS k, count(*) OVER (PARTITION BY profile_id) AS n FROM scan WHERE size % 3 = 0) WHERE k <= 10")
@@ -890,6 +972,12 @@ def _(d, n):
     return audit.denied(d, n)
 
 
+@entry("audit_short_needles", ("audit_docs", "short_needles"), "SELECT needle, count(*) AS texts FROM audit_docs d JOIN (SELECT DISTINCT needle FROM short_needles WHERE needle <> '' AND NOT starts_with(needle, '#')) n ON contains(d.text, n.needle) GROUP BY 1")
+def _(d, n):
+    """Texts with needles of one or two words and of a few letters."""
+    return audit.denied(d, n).groupBy("needle").agg(F.count("*").alias("texts"))
+
+
 @entry("audit_verdict", ("audit_docs", "needles"), f"SELECT CASE max(CASE {VERDICT} WHEN 'BLOCKED' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKED' WHEN 1 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM ({FLAGS})")
 def _(d, n):
     return audit.overall(audit.audit(d, n))

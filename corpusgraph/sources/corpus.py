@@ -3,14 +3,20 @@
 Spark's own file listing hides names that start with a dot or underscore and rounds
 times, so listing is a Python data source.  The tree must be on storage that every
 executor mounts at the same path.  The driver lists folders from the top
-until there are enough for partitions; executors walk the rest.
+until there are enough for partitions; executors walk the rest.  A folder among those
+with more than ``wide`` entries is read by several tasks, each of which looks at the
+names that a hash gives it.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,34 +25,48 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, size bigint, mtime_ns bigint, is_symlink boolean, is_regular boolean"
 
 
-FOLDERS = 512
+FOLDERS, WIDE = 512, 20_000
 
 
 class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+    """A folder's own files, or all below it (deep); of a wide one the share-th of so many shares of its names."""
+
+    def __init__(self, path: str, deep: bool, share: int = 0, shares: int = 1):
+        self.path, self.deep, self.share, self.shares = path, deep, share, shares
 
 
 class CorpusReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.root = options["path"]
         self.content = "content" in schema.fieldNames()
+        self.wide = int(options.get("wide", WIDE))
         self.skip = {d for d in options.get("skipFolders", ".git").split(",") if d}
 
     def partitions(self) -> list[InputPartition]:
         """Folders, a level deeper until there are FOLDERS of them; those above give their own files only."""
         done: list[InputPartition] = []
         level = [""]
-        while level and len(done) + len(level) < FOLDERS:
-            done += [Folder(f, False) for f in level]
-            level = [f"{f}/{e.name}" if f else e.name for f in level for e in os.scandir(os.path.join(self.root, f)) if e.is_dir(follow_symlinks=False) and e.name not in self.skip]
-        return [*done, *(Folder(f, True) for f in sorted(level))]
+        while level:
+            deep, below = len(done) + len(level) >= FOLDERS, []
+            for f in sorted(level):
+                entries = 0
+                for e in os.scandir(os.path.join(self.root, f)):
+                    entries += 1
+                    if not deep and e.is_dir(follow_symlinks=False) and e.name not in self.skip:
+                        below.append(f"{f}/{e.name}" if f else e.name)
+                shares = -(-entries // self.wide) or 1
+                done += [Folder(f, deep, k, shares) for k in range(shares)]
+            level = below
+        return done
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         todo = [partition.path]
         while todo:
             folder = todo.pop()
             for e in os.scandir(os.path.join(self.root, folder)):
+                # in the folder of the partition itself, names belong to its shares
+                if folder == partition.path and partition.shares > 1 and zlib.crc32(os.fsencode(e.name)) % partition.shares != partition.share:
+                    continue
                 path = f"{folder}/{e.name}" if folder else e.name
                 if e.is_dir(follow_symlinks=False):
                     if partition.deep and e.name not in self.skip:
@@ -58,7 +78,7 @@ class CorpusReader(DataSourceReader):
                 if self.content:
                     text = None
                     if regular and path.lower().endswith((".md", ".gitignore")):
-                        with open(os.path.join(self.root, path), encoding="utf-8", errors="replace") as f:
+                        with open(os.path.join(self.root, path), encoding="utf-8", errors="replace", newline="") as f:
                             text = f.read()
                     row = (*row, text)
                 yield row
@@ -76,10 +96,35 @@ class CorpusSource(DataSource):
         return CorpusReader(dict(self.options), schema)
 
 
-def scan_corpus(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def _mounted(root: str) -> str:
+    """The path of a folder that driver and executors mount, from a path or a file address."""
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"{root} is not on a file system that is mounted")
+    return re.sub("^file:(//)?", "", root)
+
+
+def scan_corpus(spark: SparkSession, root: str, content: bool = False, wide: int = WIDE) -> DataFrame:
     """path, size, mtime_ns, is_symlink, is_regular[, content of notes and ignore files]."""
     spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").option("content", str(content).lower()).load(root)
+    return spark.read.format("corpus").option("content", str(content).lower()).option("wide", wide).load(_mounted(root))
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (path, content) rows as files below a mounted folder; the same path written again is replaced."""
+    base = _mounted(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                target = os.path.join(base, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                aside = f"{target}.{uuid.uuid4().hex}"
+                with open(aside, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+                os.replace(aside, target)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
 def coarse(scan: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators.blocks import numbered
 
 INVENTORY = "Path string, Name string, Size bigint, ModTime string, IsDir boolean, ID string"
 EVENTS = "ts timestamp, profile_id string, path string, flags string"
@@ -28,9 +29,8 @@ def progress_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of progress logs with their file and place in it."""
     m = F.col("_metadata")
     lines = spark.read.text(path).select(m["file_name"].alias("run_id"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("k"), m["file_modification_time"].alias("ts"), F.col("value").alias("line"))
-    # a block is read in order by one task
-    place = Window.partitionBy("run_id").orderBy("block", "k")
-    return lines.withColumn("seq", F.row_number().over(place).cast("long") - 1).select("run_id", "seq", "ts", "line")
+    # a split is read in order by one task; splits of a file are numbered one after another
+    return numbered(lines, "run_id", ("block", "k"), "n").select("run_id", (F.col("n") - 1).cast("long").alias("seq"), "ts", "line")
 
 
 def with_flags(events: DataFrame) -> DataFrame:

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.blocks import Blocks
+
 # Event flag bits and timing of the change feed.
 PLATFORM, CREATED, UPDATED, REMOVED, RENAMED, MOVED_FROM, MOVED_TO = 1, 2, 4, 8, 16, 128, 256
 IS_FILE, IS_DIR, IS_SYMLINK, OVERFLOW = 512, 1024, 2048, 8192
@@ -50,7 +52,7 @@ def has_destructive(pending: DataFrame) -> DataFrame:
 
 OUT = "profile_id string, action string, path string, event_kind string, first_seen timestamp, last_seen timestamp, source_generation bigint, at timestamp"
 _COLUMNS = ["profile_id", "action", "path", "event_kind", "first_seen", "last_seen", "source_generation", "at"]
-NEVER = 1 << 62
+NEVER, NONE = 1 << 62, -(1 << 62)
 
 
 def _ts(ms: int) -> pd.Timestamp:
@@ -59,28 +61,28 @@ def _ts(ms: int) -> pd.Timestamp:
 
 @dataclass
 class Lanes:
-    """What the operator knows of a profile beside its pending paths; times in milliseconds, 0 for none."""
+    """What the operator knows of a profile beside its pending paths; times in milliseconds."""
 
     gen: int = 0
-    first: int = 0  # first and last event of the open batch, and how many paths it has
-    last: int = 0
+    first: int = NONE  # first and last event of the open batch, and how many paths it has
+    last: int = NONE
     paths: int = 0
-    not_before: int = 0  # of the full pass that is asked for
-    deadline: int = 0
+    not_before: int = NONE  # of the full pass that is asked for
+    deadline: int = NONE
     ledger_rows: int = 0
 
     def batch_due(self) -> int:
-        return min(self.last + SETTLE, self.first + MAX_DELAY) if self.first else NEVER
+        return min(self.last + SETTLE, self.first + MAX_DELAY) if self.first != NONE else NEVER
 
     def full_due(self) -> int:
-        return min(self.not_before, self.deadline) if self.deadline else NEVER
+        return min(self.not_before, self.deadline) if self.deadline != NONE else NEVER
 
     def drop_batch(self) -> None:
-        self.first = self.last = self.paths = 0
+        self.first, self.last, self.paths = NONE, NONE, 0
 
     def promote(self, ms: int) -> None:
         self.drop_batch()
-        self.not_before, self.deadline = max(self.not_before, ms + DEBOUNCE), self.deadline or ms + DEADLINE
+        self.not_before, self.deadline = max(self.not_before, ms + DEBOUNCE), ms + DEADLINE if self.deadline == NONE else self.deadline
 
     def backlog(self) -> bool:
         return self.paths > BACKLOG or (self.ledger_rows > 0 and self.paths > BACKLOG_SHARE * self.ledger_rows)
@@ -114,7 +116,7 @@ class Settle(StatefulProcessor):
         while (at := min(lanes.batch_due(), lanes.full_due())) <= to:
             if at < lanes.batch_due():
                 out.append((profile, "full", None, None, None, None, lanes.gen, _ts(at)))
-                lanes.not_before = lanes.deadline = 0
+                lanes.not_before = lanes.deadline = NONE
                 continue
             if lanes.backlog():
                 lanes.promote(at)
@@ -143,7 +145,7 @@ class Settle(StatefulProcessor):
                 continue
             old = self.pending.getValue((r.path,)) if lanes.paths and self.pending.containsKey((r.path,)) else None
             self.pending.updateValue((r.path,), (r.event_kind, old[1] if old else ms, ms, lanes.gen))
-            lanes.first, lanes.last, lanes.paths = lanes.first or ms, ms, lanes.paths + (old is None)
+            lanes.first, lanes.last, lanes.paths = ms if lanes.first == NONE else lanes.first, ms, lanes.paths + (old is None)
         self._keep(lanes)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
@@ -164,29 +166,32 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     _ = spark.streams.active
 
 
-def in_sessions(events: DataFrame) -> DataFrame:
+def in_sessions(events: DataFrame, tie: str | None = None) -> DataFrame:
     """Bounded events with their number in the profile and the session they belong to.
 
     Over a gap as long as a debounce both lanes run empty, so that sessions can be
     settled apart from one another; a session ends with the first event behind it,
     which makes due what is left in it.
     """
-    order = Window.partitionBy("profile_id").orderBy("ts", "path")
-    gap = (F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order)) >= DEBOUNCE + SETTLE + DEBOUNCE).cast("int")
-    return events.withColumns({"seq": F.row_number().over(order).cast("long"), "begins": F.coalesce(gap, F.lit(0))}).withColumn("session", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+    rows = Blocks(events, "profile_id", ("ts", "path", *([tie] if tie else []))).scan(number="seq", before={"__before": "ts"})
+    gap = F.unix_millis("ts") - F.unix_millis("__before") >= DEBOUNCE + SETTLE + DEBOUNCE
+    rows = rows.scan(sums={"session": F.coalesce(gap, F.lit(False)).cast("long")}).done()
+    return rows.withColumn("seq", F.col("seq").cast("long")).drop("__before", *([tie] if tie else []))
 
 
-def settled_batches(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def settled_batches(events: DataFrame, delay: str = "0 seconds", tie: str | None = None) -> DataFrame:
     """Settled batches of classified events (profile_id, ts, path, event_kind, ledger_rows, has_success), by event time.
 
+    ``tie`` names a column that orders bounded events of one time and path.
+
     Over a bounded input what isn't due at its end stays pending.
     """
     keep_state_on_disk(events.sparkSession)
-    rows = events.select("profile_id", F.col("ts").cast("timestamp").alias("ts"), "path", "event_kind", F.col("ledger_rows").cast("long").alias("ledger_rows"), "has_success")
+    rows = events.select("profile_id", F.col("ts").cast("timestamp").alias("ts"), "path", "event_kind", F.col("ledger_rows").cast("long").alias("ledger_rows"), "has_success", *([tie] if tie else []))
     if events.isStreaming:
         rows = rows.withColumns({"seq": F.lit(None).cast("long"), "session": F.lit(0).cast("long")})
     else:
-        told = in_sessions(rows)
+        told = in_sessions(rows, tie)
         # each session sees the next one's first event as a time only
         ends = told.groupBy("profile_id", "session").agg(F.min("ts").alias("ts")).filter("session > 0")
         none = {c: F.lit(None).cast(told.schema[c].dataType) for c in ("path", "event_kind", "ledger_rows", "has_success", "seq")}

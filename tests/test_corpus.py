@@ -91,7 +91,7 @@ def test_warnings(spark):
 
 def test_publish_and_verify(spark, compiled, tmp_path):
     root = f"file://{tmp_path}/out"
-    summaries = {"HEALTH.md": publish.health_summary(compiled.counts(), "g1"), "BROKEN.md": publish.group_summary(graph.broken_groups(compiled.broken))}
+    summaries = {"HEALTH.md": publish.health_summary(compiled.counts(), "g1"), "BROKEN.md": publish.broken_page(graph.broken_groups(compiled.broken), "g1")}
     m = publish.publish(compiled.artifacts(), root, "g1", summaries)
     assert m["artifacts"]["LINKS"]["records"] == 7
     assert publish.verify_generation(spark, root).count() == 0
