@@ -141,25 +141,51 @@ def test_language_ties_and_far_letters(spark):
     assert len(sample["xx"]) <= 2100 and sample["xx"].count("ab") >= 20
 
 
+def slow_pieces(text, sample):
+    s, sample = re.sub(r"[\W\d_]+", " ", text.lower()), language.fold(sample)
+    i = n = 0
+    while i < len(s):
+        j = i + 1
+        while j < len(s) and s[i : j + 1] in sample:
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
 def test_pieces_equal_slow_parse():
-    sample = {"a": "banana bandana", "b": "cabana cab"}
-    langs, code, _, table, roots, _ = language.parsers(sample)
-    texts = ["Banana, cab!", "zzz ban", "x" * 1300, ""]
-    count, _ = language.pieces(texts, code, table, roots)
+    rng = random.Random(6)
+    period = "".join(rng.choice("ab") for _ in range(1500))  # longer than two lanes: the carried state matters to the end
+    sample = {"a": "banana bandana", "b": "cabana cab", "c": period}
+    ready = language.Parsers(sample)
+    texts = ["Banana, cab!", "zzz ban", "x" * 1300, "", period, "b" + period[1:] * 2, " ".join(rng.choice(("banana", "cab", "abba")) for _ in range(700)), "12 34"]
+    count, _ = ready.pieces(texts)
     for t, row in zip(texts, count):
-        s = re.sub(r"[\W\d_]+", " ", t.lower())
-        lanes = [s[i : i + language.LANE] for i in range(0, len(s), language.LANE)]
-        for x, n in zip(langs, row):
-            want = 0
-            for lane in lanes:
-                i = 0
-                while i < len(lane):
-                    j = i + 1
-                    while j < len(lane) and lane[i : j + 1] in sample[x]:
-                        j += 1
-                    i = j
-                    want += 1
-            assert n == want
+        assert [slow_pieces(t, sample[x]) for x in ready.langs] == row.tolist()
+    assert language.Parsers({}).pieces(["abc"])[0].shape == (1, 0) and ready.pieces([])[0].shape == (0, 3)
+
+
+def test_every_letter_has_its_symbol():
+    """Two samples of two thousand letters each: none is taken for another."""
+    rng = random.Random(7)
+    han = [chr(0x4E00 + i) for i in range(2000)]
+    sample = {x: "".join(rng.choice(han) for _ in range(3000)) for x in "ab"}
+    ready = language.Parsers(sample)
+    texts = [sample["a"][100:900], "".join(rng.choice(han) for _ in range(700)), "".join(chr(0x5700 + i) for i in range(50))]
+    count, _ = ready.pieces(texts)
+    assert [[slow_pieces(t, sample[x]) for x in "ab"] for t in texts] == count.tolist()
+    assert sum(x.nbytes for x in (ready.base, ready.owner, ready.target)) < 2_000_000
+
+
+def test_many_languages(spark):
+    rng = random.Random(8)
+    parts = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for i in range(200)}
+    make = lambda x, n: " ".join("".join(rng.choice(parts[x]) for _ in range(2)) for _ in range(n))
+    sample = {x: make(x, 60) for x in parts}
+    rows = [(i, make(x, 40), None, None) for i, x in enumerate(parts)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(spark.createDataFrame(rows, SCHEMA), sample).collect()}
+    assert got == {i: x for i, x in enumerate(parts)}
+    count, _ = language.Parsers(sample).pieces([rows[5][1]])
+    assert [slow_pieces(rows[5][1], sample[x]) for x in sorted(parts)] == count[0].tolist()
 
 
 # ---- 3 quality
