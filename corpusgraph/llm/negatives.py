@@ -89,6 +89,27 @@ class Block:
         self.ints = np.frombuffer(b"".join(self.raw), "<i4").reshape(-1, d).astype(np.int64)
         self.code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(self.ids), -1)
         self.align, self.rest = np.asarray(t.column("align")), np.asarray(t.column("rest"))
+        self.doubled = len(np.unique(self.ids)) < len(self.ids)
+        # whole numbers below 2**53 are exact as doubles, whose products are much faster
+        most = int(np.abs(self.ints).max(initial=1))
+        self.exact = self.ints.astype(float) if most * most * d < 1 << 53 else self.ints
+        self.most = most
+
+
+class Scores:
+    """Integer scores of a block's rows with one query, each computed when it is first asked for."""
+
+    def __init__(self, rows: Block, q: np.ndarray):
+        fits = rows.exact.dtype == float and int(np.abs(q).max(initial=1)) * rows.most * rows.d < 1 << 53
+        self.rows, self.q = rows.exact if fits else rows.ints, q.astype(float) if fits else q
+        self.known, self.value = np.zeros(len(rows.ids), bool), np.zeros(len(rows.ids), np.int64)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        new = at[~self.known[at]]
+        if len(new):
+            self.value[new] = (self.rows[new] @ self.q).astype(np.int64)
+            self.known[new] = True
+        return self.value[at]
 
 
 def intervals(q: np.ndarray, rows: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -123,24 +144,24 @@ def best(ids: np.ndarray, score: np.ndarray, ties: list[tuple], k: int) -> np.nd
     return order[:k]
 
 
-def _pick(q: np.ndarray, low: np.ndarray, high: np.ndarray, able: np.ndarray, rows: Block, bottom: float, top: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _pick(scores: Scores, low: np.ndarray, high: np.ndarray, able: np.ndarray, rows: Block, bottom: float, top: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Places and scores of the k best rows among ``able`` whose score lies in [bottom, top]; how many were scored."""
     at = np.flatnonzero(able & (high >= bottom) & (low <= top))
     if not len(at):
         return at, at, 0
     # what is promising by its interval is scored first, its k-th score is a threshold for the rest
     first = at if len(at) <= 4 * k else at[np.argpartition(-np.minimum(high[at], top), 4 * k)[: 4 * k]]
-    score = rows.ints[first] @ q
+    score = scores.of(first)
     inside = np.sort(score[(score >= bottom) & (score <= top)])
     if len(first) < len(at):
         if len(inside) >= k:
             at = at[high[at] >= inside[-k]]
-        score = rows.ints[at] @ q
+        score = scores.of(at)
     else:
         at = first
     ok = (score >= bottom) & (score <= top)
     count, at, score = len(at), at[ok], score[ok]
-    order = best(rows.ids[at], score, [(int(rows.label[i]), rows.raw[i]) for i in at] if len(np.unique(rows.ids[at])) < len(at) else [], k)
+    order = best(rows.ids[at], score, [(int(rows.label[i]), rows.raw[i]) for i in at] if rows.doubled else [], k)
     return at[order], score[order], count
 
 
@@ -168,7 +189,7 @@ def _positives(k: int):
                 low, high = intervals(q.ints[part].astype(float), rows)
                 for i in range(len(low)):
                     a = at + i
-                    found, score, n = _pick(q.ints[a], low[i], high[i], (rows.label == q.label[a]) & (rows.ids != q.ids[a]), rows, -np.inf, np.inf, k)
+                    found, score, n = _pick(Scores(rows, q.ints[a]), low[i], high[i], (rows.label == q.label[a]) & (rows.ids != q.ids[a]), rows, -np.inf, np.inf, k)
                     out += [(int(q.ids[a]), q.raw[a], int(q.label[a]), int(rows.ids[j]), int(rows.label[j]), rows.raw[j], int(s), n) for j, s in zip(found, score)]
         return _table(out, _TOLD)
 
@@ -194,9 +215,10 @@ def _negatives(k: int, least: int, most: int):
                 low, high = intervals(q.ints[at : at + step].astype(float), rows)
                 for i in range(len(low)):
                     a = at + i
+                    scores, other = Scores(rows, q.ints[a]), rows.label != q.label[a]
                     for p in known[a]:
                         bottom, top = -(-least * p["score"] // 100), most * p["score"] // 100
-                        found, score, n = _pick(q.ints[a], low[i], high[i], rows.label != q.label[a], rows, bottom, top, k) if bottom <= top else ((), (), 0)
+                        found, score, n = _pick(scores, low[i], high[i], other, rows, bottom, top, k) if bottom <= top else ((), (), 0)
                         out += [(int(q.ids[a]), q.raw[a], int(q.label[a]), p["id"], p["positive_key"], p["score"], int(rows.ids[j]), int(rows.label[j]), rows.raw[j], int(s), n) for j, s in zip(found, score)]
         return _table(out, _FOUND)
 
