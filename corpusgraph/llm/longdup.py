@@ -5,14 +5,16 @@ Suffix buckets come from the content: all windows of SPAN bytes whose smallest
 gram is the same are one bucket (``windows``), so equal windows always meet.
 
 1. One pass over the texts gives runs of windows (bucket h, a hash of the run's
-   bytes), kept as arrays.  Counting (h, hash), summed up in the tasks before one shuffle by h, finds
-   runs that occur twice as a whole, and buckets with more than one run text.
-   Everything else is unique.
-2. Only one run of each text in such a bucket is sorted: its bytes go to the
-   bucket, buckets are dealt over tasks and sorted a block at a time with a
-   difference cover (``suffixes``), memory bounded by BLOCK bytes of text.
-3. A bucket with more than LARGE different run texts is counted window by window
-   instead, by two 64-bit hashes with map-side sums, so no task holds it.
+   bytes), kept as arrays.  Counting (h, hash), summed up in the tasks before one
+   shuffle by h, finds buckets with two or more runs; all other windows are unique.
+   The hash serves for counting only, what is equal is told by bytes.
+2. The bytes of the runs of these buckets go there, what a batch holds twice once.
+   Buckets are dealt over tasks and taken a block at a time, memory bounded by BLOCK
+   bytes of text: equal runs fall together, different ones of one bucket are sorted by
+   suffixes with a difference cover (``suffixes``).
+3. A bucket with more than LARGE different runs, the same gram in many surroundings, is
+   split: its runs are cut where the smallest gram under two other orders changes, and
+   go to the buckets of all three grams.  Equal windows still meet.
 4. Spans go back to their documents; the remaining bytes are hashed.
 
 Document texts are shuffled once, by document; that exchange serves steps 2 and 4.
@@ -29,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64, slices, utf8
+from .common import cut_lineage, mix64, ranges, slices, utf8
 from .suffixes import repeated_windows
-from .windows import SPAN, runs
+from .windows import GRAM, SPAN, grams, runs, sliding_argmin
 
 LARGE, BLOCK, STEP, FLUSH = 4096, 2 << 20, 1 << 20, 200_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,56 +76,78 @@ def packed_runs(docs: DataFrame, span: int) -> DataFrame:
 
 
 def run_rows(packed: DataFrame) -> DataFrame:
-    """doc_id, th, h, ch, first, last of every run of windows."""
-    return packed.select("doc_id", "th", F.explode(F.arrays_zip("h", "ch", "first", "last")).alias("r")).select("doc_id", "th", "r.*")
+    """doc_id, th, h, first, last of every run of windows."""
+    return packed.select("doc_id", "th", F.explode(F.arrays_zip("h", "first", "last")).alias("r")).select("doc_id", "th", "r.*")
 
 
 def run_counts(packed: DataFrame) -> DataFrame:
-    """h, ch, n, least (the smallest mark of an occurrence), summed up over FLUSH runs at a time."""
+    """h, ch, n, summed up over FLUSH runs at a time."""
 
-    def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, ch, mark = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((mark, ch, h))
-        h, ch, mark = h[order], ch[order], mark[order]
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, ch = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ch, h))
+        h, ch = h[order], ch[order]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ch[1:] != ch[:-1])]) if len(h) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[first, len(h)])
-        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ch[first]), pa.array(n.astype(np.int64)), pa.array(mark[first])], ["h", "ch", "n", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ch[first]), pa.array(np.diff(np.r_[first, len(h)]).astype(np.int64))], ["h", "ch", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            h, ch, first = (b.column(k).flatten().to_numpy() for k in (2, 3, 4))
-            count = np.diff(b.column(2).offsets.to_numpy())
-            own, th = (np.repeat(b.column(k).to_numpy(), count) for k in (0, 1))
-            held.append((h, ch, own ^ th ^ (first.astype(np.int64) << 32)))
+            held.append((b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield summed(held)
                 held = []
         if held:
             yield summed(held)
 
-    return packed.select("doc_id", "th", "h", "ch", "first").mapInArrow(run, "h long, ch long, n long, least long")
+    return packed.select("h", "ch").mapInArrow(run, "h long, ch long, n long")
 
 
-def _mark() -> Column:
-    return F.col("doc_id").bitwiseXOR(F.col("th")).bitwiseXOR(F.shiftleft(F.col("first").cast("long"), 32))
+_SENT = "h long, doc_id long, th long, first int, last int, many boolean, bytes binary"
+
+
+def split_runs(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Runs (flat places) cut where the smallest gram of a window under either of two other orders changes: run, key, first, last."""
+    g = grams(data)
+    number = last - first + 1
+    at, run = ranges(first, number), np.repeat(np.arange(len(first)), number)
+    picks = [sliding_argmin(mix64(g ^ other), span - GRAM + 1)[at] for other in (_B1, _B2)]
+    new = np.r_[True, (run[1:] != run[:-1]) | (picks[0][1:] != picks[0][:-1]) | (picks[1][1:] != picks[1][:-1])]
+    with np.errstate(over="ignore"):
+        key = mix64(g[picks[0][new]] * _B1 + g[picks[1][new]] * _B2 + h[run[new]].view(np.uint64))
+    return run[new], key.view(np.int64), at[new], at[np.r_[new[1:], True]]
 
 
 def _contexts(rows: DataFrame, span: int) -> DataFrame:
-    """Bytes of the runs named in ``want``: h, large, doc_id, th, first, bytes."""
+    """Bytes of the runs named in ``want``, each string of a batch once; bytes is null for runs that are known to repeat."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 * STEP):
-            out: list[list] = [[] for _ in range(6)]
-            for d, th, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                raw = text.encode("utf-8")
-                for r in want:
-                    for o, v in zip(out, (r["h"], r["large"], d, th, r["first"], raw[r["first"] : r["last"] + span])):
-                        o.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["h", "large", "doc_id", "th", "first", "bytes"])
-
-    return rows.mapInArrow(cut, "h long, large boolean, doc_id long, th long, first int, bytes binary")
+        for b in slices(batches, "text", STEP):
+            data, off = utf8(b.column(2))
+            want = b.column(3)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(want).to_numpy(zero_copy_only=False))
+            h, hot, first, last = (want.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(h):
+                continue
+            first, last = first + off[row], last + off[row]
+            if hot.any():
+                own, key, f, z = split_runs(data, h[hot], first[hot], last[hot], span)
+                h, first, last, row = np.r_[h[~hot], key], np.r_[first[~hot], f], np.r_[last[~hot], z], np.r_[row[~hot], row[hot][own]]
+            size = last - first + span
+            strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(np.r_[0, np.cumsum(size)]), pa.py_buffer(data[ranges(first, size)])])
+            code = strings.dictionary_encode().indices.to_numpy()
+            _, lead, n = np.unique(code, return_index=True, return_counts=True)
+            other = np.ones(len(h), bool)
+            other[lead] = False
+            known = np.flatnonzero(other)
+            take = np.r_[lead, known]
+            ids, th = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+            route = np.r_[h[lead], mix64(ids[known].view(np.uint64)).view(np.int64)]
+            raw = pa.concat_arrays([strings.take(pa.array(lead)).cast(pa.binary()), pa.nulls(len(known), pa.binary())])
+            place = [pa.array((x - off[row])[take].astype(np.int32)) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids[take]), pa.array(th[take]), *place, pa.array(np.r_[n > 1, np.ones(len(known), bool)]), raw], ["h", "doc_id", "th", "first", "last", "many", "bytes"])
+
+    return rows.mapInArrow(cut, _SENT)
 
 
 def _spans(flags: np.ndarray, row: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,21 +160,40 @@ def _spans(flags: np.ndarray, row: np.ndarray, start: np.ndarray, span: int) ->
     return row[a], start[a], start[b] + span
 
 
+def repeats_of(t: pa.Table, span: int) -> pa.RecordBatch:
+    """Spans of a block of whole buckets that occur twice: runs that are equal, and windows of different runs of one bucket."""
+    known = t.filter(pc.is_null(t.column("bytes")))
+    out = [tuple(np.asarray(known.column(c)) + more for c, more in (("doc_id", 0), ("th", 0), ("first", 0), ("last", span)))]
+    t = t.filter(pc.is_valid(t.column("bytes")))
+    ids, th, first, last, many = (np.asarray(t.column(c)) for c in ("doc_id", "th", "first", "last", "many"))
+    raw = t.column("bytes").combine_chunks().cast(pa.large_binary())
+    code = raw.dictionary_encode().indices.to_numpy()
+    _, lead, of, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    twice = (n > 1) | (np.bincount(of, many, len(lead)) > 0)
+    k = np.flatnonzero(twice[of])
+    out.append((ids[k], th[k], first[k], last[k] + span))
+    bucket = np.unique(np.asarray(t.column("h")), return_inverse=True)[1]
+    one = np.sort(lead)
+    one = one[np.bincount(bucket[one], minlength=1)[bucket[one]] > 1] if len(one) else one
+    if len(one):
+        text, off = utf8(raw.take(pa.array(one)))
+        size = np.diff(off)
+        windows = size - span + 1
+        at, row = ranges(off[:-1], windows), np.repeat(np.arange(len(size)), windows)
+        flags = repeated_windows(text, np.repeat(bucket[one], size), at, span)
+        own, a, z = _spans(flags, row, at - off[row] + first[one[row]], span)
+        alone = ~twice[of[one[own]]]  # the others go as a whole
+        own = one[own[alone]]
+        out.append((ids[own], th[own], a[alone], z[alone]))
+    cols = [np.concatenate(x) for x in zip(*out)]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(cols, (np.int64, np.int64, np.int32, np.int32))], ["doc_id", "th", "a", "b"])
+
+
 def sort_buckets(rows: DataFrame, span: int) -> DataFrame:
-    """Spans of windows that repeat within their bucket; rows of h, doc_id, th, first, bytes."""
+    """Spans of windows that repeat within their bucket; rows as ``_contexts`` gives them."""
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        text, off = utf8(t.column("bytes"))
-        h = np.asarray(t.column("h"))
-        size = np.diff(off)
-        windows = size - span + 1
-        at = np.arange(int(windows.sum())) + np.repeat(off[:-1] - (np.cumsum(windows) - windows), windows)
-        row = np.repeat(np.arange(len(size)), windows)
-        flags = repeated_windows(text, np.repeat(h, size), at, span)
-        own, a, b = _spans(flags, row, at - off[row] + np.asarray(t.column("first"))[row], span)
-        take = pa.array(own.astype(np.int32))
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(take), t.column("th").combine_chunks().take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc_id", "th", "a", "b"])
+        return repeats_of(pa.Table.from_batches(parts).combine_chunks(), span)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -179,61 +223,26 @@ def sort_buckets(rows: DataFrame, span: int) -> DataFrame:
         if held:
             yield block(held)
 
-    return rows.select("h", "doc_id", "th", "first", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc_id long, th long, a int, b int")
-
-
-def count_windows(rows: DataFrame, span: int) -> DataFrame:
-    """The same for buckets that are too large to sort: every window counted by its hashes."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "bytes", STEP // 2):
-            text, off = utf8(b.column(3))
-            n = len(text)
-            number = np.diff(off) - span + 1
-            at = np.arange(int(number.sum())) + np.repeat(off[:-1] - (np.cumsum(number) - number), number)
-            row = np.repeat(np.arange(b.num_rows), number)
-            keys = []
-            with np.errstate(over="ignore"):
-                for base in (_B1, _B2):
-                    power = np.cumprod(np.r_[np.uint64(1), np.full(n, base)])
-                    back = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))])
-                    total = np.r_[np.uint64(0), np.cumsum(mix64(text.astype(np.uint64) + base) * power[:n])]
-                    keys.append(mix64((total[at + span] - total[at]) * back[at]).view(np.int64))
-            take = pa.array(row.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), b.column(0).take(take), b.column(1).take(take), pa.array((at - off[row] + np.asarray(b.column(2))[row]).astype(np.int32))], ["k1", "k2", "doc_id", "th", "a"])
-
-    each = rows.select("doc_id", "th", "first", "bytes").mapInArrow(windows, "k1 long, k2 long, doc_id long, th long, a int")
-    twice = each.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    return each.join(twice, ["k1", "k2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + span).alias("b"))
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc_id long, th long, a int, b int")
 
 
-def marks(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
-    """Per document with any: ``spans`` of runs that repeat as a whole, and runs that ``want`` sorting."""
+def wanted_runs(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
+    """doc_id, th, want: the runs of each document whose bucket has others (h, whether it is to be split, first, last)."""
     # tasks have summed up what repeats, so one partition by h holds few rows of a frequent run
     packed = cut_lineage(packed_runs(docs, span))
-    counted = run_counts(packed).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-    buckets = counted.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("n_h")).filter("n_h > 1").select("h", "different")
-    known = cut_lineage(counted.join(buckets, "h").select("h", "ch", (F.col("n") > 1).alias("whole"), "least", "different"))
-    met = run_rows(packed).join(known, ["h", "ch"])
-    pick = (F.col("different") > 1) & (_mark() == F.col("least"))
-    each = met.filter(F.col("whole") | pick).groupBy("doc_id", "th").agg(
-        F.collect_set(F.when(F.col("whole"), F.struct(F.col("first").alias("a"), (F.col("last") + span).alias("b")))).alias("spans"),
-        F.collect_set(F.when(pick, F.struct("h", (F.col("different") > large).alias("large"), "first", "last"))).alias("want"),
-    )
-    return cut_lineage(each)
+    counted = run_counts(packed).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"))
+    buckets = counted.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("n_h")).filter("n_h > 1").select("h", (F.col("different") > large).alias("hot"))
+    return run_rows(packed).join(buckets, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("want"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept: the remaining bytes] of every row."""
-    marked, key = marks(docs, span, large), ["doc_id", "th"]
+    key = ["doc_id", "th"]
     texts = _keyed(docs).repartition(*key)
-    cut = _contexts(texts.join(marked.filter(F.size("want") > 0).select(*key, "want"), key).select(*key, "text", "want"), span)
-    sorted_ = sort_buckets(cut.filter(~F.col("large")), span)
-    if marked.filter(F.exists("want", lambda w: w["large"])).limit(1).count():
-        sorted_ = sorted_.unionByName(count_windows(cut.filter("large"), span))
-    more = sorted_.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("more"))
+    cut = _contexts(texts.join(wanted_runs(docs, span, large), key).select(*key, "text", "want"), span)
+    found = sort_buckets(cut, span).groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    rows = texts.join(marked.select(*key, "spans"), key, "left").join(more, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
+    rows = texts.join(found, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("spans", none).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

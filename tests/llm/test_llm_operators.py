@@ -254,6 +254,16 @@ def test_long_repeats(docs, empty, large):
     assert longdup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("large", [4096, 8])
+def test_one_line_in_many_surroundings(spark, large):
+    """A line of 200 bytes in 60 texts, some of which agree around it: one bucket of many different runs, split or sorted whole."""
+    rng = random.Random(12)
+    line, around = prose(rng, 30)[:200], [prose(rng, 60) for _ in range(50)]
+    texts = [f"{rng.choice(around)} {line} {rng.choice(around)}" for _ in range(60)] + [line + " " + around[0], around[1][-150:] + " " + line + " " + around[2], line * 12]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in longdup.remove_repeats(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), large=large).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
+
+
 def test_null_ids_and_repeated_rows(spark):
     rng = random.Random(8)
     a, b = prose(rng, 120), prose(rng, 120)
