@@ -44,7 +44,7 @@ FROM {orders} WHERE o_orderkey % 4 <> 0""",
     "ignored_keys": "SELECT profile_id, rel_path FROM {ledger} WHERE rel_path LIKE 'dir3/%' OR rel_path LIKE '%7.md'",
     "remote": """
 SELECT profile_id, rel_path, size, hash FROM {ledger} WHERE size % 30 <> 0
-UNION ALL SELECT 'p' || (l_suppkey % 7), 'dir3/extra' || l_partkey % 50 || '.md', 1, 'x' FROM {lineitem} WHERE l_linenumber = 1""",
+UNION ALL SELECT 'p' || (l_suppkey % 7), 'dir3/extra' || l_partkey % 50 || '.md', 1, 'x' FROM {lineitem}""",
     "pending": """
 SELECT 'p' || (o_custkey % 7) AS profile_id, 'dir' || (o_orderkey % 13) || '/sub' || (o_orderkey % 3) || '/f' || o_orderkey || '.md' AS rel_path,
  CASE o_orderkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' WHEN 2 THEN 'delete' ELSE 'rename' END AS event_kind,

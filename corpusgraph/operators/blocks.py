@@ -30,7 +30,8 @@ class Blocks:
         # cut here: another run of the same plan might draw other ranges
         self.rows = kept(df.repartitionByRange(*([parts] if parts else []), *self.by, *self.order).withColumn(block, F.spark_partition_id()))
 
-    def _with(self, rows: DataFrame) -> Blocks:
+    def over(self, rows: DataFrame) -> Blocks:
+        """The same blocks with other columns."""
         other = object.__new__(Blocks)
         other.by, other.order, other.block, other.rows = self.by, self.order, self.block, rows
         return other
@@ -87,7 +88,7 @@ class Blocks:
             out[n] = F.coalesce(F.last(f"__last_{n}", ignorenulls=True).over(upto), F.col(f"__c_last_{n}")["v"])
         for n in before:
             out[n] = F.when(F.row_number().over(inner) == 1, F.col("__c_row")[f"__before_{n}"]).otherwise(F.lag(f"__before_{n}").over(inner))
-        return self._with(both.withColumns(out).select(*self.rows.columns, *out))
+        return self.over(both.withColumns(out).select(*self.rows.columns, *out))
 
 
 def numbered(df: DataFrame, by: str | tuple[str, ...], order: str | tuple[str, ...], name: str) -> DataFrame:

@@ -46,9 +46,8 @@ def rates(frames: DataFrame, counters: tuple[str, ...] = ("bytes", "transfers"),
     return rows.select(*frames.columns, *(rate(F.col(c) - F.col(f"__p_{c}")).alias(f"{c}_rate") for c in counters))
 
 
-def measurable(frames: DataFrame, key: str = "run_id") -> DataFrame:
-    """Whether work advanced since the frame before."""
-    rows = Blocks(frames, key, "seq").scan(before={f"__p_{c}": c for c in ("seq", "item", "item_bytes", *COUNTERS)}).done()
+def _measured(frames: Blocks) -> Blocks:
+    own, rows = frames.rows.columns, frames.scan(before={f"__p_{c}": c for c in ("seq", "item", "item_bytes", *COUNTERS)}).rows
     first = F.col("__p_seq").isNull()
     up = lambda c: F.coalesce(F.col(c) > F.col(f"__p_{c}"), F.lit(False))
     some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
@@ -56,12 +55,19 @@ def measurable(frames: DataFrame, key: str = "run_id") -> DataFrame:
     start, later = F.coalesce(F.col("item") != "", F.lit(False)), item | up("item_bytes")
     for c in COUNTERS:
         start, later = start | some(c), later | up(c)
-    return rows.select(*frames.columns, F.when(first, start).otherwise(later).alias("measurable"))
+    return frames.over(rows.select(*own, F.when(first, start).otherwise(later).alias("measurable")))
+
+
+def measurable(frames: DataFrame, key: str = "run_id") -> DataFrame:
+    """Whether work advanced since the frame before."""
+    return _measured(Blocks(frames, key, "seq")).done()
 
 
 def stalls(frames: DataFrame, key: str = "run_id", after: int = STALL_SECONDS) -> DataFrame:
-    """Last measurable progress at each frame, and whether the run may be stalled."""
-    rows = Blocks(frames, key, "seq").scan(last={"last_progress": F.when(F.col("measurable"), F.col("ts"))}).done()
+    """Last measurable progress at each frame, and whether the run may be stalled; ``measurable`` is found first where it isn't there."""
+    rows = Blocks(frames, key, "seq")
+    rows = rows if "measurable" in frames.columns else _measured(rows)
+    rows = rows.scan(last={"last_progress": F.when(F.col("measurable"), F.col("ts"))}).done()
     return rows.withColumn("possible_stall", F.coalesce(micros("ts") - micros("last_progress") >= after * 1_000_000, F.lit(False)))
 
 

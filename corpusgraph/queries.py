@@ -539,7 +539,7 @@ def _(f):
 
 @entry("stalled_runs", ("frames",), f"SELECT run_id, seq, last_progress, coalesce(epoch_us(ts) - epoch_us(last_progress) >= 1800000000, false) AS possible_stall FROM (SELECT *, max(CASE WHEN measurable THEN seq END) {BY_RUN} AS k, last_value(CASE WHEN measurable THEN ts END IGNORE NULLS) {BY_RUN} AS last_progress FROM ({MEASURED}))")
 def _(f):
-    return telemetry.stalls(telemetry.measurable(f)).select("run_id", "seq", "last_progress", "possible_stall")
+    return telemetry.stalls(f).select("run_id", "seq", "last_progress", "possible_stall")
 
 
 @entry("upload_starts", ("frames",), "SELECT run_id, min(ts) FILTER (phase = 'uploading') AS upload_started_at FROM frames GROUP BY 1")
