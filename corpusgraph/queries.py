@@ -899,13 +899,22 @@ def _(c):
     return c.pages("g1", "2024-01-01T00:00:00Z", "c")["HEALTH.md"]
 
 
-@on_corpus("published_order", "SELECT CAST(row_number() OVER (ORDER BY source_path, ordinal) AS BIGINT) AS place, source_path, CAST(ordinal AS BIGINT) AS ordinal FROM edges")
+@on_corpus("published_order", """SELECT artifact, CAST(row_number() OVER (PARTITION BY artifact ORDER BY a, b, c, n) AS BIGINT) AS place, a, b, c, CAST(n AS BIGINT) AS n FROM (
+ SELECT 'LINKS' AS artifact, source_path AS a, '' AS b, '' AS c, ordinal AS n FROM edges UNION ALL SELECT 'FILE_INDEX', path, '', '', 0 FROM files UNION ALL SELECT 'ORPHANS', path, '', '', 0 FROM orphan
+ UNION ALL SELECT 'BROKEN_LINKS', resolution_status, raw_target, source_path, 0 FROM edges WHERE resolution_status <> 'resolved' UNION ALL SELECT 'WARNINGS', path, code, message, 0 FROM warned)""")
 def _(c):
-    """LINKS as its parts hold them, by file and place in it."""
-    spark, root = c.links.sparkSession, scratch(c.links.sparkSession)
-    publish.publish({"LINKS": c.artifacts()["LINKS"]}, root, "g1")
-    lines = numbered(logs.progress_log(spark, f"{root}/generations/g1/LINKS"), (), ("run_id", "seq"), "place")
-    return lines.select(F.col("place").cast("long").alias("place"), F.get_json_object("line", "$.source_path").alias("source_path"), F.get_json_object("line", "$.ordinal").cast("long").alias("ordinal"))
+    """Sort keys of artifacts in the order in which their parts hold them, by file and place in it."""
+    spark, root, all_ = c.links.sparkSession, scratch(c.links.sparkSession), c.artifacts()
+    keys = {"LINKS": ("source_path", "", "", "ordinal"), "FILE_INDEX": ("path", "", "", ""), "ORPHANS": ("path", "", "", ""), "BROKEN_LINKS": ("resolution_status", "raw_target", "source_path", ""), "WARNINGS": ("path", "code", "message", "")}
+    publish.publish({n: all_[n] for n in keys}, root, "g1")
+    out = None
+    for name, fields in keys.items():
+        lines = numbered(logs.progress_log(spark, f"{root}/generations/g1/{name}"), (), ("run_id", "seq"), "place")
+        value = lambda f: F.get_json_object("line", f"$.{f}") if f else F.lit("")
+        n = value(fields[3]) if fields[3] else F.lit("0")
+        one = lines.select(F.lit(name).alias("artifact"), F.col("place").cast("long").alias("place"), *(value(f).alias(x) for f, x in zip(fields, "abc")), n.cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @entry("scanned_tree", ("documents",), "SELECT 'd' || doc_id % 7 || '/' || CASE WHEN doc_id % 5 = 0 THEN '.hidden' ELSE 'n' END || doc_id || '.md' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, true AS is_regular, sha256(coalesce(text, '')) AS digest FROM documents")
