@@ -232,6 +232,7 @@ def wanted_runs(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFr
     packed = cut_lineage(packed_runs(docs, span))
     counted = run_counts(packed).repartition("h").groupBy("h", "ch").agg(F.sum("n").alias("n"))
     buckets = counted.groupBy("h").agg(F.count("*").alias("different"), F.sum("n").alias("n_h")).filter("n_h > 1").select("h", (F.col("different") > large).alias("hot"))
+    buckets = cut_lineage(buckets)  # so that both sides of the join are dealt for it, and a frequent h can be split
     return run_rows(packed).join(buckets, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "hot", "first", "last")).alias("want"))
 
 
