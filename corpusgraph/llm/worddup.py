@@ -45,7 +45,7 @@ from .common import WORD, cut_lineage, mix64, ranges, slices, utf8
 from .tokens import bounds, hashes, joined
 from .windows import sliding_argmin
 
-WIDTH, GRAM = 20, 3
+WIDTH, GRAM = 20, 5
 LARGE, MOST_HOT = 8192, 1_000_000
 STEP, BLOCK, FLUSH = 2 << 20, 2 << 20, 2_000_000
 NO_ID = -(1 << 63)
