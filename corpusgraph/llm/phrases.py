@@ -36,7 +36,7 @@ from .common import cut_lineage, mix64, ranges, slices, utf8
 from .tokens import bounds, byte_set, hashes, joined
 
 HOT, MOST_HOT = 200_000, 100_000
-STEP, BLOCK, LIMIT = 4 << 20, 2 << 20, 16 << 20
+STEP, BLOCK, LIMIT, PARTS = 3 << 20, 2 << 20, 16 << 20, 64
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _INSIDE = byte_set(b"\x20\x09" + _BREAKS)
 _BREAK = ~byte_set(_BREAKS)
@@ -50,15 +50,16 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _batch(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Lower-cased bytes, start, end, code and language of each word, whether the next is in its piece; names of languages."""
+    """Lower-cased bytes, start, end, code and language of each word, whether the next is in its piece; words by code, names of languages."""
     data, off = utf8(b.column(1))
     data = _LOWER[data]
     start, end, doc = bounds(data, off, _INSIDE)
     piece = np.cumsum(_BREAK[data])[start] if len(start) else start
     linked = np.r_[(doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1]), False] if len(start) else np.zeros(0, bool)
     lang = b.column(0).dictionary_encode()
-    code = strings(data, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
-    return data, start, end, code, lang.indices.to_numpy()[doc].astype(np.int64), linked, lang.dictionary
+    words = strings(data, start, end).dictionary_encode()
+    pa.default_memory_pool().release_unused()
+    return data, start, end, words.indices.to_numpy().astype(np.int64), lang.indices.to_numpy()[doc].astype(np.int64), linked, words.dictionary, lang.dictionary
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            data, start, end, code, lang, _, names = _batch(b)
+            data, start, end, code, lang, _, _, names = _batch(b)
             if len(code):
                 key, first, n = np.unique(lang * (code.max() + 1) + code, return_index=True, return_counts=True)
                 sums = np.bincount(lang, minlength=len(names))
@@ -106,7 +107,7 @@ def _suffixes(docs: DataFrame, longest: int, hot: tuple[np.ndarray, np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", STEP):
-            data, start, end, code, lang, linked, names = _batch(b)
+            data, start, end, code, lang, linked, words, names = _batch(b)
             at = np.flatnonzero(linked)
             if not len(at):
                 continue
@@ -119,7 +120,7 @@ def _suffixes(docs: DataFrame, longest: int, hot: tuple[np.ndarray, np.ndarray])
             _, first, n = np.unique(lang[at] * (int(rank.max()) + 1) + rank, return_index=True, return_counts=True)
             at, size = at[first], size[first]
             with np.errstate(over="ignore"):
-                word = hashes(data, start, end) ^ mix64(_name_hash(names))[lang]
+                word = _name_hash(words)[code] ^ mix64(_name_hash(names))[lang]
                 route = word[at].copy()
                 if len(hot_h):
                     place = np.minimum(np.searchsorted(hot_h, word), len(hot_h) - 1)
@@ -280,8 +281,11 @@ def collocations(docs: DataFrame, longest: int = 3, low: int = 10, part: int = 5
         cuts = cuts.join(f.filter("phrase IS NOT NULL").select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side])
     exact = "CAST(CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)) AS DECIMAL(38,0)) DIV CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)) AS DECIMAL(38,0))"
     worst = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr(exact).alias("score"), "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = worst.withColumn("rank", rank)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:  # the best of each of PARTS parts of a language first, so that few rows meet for one language
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+        worst = worst.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    best = worst.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         best = best.filter(F.col("rank") <= top)
     totals = f.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
