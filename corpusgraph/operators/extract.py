@@ -97,6 +97,9 @@ def mask_blocks(text: str) -> list[tuple[int, int]]:
             m = _FENCE.match(inner.strip() and inner.lstrip())
             if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
                 fence = None
+            blank_before = not body.strip()
+            at += len(line)
+            continue
         elif math:
             closes = inner.strip() == "$$"
             if own != math[1] or marker:

@@ -47,6 +47,8 @@ SNIPPETS = [
     ("> $$\n> [[fake]] #fake\n> $$\n> [[real]]", 1, 0, "real"),
     ("- $$\n  [[fake]] #fake\n  $$\n- [[real]]", 1, 0, "real"),
     ("---\ntags: [broken\n---\n$x #fake [[fake]]$\n[[real]]", 1, 0, "real"),
+    ("```\n[[fake]]\n```\n\nafter [[real]] #tag\n\n~~~py\n[[fake]]\n~~~\n[[more]]", 2, 1, "real"),
+    ("````\n```\n[[fake]]\n````\n[[real]]\n```\n[[open]]", 1, 0, "real"),
 ]
 
 
