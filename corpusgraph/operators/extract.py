@@ -1,40 +1,23 @@
 """Facts of markdown documents: links, tags, frontmatter, warnings.
 
-The operator is one Arrow-batched pass over (path, content) that yields one struct
-per note; everything after it (exploding, ordinals, tag and alias rules, warning
-stream) is native.  A document's syntax is decided in three steps that keep byte
-positions: frontmatter is split off; lines are walked to mask fenced and indented
-code and display math; paragraphs are scanned to mask code spans and inline math.
-What remains is matched for links and tags.
-
-Not covered, on purpose: reference links, HTML blocks, link titles over several
-lines and other corners of full CommonMark.
+Links and tags are column functions (``markup``).  Python runs for the YAML of
+frontmatter alone: a vectorised function gets that piece of a note, nothing else.
+Ordinals, tag and alias rules and the warning stream are native again.
 """
 
 from __future__ import annotations
 
 import datetime
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.links import normal_tag
+from . import markup
 
-FACT = "struct<kind:string,raw_target:string,display:string,fragment:string,embed:boolean,pos:int>"
 VALUE = "struct<kind:string,items:array<struct<kind:string,value:string>>,value:string>"
-SCHEMA = f"path string, frontmatter_present boolean, frontmatter map<string,string>, tags_field {VALUE}, aliases_field {VALUE}, facts array<{FACT}>, warnings array<string>"
-
-_LINK = re.compile(
-    r"(?P<wembed>!?)\[\[(?P<wiki>[^\[\]\n]*)\]\]"
-    r"|(?P<membed>!?)\[(?P<text>(?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\((?:<(?P<angle>[^<>\n]*)>|(?P<dest>[^\s()]*(?:\([^\s()]*\)[^\s()]*)*))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"
-    r"|(?<![\w/#&])#(?P<tag>[\w/-]*[^\W\d][\w/-]*)"
-)
-_CONTAINER = re.compile(r"^((?: {0,3}>[ ]?)|(?: {0,3}(?:[-*+]|\d{1,9}[.)])(?: {1,4}|$)))")
-_MARK = re.compile(r"[\\`$]")
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+DECODED = f"frontmatter map<string,string>, tags_field {VALUE}, aliases_field {VALUE}, malformed boolean"
 
 
 def value_kind(v: object) -> str:
@@ -52,181 +35,6 @@ def value_kind(v: object) -> str:
     return "mapping" if isinstance(v, dict) else "other"
 
 
-def split_frontmatter(text: str) -> tuple[str | None, int]:
-    """The YAML between the opening and closing rule, and where the body starts."""
-    m = re.match(r"---[ \t]*\r?\n", text)
-    if not m:
-        return None, 0
-    end = re.compile(r"^---[ \t]*\r?(?:\n|\Z)", re.M).search(text, m.end())
-    return (None, 0) if not end else (text[m.end() : end.start()], end.end())
-
-
-def _prefix(line: str, quote_depth: int | None = None) -> tuple[int, int, int]:
-    """Length of a line's container marks, quotes in it, and width of its list indent."""
-    at = quotes = 0
-    indent = 0
-    while m := _CONTAINER.match(line[at:]):
-        if ">" in m[1]:
-            quotes += 1
-        else:
-            indent = at + len(m[1])
-        at += len(m[1])
-        if not m[1].strip():
-            break
-    return at, quotes, indent
-
-
-def mask_blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of code blocks and closed display math."""
-    spans: list[tuple[int, int]] = []
-    fence = math = None
-    list_indent, blank_before = 0, True
-    at = 0
-    for line in text.splitlines(keepends=True):
-        body = line.rstrip("\r\n")
-        lead, quotes, indent = _prefix(body)
-        marker = body[:lead].strip(" >") != ""
-        if marker:
-            list_indent = indent
-        elif body.strip() and not body.startswith(" " * list_indent):
-            list_indent = 0
-        inner = body[lead:]
-        own = (quotes, list_indent)
-        if fence:
-            spans.append((at, at + len(line)))
-            m = _FENCE.match(inner.strip() and inner.lstrip())
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                fence = None
-            blank_before = not body.strip()
-            at += len(line)
-            continue
-        elif math:
-            closes = inner.strip() == "$$"
-            if own != math[1] or marker:
-                math = None  # no closer within its container: what opened it is plain text
-            elif closes:
-                spans.append((math[0], at + len(line)))
-                math = None
-                at += len(line)
-                blank_before = True
-                continue
-        if not fence and not math:
-            m = _FENCE.match(inner.lstrip() if list_indent else inner)
-            if m and not (m[1][0] == "`" and "`" in m[2]):
-                fence = m[1]
-                spans.append((at, at + len(line)))
-            elif inner.strip() == "$$" and not inner.startswith("    "):
-                math = (at, own)
-            elif inner.startswith("    ") and not marker and not list_indent and not quotes and blank_before and inner.strip():
-                spans.append((at, at + len(line)))
-                at += len(line)
-                continue
-        blank_before = not body.strip()
-        at += len(line)
-    return spans
-
-
-def blank(text: str, spans: list[tuple[int, int]]) -> str:
-    out, last = [], 0
-    for a, b in sorted(spans):
-        if b <= last:
-            continue
-        a = max(a, last)
-        out.append(text[last:a])
-        out.append(re.sub(r"[^\n]", " ", text[a:b]))
-        last = b
-    return "".join(out) + text[last:]
-
-
-def mask_inline(par: str) -> str:
-    """A paragraph with its code spans and inline math blanked."""
-    if "`" not in par and "$" not in par:
-        return par
-    out, i = list(par), 0
-    while m := _MARK.search(par, i):
-        i = m.start()
-        c = par[i]
-        if c == "\\":
-            i += 2
-        elif c == "`":
-            k = len(par[i:]) - len(par[i:].lstrip("`"))
-            close = re.compile(rf"(?<!`)`{{{k}}}(?!`)").search(par, i + k)
-            if close:
-                out[i : close.end()] = [x if x == "\n" else " " for x in par[i : close.end()]]
-                i = close.end()
-            else:
-                i += k
-        elif c == "$":
-            two = par.startswith("$$", i)
-            end = _math_end(par, i, two)
-            if end:
-                out[i:end] = [x if x == "\n" else " " for x in par[i:end]]
-                i = end
-            else:
-                i += 2 if two else 1
-    return "".join(out)
-
-
-def _math_end(par: str, i: int, two: bool) -> int | None:
-    """End of the math that opens at i, or None where it is money or stays open."""
-    start = i + (2 if two else 1)
-    if start >= len(par) or (not two and par[start].isspace()):
-        return None
-    j = start
-    while j < len(par):
-        if par[j] == "\\":
-            j += 2
-            continue
-        if two and par[j] == "\n":
-            return None
-        if par[j] == "$":
-            if two:
-                if par.startswith("$$", j):
-                    return j + 2 if j > start else None
-            elif par.startswith("$$", j):
-                return None
-            elif par[j - 1].isspace() or par[j + 1 : j + 2].isdigit():
-                return None
-            else:
-                return j + 1
-        j += 1
-    return None
-
-
-def plain(text: str) -> str:
-    """Text of a link label without emphasis and escapes."""
-    return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", re.sub(r"(?<!\\)[*`]", "", text))
-
-
-def facts_of(body: str) -> list[dict]:
-    """Links and tags of a body in document order."""
-    masked = blank(body, mask_blocks(body))
-    parts = re.split(r"(\n[ \t>]*\n)", masked)
-    masked = "".join(mask_inline(p) if k % 2 == 0 else p for k, p in enumerate(parts))
-    found: list[dict] = []
-
-    def scan(a: int, b: int) -> None:
-        for m in _LINK.finditer(masked, a, b):
-            back = m.start()
-            while back and masked[back - 1] == "\\":
-                back -= 1
-            if (m.start() - back) % 2:
-                continue
-            if m["wiki"] is not None:
-                target, bar, label = m["wiki"].replace("\\|", "|").partition("|")
-                target, _, frag = target.partition("#")
-                found.append({"kind": "wikilink", "raw_target": target, "display": label if bar else m["wiki"], "fragment": frag, "embed": bool(m["wembed"]), "pos": m.start()})
-            elif m["tag"] is not None:
-                found.append({"kind": "tag", "raw_target": m["tag"], "display": "#" + m["tag"], "fragment": "", "embed": False, "pos": m.start()})
-            else:
-                target = m["angle"] if m["angle"] is not None else m["dest"]
-                found.append({"kind": "markdown_embed" if m["membed"] else "markdown", "raw_target": target, "display": plain(m["text"]), "fragment": "", "embed": bool(m["membed"]), "pos": m.start()})
-                scan(m.start("text"), m.end("text"))
-
-    scan(0, len(masked))
-    return found
-
-
 def _field(v: object, present: bool) -> dict | None:
     if not present:
         return None
@@ -234,46 +42,35 @@ def _field(v: object, present: bool) -> dict | None:
     return {"kind": value_kind(v), "items": items, "value": v if isinstance(v, str) else None}
 
 
-def parse(path: str, content: str) -> dict:
+def _fields(front: str | None) -> tuple:
     import yaml
 
-    front, at = split_frontmatter(content)
-    data, warnings = {}, []
-    if front is not None:
-        try:
-            data = yaml.safe_load(front)
-            if data is None:
-                data = {}
-            if not isinstance(data, dict):
-                raise yaml.YAMLError("not a mapping")
-        except Exception:
-            data = {}
-            warnings.append("frontmatter_malformed")
-    return {
-        "path": path,
-        "frontmatter_present": front is not None,
-        "frontmatter": {str(k): value_kind(v) for k, v in data.items()},
-        "tags_field": _field(data.get("tags"), "tags" in data),
-        "aliases_field": _field(data.get("aliases"), "aliases" in data),
-        "facts": facts_of(content[at:]),
-        "warnings": warnings,
-    }
+    data: object = {}
+    try:
+        data = yaml.load(front, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if front is not None else {}
+        malformed = not isinstance(data, dict | None)
+    except Exception:
+        malformed = True
+    data = {} if malformed or data is None else data
+    return {str(k): value_kind(v) for k, v in data.items()}, _field(data.get("tags"), "tags" in data), _field(data.get("aliases"), "aliases" in data), malformed
 
 
-def extract_facts(notes: DataFrame) -> DataFrame:
-    """One row per note of (path, content): frontmatter, facts in order, warnings."""
+def _decoded(front: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_fields(f) for f in front], columns=["frontmatter", "tags_field", "aliases_field", "malformed"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([parse(p, c or "") for p, c in zip(pdf["path"], pdf["content"])], columns=["path", "frontmatter_present", "frontmatter", "tags_field", "aliases_field", "facts", "warnings"])
 
-    return notes.select("path", "content").mapInPandas(run, SCHEMA)
+def extract_facts(notes: DataFrame) -> DataFrame:
+    """One row per note of (path, content): frontmatter, facts in order, warnings."""
+    front, body = markup.front_and_body(F.coalesce("content", F.lit("")))
+    found = notes.select("path", front.alias("front"), body.alias("body")).withColumn("masked", markup.without_blocks(F.col("body"))).select("path", "front", markup.facts_of(F.col("masked")).alias("facts"))
+    decoded = found.select("path", F.col("front").isNotNull().alias("frontmatter_present"), "facts", F.pandas_udf(_decoded, DECODED)("front").alias("yaml"))
+    malformed = F.when(F.col("yaml.malformed"), F.array(F.lit("frontmatter_malformed"))).otherwise(F.array().cast("array<string>"))
+    return decoded.select("path", "frontmatter_present", "yaml.frontmatter", "yaml.tags_field", "yaml.aliases_field", "facts", malformed.alias("warnings"))
 
 
 def numbered(parsed: DataFrame) -> DataFrame:
     """One row per fact with its ordinal in the document (links and tags share one sequence)."""
-    sorted_facts = F.array_sort("facts", lambda a, b: a["pos"] - b["pos"])
-    return parsed.select("path", F.posexplode(sorted_facts).alias("ordinal", "fact")).select("path", "ordinal", "fact.*").drop("pos")
+    return parsed.select("path", F.posexplode("facts").alias("ordinal", "fact")).select("path", "ordinal", "fact.*")
 
 
 def link_facts(parsed: DataFrame) -> DataFrame:

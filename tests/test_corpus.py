@@ -52,12 +52,13 @@ SNIPPETS = [
 ]
 
 
-@pytest.mark.parametrize("text,links,tags,first", SNIPPETS)
-def test_snippets(text, links, tags, first):
-    facts = extract.parse("x.md", text)["facts"]
-    found = [f for f in facts if f["kind"] != "tag"]
-    assert (len(found), len(facts) - len(found)) == (links, tags)
-    assert first is None or found[0]["raw_target"] == first
+def test_snippets(spark):
+    notes = spark.createDataFrame([(str(k), s[0]) for k, s in enumerate(SNIPPETS)], "path string, content string")
+    got = {r.path: r.facts for r in extract.extract_facts(notes).collect()}
+    for k, (text, links, tags, first) in enumerate(SNIPPETS):
+        found = [f for f in got[str(k)] if f.kind != "tag"]
+        assert (len(found), len(got[str(k)]) - len(found)) == (links, tags), text
+        assert first is None or found[0].raw_target == first
 
 
 @pytest.fixture(scope="module")
