@@ -45,11 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64, slices, utf8
+from .common import cut_lineage, mix64, shuffles_freed, slices, utf8
 
 BANDS, ROWS, STEP = 28, 4, 1 << 20
 #: Stands for a missing doc_id where one is sorted or joined.
 NO_ID = (1 << 63) - 1
+#: Up to so many edges (1 MB) are contracted in one partition, and what comes of them is told to all tasks.
+FEW = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -203,25 +205,57 @@ def compare(pairs: DataFrame, shingles: DataFrame, rest: bool = False) -> DataFr
     return met.mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", rest array<long>" * rest)
 
 
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` checkpointed and its number of rows.
+
+    A checkpoint inherits the planner's guess of a join's size, the product of both
+    sides.  Joined again and again, that guess gets three times as many digits a round,
+    until the driver does nothing else.  Rows that are cached have a size that is known.
+    """
+    kept = df.persist()
+    try:
+        n = kept.count()
+        return cut_lineage(kept), n
+    finally:
+        kept.unpersist()
+
+
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, label) with the labels of linked ids made one, the smallest; links are pairs (a, b) of ids."""
+    """labels (id, label) with the labels of linked ids made one, the smallest; links are pairs (a, b) of ids.
+
+    Edges only get fewer.  Many are dealt out in every round; the last FEW would be dealt
+    out into as many tasks again and again, and take one partition instead, without a
+    shuffle; labels, which are many, stay where they are.
+    """
+    links, n = sized(links)
+    few = n <= FEW
+
+    def one(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
+    def to_all(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     la, lb = (labels.withColumnsRenamed({"id": x, "label": f"l{x}"}) for x in "ab")
-    edges = cut_lineage(links.join(la, "a").join(lb, "b").filter("la <> lb").select(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).distinct())
-    while not edges.isEmpty():
+    edges = to_all(to_all(one(links)).join(la, "a")).join(lb, "b").filter("la <> lb").select(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v"))
+    edges, n = sized(edges if few else edges.distinct())
+    while n:
+        few = n <= FEW
         both = edges.union(edges.select("v", "u"))
-        to = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("old"), F.least("u", "v").alias("new")).filter("new < old")
-        to = cut_lineage(to)
+        to = one(both).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("old"), F.least("u", "v").alias("new")).filter("new < old")
+        to = one(sized(to)[0])
         while True:  # labels that point down a path jump to its end, twice as far each time
             onward = to.select(F.col("old").alias("new"), F.col("new").alias("end"))
-            jumped = to.join(onward, "new").select("old", F.col("end").alias("new"))
-            jumped = cut_lineage(jumped)
-            if jumped.isEmpty():
+            jumped = to.join(to_all(onward), "new").select("old", F.col("end").alias("new"))
+            jumped, on = sized(jumped)
+            if not on:
                 break
-            to = cut_lineage(to.join(jumped.withColumnRenamed("new", "end"), "old", "left").select("old", F.coalesce("end", "new").alias("new")))
-        labels = cut_lineage(labels.join(to, labels["label"] == to["old"], "left").select("id", F.coalesce("new", "label").alias("label")))
+            jumped = one(jumped)
+            to = one(sized(to.join(to_all(jumped.withColumnRenamed("new", "end")), "old", "left").select("old", F.coalesce("end", "new").alias("new")))[0])
+        labels = cut_lineage(labels.join(to_all(to), labels["label"] == to["old"], "left").select("id", F.coalesce("new", "label").alias("label")))
         tu, tv = to.withColumnsRenamed({"old": "u", "new": "nu"}), to.withColumnsRenamed({"old": "v", "new": "nv"})
-        moved = edges.join(tu, "u", "left").join(tv, "v", "left").select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y"))
-        edges = cut_lineage(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        moved = one(edges).join(to_all(tu), "u", "left").join(to_all(tv), "v", "left").select(F.coalesce("nu", "u").alias("x"), F.coalesce("nv", "v").alias("y"))
+        edges, n = sized(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
     return labels
 
 
@@ -277,31 +311,32 @@ def beside_leaders(told: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """doc_id, th, n_shingles, set_id, root (number of the component; null if the set is empty), component_id of every row."""
     percent = round(100 * similarity)
-    told = cut_lineage(describe(docs, words, bands, rows))
-    grouped = told.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    members = classes.select("id", "n", F.coalesce("first", F.lit(NO_ID)).alias("order"), F.explode("bands").alias("key"))
-    # in a band's bucket with company
-    met = members.groupBy("key").agg(F.min(F.struct("order", "id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    open_ = cut_lineage(members.join(met, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    labels = cut_lineage(open_.select("id", F.col("id").alias("label")).distinct())
-    shingles = cut_lineage(shingles_of(docs, classes.select("id", "first", "set_id").join(labels, "id", "left_semi"), words))
-    linked = reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)
-
-    # 1: with the first of the bucket
-    near = open_.filter((F.col("id") != F.col("lead")) & reaches(F.least("n", "lead_n"), F.col("n"), F.col("lead_n"), percent))
-    first = compare(near.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles)
-    labels = contract(labels, first.filter(linked).select("a", "b"))
-    # 2: with the most central of the bucket
-    led = cut_lineage(central(unsettled(open_, labels, F.col("id") == F.col("lead")).drop("lead", "lead_n"), shingles, percent))
-    followers = led.filter("id <> lead")
-    second = cut_lineage(compare(followers.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles, rest=True))
-    labels = contract(labels, second.filter(linked).select("a", "b"))
-    # 3: those beside it
-    beside = unsettled(followers, labels, F.lit(False)).select("lead", "id").distinct()
-    facts = second.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("n_a").alias("lead_n"), F.col("n_b").alias("n"), "both", "rest")
-    third = compare(beside_leaders(cut_lineage(facts.join(beside, ["lead", "id"]).join(labels, "id")), percent), shingles)
-    labels = contract(labels, third.filter(linked).select("a", "b"))
+    with shuffles_freed(docs.sparkSession):
+        told = cut_lineage(describe(docs, words, bands, rows))
+        grouped = told.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        classes = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
+        members = classes.select("id", "n", F.coalesce("first", F.lit(NO_ID)).alias("order"), F.explode("bands").alias("key"))
+        # in a band's bucket with company
+        met = members.groupBy("key").agg(F.min(F.struct("order", "id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
+        open_ = cut_lineage(members.join(met, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
+        labels = cut_lineage(open_.select("id", F.col("id").alias("label")).distinct())
+        shingles = cut_lineage(shingles_of(docs, classes.select("id", "first", "set_id").join(labels, "id", "left_semi"), words))
+        linked = reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)
+
+        # 1: with the first of the bucket
+        near = open_.filter((F.col("id") != F.col("lead")) & reaches(F.least("n", "lead_n"), F.col("n"), F.col("lead_n"), percent))
+        first = compare(near.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles)
+        labels = contract(labels, first.filter(linked).select("a", "b"))
+        # 2: with the most central of the bucket
+        led = cut_lineage(central(unsettled(open_, labels, F.col("id") == F.col("lead")).drop("lead", "lead_n"), shingles, percent))
+        followers = led.filter("id <> lead")
+        second = cut_lineage(compare(followers.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), shingles, rest=True))
+        labels = contract(labels, second.filter(linked).select("a", "b"))
+        # 3: those beside it
+        beside = unsettled(followers, labels, F.lit(False)).select("lead", "id").distinct()
+        facts = second.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("n_a").alias("lead_n"), F.col("n_b").alias("n"), "both", "rest")
+        third = compare(beside_leaders(cut_lineage(facts.join(beside, ["lead", "id"]).join(labels, "id")), percent), shingles)
+        labels = contract(labels, third.filter(linked).select("a", "b"))
 
     named = classes.select("set_id", "first", "id").join(labels, "id", "left").withColumn("root", F.coalesce("label", "id"))
     smallest = named.filter("label IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))
