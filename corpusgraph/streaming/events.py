@@ -103,14 +103,25 @@ class Settle(StatefulProcessor):
     def _lanes(self) -> Lanes:
         return Lanes(*self.meta.get()) if self.meta.exists() else Lanes()
 
-    def _keep(self, lanes: Lanes) -> None:
+    def _held(self, lanes: Lanes) -> dict[str, tuple]:
+        """The pending paths, read at once: as many as one open batch has."""
+        return {k[0]: tuple(v) for k, v in self.pending.iterator()} if lanes.paths else {}
+
+    def _keep(self, lanes: Lanes, held: dict[str, tuple], pending: dict[str, tuple]) -> None:
+        """Write what differs from the state as it was read."""
+        if held.keys() - pending.keys():
+            self.pending.clear()
+            held = {}
+        for path, v in pending.items():
+            if held.get(path) != v:
+                self.pending.updateValue((path,), v)
         self.meta.update(astuple(lanes))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if (due := min(lanes.batch_due(), lanes.full_due())) < NEVER:
             self.handle.registerTimer(due)
 
-    def _advance(self, profile: str, lanes: Lanes, to: int) -> list[tuple]:
+    def _advance(self, profile: str, lanes: Lanes, pending: dict[str, tuple], to: int) -> list[tuple]:
         """What falls due up to ``to``, in order of time; the batch first where both lanes are due."""
         out: list[tuple] = []
         while (at := min(lanes.batch_due(), lanes.full_due())) <= to:
@@ -121,38 +132,42 @@ class Settle(StatefulProcessor):
             if lanes.backlog():
                 lanes.promote(at)
             else:
-                rows = [(profile, "upsert", k[0], v[0], _ts(v[1]), _ts(v[2]), v[3], _ts(at)) for k, v in self.pending.iterator()]
-                out += sorted(rows, key=lambda r: r[2])
+                out += [(profile, "upsert", path, kind, _ts(first), _ts(last), gen, _ts(at)) for path, (kind, first, last, gen) in sorted(pending.items())]
                 lanes.drop_batch()
-            # state is read and cleared in one step, so no newer version of a path is lost
-            self.pending.clear()
+            # pending paths are read and cleared in one step, so no newer version of a path is lost
+            pending.clear()
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lanes = self._lanes()
-        data = pd.concat(list(rows)).sort_values(["ts", "path"], kind="stable")
+        held = self._held(lanes)
+        pending = dict(held)
+        # a shuffle keeps no order: events of one time and path go by their number, where they have one
+        data = pd.concat(list(rows)).sort_values(["ts", "path", "seq"], kind="stable")
         out: list[tuple] = []
         for r in data.itertuples():
             ms = int(r.ts.value // 1_000_000)
-            out += self._advance(key[0], lanes, ms)  # what was due before this event goes first
+            out += self._advance(key[0], lanes, pending, ms)  # what was due before this event goes first
             if pd.isna(r.event_kind):  # a time only
                 continue
             lanes.gen = lanes.gen + 1 if pd.isna(r.seq) else int(r.seq)
             lanes.ledger_rows = 0 if pd.isna(r.ledger_rows) else int(r.ledger_rows)
             if r.event_kind not in SAFE_KINDS or (lanes.gen == 1 and not r.has_success):
                 lanes.promote(ms)
-                self.pending.clear()
+                pending.clear()
                 continue
-            old = self.pending.getValue((r.path,)) if lanes.paths and self.pending.containsKey((r.path,)) else None
-            self.pending.updateValue((r.path,), (r.event_kind, old[1] if old else ms, ms, lanes.gen))
-            lanes.first, lanes.last, lanes.paths = ms if lanes.first == NONE else lanes.first, ms, lanes.paths + (old is None)
-        self._keep(lanes)
+            old = pending.get(r.path)
+            pending[r.path] = (r.event_kind, old[1] if old else ms, ms, lanes.gen)
+            lanes.first, lanes.last, lanes.paths = ms if lanes.first == NONE else lanes.first, ms, len(pending)
+        self._keep(lanes, held, pending)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         lanes = self._lanes()
-        out = self._advance(key[0], lanes, expiredTimerInfo.getExpiryTimeInMs())
-        self._keep(lanes)
+        held = self._held(lanes)
+        pending = dict(held)
+        out = self._advance(key[0], lanes, pending, expiredTimerInfo.getExpiryTimeInMs())
+        self._keep(lanes, held, pending)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:

@@ -117,3 +117,64 @@ def test_rebuild_on_change(spark):
     built = []
     known = sinks.rebuild_on_change(scan, None, built.append)
     assert sinks.rebuild_on_change(scan, known, built.append) == known and len(built) == 1
+
+
+class _Maps:
+    """A state handle in memory: one map, one value, no timers."""
+
+    def __init__(self):
+        self.rows, self.value = {}, None
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def clear(self):
+        self.rows.clear()
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return []
+
+    deleteTimer = registerTimer = lambda self, t: None
+
+
+def test_events_of_one_time_and_path_go_by_number():
+    """However a shuffle hands them over, the newest event of a path is the one with the highest number; pending paths survive in the state."""
+    import itertools
+
+    import pandas as pd
+
+    rows = [("a.md", "create", 1), ("a.md", "modify", 2), ("a.md", "create", 3), ("b.md", "modify", 4)]
+    columns = ["ts", "path", "event_kind", "ledger_rows", "has_success", "seq"]
+    for success, want in ((True, [("a.md", "create", 3), ("b.md", "modify", 4)]), (False, [(None, None, 4), ("a.md", "create", 3), ("b.md", "modify", 4)])):
+        for order in itertools.permutations(rows):
+            settle = events.Settle()
+            settle.init(_Maps())
+            got = pd.concat(settle.handleInputRows(("p", 0), iter([pd.DataFrame([(pd.Timestamp(at(0)), p, k, 1000, success, float(n)) for p, k, n in order], columns=columns)]), None))
+            assert got.empty and set(settle.pending.rows) == {("a.md",), ("b.md",)}
+            late = pd.DataFrame([(pd.Timestamp(at(100)), None, None, None, None, None)], columns=columns)
+            got = pd.concat(settle.handleInputRows(("p", 0), iter([late]), None))
+            key = lambda r: (r[0] is not None, str(r[0]))
+            assert sorted(((r.path, r.event_kind, r.source_generation) for r in got.itertuples()), key=key) == want and not settle.pending.rows
