@@ -37,11 +37,12 @@ def _coordinate(value: Column, text: Column) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the coordinates of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.octet_length(text)
+    # as long: an int fails at 32,768 bytes beyond ASCII or 2,048 lines times the scale
+    n = F.octet_length(text).cast("long")
     lines = n - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (n + F.lit(8)).cast("long").alias("size"),
+        (n + F.lit(8)).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         _coordinate(F.log2(n + F.lit(1)) * 8192, text).alias("c_bytes"),
         _coordinate((n - F.char_length(text)) * 65536 / (n + 1), text).alias("c_foreign"),

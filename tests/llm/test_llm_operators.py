@@ -804,3 +804,14 @@ def test_damage_is_seen():
     assert media.read_back([(hashlib.sha256(b"payload").digest(), data)]) == b"payload"
     with pytest.raises(ValueError):
         media.read_back([(hashlib.sha256(b"other").digest(), data)])
+
+
+def test_shards_of_long_texts(spark):
+    """Coordinates of texts of many lines and many letters beyond ASCII pass 32 bits on the way."""
+    texts = ["\n" * 3_000, "é" * 40_000, "a\n" * 70_000, "日本\n" * 50_000, "x", None]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == {i: len((t or "").encode()) + 8 for i, t in enumerate(texts)}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(3))
+    at = {r["doc_id"]: (r["c_foreign"] >> 32, r["c_lines"] >> 32) for r in sharding.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lines = [((t or "").count("\n"), len((t or "").encode()), len(t or "")) for t in texts]
+    assert at == {i: (min((n - c) * 65536 // (n + 1), (1 << 20) - 1), min(k * 1048576 // (n + 1), (1 << 20) - 1)) for i, (k, n, c) in enumerate(lines)}
