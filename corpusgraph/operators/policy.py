@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,19 @@ class Rule:
     pattern: str
 
 
-def glob_regex(glob: str) -> str:
-    """One pattern segment list as a regular expression over a path relative to its scope."""
+@lru_cache(4096)
+def _compiles(regex: str) -> bool:
+    try:
+        re.compile(regex)
+    except re.error:
+        return False
+    return True
+
+
+def glob_regex(glob: str, classes: list[str] | None = None) -> str:
+    """One pattern segment list as a regular expression over a path relative to its scope; its character classes go into ``classes``."""
+    if not any(c in glob for c in "*?[\\"):
+        return re.escape(glob)
     out, i, n = [], 0, len(glob)
     while i < n:
         c = glob[i]
@@ -66,6 +78,8 @@ def glob_regex(glob: str) -> str:
             neg = body[:1] in ("!", "^") and len(body) > 1
             body = body[1:] if neg else body
             out.append(f"(?!/)[{'^' if neg else ''}" + re.sub(r"([\[&~^])", r"\\\1", body) + "]")
+            if classes is not None:
+                classes.append(out[-1])
             i = j + 1
         elif c == "\\":
             if i + 1 >= n:
@@ -78,28 +92,35 @@ def glob_regex(glob: str) -> str:
     return "".join(out)
 
 
+def compile_line(source: str, scope: str, k: int, line: str, ord_: int) -> Rule | tuple[str, int, str, str] | None:
+    """The rule of line k of an ignore file, a warning (file, line, pattern, message), or nothing."""
+    pattern = re.sub(r"(?<!\\)[ \t]+$", "", line)
+    if not pattern or pattern.startswith("#"):
+        return None
+    glob, negated = (pattern[1:], True) if pattern.startswith("!") else (pattern, False)
+    dir_only = glob.endswith("/")
+    glob = glob.rstrip("/")
+    anchored = "/" in glob
+    glob = glob.removeprefix("/")
+    if not glob:
+        return None
+    try:
+        body = glob_regex(glob, classes := [])
+        if not all(map(_compiles, classes)):  # all else compiles
+            re.compile(body)
+    except (ValueError, re.error) as e:
+        return source, k, pattern, str(e)
+    return Rule(scope, ord_, "^" + ("" if anchored else "(?:.*/)?") + body + "$", negated, dir_only, source, k, pattern)
+
+
 def compile_policy(files: list[tuple[str, str, str]]) -> tuple[list[Rule], list[tuple[str, int, str, str]]]:
     """Rules and warnings (file, line, pattern, message) of (relative_path, scope_dir, content), parents first."""
     rules, warnings = [], []
     for source, scope, content in files:
         for k, line in enumerate(content.splitlines(), 1):
-            pattern = re.sub(r"(?<!\\)[ \t]+$", "", line)
-            if not pattern or pattern.startswith("#"):
-                continue
-            glob, negated = (pattern[1:], True) if pattern.startswith("!") else (pattern, False)
-            dir_only = glob.endswith("/")
-            glob = glob.rstrip("/")
-            anchored = "/" in glob
-            glob = glob.removeprefix("/")
-            if not glob:
-                continue
-            try:
-                body = glob_regex(glob)
-                re.compile(body)
-            except (ValueError, re.error) as e:
-                warnings.append((source, k, pattern, str(e)))
-                continue
-            rules.append(Rule(scope, len(rules), "^" + ("" if anchored else "(?:.*/)?") + body + "$", negated, dir_only, source, k, pattern))
+            made = compile_line(source, scope, k, line, len(rules))
+            if made is not None:
+                (rules if isinstance(made, Rule) else warnings).append(made)
     return rules, warnings
 
 
@@ -139,8 +160,12 @@ def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([_row(r, r.ord) for r in rules], RULES)
 
 
+# where Python's splitlines ends a line
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def compiled(files: DataFrame) -> DataFrame:
-    """Rules and warnings of ignore files (path, scope, content), compiled where the files are.
+    """Rules and warnings of ignore files (path, scope, content), compiled where the files are, line by line.
 
     ``ord`` orders the rules that can meet one path: by depth of their scope, then line.
     A pattern that can't be compiled is a row with a ``warning`` and no regex.
@@ -150,14 +175,19 @@ def compiled(files: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in RULES.split(", ")]
         for pdf in batches:
             rows: list[tuple] = []
-            for path, scope, content in zip(pdf["path"], pdf["scope"], pdf["content"]):
-                rules, warnings = compile_policy([(path, scope, content or "")])
-                depth = len(scope.split("/")) if scope else 0
-                rows += [(*_row(r, depth << 32 | r.line), None) for r in rules]
-                rows += [(scope, depth << 32 | line, None, None, None, None, None, source, line, pattern, text) for source, line, pattern, text in warnings]
+            for path, scope, k, line in zip(pdf["path"], pdf["scope"], pdf["k"], pdf["line"]):
+                ord_ = (len(scope.split("/")) if scope else 0) << 32 | k
+                made = compile_line(path, scope, k, line, ord_)
+                if isinstance(made, Rule):
+                    rows.append((*_row(made, ord_), None))
+                elif made:
+                    source, _, pattern, text = made
+                    rows.append((scope, ord_, None, None, None, None, None, source, k, pattern, text))
             yield pd.DataFrame(rows, columns=[*names, "warning"]).astype({"negated": object, "dir_only": object})
 
-    return files.select("path", "scope", "content").mapInPandas(run, RULES + ", warning string")
+    # a batch of lines is small, whatever the files hold
+    lines = files.select("path", "scope", F.posexplode(F.split(F.coalesce("content", F.lit("")), LINE_END)).alias("k", "line"))
+    return lines.select("path", "scope", (F.col("k") + 1).alias("k"), "line").mapInPandas(run, RULES + ", warning string")
 
 
 def taken_policy(files: DataFrame) -> DataFrame:
@@ -210,13 +240,14 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     if len(few) <= LITERAL:
         verdict = unique.filter(~_last_rule(few))
     else:
-        # each prefix asks at every scope above it, by each kind of key
+        # each prefix asks at every scope above it that may have rules, by each kind of key there is
+        deepest = {r["kind"]: r["depth"] for r in rules.groupBy("kind").agg(F.max(F.when(F.col("scope") == "", 0).otherwise(F.size(F.split("scope", "/")))).alias("depth")).collect()}
         parts = F.split("prefix", "/")
-        above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        above = F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(max(deepest.values())))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
         asked = unique.withColumn("scope", F.explode(above))
         asked = asked.withColumn("rel", F.when(F.col("scope") == "", F.col("prefix")).otherwise(F.substring(F.col("prefix"), F.length("scope") + 2, F.length("prefix"))))
         keys = {"name": P.basename("prefix"), "path": F.col("rel"), "ext": F.regexp_extract("prefix", r"(\.[^./]*)$", 1), "under": F.substring_index("rel", "/", 1), "scan": F.lit("")}
-        asked = asked.withColumn("k", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items())))).select("prefix", "dir", "scope", "rel", "k.kind", "k.key")
+        asked = asked.withColumn("k", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items() if k in deepest)))).select("prefix", "dir", "scope", "rel", "k.kind", "k.key")
         hits = asked.join(rules.select("scope", "kind", "key", "ord", "regex", "negated", "dir_only"), ["scope", "kind", "key"]).filter((~F.col("dir_only") | F.col("dir")) & F.regexp_like("rel", F.col("regex")))
         verdict = hits.groupBy("prefix", "dir").agg(F.max_by("negated", "ord").alias("keep")).filter("NOT keep").select("prefix", "dir")
     hidden = each.join(verdict, ["prefix", "dir"]).select("path", "is_dir").distinct().withColumn("ignored", F.lit(True))

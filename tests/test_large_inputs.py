@@ -144,3 +144,23 @@ def test_parts_of_any_size_and_missing_ones(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     os.rename(tmp_path / "generations/g/A", tmp_path / "away")
     assert {(r["artifact"], r["problem"]) for r in publish.verify_generation(spark, root).collect()} == {("A", "missing")}
+
+
+def test_compiled_line_by_line(spark, monkeypatch):
+    """What Python's splitlines ends is a line, and a task holds a batch of lines, not of files."""
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
+    globs = ["a", "!b/", "", "# c", "d*[x-", "[z-a]", "/e/**/f ", "g\\ ", "\\", "h.i", "[!j]k", "é?"]
+    files = [(f"f{i}", s, "".join(g + e for g in globs)) for i, (s, e) in enumerate((s, e) for s in ("", "x/y") for e in ends)] + [("none", "", None), ("last", "x", "a\n\nb")]
+    want = set()
+    for path, scope, content in files:
+        rules, warnings = policy.compile_policy([(path, scope, content or "")])
+        want |= {(r.scope, r.regex, r.negated, r.dir_only, r.source, r.line, r.pattern, None) for r in rules} | {(scope, None, None, None, *w) for w in warnings}
+    got = policy.compiled(spark.createDataFrame(files, "path string, scope string, content string")).collect()
+    assert {(r["scope"], r["regex"], r["negated"], r["dir_only"], r["source"], r["line"], r["pattern"], r["warning"]) for r in got} == want and len(got) == len(want) > 150
+    assert all(r["ord"] == (len(r["scope"].split("/")) if r["scope"] else 0) << 32 | r["line"] for r in got)
+
+    # Python gets a row a line, which Spark cuts into batches, not a row a file
+    given, big = [], spark.createDataFrame([("f", "", "\n".join(f"n{k}" for k in range(300)))], "path string, scope string, content string")
+    monkeypatch.setattr(type(big), "mapInPandas", lambda self, f, schema: given.append(self) or self)
+    policy.compiled(big)
+    assert given[0].count() == 300
