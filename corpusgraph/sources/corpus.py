@@ -5,7 +5,9 @@ times, so listing is a Python data source.  The tree must be on storage that eve
 executor mounts at the same path.  The driver lists folders from the top
 until there are enough for partitions; executors walk the rest.  A folder among those
 with more than ``wide`` entries is read by several tasks, each of which looks at the
-names that a hash gives it.
+names that a hash gives it.  As each of them lists the whole folder, there are ``shares``
+of them in all at most, dealt to wide folders by their entries: the time of listing
+grows with the largest folder, not with its square.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, size bigint, mtime_ns bigint, is_symlink boolean, is_regular boolean"
 
 
-FOLDERS, WIDE = 512, 20_000
+FOLDERS, WIDE, SHARES = 512, 20_000, 512
 
 
 class Folder(InputPartition):
@@ -40,11 +42,12 @@ class CorpusReader(DataSourceReader):
         self.root = options["path"]
         self.content = "content" in schema.fieldNames()
         self.wide = int(options.get("wide", WIDE))
+        self.shares = int(options.get("shares", SHARES))
         self.skip = {d for d in options.get("skipFolders", ".git").split(",") if d}
 
     def partitions(self) -> list[InputPartition]:
         """Folders, a level deeper until there are FOLDERS of them; those above give their own files only."""
-        done: list[InputPartition] = []
+        done: list[tuple[str, bool, int]] = []
         level = [""]
         while level:
             deep, below = len(done) + len(level) >= FOLDERS, []
@@ -54,10 +57,14 @@ class CorpusReader(DataSourceReader):
                     entries += 1
                     if not deep and e.is_dir(follow_symlinks=False) and e.name not in self.skip:
                         below.append(f"{f}/{e.name}" if f else e.name)
-                shares = -(-entries // self.wide) or 1
-                done += [Folder(f, deep, k, shares) for k in range(shares)]
+                done.append((f, deep, entries))
             level = below
-        return done
+        wide = sum(n for _, _, n in done if n > self.wide)
+        out: list[InputPartition] = []
+        for f, deep, n in done:
+            shares = min(-(-n // self.wide), -(-self.shares * n // wide)) if n > self.wide else 1
+            out += [Folder(f, deep, k, shares) for k in range(shares)]
+        return out
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         todo = [partition.path]
@@ -106,7 +113,8 @@ def _mounted(root: str) -> str:
 def scan_corpus(spark: SparkSession, root: str, content: bool = False, wide: int = WIDE) -> DataFrame:
     """path, size, mtime_ns, is_symlink, is_regular[, content of notes and ignore files]."""
     spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").option("content", str(content).lower()).option("wide", wide).load(_mounted(root))
+    shares = 4 * spark.sparkContext.defaultParallelism
+    return spark.read.format("corpus").option("content", str(content).lower()).option("wide", wide).option("shares", shares).load(_mounted(root))
 
 
 def write_tree(files: DataFrame, root: str) -> None:
@@ -115,9 +123,12 @@ def write_tree(files: DataFrame, root: str) -> None:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            made = set()
             for path, content in zip(pdf["path"], pdf["content"]):
                 target = os.path.join(base, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if (folder := os.path.dirname(target)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 aside = f"{target}.{uuid.uuid4().hex}"
                 with open(aside, "w", encoding="utf-8", newline="") as f:
                     f.write(content)

@@ -164,3 +164,18 @@ def test_compiled_line_by_line(spark, monkeypatch):
     monkeypatch.setattr(type(big), "mapInPandas", lambda self, f, schema: given.append(self) or self)
     policy.compiled(big)
     assert given[0].count() == 300
+
+
+def test_shares_of_wide_folders_are_bounded(spark, tmp_path):
+    """Every share lists its whole folder, so that more entries mean larger shares, not more listings."""
+    for d, n in (("a", 300), ("b", 100), ("c", 5)):
+        (tmp_path / d).mkdir()
+        for i in range(n):
+            (tmp_path / d / f"f{i}.md").write_text("x")
+    schema = spark.createDataFrame([], corpus.SCHEMA).schema
+    reader = corpus.CorpusReader({"path": str(tmp_path), "wide": "10", "shares": "8"}, schema)
+    parts = reader.partitions()
+    assert {d: sum(p.path == d for p in parts) for d in ("", "a", "b", "c")} == {"": 1, "a": 6, "b": 2, "c": 1}
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"{d}/f{i}.md" for d, n in (("a", 300), ("b", 100), ("c", 5)) for i in range(n))
+    scan = corpus.scan_corpus(spark, str(tmp_path), wide=1)
+    assert scan.count() == 405 and scan.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 4
