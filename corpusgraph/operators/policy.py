@@ -323,11 +323,30 @@ def collect_policy(files: DataFrame) -> list[tuple[str, str, str]]:
     return sorted(rows, key=lambda r: (r[0].count("/"), r[0]))
 
 
+# rows of a side in one cell of the pairs of a root, and pairs a task is to make
+CELL, TASK_PAIRS, TASKS = 2048, 1 << 24, 10_000
+
+
 def overlapping_roots(profiles: DataFrame) -> DataFrame:
-    """Pairs of profiles whose roots are equal or one below the other (profile_id, root)."""
+    """Pairs of profiles whose roots are equal or one below the other (profile_id, root).
+
+    There may be as many pairs as profiles squared.  The pairs of one root are dealt out
+    as a grid of cells of about CELL x CELL, each of which gets its own rows of both
+    sides, so that a task holds one cell and a root that all share is made by many.
+    """
     clean = profiles.select("profile_id", F.regexp_replace("root", "/+$", "").alias("root"))
     parts = F.split("root", "/")
     up = clean.select("profile_id", "root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above")).filter("above <> ''")
     outer = clean.withColumnsRenamed({"profile_id": "outer_profile", "root": "outer_root"})
-    hit = up.join(outer, F.col("above") == F.col("outer_root")).filter((F.col("profile_id") != F.col("outer_profile")) & ((F.col("root") != F.col("outer_root")) | (F.col("outer_profile") < F.col("profile_id"))))
+    # a root is above itself, so the ones with a single row have no pair
+    sizes = up.groupBy("above").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("above") == F.col("root")).alias("m")).filter("n > 1 AND m > 0")
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    tasks = int(min(TASKS, max(profiles.sparkSession.sparkContext.defaultParallelism, pairs // TASK_PAIRS)))
+    sizes = sizes.select("above", F.ceil(F.col("n") / CELL).alias("across"), F.ceil(F.col("m") / CELL).alias("down"))
+    cell = lambda n, *c: F.pmod(F.xxhash64(*c), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    inner = up.join(sizes, "above").select("profile_id", "root", "above", cell(F.col("across"), "profile_id", "root").alias("i"), each(F.col("down")).alias("j"))
+    outer = outer.join(sizes, F.col("outer_root") == F.col("above")).select("outer_profile", "outer_root", "above", cell(F.col("down"), "outer_profile").alias("j"), each(F.col("across")).alias("i"))
+    at = ["above", "i", "j"]
+    hit = inner.repartition(tasks, *at).join(outer.repartition(tasks, *at), at).filter((F.col("profile_id") != F.col("outer_profile")) & ((F.col("root") != F.col("outer_root")) | (F.col("outer_profile") < F.col("profile_id"))))
     return hit.select("outer_profile", "outer_root", F.col("profile_id").alias("inner_profile"), F.col("root").alias("inner_root"))

@@ -179,3 +179,17 @@ def test_shares_of_wide_folders_are_bounded(spark, tmp_path):
     assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"{d}/f{i}.md" for d, n in (("a", 300), ("b", 100), ("c", 5)) for i in range(n))
     scan = corpus.scan_corpus(spark, str(tmp_path), wide=1)
     assert scan.count() == 405 and scan.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 4
+
+
+def test_pairs_of_one_root_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(policy, "CELL", 8, raising=False)
+    monkeypatch.setattr(policy, "TASK_PAIRS", 256, raising=False)
+    roots = [(f"p{k:03}", ("/a", "/a/", "/a/b", "/a/b/c", "/ab", "/", "", "/z/1//2", "/z/1")[k % 9]) for k in range(150)] + [("p900", "/alone"), ("p901", None), (None, "/a"), ("p000", "/a/b")]
+    df = spark.createDataFrame(roots, "profile_id string, root string")
+    clean = [(p, r.rstrip("/")) for p, r in roots if r is not None and p is not None]
+    want = sorted((o, a, i, b) for o, a in clean for i, b in clean if a and o != i and ((a == b and o < i) or b.startswith(a + "/")))
+    out = policy.overlapping_roots(df)
+    assert sorted(map(tuple, out.collect())) == want
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == len(want) and max(held) < len(want) / 4
+    assert policy.overlapping_roots(df.limit(0)).count() == 0
